@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyrill.llm import decontaminate, mixing, topk, url_rules
+from tallyrill.llm import cross_entropy, decontaminate, mixing, quality, topk, toxicity, url_rules
 
 #: Fixed values of the URL query: host, path, verdict.
 URL_RULES = [
@@ -26,6 +26,22 @@ def op3_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge_urls(table(spark, sf_dir, "pages"), rules, keep=["page_id"])
 
 
+def op4_cross_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cross_entropy.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.Judge(docs, table(spark, sf_dir, "labels")).scored(docs)
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 3 == 1
+    got = toxicity.Detector(docs, labels.where(~held)).scored(docs, ["doc_id"])
+    return got.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep=["doc_id"], spans=False)
     items = F.array_join("items", ",")
@@ -41,4 +57,4 @@ def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_url_rules, op7_decontaminate, op9_top_k, op10_mix)}
+    return {f.__name__: f for f in (op3_url_rules, op4_cross_entropy, op5_quality, op6_toxicity, op7_decontaminate, op9_top_k, op10_mix)}
