@@ -3,13 +3,11 @@
 Two character models (see ``ngram``), of toxic and of ordinary documents, have orders 3 to 5
 from their own counts and share orders 1 and 2, which are counted over both classes: an
 expression that neither class has seen falls back on the same probabilities and speaks
-for neither.  The log-likelihood ratio of a text is summed by word (the space that follows
-belongs to it) and divided by its length.  A text that insults once in a thousand words must
-stand out, so the document is judged by its strongest words beside its overall mean: the
-ratios of the strongest and second strongest word (with ``PRIOR`` more characters in the
-length, so that short words need evidence too) and the mean ratio over all characters.  A
-logistic function, fitted on sampled documents that the models have not seen, turns the
-three into a score.
+for neither.  The log-likelihood ratio of a text is summed by word (the space that follows belongs to it),
+and compared length-normalised: the mean a character, and the share of words whose ratio is
+above ``MARKED`` nats.  As a text that insults twice in a thousand words must stand out, the
+ratios of its ``TOP`` strongest words join them.  A logistic function of these, fitted on
+sampled documents that the models have not seen, gives the score.
 
 The fit uses a bounded sample of labelled rows, the first by hash of their ids: at most
 ``max_toxic`` and ``max_ordinary``; 7 in 10 of each go to the models, the rest to the logistic
@@ -32,19 +30,29 @@ from tallyrill.llm import ngram
 from tallyrill.llm.samples import labelled
 from tallyrill.llm.shared import arrow_map, pick, written
 
-PRIOR = 4.0
+MARKED, TOP, LIMIT = 2.0, 4, 12.0
 FEATURES = T.StructType([T.StructField("ratios", T.ArrayType(T.DoubleType()))])
 SPACE = 2  # the symbol of white space
 
 
+def _strongest(best: np.ndarray, owner: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """The ``TOP`` largest values by owner, beside those found before."""
+    n = len(best)
+    owner, value = np.concatenate([owner, np.repeat(np.arange(n), TOP)]), np.concatenate([value, best.ravel()])
+    order = np.lexsort((-value, owner))
+    owner, value = owner[order], value[order]
+    start = np.searchsorted(owner, np.arange(n))
+    return value[start[:, None] + np.arange(TOP)]
+
+
 def _features(letters, tables):
     toxic, ordinary = (ngram.Scorer(tables.value, name=n) for n in ("toxic", "ordinary"))
 
     def step(batch: pa.RecordBatch):
         texts = batch.column("text").to_pylist()
         n = len(texts)
-        total, length = np.zeros(n), np.zeros(n)
-        best = np.zeros((n, 2))
+        total, length, words, marked = (np.zeros(n) for _ in range(4))
+        best = np.zeros((n, TOP))
         for keys, doc, symbols in letters.value.keys(texts, lower=True):
             ratio = (toxic.log_p(keys) - ordinary.log_p(keys)).astype(float)
             total += np.bincount(doc, ratio, n)
@@ -52,21 +60,13 @@ def _features(letters, tables):
             first = np.ones(len(keys), bool)
             first[1:] = (symbols[:-1] == SPACE) | (doc[1:] != doc[:-1])
             start = np.nonzero(first)[0]
-            size = np.diff(np.append(start, len(keys)))
-            value = np.add.reduceat(ratio, start) / (size + PRIOR) if len(start) else np.zeros(0)
+            value = np.add.reduceat(ratio, start)
             owner = doc[start]
-            for place in (0, 1):
-                top = np.full(n, -np.inf)
-                np.maximum.at(top, owner, value)
-                taken = best[:, place].copy()
-                best[:, place] = np.maximum(taken, top)
-                if place == 0:
-                    best[:, 1] = np.maximum(best[:, 1], np.minimum(taken, top))  # the lesser of two firsts
-                    hit = np.nonzero(value == top[owner])[0]
-                    _, at = np.unique(owner[hit], return_index=True)
-                    value[hit[at]] = -np.inf
-        mean = total / np.maximum(length, 1)
-        return {"ratios": pa.array(np.column_stack([best, mean]).tolist(), pa.list_(pa.float64()))}, None
+            words += np.bincount(owner, minlength=n)
+            marked += np.bincount(owner, value > MARKED, n)
+            best = _strongest(best, owner, np.minimum(value, LIMIT))
+        mean, share = total / np.maximum(length, 1), marked / np.maximum(words, 1)
+        return {"ratios": pa.array(np.column_stack([best, mean, share]).tolist(), pa.list_(pa.float64()))}, None
 
     return step
 
@@ -109,7 +109,7 @@ class Detector:
         self.only = float(y.mean()) if len(y) else 0.0
 
     def ratios(self, docs: DataFrame, text_col: str, keep: list[str] | None = None) -> DataFrame:
-        """Rows of ``docs`` with ``ratios``: strongest word, second strongest word, mean."""
+        """Rows of ``docs`` with ``ratios``: the strongest words, the mean, the share of marked words."""
         letters, tables = self.letters, self.tables
         return arrow_map(docs, lambda: _features(letters, tables), {"text": text_col}, FEATURES, keep)
 
@@ -119,6 +119,6 @@ class Detector:
         if self.weights is None:
             return got.withColumn("score", F.lit(self.only))
         margin = F.lit(float(self.weights[-1]))
-        for i in range(3):
+        for i in range(TOP + 2):
             margin = margin + (F.col("ratios")[i] - float(self.centre[i])) / float(self.scale[i]) * float(self.weights[i])
         return got.withColumn("score", 1 / (1 + F.exp(-margin)))
