@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyrill.llm import cross_entropy, decontaminate, mixing, quality, topk, toxicity, url_rules
+from tallyrill.llm import cross_entropy, decontaminate, mixing, near_duplicates, quality, topk, toxicity, url_rules
 
 #: Fixed values of the URL query: host, path, verdict.
 URL_RULES = [
@@ -48,6 +48,10 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.judged(found).select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(items, 256).alias("items_sha256"), "contaminated")
 
 
+def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.linked(table(spark, sf_dir, "documents"), width=4, percent=85)
+
+
 def op9_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
@@ -57,4 +61,4 @@ def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_url_rules, op4_cross_entropy, op5_quality, op6_toxicity, op7_decontaminate, op9_top_k, op10_mix)}
+    return {f.__name__: f for f in (op3_url_rules, op4_cross_entropy, op5_quality, op6_toxicity, op7_decontaminate, op8_near_duplicates, op9_top_k, op10_mix)}

@@ -40,6 +40,24 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
 FROM dw LEFT JOIN hit USING (r) LEFT JOIN items USING (r)
 """
 
+OP8 = rf"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all({FOLD.format("coalesce(text, '')")}, '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) END AS g
+  FROM d
+), g AS (SELECT doc_id, unnest(g) AS t FROM s),
+shared AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS n_both FROM g AS a JOIN g AS b ON a.t = b.t AND a.doc_id < b.doc_id GROUP BY ALL),
+link AS (
+  SELECT x, y FROM shared JOIN s AS a ON a.doc_id = x JOIN s AS b ON b.doc_id = y
+  WHERE 100 * n_both >= 85 * (len(a.g) + len(b.g) - n_both)
+), edge AS (SELECT x, y FROM link UNION SELECT y, x FROM link),
+reach AS (SELECT doc_id, doc_id AS r FROM documents UNION SELECT reach.doc_id, edge.y FROM reach JOIN edge ON reach.r = edge.x)
+SELECT s.doc_id, CAST(len(g) AS BIGINT) AS n_shingles, m.component_id
+FROM s JOIN (SELECT doc_id, min(r) AS component_id FROM reach GROUP BY doc_id) AS m ON s.doc_id = m.doc_id
+"""
+
 OP9 = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings
@@ -82,4 +100,4 @@ FROM placed
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_url_rules": OP3, "op7_decontaminate": OP7, "op9_top_k": OP9, "op10_mix": OP10}
+    return {"op3_url_rules": OP3, "op7_decontaminate": OP7, "op8_near_duplicates": OP8, "op9_top_k": OP9, "op10_mix": OP10}
