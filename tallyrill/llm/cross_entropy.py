@@ -28,7 +28,7 @@ from tallyrill.llm.shared import pick
 def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", target: int = 1, order: int = ngram.ORDER) -> DataFrame:
     """``doc_id, n_tokens, target_loss, background_loss, difference`` (nats a token) for every row."""
     rows = pick(docs, {"doc_id": id_col, "text": text_col})
-    chosen = pick(labels, {"_id": id_col, "_label": label_col}).where((F.col("_label") == target) & F.col("_id").isNotNull()).select("_id").distinct().withColumn("_flag", F.lit(True))
+    chosen = pick(labels, {"_id": id_col, "_label": label_col}).where((F.col("_label") == target) & F.col("_id").isNotNull()).select("_id").distinct().withColumn("_flag", F.lit(True)).hint("merge")  # labels grow with the corpus
     flagged = rows.join(chosen, F.col("doc_id") == F.col("_id"), "left").select("text", F.coalesce("_flag", F.lit(False)).alias("flag"))
     letters = ngram.alphabet(rows, "text")
     counts = ngram.written(ngram.count_ngrams(flagged, letters, "text", "flag", order=order), "pair")
