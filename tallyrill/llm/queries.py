@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyrill.llm import cross_entropy, decontaminate, mixing, near_duplicates, quality, topk, toxicity, url_rules
+from tallyrill.llm import cross_entropy, decontaminate, html_text, language, mixing, near_duplicates, quality, topk, toxicity, url_rules
 
 #: Fixed values of the URL query: host, path, verdict.
 URL_RULES = [
@@ -21,6 +21,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 4 == 2
+    got = language.Identifier(docs, ~held).labelled(docs, ["doc_id"])
+    return got.select("doc_id", held.alias("held_out"), "lang_pred", "score")
+
+
+def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"), keep=["page_id", "url"])
+
+
 def op3_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     return url_rules.judge_urls(table(spark, sf_dir, "pages"), rules, keep=["page_id"])
@@ -61,4 +72,4 @@ def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_url_rules, op4_cross_entropy, op5_quality, op6_toxicity, op7_decontaminate, op8_near_duplicates, op9_top_k, op10_mix)}
+    return {f.__name__: f for f in (op1_language, op2_html_text, op3_url_rules, op4_cross_entropy, op5_quality, op6_toxicity, op7_decontaminate, op8_near_duplicates, op9_top_k, op10_mix)}

@@ -2,6 +2,21 @@
 
 FOLD = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+OP2 = r"""
+WITH a AS (
+  SELECT page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)(?:</article>|$)', 1) AS h FROM pages
+), b AS (
+  SELECT page_id, url, string_split(regexp_replace(h, '</?(?:p|h1)>', chr(1), 'g'), chr(1)) AS parts FROM a
+), c AS (
+  SELECT page_id, url, list_transform(parts, lambda x: trim(regexp_replace(
+    replace(replace(replace(replace(regexp_replace(regexp_replace(x, '<br>', ' ', 'g'), '<[a-z/!][^>]*>?', '', 'g'),
+      '&quot;', '"'), '&quot', '"'), '&amp;', '&'), '&amp', '&'), '\s+', ' ', 'g'))) AS lines FROM b
+)
+SELECT page_id, url, coalesce(array_to_string(list_filter(lines, lambda x: x <> ''), chr(10)), '') AS text,
+  CAST(length(coalesce(array_to_string(list_filter(lines, lambda x: x <> ''), chr(10)), '')) AS BIGINT) AS n_chars
+FROM c
+"""
+
 OP3 = rf"""
 WITH parsed AS (
   SELECT page_id,
@@ -100,4 +115,4 @@ FROM placed
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_url_rules": OP3, "op7_decontaminate": OP7, "op8_near_duplicates": OP8, "op9_top_k": OP9, "op10_mix": OP10}
+    return {"op2_html_text": OP2, "op3_url_rules": OP3, "op7_decontaminate": OP7, "op8_near_duplicates": OP8, "op9_top_k": OP9, "op10_mix": OP10}
