@@ -8,11 +8,12 @@ from pyspark.sql import functions as F
 from tallyrill.llm.shared import pick
 
 
-def labelled(docs: DataFrame, labels: DataFrame, label: str, bounds: dict[int, int], id_col: str = "doc_id", text_col: str = "text", seed: str = "sample") -> DataFrame:
+def labelled(docs: DataFrame, labels: DataFrame, label: str, bounds: dict[int, int], id_col: str = "doc_id", text_col: str = "text", seed: str = "sample", docs_id_col: str | None = None) -> DataFrame:
     """``doc_id, text, label``: of each label value at most ``bounds[value]`` documents, the first by hash of their ids.
 
     The ids are chosen from the narrow table of labels (each task keeps at most the bound before
     any shuffle), so at most ``sum(bounds.values())`` of them are broadcast to the scan of the texts.
+    ``id_col`` names the id in both tables, unless ``docs_id_col`` names it in ``docs``.
     Null ids and labels are left out; an id with two labels counts for the larger.
     """
     value = F.col("_label")
@@ -20,5 +21,5 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, bounds: dict[int, i
     order = Window.partitionBy("_label").orderBy(F.xxhash64(F.lit(seed), "_id"), "_id")
     most = F.create_map(*(F.lit(x) for pair in bounds.items() for x in pair))
     ids = ids.withColumn("_place", F.row_number().over(order)).where(F.col("_place") <= max(bounds.values())).where(F.col("_place") <= most[value]).select("_id", "_label")
-    texts = pick(docs, {"_id": id_col, "text": text_col})
+    texts = pick(docs, {"_id": docs_id_col or id_col, "text": text_col})
     return texts.join(F.broadcast(ids), "_id").select(F.col("_id").alias("doc_id"), "text", F.col("_label").alias("label"))
