@@ -1,19 +1,540 @@
-"""The registered queries of the engine and the SQL they are compared with."""
+"""The registered queries of the engine, with the DuckDB SQL they are compared with.
+
+Clean tables would make many audits pass on nothing, so several queries first dirty columns
+by rules over the key, the same way on both sides.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tallyrill.functions import address, html, text, urls
+from tallyrill.operators import audit, domains, entity, image_diff, severity, tabular, web
+from tallyrill.plans import report
+
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def keep(f):
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return keep
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# --- dirtied tables -----------------------------------------------------------------------
+
+
+def dirty_customer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts: some names padded or blank, some segments null, some cells with mojibake or markup, postal codes."""
+    c, k = table(spark, sf_dir, "customer"), F.col("c_custkey")
+    name = F.when(k % 7 == 0, "  ").when(k % 11 == 0, F.concat(F.lit("  "), "c_name", F.lit(" "))).when(k % 13 == 0, F.concat("c_name", F.lit("Ã©"))).when(k % 17 == 0, F.concat(F.lit("<b>"), "c_name", F.lit("</b> ok??"))).when(k % 19 == 0, F.concat("c_name", F.lit(" AT&amp;T"))).otherwise(F.col("c_name"))
+    segment = F.when(k % 5 != 0, F.col("c_mktsegment"))
+    code = F.when(k % 3 == 0, (1000 + k % 9000).cast("string")).when(k % 3 == 1, F.concat(F.lit("B-"), (k % 10000).cast("string"))).otherwise(F.when(k % 2 == 0, "").otherwise(F.concat(F.lit(" "), (k % 100000).cast("string"), F.lit(" "))))
+    return c.select("c_custkey", name.alias("name"), segment.alias("segment"), code.alias("postal_code"), F.col("c_nationkey").cast("string").alias("nation"))
+
+
+DIRTY = """dirty AS (SELECT c_custkey,
+  CASE WHEN c_custkey % 7 = 0 THEN '  ' WHEN c_custkey % 11 = 0 THEN '  ' || c_name || ' ' WHEN c_custkey % 13 = 0 THEN c_name || 'Ã©' WHEN c_custkey % 17 = 0 THEN '<b>' || c_name || '</b> ok??' WHEN c_custkey % 19 = 0 THEN c_name || ' AT&amp;T' ELSE c_name END AS name,
+  CASE WHEN c_custkey % 5 <> 0 THEN c_mktsegment END AS segment,
+  CASE WHEN c_custkey % 3 = 0 THEN CAST(1000 + c_custkey % 9000 AS VARCHAR) WHEN c_custkey % 3 = 1 THEN 'B-' || CAST(c_custkey % 10000 AS VARCHAR) ELSE CASE WHEN c_custkey % 2 = 0 THEN '' ELSE ' ' || CAST(c_custkey % 100000 AS VARCHAR) || ' ' END END AS postal_code,
+  CAST(c_nationkey AS VARCHAR) AS nation FROM customer)"""
+
+
+def _long(columns: list[str], source: str = "dirty") -> str:
+    return " UNION ALL ".join(f"SELECT '{c}' AS column_name, coalesce(CAST({c} AS VARCHAR), '') AS v FROM {source}" for c in columns)
+
+
+TEXTS = ["name", "segment", "postal_code", "nation"]
+KIND = r"CASE WHEN regexp_matches(v, 'Ã.|Â.|â€.|ï¿½|\?\?|\x{FFFD}') THEN 'Mojibake/Encoding Corruption' WHEN regexp_matches(v, '<[^>]+>|&[a-z]+;|&#\d+;') THEN 'Unstripped HTML Tag' END"
+
+
+# --- tables -------------------------------------------------------------------------------
+
+
+@query(f"WITH {DIRTY}, l AS ({_long(['c_custkey', *TEXTS])}) SELECT column_name, count(*) AS total_rows, count_if(v = '') AS blanks, count(DISTINCT v) AS distinct_values FROM l GROUP BY column_name")
+def column_stats(spark, sf_dir):
+    return tabular.column_stats(dirty_customer(spark, sf_dir))
+
+
+@query("SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders ORDER BY o_orderkey LIMIT 25")
+def head_rows(spark, sf_dir):
+    return tabular.slice_rows(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice"), "25", "o_orderkey")
+
+
+@query("SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders ORDER BY o_orderkey LIMIT 41 OFFSET 9")
+def slice_rows(spark, sf_dir):
+    return tabular.slice_rows(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice"), "10-50", "o_orderkey")
+
+
+def _merged(spark, sf_dir) -> DataFrame:
+    c = table(spark, sf_dir, "customer").select((F.col("c_custkey") * 2).alias("_ord"), F.when(F.col("c_custkey") % 4 == 0, F.lit(None)).otherwise(F.col("c_mktsegment")).alias("segment"), F.col("c_nationkey").alias("nation"), F.col("c_name").alias("name"))
+    s = table(spark, sf_dir, "supplier").select((F.col("s_suppkey") * 2 + 1).alias("_ord"), F.col("s_nationkey").alias("nation"), F.col("s_name").alias("name"))
+    return tabular.merge_tables([c, s])
+
+
+MERGED = "merged AS (SELECT c_custkey * 2 AS _ord, coalesce(CASE WHEN c_custkey % 4 = 0 THEN NULL ELSE c_mktsegment END, '') AS segment, c_nationkey AS nation, c_name AS name FROM customer UNION ALL BY NAME SELECT s_suppkey * 2 + 1 AS _ord, s_nationkey AS nation, s_name AS name FROM supplier)"
+
+
+@query(f"WITH {MERGED} SELECT * FROM merged")
+def merge_union(spark, sf_dir):
+    return _merged(spark, sf_dir)
+
+
+@query(f"WITH {MERGED} SELECT _ord, segment, nation, name FROM (SELECT *, row_number() OVER (PARTITION BY segment, nation ORDER BY _ord) AS r FROM merged) WHERE r = 1")
+def merge_dedup_first(spark, sf_dir):
+    return tabular.keep_first(_merged(spark, sf_dir), ["segment", "nation"], "_ord")
+
+
+@query(f"WITH {MERGED} SELECT count(*) AS before, (SELECT count(*) FROM (SELECT DISTINCT segment, nation FROM merged)) AS after, count(*) - (SELECT count(*) FROM (SELECT DISTINCT segment, nation FROM merged)) AS removed FROM merged")
+def merge_dedup_statistics(spark, sf_dir):
+    return tabular.dedup_statistics(_merged(spark, sf_dir), ["segment", "nation"])
+
+
+@query(f"WITH {DIRTY} SELECT c_custkey, trim(coalesce(name, '')) AS name, trim(coalesce(segment, '')) AS segment, trim(coalesce(postal_code, '')) AS postal_code, trim(coalesce(nation, '')) AS nation FROM dirty")
+def clean_trim(spark, sf_dir):
+    return tabular.clean(dirty_customer(spark, sf_dir))
+
+
+@query("SELECT p_partkey, array_to_string(list_transform(string_split(trim(p_name), ' '), lambda w: upper(substr(w, 1, 1)) || lower(substr(w, 2))), ' ') AS p_name FROM part")
+def clean_title(spark, sf_dir):
+    padded = table(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit(" "), "p_name", F.lit("\t")).alias("p_name"))
+    return tabular.clean(padded, title_cols=["p_name"])
+
+
+@query("SELECT CAST(least(greatest(max(length(p_name)), 6) + 3, 50) AS INTEGER) AS p_name, CAST(least(greatest(greatest(max(length(p_brand)), 7) + 3, 12), 50) AS INTEGER) AS p_brand FROM part")
+def column_widths(spark, sf_dir):
+    from tallyrill.sources.xlsx import column_widths as widths
+
+    return widths(table(spark, sf_dir, "part").select("p_name", "p_brand"))
+
+
+# --- audits -------------------------------------------------------------------------------
+
+
+@query(f"WITH {DIRTY}, l AS ({_long(['c_custkey', *TEXTS])}), n AS (SELECT column_name, count_if(trim(v) = '') AS empty_rows, count(*) AS total FROM l GROUP BY column_name) SELECT column_name, empty_rows, empty_rows / total * 100 AS empty_share, printf('%.1f%%', empty_rows / total * 100) AS empty_percentage FROM n WHERE empty_rows > 0")
+def blank_coverage(spark, sf_dir):
+    return audit.blank_coverage(dirty_customer(spark, sf_dir))
+
+
+@query("SELECT doc_id, group_rows FROM (SELECT doc_id, count(*) OVER (PARTITION BY text) AS group_rows FROM documents) WHERE group_rows > 1")
+def duplicate_rows(spark, sf_dir):
+    return audit.duplicate_rows(table(spark, sf_dir, "documents").select("doc_id", "text"), ["text"]).select("doc_id", "group_rows")
+
+
+@query("WITH g AS (SELECT count(*) AS n FROM part GROUP BY p_brand, p_type, p_size) SELECT CAST(coalesce(sum(n) FILTER (n > 1), 0) AS BIGINT) AS duplicate_rows, CAST(sum(n) - coalesce(sum(n) FILTER (n > 1), 0) AS BIGINT) AS unique_rows FROM g")
+def duplicate_summary(spark, sf_dir):
+    return audit.duplicate_summary(table(spark, sf_dir, "part"), ["p_brand", "p_type", "p_size"])
+
+
+FOUND = f"WITH {DIRTY}, l AS ({' UNION ALL '.join(f'SELECT c_custkey AS row_ord, {chr(39)}{c}{chr(39)} AS column_name, coalesce({c}, {chr(39)}{chr(39)}) AS v FROM dirty' for c in TEXTS)} UNION ALL SELECT page_id, 'html', html FROM pages), f AS (SELECT row_ord, column_name, v AS value, {KIND} AS type FROM l)"
+
+
+def _findings(spark, sf_dir) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "html")
+    return audit.encoding_findings(dirty_customer(spark, sf_dir), "c_custkey", TEXTS).union(audit.encoding_findings(pages, "page_id"))
+
+
+@query(FOUND + " SELECT * FROM f WHERE type IS NOT NULL")
+def encoding_findings(spark, sf_dir):
+    return _findings(spark, sf_dir)
+
+
+@query(FOUND + " SELECT row_ord + 2 AS excel_row, column_name, value, type FROM f WHERE type IS NOT NULL ORDER BY row_ord, column_name LIMIT 10")
+def encoding_samples(spark, sf_dir):
+    return audit.sample(_findings(spark, sf_dir), ["row_ord", "column_name"]).select(audit.excel_row(F.col("row_ord")).alias("excel_row"), "column_name", "value", "type")
+
+
+@query(rf"WITH {DIRTY} SELECT c_custkey AS row_ord, trim(postal_code) AS postal_code FROM dirty WHERE trim(postal_code) <> '' AND NOT regexp_matches(trim(postal_code), '^\d{{4}}$')")
+def postal_invalid(spark, sf_dir):
+    return audit.postal_invalid(dirty_customer(spark, sf_dir), "c_custkey")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The full audit of a table as one row of nested results."""
+    return audit.audit(dirty_customer(spark, sf_dir), ["segment", "nation"], "c_custkey", dataset="customer")
+
+
+@query()
+def full_audit(spark, sf_dir):
+    return flagship(spark, sf_dir)
+
+
+# --- conformance --------------------------------------------------------------------------
+
+VOTES = "counts AS (SELECT p_brand AS g, p_type AS v, count(*) AS n, min(p_partkey) AS f FROM dirty_part WHERE p_brand IS NOT NULL GROUP BY ALL), best AS (SELECT g, arg_max(v, {'n': n, 'f': -f}) FILTER (v IS NOT NULL) AS majority, max(n) FILTER (v IS NOT NULL) AS votes, CAST(sum(n) AS BIGINT) AS members, count(v) AS distinct_values FROM counts GROUP BY g HAVING count(v) > 0)"
+PARTS = "dirty_part AS (SELECT p_partkey, CASE WHEN p_partkey % 29 = 0 THEN NULL ELSE p_brand END AS p_brand, CASE WHEN p_partkey % 23 = 0 THEN NULL ELSE p_type END AS p_type FROM part)"
+
+
+def _parts(spark, sf_dir) -> DataFrame:
+    k = F.col("p_partkey")
+    return table(spark, sf_dir, "part").select("p_partkey", F.when(k % 29 != 0, F.col("p_brand")).alias("p_brand"), F.when(k % 23 != 0, F.col("p_type")).alias("p_type"))
+
+
+@query(f'WITH {PARTS}, {VOTES} SELECT g AS "group", majority, votes, members, distinct_values FROM best')
+def majority_value(spark, sf_dir):
+    return entity.majority(_parts(spark, sf_dir), "p_brand", "p_type", "p_partkey")
+
+
+@query(f"WITH {PARTS}, {VOTES} SELECT p_partkey AS row_ord, p_brand AS franchise_name, p_type AS current_subcategory, majority AS expected_majority_subcategory, votes || '/' || members || ' branches' AS majority_share FROM dirty_part JOIN best ON p_brand = g WHERE distinct_values > 1 AND p_type IS DISTINCT FROM majority")
+def taxonomy_outliers(spark, sf_dir):
+    return entity.outliers(_parts(spark, sf_dir), "p_brand", "p_type", "p_partkey")
+
+
+@query(f"WITH {PARTS}, {VOTES} SELECT p_partkey, p_brand, CASE WHEN distinct_values > 1 AND p_type IS DISTINCT FROM majority THEN majority ELSE p_type END AS p_type FROM dirty_part LEFT JOIN best ON p_brand = g")
+def taxonomy_aligned(spark, sf_dir):
+    return entity.aligned(_parts(spark, sf_dir), "p_brand", "p_type", "p_partkey")
+
+
+@query(f"WITH {PARTS} SELECT count(DISTINCT p_brand) AS groups_audited FROM dirty_part")
+def taxonomy_groups(spark, sf_dir):
+    return entity.groups_audited(_parts(spark, sf_dir), "p_brand")
+
+
+BRANDS = r"""brands AS (SELECT page_id, CASE page_id % 9 WHEN 0 THEN 'Hotel ' || h WHEN 1 THEN 'Bau ' || h WHEN 2 THEN 'Big Bank of ' || h WHEN 3 THEN 'Corrupted ' || h ELSE h END AS brand, url, CASE WHEN page_id % 6 <> 0 THEN city END AS city, CASE WHEN page_id % 5 <> 0 THEN kind END AS kind
+  FROM (SELECT page_id, url, regexp_extract(url, '^https?://([^/?#]*)', 1) AS h, regexp_extract(url, '^https?://[^/]*/([a-z]+)/', 1) AS city, CASE WHEN url LIKE 'https%' THEN 'secure' ELSE 'open' END AS kind FROM pages)),
+base AS (SELECT brand, count(*) AS branch_count, arg_min(kind, page_id) FILTER (kind IS NOT NULL) AS category, arg_min(url, page_id) AS website, bool_or(contains(lower(url), '.net')) AS local FROM brands GROUP BY brand),
+c AS (SELECT brand, city, min(page_id) AS f FROM brands WHERE city IS NOT NULL GROUP BY brand, city),
+cities AS (SELECT brand, list(city ORDER BY f) AS l FROM c GROUP BY brand),
+audit AS (SELECT trim(brand) AS brand_name, coalesce(category, 'General') AS category, branch_count,
+  CASE WHEN contains(lower(brand), 'corrupted') OR regexp_matches(brand, '(?i)\b(ingenieure|architektur|consulting|holding|bau|berater|contractor|construction)\b') THEN 'Misrepresentation'
+    WHEN contains(lower(brand), 'hotel') OR contains(lower(brand), 'ibis') OR contains(lower(brand), 'radisson') THEN 'Manual Review'
+    WHEN contains(lower(brand), 'bank') AND len(string_split(trim(brand), ' ')) > 3 THEN 'Manual Review' ELSE 'Verified Present' END AS status,
+  website AS sample_website, coalesce(array_to_string(l[1:3], ', ') || CASE WHEN len(l) > 3 THEN ' (+' || (len(l) - 3) || ' more)' ELSE '' END, '') AS sample_cities, CASE WHEN local THEN 'Yes' ELSE 'No' END AS domain_hint
+  FROM base LEFT JOIN cities USING (brand))"""
+
+
+def _brands(spark, sf_dir) -> DataFrame:
+    p, k = table(spark, sf_dir, "pages"), F.col("page_id")
+    host = F.regexp_extract("url", r"^https?://([^/?#]*)", 1)
+    brand = F.when(k % 9 == 0, F.concat(F.lit("Hotel "), host)).when(k % 9 == 1, F.concat(F.lit("Bau "), host)).when(k % 9 == 2, F.concat(F.lit("Big Bank of "), host)).when(k % 9 == 3, F.concat(F.lit("Corrupted "), host)).otherwise(host)
+    rows = p.select("page_id", brand.alias("franchise_name"), F.when(k % 5 != 0, F.when(F.col("url").startswith("https"), "secure").otherwise("open")).alias("category"), F.col("url").alias("website"), F.when(k % 6 != 0, F.regexp_extract("url", r"^https?://[^/]*/([a-z]+)/", 1)).alias("city"))
+    return entity.brand_audit(rows, "page_id", "NET")
+
+
+@query(f"WITH {BRANDS} SELECT * FROM audit")
+def brand_audit(spark, sf_dir):
+    return _brands(spark, sf_dir).drop("reason", "action_required")
+
+
+@query(f"WITH {BRANDS} SELECT brand_name, status, branch_count FROM audit ORDER BY status, branch_count DESC, brand_name LIMIT 20")
+def brand_sorted(spark, sf_dir):
+    return entity.brand_sorted(_brands(spark, sf_dir)).select("brand_name", "status", "branch_count").limit(20)
+
+
+NAMES = "n AS (SELECT p_brand AS block, lower(trim(p_name)) AS n, min(p_partkey) AS lo, max(p_partkey) AS hi FROM part WHERE p_name IS NOT NULL AND p_brand IS NOT NULL GROUP BY ALL)"
+
+
+@query(f"WITH {NAMES} SELECT a.block, a.n AS first, b.n AS second FROM n AS a JOIN n AS b ON a.block = b.block AND a.n <> b.n AND a.lo < b.hi AND 2 * least(length(a.n), length(b.n)) >= 0.85 * (length(a.n) + length(b.n))")
+def fuzzy_candidates(spark, sf_dir):
+    return entity.fuzzy_candidates(table(spark, sf_dir, "part"), "p_name", "p_brand", "p_partkey")
+
+
+@query()
+def fuzzy_pairs(spark, sf_dir):
+    return entity.fuzzy_pairs(table(spark, sf_dir, "part"), "p_name", "p_brand", "p_partkey", 0.85)
+
+
+@query()
+def fuzzy_pairs_top(spark, sf_dir):
+    pairs = entity.fuzzy_pairs(table(spark, sf_dir, "part"), "p_name", "p_brand", "p_partkey", 0.85)
+    return audit.sample(pairs, ["block", "ord_1", "ord_2"], 15)
+
+
+# --- addresses and domains ----------------------------------------------------------------
+
+CODES = "codes AS (SELECT o_orderkey, CASE o_orderkey % 6 WHEN 0 THEN CAST(o_orderkey % 10000 AS VARCHAR) WHEN 1 THEN '1-' || lpad(CAST(o_orderkey % 1000 AS VARCHAR), 3, '0') WHEN 2 THEN CAST(1000 + o_orderkey % 9000 AS VARCHAR) || ' AB' WHEN 3 THEN NULL WHEN 4 THEN CAST(10000 + o_orderkey % 90000 AS VARCHAR) ELSE 'SW1A 1AA' END AS code, ['BE', 'lu', 'US', 'DE', 'NL', 'GB', 'XX'][o_orderkey % 7 + 1] AS cc FROM orders)"
+RANGES = " ".join(f"WHEN d BETWEEN {a} AND {b} THEN '{n}'" for a, b, n in address.PROVINCES_BE)
+VALID = " ".join(f"WHEN upper(cc) = '{cc}' THEN regexp_matches(coalesce(trim(code), 'None'), '(?i){p}')" for cc, p in address.POSTAL_PATTERNS.items())
+
+
+def _codes(spark, sf_dir) -> DataFrame:
+    k = F.col("o_orderkey")
+    code = F.when(k % 6 == 0, (k % 10000).cast("string")).when(k % 6 == 1, F.concat(F.lit("1-"), F.lpad((k % 1000).cast("string"), 3, "0"))).when(k % 6 == 2, F.concat((1000 + k % 9000).cast("string"), F.lit(" AB"))).when(k % 6 == 4, (10000 + k % 90000).cast("string")).when(k % 6 == 5, "SW1A 1AA")
+    cc = F.element_at(F.array(*map(F.lit, ["BE", "lu", "US", "DE", "NL", "GB", "XX"])), (k % 7 + 1).cast("int"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", code.alias("code"), cc.alias("cc"))
+
+
+@query(f"WITH {CODES}, digits AS (SELECT o_orderkey, CASE WHEN length(regexp_replace(coalesce(code, ''), '\\D', '', 'g')) = 4 THEN CAST(regexp_replace(code, '\\D', '', 'g') AS INTEGER) END AS d FROM codes) SELECT o_orderkey, CASE {RANGES} ELSE '' END AS province FROM digits")
+def province_lookup(spark, sf_dir):
+    return _codes(spark, sf_dir).select("o_orderkey", address.province_be(F.col("code")).alias("province"))
+
+
+@query(f"WITH {CODES} SELECT o_orderkey, CASE {VALID} ELSE true END AS is_valid FROM codes")
+def postal_valid(spark, sf_dir):
+    return _codes(spark, sf_dir).select("o_orderkey", address.postal_valid(F.col("code"), F.col("cc")).alias("is_valid"))
+
+
+@query("""SELECT c_custkey, concat_ws(', ', CASE WHEN c_custkey % 4 <> 0 THEN trim(', ' || c_name || ' ,', ', ') END,
+  nullif(concat_ws(' ', CASE WHEN c_custkey % 3 <> 0 THEN CAST(c_custkey AS VARCHAR) END, CASE WHEN c_custkey % 5 <> 0 THEN c_mktsegment END), ''), CASE WHEN c_custkey % 2 = 0 THEN 'Namur' END, 'Belgium') AS formatted FROM customer""")
+def address_format(spark, sf_dir):
+    k = F.col("c_custkey")
+    line = address.format_address(F.when(k % 4 != 0, F.concat(F.lit(", "), "c_name", F.lit(" ,"))), F.when(k % 3 != 0, k.cast("string")), F.when(k % 5 != 0, F.col("c_mktsegment")), F.when(k % 2 == 0, "Namur"))
+    return table(spark, sf_dir, "customer").select("c_custkey", line.alias("formatted"))
+
+
+SITES = "sites AS (SELECT page_id, CASE page_id % 8 WHEN 0 THEN NULL WHEN 1 THEN '  ' WHEN 2 THEN regexp_replace(url, '^https?://', '') WHEN 3 THEN regexp_replace(url, '(https?://[^/]*)', '\\1:8080') ELSE ' ' || url END AS url FROM pages)"
+DOMAIN = "CASE WHEN trim(url) <> '' THEN regexp_extract(CASE WHEN regexp_matches(trim(url), '^https?://') THEN trim(url) ELSE 'http://' || trim(url) END, '^https?://([^/?#]*)', 1) END"
+
+
+def _sites(spark, sf_dir) -> DataFrame:
+    k = F.col("page_id")
+    site = F.when(k % 8 == 1, "  ").when(k % 8 == 2, F.regexp_replace("url", "^https?://", "")).when(k % 8 == 3, F.regexp_replace("url", "(https?://[^/]*)", "$1:8080")).when(k % 8 > 3, F.concat(F.lit(" "), "url"))
+    return table(spark, sf_dir, "pages").select("page_id", site.alias("url"))
+
+
+@query(f"WITH {SITES} SELECT page_id, {DOMAIN} AS domain, split_part({DOMAIN}, ':', 1) AS host FROM sites")
+def url_domain(spark, sf_dir):
+    domain = urls.url_domain(F.col("url"))
+    return _sites(spark, sf_dir).select("page_id", domain.alias("domain"), urls.without_port(domain).alias("host"))
+
+
+@query(f"WITH {SITES} SELECT DISTINCT {DOMAIN} AS domain FROM sites WHERE {DOMAIN} IS NOT NULL")
+def domain_distinct(spark, sf_dir):
+    return domains.distinct_domains(_sites(spark, sf_dir), "url")
+
+
+def stub_resolver(domain: str) -> tuple[bool, str]:
+    """Deterministic and offline: names of even length resolve."""
+    ok = len(domain.split(":")[0]) % 2 == 0
+    return ok, "Resolved" if ok else "DNS Error: unknown name"
+
+
+RESOLVED = f"{SITES}, r AS (SELECT DISTINCT {DOMAIN} AS domain, length(split_part({DOMAIN}, ':', 1)) % 2 = 0 AS is_valid FROM sites WHERE {DOMAIN} IS NOT NULL)"
+
+
+@query(f"WITH {RESOLVED} SELECT page_id, sites.url, {DOMAIN} AS domain, coalesce(is_valid, false) AS is_valid, CASE WHEN r.domain IS NULL THEN 'Empty domain' WHEN is_valid THEN 'Resolved' ELSE 'DNS Error: unknown name' END AS message FROM sites LEFT JOIN r ON {DOMAIN} = r.domain")
+def dns_verify_stub(spark, sf_dir):
+    sites = _sites(spark, sf_dir)
+    return domains.with_results(sites, "url", domains.resolved(domains.distinct_domains(sites, "url"), stub_resolver, 8)).select("page_id", "url", "domain", "is_valid", "message")
+
+
+@query(f"WITH {RESOLVED} SELECT count(*) AS tested, count_if(is_valid) AS valid, printf('%.1f%%', count_if(is_valid) / count(*) * 100) AS valid_percentage, count_if(NOT is_valid) AS failed FROM r")
+def domain_summary(spark, sf_dir):
+    return domains.summary(domains.resolved(domains.distinct_domains(_sites(spark, sf_dir), "url"), stub_resolver, 8))
+
+
+@query(f"WITH {RESOLVED} SELECT domain, 'DNS Error: unknown name' AS message FROM r WHERE NOT is_valid ORDER BY domain LIMIT 10")
+def domain_failures(spark, sf_dir):
+    return domains.failed_sample(domains.resolved(domains.distinct_domains(_sites(spark, sf_dir), "url"), stub_resolver, 8))
+
+
+# --- pages --------------------------------------------------------------------------------
+
+MD = r"""regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script>', '', 'g'), '(?is)<style\b.*?</style>', '', 'g')"""
+for _p, _r in ((r"<h1[^>]*>(.*?)</h1>", r"\n# \1\n"), (r"<h2[^>]*>(.*?)</h2>", r"\n## \1\n"), (r"<h3[^>]*>(.*?)</h3>", r"\n### \1\n"), (r"<p[^>]*>(.*?)</p>", r"\n\1\n"), (r"<li[^>]*>(.*?)</li>", r"- \1\n")):
+    MD = f"regexp_replace({MD}, '(?i){_p}', E'{_r.replace(chr(92) + '1', chr(92) * 2 + '1')}', 'g')"
+MD = f"regexp_replace({MD}, '<[^>]+>', '', 'g')"
+for _e, _c in (("&nbsp;", " "), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"')):
+    MD = f"replace({MD}, '{_e}', '{_c}')"
+MD = rf"array_to_string(list_filter(list_transform(string_split({MD}, chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> ''), chr(10) || chr(10))"
+FRAGMENT = "'<h2 class=\"x\">Sub ' || page_id || '</h2><h3>Third &lt;' || page_id || '&gt;</h3><img src=\"i.png\">' || html"
+RICH = f"rich AS (SELECT page_id, {FRAGMENT} AS html FROM pages)"
+CLEAN = lambda x: rf"regexp_replace(regexp_replace({x}, '<[^>]+>', '', 'g'), '^\s+|\s+$', '', 'g')"
+
+
+def _rich(spark, sf_dir) -> DataFrame:
+    k = F.col("page_id").cast("string")
+    return table(spark, sf_dir, "pages").select("page_id", F.concat(F.lit('<h2 class="x">Sub '), k, F.lit("</h2><h3>Third &lt;"), k, F.lit('&gt;</h3><img src="i.png">'), "html").alias("html"))
+
+
+@query(f"WITH {RICH} SELECT page_id, {MD} AS markdown FROM rich")
+def html_markdown(spark, sf_dir):
+    return _rich(spark, sf_dir).select("page_id", html.html_to_markdown(F.col("html")).alias("markdown"))
+
+
+@query(f"WITH {RICH}, h AS (SELECT page_id, regexp_extract_all(html, '(?is)<h[1-6]\\b[^>]*>.*?</h[1-6]>') AS l FROM rich) SELECT page_id, CAST(i - 1 AS INTEGER) AS position, lower(substr(l[i], 2, 2)) AS tag, substr({CLEAN('l[i]')}, 1, 100) AS text, repeat('  ', CAST(substr(l[i], 3, 1) AS INTEGER) - 1) || lower(substr(l[i], 2, 2)) || ': ' || substr({CLEAN('l[i]')}, 1, 100) AS outline FROM h, unnest(range(1, len(l) + 1)) AS u(i)")
+def html_headings(spark, sf_dir):
+    return web.page_headings(_rich(spark, sf_dir))
+
+
+LINKS = f"""a AS (SELECT page_id, regexp_extract_all(html, '(?is)<a\\b[^>]*\\bhref\\s*=\\s*["''][^"'']*["''][^>]*>.*?</a>') AS l FROM pages), links AS (SELECT page_id, CAST(i - 1 AS INTEGER) AS position, substr({CLEAN('l[i]')}, 1, 50) AS text, regexp_extract(l[i], '(?is)^<a\\b[^>]*?\\bhref\\s*=\\s*["'']([^"'']*)["'']', 1) AS href FROM a, unnest(range(1, len(l) + 1)) AS u(i))"""
+
+
+@query(f"WITH {LINKS} SELECT * FROM links")
+def html_links(spark, sf_dir):
+    return web.page_links(table(spark, sf_dir, "pages"))
+
+
+@query(rf"SELECT page_id, {CLEAN('''regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)''')} AS title FROM pages")
+def html_title(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", html.title(F.col("html")).alias("title"))
+
+
+@query(rf"""WITH t AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<head\b.*?</head>', '', 'g'), '(?is)<script\b.*?</script>', '', 'g'), '(?is)<style\b.*?</style>', '', 'g'), '<[^>]+>', ' ', 'g'), '[ \t]+', ' ', 'g'), '^\s+|\s+$', '', 'g') AS t FROM pages)
+SELECT page_id, length(t) AS n_chars, substr(t, 1, 2000) AS shown, greatest(length(t) - 2000, 0) AS hidden FROM t""")
+def html_text(spark, sf_dir):
+    return web.page_text(table(spark, sf_dir, "pages"))
+
+
+@query(rf"WITH {RICH} SELECT page_id, {CLEAN('''regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)''')} AS title, list_transform(regexp_extract_all(html, '(?is)<h[1-3]\b[^>]*>.*?</h[1-3]>'), lambda x: {CLEAN('x')}) AS headings FROM rich")
+def html_overview(spark, sf_dir):
+    return web.page_overview(_rich(spark, sf_dir))
+
+
+def _jsonld(spark, sf_dir) -> DataFrame:
+    k, p = F.col("event_id"), F.col("props")
+    body = F.when(k % 5 == 0, F.concat(F.lit("["), p, F.lit(","), p, F.lit("]"))).when(k % 5 == 1, F.concat(F.lit('{"@graph":['), p, F.lit("]}"))).when(k % 5 == 2, F.concat(p, F.lit("}"))).when(k % 5 == 3, F.lit("null")).otherwise(p)
+    return table(spark, sf_dir, "events").select("event_id", F.concat(F.lit("<script type='application/ld+json'> "), body, F.lit("</script>")).alias("html"))
+
+
+LD = "ld AS (SELECT event_id, CASE event_id % 5 WHEN 0 THEN '[' || props || ',' || props || ']' WHEN 1 THEN '{\"@graph\":[' || props || ']}' WHEN 2 THEN props || '}' WHEN 3 THEN 'null' ELSE props END AS body FROM events)"
+
+
+@query(f"WITH {LD} SELECT event_id, CASE WHEN json_valid(body) THEN body END AS json, CASE WHEN NOT json_valid(body) THEN body END AS raw, CASE WHEN NOT json_valid(body) THEN 'Invalid JSON' END AS error FROM ld")
+def jsonld_blocks(spark, sf_dir):
+    return _jsonld(spark, sf_dir).select("event_id", F.explode(html.jsonld_blocks(F.col("html"))).alias("b")).select("event_id", "b.json", "b.raw", "b.error")
+
+
+@query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, count(*) AS copies FROM (SELECT event_id, props FROM events WHERE event_id % 5 IN (0, 1, 4) UNION ALL SELECT event_id, props FROM events WHERE event_id % 5 = 0) GROUP BY ALL")
+def jsonld_flatten(spark, sf_dir):
+    records = _jsonld(spark, sf_dir).select("event_id", F.explode(html.jsonld_records(F.col("html"))).alias("r"))
+    return records.select("event_id", F.get_json_object("r", "$.k").cast("long").alias("k")).groupBy("event_id", "k").agg(F.count("*").alias("copies"))
+
+
+@query("WITH " + LINKS + ", c AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY position) AS r, CASE (page_id + position) % 10 WHEN 0 THEN 404 WHEN 1 THEN 0 ELSE 200 END AS status FROM links) SELECT page_id, count(*) AS total, count_if(r <= 4) AS checked, count_if(r <= 4 AND NOT (status > 0 AND status < 400)) AS broken FROM c GROUP BY page_id")
+def link_status_summary(spark, sf_dir):
+    n = (F.col("page_id") + F.col("position")) % 10
+    links = web.page_links(table(spark, sf_dir, "pages")).withColumn("status", F.when(n == 0, 404).when(n == 1, 0).otherwise(200))
+    return web.link_summary(links, "page_id", 4).drop("details")
+
+
+@query("SELECT page_id % 20 AS page, count(*) AS total, count_if(page_id % 3 = 0 AND page_id % 2 = 0) AS broken, count_if(page_id % 5 = 0) AS missing_alt FROM pages GROUP BY ALL")
+def image_summary(spark, sf_dir):
+    k = F.col("page_id")
+    images = table(spark, sf_dir, "pages").select((k % 20).alias("page"), F.col("url").alias("src"), F.when(k % 5 == 0, "").otherwise("shown").alias("alt"), F.when(k % 3 == 0, 0).otherwise(640).alias("natural_width"), (k % 2 == 0).alias("complete"))
+    return web.image_summary(images, "page")
+
+
+@query("SELECT event_id AS position, event_type AS type, props AS text FROM events WHERE event_type = 'error' ORDER BY event_id LIMIT 20")
+def console_errors(spark, sf_dir):
+    return web.console_errors(table(spark, sf_dir, "events").select(F.col("event_id").alias("position"), F.col("event_type").alias("type"), F.col("props").alias("text")))
+
+
+@query()
+def selector_records(spark, sf_dir):
+    return web.select_records(table(spark, sf_dir, "pages"), "nav li", {"label": "a"})
+
+
+@query()
+def html_forms(spark, sf_dir):
+    form = F.concat(F.lit('<form action="/s" method="POST"><input name="q'), F.col("page_id").cast("string"), F.lit('" required><select id="s"></select></form>'), "html")
+    return web.page_forms(table(spark, sf_dir, "pages").select("page_id", form.alias("html")))
+
+
+HITS = "hits AS (SELECT lang AS query, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS position, CASE WHEN doc_id % 6 = 0 THEN ' ' ELSE substr(text, 1, 20) END AS title, CASE doc_id % 4 WHEN 0 THEN 'ftp://x/' WHEN 1 THEN 'https://engine.example/' ELSE 'https://site.example/' END || doc_id AS url FROM documents)"
+
+
+@query(rf"WITH {HITS}, k AS (SELECT * FROM hits WHERE position < 30 AND url LIKE 'http%' AND NOT contains(url, 'engine.example')) SELECT query, position, coalesce(nullif(regexp_replace(title, '^\s+|\s+$', '', 'g'), ''), '(no title)') AS title, url, '' AS snippet, CAST(row_number() OVER (PARTITION BY query ORDER BY position) AS INTEGER) AS rank FROM k")
+def search_rank(spark, sf_dir):
+    from pyspark.sql import Window
+
+    k = F.col("doc_id")
+    url = F.concat(F.when(k % 4 == 0, "ftp://x/").when(k % 4 == 1, "https://engine.example/").otherwise("https://site.example/"), k.cast("string"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("doc_id")) - 1
+    hits = table(spark, sf_dir, "documents").select(F.col("lang").alias("query"), place.cast("long").alias("position"), F.when(k % 6 == 0, " ").otherwise(F.substring("text", 1, 20)).alias("title"), url.alias("url"), F.lit(None).cast("string").alias("snippet"))
+    return web.rank_hits(hits, "query", "position", 30, ("engine.example",))
+
+
+@query("SELECT s.page_id AS page_id, source, count(*) AS hits FROM (SELECT page_id % 50 AS page_id, CASE WHEN (page_id % 50) % 3 = 0 THEN 'first' WHEN (page_id % 50) % 3 = 1 THEN 'second' ELSE 'third' END AS source FROM pages) AS s GROUP BY ALL")
+def first_source(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages").select((F.col("page_id") % 50).alias("page_id"))
+    k = F.col("page_id") % 3
+    sources = [pages.where(k == 0).withColumn("source", F.lit("first")), pages.where(k <= 1).withColumn("source", F.lit("second")), pages.withColumn("source", F.lit("third"))]
+    return web.first_source(sources, "page_id").groupBy("page_id", "source").agg(F.count("*").alias("hits"))
+
+
+# --- reports ------------------------------------------------------------------------------
+
+WORDS = {"click": "Pass", "view": "FAIL", "signup": "pending", "purchase": "not found", "error": "other"}
+
+
+@query("WITH w AS (SELECT event_id, CASE event_type WHEN 'click' THEN 'Pass' WHEN 'view' THEN 'FAIL' WHEN 'signup' THEN 'pending' WHEN 'purchase' THEN 'not found' ELSE 'other' END AS word FROM events) SELECT word, CASE WHEN lower(word) IN ('pass') THEN 'pass' WHEN lower(word) IN ('fail', 'not found') THEN 'fail' WHEN lower(word) IN ('pending') THEN 'warn' END AS kind, count(*) AS n FROM w GROUP BY ALL")
+def status_classify(spark, sf_dir):
+    word = F.lit("other")
+    for t, w in WORDS.items():
+        word = F.when(F.col("event_type") == t, w).otherwise(word)
+    return table(spark, sf_dir, "events").select(word.alias("word")).groupBy("word", report.status_class(F.col("word")).alias("kind")).agg(F.count("*").alias("n"))
+
+
+IMPACT = {"error": "critical", "purchase": "serious", "signup": "moderate", "click": "minor"}
+
+
+@query("SELECT CASE event_type WHEN 'error' THEN '🔴' WHEN 'purchase' THEN '🟠' WHEN 'signup' THEN '🟡' WHEN 'click' THEN '🟢' ELSE '⚪' END AS icon, count(*) AS n FROM events GROUP BY ALL")
+def severity_icons(spark, sf_dir):
+    impact = F.create_map(*(F.lit(x) for kv in IMPACT.items() for x in kv))[F.col("event_type")]
+    return table(spark, sf_dir, "events").groupBy(severity.icon(impact).alias("icon")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT count_if(event_type = 'view') AS passed, count_if(event_type = 'error') AS violations, count_if(event_type = 'click') AS incomplete FROM events")
+def severity_summary(spark, sf_dir):
+    outcome = F.when(F.col("event_type") == "view", "pass").when(F.col("event_type") == "error", "violation").when(F.col("event_type") == "click", "incomplete")
+    return severity.summary(table(spark, sf_dir, "events").select(outcome.alias("outcome")))
+
+
+@query("WITH r AS (SELECT event_type AS rule, event_id, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS r, count(*) OVER (PARTITION BY event_type) AS affected FROM events) SELECT rule, affected, list(CAST(event_id AS VARCHAR) ORDER BY r) AS shown, '... and ' || (affected - 3) || ' more' AS more FROM r WHERE r <= 3 GROUP BY rule, affected")
+def top3_per_rule(spark, sf_dir):
+    nodes = table(spark, sf_dir, "events").select(F.col("event_type").alias("rule"), "event_id", F.concat(F.col("event_id").cast("string"), F.lit("\nrest")).alias("text"))
+    return severity.first_nodes(nodes, "rule", "event_id", "text")
+
+
+@query("SELECT count(*) AS n FROM events WHERE event_type IN ('click', 'error')")
+def tagged_rules(spark, sf_dir):
+    rules = table(spark, sf_dir, "events").select(F.array("event_type", F.lit("all")).alias("tags"))
+    return severity.with_tags(rules, ["click", "error"]).agg(F.count("*").alias("n"))
+
+
+@query("""WITH s AS (SELECT o_orderkey, CAST(o_orderkey % 7 + 1 AS INTEGER) AS a, CAST(o_orderkey % 11 AS INTEGER) AS b FROM orders)
+SELECT o_orderkey, list_transform(list_sort(list_distinct(list_filter(list_concat([a], range(a, b + 1)), lambda x: x >= 1 AND x <= 6))), lambda x: CAST(x - 1 AS INTEGER)) AS pages FROM s""")
+def page_ranges(spark, sf_dir):
+    a, b = (F.col("o_orderkey") % 7 + 1).cast("string"), (F.col("o_orderkey") % 11).cast("string")
+    spec = F.concat(a, F.lit(", "), a, F.lit("-"), b)
+    return table(spark, sf_dir, "orders").select("o_orderkey", text.page_ranges(spec, F.lit(6)).alias("pages"))
+
+
+@query("""WITH p AS (SELECT a.vec_id, a.embedding AS x, b.embedding AS y FROM embeddings AS a JOIN embeddings AS b ON b.vec_id = a.vec_id + 1),
+c AS (SELECT vec_id, len(x) AS total_pixels, len(list_filter(range(1, len(x) + 1), lambda i: abs(x[i] - y[i]) > 0.3)) AS different_pixels FROM p),
+s AS (SELECT *, round(different_pixels / total_pixels * 100, 2) AS percent FROM c)
+SELECT *, CASE WHEN percent = 0 THEN 'identical' WHEN percent < 1 THEN 'minor' WHEN percent < 5 THEN 'moderate' ELSE 'significant' END AS band FROM s""")
+def pixel_diff_bands(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    pairs = e.withColumnRenamed("embedding", "x").join(e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("y")), "vec_id")
+    return image_diff.channel_diff(pairs, "vec_id", "x", "y", 0.3)
+
+
+@query()
+def report_sections(spark, sf_dir):
+    small = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+    return report.section_rows(small, "Nations", ["n_nationkey"])
+
+
+@query("SELECT o_orderkey, strftime(o_orderdate, '%-d %B %Y') AS long_date, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S.000Z') AS iso FROM orders")
+def report_dates(spark, sf_dir):
+    return table(spark, sf_dir, "orders").select("o_orderkey", text.long_date(F.col("o_orderdate")).alias("long_date"), text.iso_time(F.col("o_orderdate")).alias("iso"))
+
+
+@query("SELECT r_regionkey, '{\"r_regionkey\":' || r_regionkey || ',\"r_name\":\"' || r_name || '\"}' AS json FROM region")
+def json_records(spark, sf_dir):
+    from tallyrill.sources.tables import json_rows
+
+    regions = table(spark, sf_dir, "region").select("r_regionkey", "r_name")
+    return json_rows(regions).select(F.get_json_object("json", "$.r_regionkey").cast("int").alias("r_regionkey"), "json")
