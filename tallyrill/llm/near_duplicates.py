@@ -23,8 +23,10 @@ row.  Then links are verified from likely to unlikely, and what is already conne
 compared: first each class with the partner that shares most keys; then the other pairs that
 are still apart; last, in keys whose classes are still apart, the pairs of distinct
 components, in blocks of at most ``CHUNK`` classes, after a bound on the one-bit parity
-sketches (whose Hamming distance is a lower bound, too) has removed nearly all.  Exact
-verification intersects the shingle sets.  Components need no more links than that.
+sketches (whose Hamming distance is a lower bound, too) has removed nearly all.  In that last
+part each class first brings its nearest few of other components, so that components grow
+as in a minimum spanning tree, and only then all that are still apart.  Exact verification
+intersects the shingle sets.  Components need no more links than that.
 
 Class ids, like shingles, are 64-bit hashes; that two of ``N`` sets collide has the odds
 ``N**2 / 2**65``.
@@ -209,8 +211,9 @@ def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     return joined.where(F.coalesce("_u", "u") != F.coalesce("_v", "v")).drop("_u", "_v")
 
 
-def _near(members: DataFrame, percent: int) -> DataFrame:
-    """``u, v``: pairs of different components within a group whose sizes and sketches allow a link."""
+def _near(members: DataFrame, percent: int, most: int | None) -> DataFrame:
+    """``u, v``: pairs of different components within a group whose sizes and sketches allow a link;
+    of each class only the ``most`` nearest by sketch, if that is given."""
 
     def run(batches):
         held: list[tuple] = []
@@ -219,48 +222,55 @@ def _near(members: DataFrame, percent: int) -> DataFrame:
         def pairs():
             part, c, root, n = (np.array([h[x] for h in held]) for x in range(4))
             sketch = np.stack([np.frombuffer(h[4], np.uint64) for h in held])
-            for i in range(len(c) - 1):
-                rest = slice(i + 1, None)
-                ok = (root[rest] != root[i]) & ((part[rest] != part[i]) | (group[1] == group[2])) & (np.minimum(n[rest], n[i]) * 100 >= np.maximum(n[rest], n[i]) * percent)
-                at = np.flatnonzero(ok) + i + 1
-                if len(at):
-                    apart = np.bitwise_count(sketch[at] ^ sketch[i]).sum(1)
-                    for k in at[apart <= (n[at] + n[i]) * (100 - percent) // (100 + percent)]:
-                        yield min(c[i], c[k]), max(c[i], c[k])
+            found = set()
+            for i in range(len(c)):
+                ok = (root != root[i]) & ((part != part[i]) | (group[1] == group[2])) & (np.minimum(n, n[i]) * 100 >= np.maximum(n, n[i]) * percent)
+                at = np.flatnonzero(ok)
+                apart = np.bitwise_count(sketch[at] ^ sketch[i]).sum(1)
+                near = apart <= (n[at] + n[i]) * (100 - percent) // (100 + percent)
+                at, apart = at[near], apart[near]
+                if most is not None:
+                    at = at[np.lexsort((c[at], apart))[:most]]
+                found.update((min(c[i], c[k]), max(c[i], c[k])) for k in at)
+            return found
+
+        def batch_of(out):
+            return pa.RecordBatch.from_arrays([pa.array([p[x] for p in out], pa.int64()) for x in (0, 1)], names=["u", "v"])
 
         for batch in batches:
-            out = []
             for key, i, j, part, c, root, n, sketch in zip(*(x.to_pylist() for x in batch.columns), strict=True):
                 if (key, i, j) != group:
-                    if len(held) > 1:
-                        out += pairs()
+                    if len(held) > 1 and (out := pairs()):
+                        yield batch_of(out)
                     held, group = [], (key, i, j)
                 held.append((part, c, root, n, sketch))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array([p[x] for p in out], pa.int64()) for x in (0, 1)], names=["u", "v"])
-        if len(held) > 1 and (out := [*pairs()]):
-            yield pa.RecordBatch.from_arrays([pa.array([p[x] for p in out], pa.int64()) for x in (0, 1)], names=["u", "v"])
+        if len(held) > 1 and (out := pairs()):
+            yield batch_of(out)
 
     return members.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "u long, v long").distinct()
 
 
-def _rest(stars: DataFrame, apart: DataFrame, roots: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs left to verify in the keys that hold a pair of ``apart``."""
-    mixed_keys = stars.join(apart.select(F.col("u").alias("a"), F.col("v").alias("x")), ["a", "x"], "left_semi").select("key").distinct()
-    members = stars.join(mixed_keys, "key", "left_semi").select("key", F.col("x").alias("c"))
-    members = members.join(roots.select(F.col("node").alias("c"), "root"), "c", "left").withColumn("root", F.coalesce("root", "c"))
+def _mixed_keys(stars: DataFrame, apart: DataFrame) -> DataFrame:
+    """``key, c``: the classes of the keys that hold a pair of ``apart``, but for each key's smallest, which all were compared with."""
+    keys = stars.join(apart.select(F.col("u").alias("a"), F.col("v").alias("x")), ["a", "x"], "left_semi").select("key").distinct()
+    return stars.join(keys, "key", "left_semi").select("key", F.col("x").alias("c"))
+
+
+def _rest(members: DataFrame, roots: DataFrame, sets: DataFrame, percent: int, most: int | None) -> DataFrame:
+    """Pairs within the keys of ``members`` that are left to verify."""
+    placed = members.join(roots.select(F.col("node").alias("c"), "root"), "c", "left").withColumn("root", F.coalesce("root", "c"))
     # keys with the same members are one group, and only groups of several components matter
     hashed = F.xxhash64("c").cast("decimal(38,0)")
-    groups = members.groupBy("key").agg(F.count("*").alias("m"), F.sum(hashed).alias("sum"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
+    groups = placed.groupBy("key").agg(F.count("*").alias("m"), F.sum(hashed).alias("sum"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
     groups = groups.groupBy("m", "sum").agg(F.min("key").alias("key"))
-    held = members.join(groups.select("key", "m"), "key")
+    held = placed.join(groups.select("key", "m"), "key")
     chunks = F.ceil(F.col("m") / CHUNK).cast("int")
     part = F.pmod(F.xxhash64("c"), chunks).cast("int")
     dealt = held.select("key", "c", "root", part.alias("part"), F.explode(F.sequence(F.lit(0), chunks - 1)).alias("other"))
     dealt = dealt.select("key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "c", "root")
     sketch = F.unhex(F.array_join(F.transform("sketch", lambda x: F.lpad(F.hex(x), 16, "0")), ""))
     full = dealt.join(sets.select("c", "n", sketch.alias("sketch")), "c")
-    return _near(full.select("key", "i", "j", "part", "c", "root", "n", "sketch"), percent)
+    return _near(full.select("key", "i", "j", "part", "c", "root", "n", "sketch"), percent, most)
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, percent: int = 85) -> tuple[DataFrame, DataFrame]:
@@ -284,10 +294,20 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
         roots = components(links)
     apart = written(_apart(pairs.select("u", "v"), roots), "apart")
     if not apart.isEmpty():
-        left = _rest(stars, apart, roots, sets, percent).join(pairs.select("u", "v"), ["u", "v"], "left_anti")
-        more = written(_links(left, sets, percent), "links")
-        if not more.isEmpty():
-            roots = components(links.union(more))
+        members, tested = written(_mixed_keys(stars, apart), "members"), [pairs.select("u", "v")]
+        ahead: list[int | None] = [1, 2, 4, 8, None]  # nearest first, so that components grow before the rest is listed
+        while ahead:
+            most = ahead.pop(0)
+            left = _rest(members, roots, sets, percent, most)
+            for t in tested:
+                left = left.join(t, ["u", "v"], "left_anti")
+            left = written(left, "left")
+            more = written(_links(left, sets, percent), "links")
+            tested.append(left)
+            if more.isEmpty():
+                ahead = ahead[-1:]
+            else:
+                roots = components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).union(more))
 
     by_class = sized.where("c is not null").groupBy("c").agg(F.min("doc_id").alias("doc_id"))
     named = by_class.join(roots.select(F.col("node").alias("c"), "root"), "c", "left").withColumn("root", F.coalesce("root", "c"))
