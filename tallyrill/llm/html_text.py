@@ -179,8 +179,8 @@ def _path(element: Element, known: dict[int, str]) -> str:
     return path
 
 
-def ratios(blocks: list[Block], texts: list[str]) -> tuple[list[str], dict[str, float]]:
-    """The path of each block, and each path's mean smoothed ratio."""
+def ratios(blocks: list[Block], texts: list[str]) -> tuple[list[str], dict[str, float], float]:
+    """The path of each block, each path's mean smoothed ratio, and the deviation of the smoothed ratios."""
     known: dict[int, str] = {}
     paths = [_path(b.element, known) for b in blocks]
     sums: dict[str, list[float]] = {}
@@ -194,7 +194,7 @@ def ratios(blocks: list[Block], texts: list[str]) -> tuple[list[str], dict[str,
     by: dict[str, list[float]] = {}
     for p, s in zip(paths, smooth, strict=True):
         by.setdefault(p, []).append(s)
-    return paths, {p: sum(v) / len(v) for p, v in by.items()} | {"": _deviation(smooth)}
+    return paths, {p: sum(v) / len(v) for p, v in by.items()}, _deviation(smooth)
 
 
 def _deviation(values: list[float]) -> float:
@@ -210,8 +210,8 @@ def main_text(page: str | None) -> str:
             texts.append(line)
     if not blocks:
         return ""
-    paths, mean = ratios(blocks, texts)
-    threshold = min(mean.pop(""), max(mean.values()) / 2)
+    paths, mean, deviation = ratios(blocks, texts)
+    threshold = min(deviation, max(mean.values()) / 2)
     chosen = {i for i, p in enumerate(paths) if mean[p] >= threshold and mean[p] > 0}
     if chosen:
         chains = []

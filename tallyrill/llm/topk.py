@@ -14,7 +14,7 @@ thresholds come from a bounded sample of candidates, whose exact scores can only
 
 Components become ``floor(scale * x)`` with x as a double.  While products stay below 2**53
 the arithmetic is exact in doubles; beyond, exact Python integers are used, and a score
-outside the range of a long is returned as the nearest long.
+outside the range of a long counts as the nearest long.
 
 Defined cases: a row takes no part if its id or vector is null, its vector is empty or holds a null or non-finite
 component; vectors of different lengths have no score with each other; a query never
@@ -89,7 +89,7 @@ class Searcher:
                 if len(at) > 4 * self.keep and scores.dtype != object:
                     cut = np.partition(scores[i, at], len(at) - self.keep)[len(at) - self.keep]
                     at = at[scores[i, at] >= cut]
-                found = [(-int(scores[i, j]), int(ids[cols[j]])) for j in at]
+                found = [(-_clip(int(scores[i, j])), int(ids[cols[j]])) for j in at]
                 self.best[row] = sorted(self.best[row] + found)[: self.keep]
                 if len(self.best[row]) == self.keep:
                     self.floor[row] = max(self.floor[row], float(-self.best[row][-1][0]))
@@ -158,7 +158,7 @@ def _search(spark, table: DataFrame, held, first, k: int, number: int) -> DataFr
                         tasks[d].add(ids[at[i : i + 2048]], x[i : i + 2048])
         for d, s in tasks.items():
             at, _, _, query_ids, own = shared.value[d]
-            rows = [(number, int(at[i]), query_ids[i], own[i], vec, _clip(-neg)) for i, best in enumerate(s.best) for neg, vec in best]
+            rows = [(number, int(at[i]), query_ids[i], own[i], vec, -neg) for i, best in enumerate(s.best) for neg, vec in best]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["block", "query", "query_id", "own", "vec_id", "score"])
 
