@@ -35,6 +35,8 @@ from tallyrill.llm.shared import pick, written
 
 LEVELS = (1, 4, 16)
 SAFE = float(1 << 53)
+#: No floor is above: scores from there on may be equal once they count as longs.
+HIGHEST = (1 - 1e-9) * 2.0**63
 
 
 def quantised(rows: DataFrame, id_col: str, vector_col: str, scale: float) -> DataFrame:
@@ -92,7 +94,7 @@ class Searcher:
                 found = [(-_clip(int(scores[i, j])), int(ids[cols[j]])) for j in at]
                 self.best[row] = sorted(self.best[row] + found)[: self.keep]
                 if len(self.best[row]) == self.keep:
-                    self.floor[row] = max(self.floor[row], float(-self.best[row][-1][0]))
+                    self.floor[row] = min(HIGHEST, max(self.floor[row], float(-self.best[row][-1][0])))
 
 
 def _matrix(column: pa.Array) -> dict[int, tuple[np.ndarray, np.ndarray]]:
@@ -143,7 +145,7 @@ def _search(spark, table: DataFrame, held, first, k: int, number: int) -> DataFr
         floor = np.full(len(at), -np.inf)
         if len(some) > k:  # with its own row among them, still k others
             floor = np.sort(_exact(q, np.stack(some)).astype(float), axis=1)[:, -(k + 1)] * 1.0
-            floor -= 1e-9 * np.abs(floor)
+            floor = np.minimum(floor - 1e-9 * np.abs(floor), HIGHEST)
         own = [_clip(int(_exact(x[None], x[None])[0, 0])) for x in q]
         by[d] = (np.array(at), q, floor, [int(held["vec_id"].iloc[i]) for i in at], own)
     shared = spark.sparkContext.broadcast(by)
