@@ -17,7 +17,7 @@ the arithmetic is exact in doubles; beyond, exact Python integers are used, and
 outside the range of a long counts as the nearest long.
 
 Defined cases: a row takes no part if its id or vector is null, its vector is empty or holds a null or non-finite
-component; vectors of different lengths have no score with each other; a query never
+component (or one whose scaled value is beyond a double); vectors of different lengths have no score with each other; a query never
 meets its own row, but does meet another row with its id; ties go to the smaller id; a
 query with fewer candidates than k returns them all, one without any returns no row.
 """
@@ -40,9 +40,9 @@ HIGHEST = (1 - 1e-9) * 2.0**63
 
 
 def quantised(rows: DataFrame, id_col: str, vector_col: str, scale: float) -> DataFrame:
-    v = F.transform("_v", lambda x: x.cast("double"))
-    fine = F.col("_v").isNotNull() & F.col("_id").isNotNull() & (F.size("_v") > 0) & F.forall("_v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    floors = F.transform(v, lambda x: F.floor(x * scale).cast("double")) if scale <= 1 << 20 else v
+    scaled = F.transform("_v", lambda x: x.cast("double") * scale)
+    fine = F.col("_v").isNotNull() & F.col("_id").isNotNull() & (F.size("_v") > 0) & F.forall("_v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double") * scale) < float("inf")))
+    floors = F.transform(scaled, lambda x: F.when(F.abs(x) < SAFE, F.floor(x).cast("double")).otherwise(x))  # doubles beyond are whole, and may be no longs
     return pick(rows, {"_id": id_col, "_v": vector_col}).where(fine).select(F.col("_id").cast("long").alias("vec_id"), floors.alias("v"))
 
 
