@@ -53,7 +53,8 @@ BLOCK = set("address article aside blockquote body caption center dd details dia
 CLOSES_P = BLOCK - set("body html td th tr tbody thead tfoot caption".split())
 OUTSIDE = set("head nav header footer aside form button menu dialog input label fieldset canvas audio video".split())
 ROLES = set("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
-MARKS = set("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar nav navbar navigation menu breadcrumb breadcrumbs footer masthead comment comments disqus reply replies cookie cookies consent gdpr notice alert popup modal overlay share sharing social related recommended newsletter subscribe subscription signup login widget toolbar pagination pager skip".split())
+MARKS = set("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar nav navbar navigation menu breadcrumb breadcrumbs footer masthead comment comments disqus reply replies cookie cookies consent gdpr notice alert popup modal overlay share sharing social related recommended newsletter subscribe subscription signup login widget toolbar pagination pager skip sidenav subnav topnav topbar rail copyright paywall teaser".split())
+OWN = set("article content entry post story main".split())
 HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
 SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 BARRIER = {"li": {"ul", "ol", "menu", "dir"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "option": {"select"}}
@@ -84,7 +85,8 @@ def _open(tag: str, rest: str, parent: Element | None) -> Element:
                 outside = True
             elif name in ("class", "id"):
                 names += value.split() if name == "class" else []
-                if tag not in ("html", "body") and any(w in MARKS for w in re.split(r"[\s_-]+", value)):
+                words = set(re.split(r"[\s_-]+", value))
+                if tag not in ("html", "body") and (words & MARKS or ("header" in words and not within and not words & OWN)):
                     outside = True
     if tag in OUTSIDE and not (tag == "header" and within):
         outside = True

@@ -291,15 +291,19 @@ def collected(model_rows: DataFrame, n: int = 1, s: int = 0) -> dict[tuple[str,
     """Shard ``s`` of ``n`` of a model: keys and values by part and order."""
     context = F.when(F.col("part").startswith("p"), F.shiftright("key", BITS)).otherwise(F.col("key"))
     got = (model_rows if n == 1 else model_rows.where((F.col("k") < 3) | (_shard(context, n) == s))).toArrow()
-    part, k = np.array(got.column("part").to_pylist(), object), got.column("k").to_numpy()
-    key, value = got.column("key").to_numpy(), got.column("value").to_numpy()
-    return {(p, o): (key[m], value[m]) for p, o in {*zip(part.tolist(), k.tolist(), strict=True)} for m in [(part == p) & (k == o)]}
+    if not got.num_rows:
+        return {}
+    part = got.column("part").combine_chunks().dictionary_encode()
+    names, at = part.dictionary.to_pylist(), part.indices.to_numpy(zero_copy_only=False)
+    k, key, value = (got.column(c).to_numpy() for c in ("k", "key", "value"))
+    masks = {(name, int(o)): (at == i) & (k == o) for i, name in enumerate(names) for o in np.unique(k)}
+    return {which: (key[m], value[m]) for which, m in masks.items() if m.any()}
 
 
 SUMS = T.StructType([T.StructField("n_tokens", T.LongType()), T.StructField("log_likelihood", T.ArrayType(T.DoubleType()))])
 
 
-def log_likelihoods(docs: DataFrame, models: list[DataFrame], letters: Alphabet, text_col: str = "text", keep: list[str] | None = None, lower: bool = False, order: int = ORDER, max_shard_rows: int = 8_000_000) -> DataFrame:
+def log_likelihoods(docs: DataFrame, models: list[DataFrame], letters: Alphabet, text_col: str = "text", keep: list[str] | None = None, lower: bool = False, order: int = ORDER, max_shard_rows: int = 3_000_000) -> DataFrame:
     """Rows of ``docs`` with ``n_tokens`` (characters) and ``log_likelihood``, natural, one for each model."""
     context = docs.sparkSession.sparkContext
     alpha, out = context.broadcast(letters), docs
