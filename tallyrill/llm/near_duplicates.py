@@ -45,7 +45,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyrill.llm.components import components
-from tallyrill.llm.shared import pick, utf8, written
+from tallyrill.llm.shared import pick, release, utf8, written
 from tallyrill.llm.shingles import identity, mixed, shingle_sets
 
 SKETCH_BITS, FILTER_BITS, CHUNK = 2048, 1 << 24, 1024
@@ -279,11 +279,13 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
     rows = rows.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("h"))
     sized = written(_sizes(rows, width), "sizes")
     stars = written(_stars(_keys(rows, width, percent)), "stars")
+    release(docs.sparkSession)
     pairs = written(stars.groupBy("a", "x").agg(F.count("*").alias("shared")).select(F.col("a").alias("u"), F.col("x").alias("v"), "shared"), "pairs")
     involved = pairs.select(F.col("u").alias("c")).union(pairs.select(F.col("v").alias("c"))).distinct()
     wanted = sized.where("c is not null").groupBy("c").agg(F.min("h").alias("h")).join(involved, "c", "left_semi")
     sets = _candidate_sets(rows, wanted, width)
 
+    release(docs.sparkSession)
     likely = pairs.groupBy("v").agg(F.max(F.struct("shared", "u")).alias("_b")).select(F.col("_b.u").alias("u"), "v")
     links = written(_links(likely, sets, percent), "links")
     roots = components(links)
@@ -309,6 +311,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
             else:
                 roots = components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).union(more))
 
+    release(docs.sparkSession)
     by_class = sized.where("c is not null").groupBy("c").agg(F.min("doc_id").alias("doc_id"))
     named = by_class.join(roots.select(F.col("node").alias("c"), "root"), "c", "left").withColumn("root", F.coalesce("root", "c"))
     named = written(named, "classes")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator, Mapping, Sequence
@@ -40,6 +41,13 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let go of what finished steps have left: Spark deletes shuffle files and broadcasts that
+    nothing refers to only when the driver collects its garbage, which a mostly idle driver rarely does."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def clear(spark: SparkSession) -> None:
     """Delete every table that this session has written with :func:`written`."""
     jvm = spark.sparkContext._jvm

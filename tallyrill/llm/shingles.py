@@ -8,16 +8,31 @@ prefix sums; a shingle's hash mixes its words' hashes in order.
 
 from __future__ import annotations
 
+import functools
+import hashlib
+
 import numpy as np
 
 PIECE = 1 << 21
+#: Texts from this size on go alone.
+LONG = PIECE // 2
 #: Whitespace becomes a space, A-Z become a-z.
 FOLD = bytes(c | 0x20 if 0x41 <= c <= 0x5A else 0x20 if 9 <= c <= 13 else c for c in range(256))
 _RNG = np.random.Generator(np.random.PCG64(20_240_229))
 _BYTE = _RNG.integers(0, 1 << 64, 256, np.uint64)
 _BASE, _MIX, _STEP = (int(x) | 1 for x in _RNG.integers(0, 1 << 63, 3, np.uint64))
-_POWERS = np.multiply.accumulate(np.concatenate([[1], np.full(PIECE + (1 << 16), _BASE)]).astype(np.uint64))
-_INVERSE = np.multiply.accumulate(np.concatenate([[1], np.full(PIECE + (1 << 16), pow(_BASE, -1, 1 << 64))]).astype(np.uint64))
+
+
+@functools.cache
+def _powers() -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse, made where they are needed first."""
+    size = PIECE + (1 << 16)
+    out = []
+    for x in (_BASE, pow(_BASE, -1, 1 << 64)):
+        each = np.full(size, x, np.uint64)
+        each[0] = 1
+        out.append(np.multiply.accumulate(each))
+    return out[0], out[1]
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -35,21 +50,32 @@ def _word_hashes(folded: bytes) -> tuple[np.ndarray, np.ndarray]:
     space = raw == 0x20
     start = np.flatnonzero(space[:-1] & ~space[1:]) + 1
     end = np.flatnonzero(~space[:-1] & space[1:]) + 1
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[raw] * _POWERS[: len(raw)], dtype=np.uint64)])
-    return mixed((sums[end] - sums[start]) * _INVERSE[start]), start
+    powers, inverse = _powers()
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[raw] * powers[: len(raw)], dtype=np.uint64)])
+    return mixed((sums[end] - sums[start]) * inverse[start]), start
 
 
 def _long_text(folded: bytes) -> np.ndarray:
-    """Word hashes of one text larger than a piece; words longer than a piece are hashed in parts."""
-    out, at = [], 0
-    while at < len(folded):
-        end = min(at + PIECE, len(folded))
-        if end < len(folded):
-            cut = folded.rfind(b" ", at, end)
-            end = cut if cut > at else end
-        out.append(_word_hashes(b" " + folded[at:end] + b" ")[0])
-        at = end
-    return np.concatenate(out)
+    """Word hashes of one large text, a piece at a time; a word of ``LONG`` bytes or more has a digest instead."""
+    out, held, size = [], [], 0
+
+    def flush():
+        nonlocal held, size
+        if held:
+            out.append(_word_hashes(b" " + b" ".join(held) + b" ")[0])
+        held, size = [], 0
+
+    for word in folded.split(b" "):
+        if len(word) >= LONG:
+            flush()
+            out.append(np.frombuffer(hashlib.blake2b(word, digest_size=8).digest(), np.uint64))
+        elif word:
+            if size + len(word) + 1 > LONG:
+                flush()
+            held.append(word)
+            size += len(word) + 1
+    flush()
+    return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
 def _sets(words: np.ndarray, bounds: list[tuple[int, int]], width: int) -> list[np.ndarray]:
@@ -88,7 +114,7 @@ def shingle_sets(texts: list[bytes | None], width: int = 4):
     folded: dict[int, bytes] = {}
     for i, text in enumerate(texts):
         line = (text or b"").translate(FOLD)
-        if len(line) > PIECE:
+        if len(line) >= LONG:
             yield from flush()
             group, size, folded = [], 0, {}
             words = _long_text(line)

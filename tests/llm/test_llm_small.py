@@ -238,6 +238,16 @@ def test_shingles_do_not_depend_on_grouping():
     assert [s.tolist() for _, s in shingle_sets(texts)] == alone and alone[0] == alone[4] and len(alone[5]) == 1
 
 
+def test_giant_words_and_long_texts(monkeypatch):
+    from tallyrill.llm import shingles
+
+    giant, plain = b"g" * (shingles.LONG + 5), b" ".join(b"w%d" % i for i in range(200_000))
+    texts = [giant, b"a b " + giant + b" c", plain + b" a b " + giant + b" c", plain, plain.replace(b" ", b"\t\n"), giant + b"h"]
+    got = [set(s.tolist()) for _, s in shingle_sets(texts, 2)]
+    assert got[1] <= got[2] and got[3] <= got[2] and len(got[0]) == 1 and got[0] != got[5] and got[3] == got[4] and len(got[3]) == 199_999
+    assert {len(s) for _, s in shingle_sets([plain[: shingles.LONG - 1], plain[: shingles.LONG]], 2)} == {len(plain[: shingles.LONG].split()) - 1}
+
+
 def test_components_of_a_long_path_and_a_star(spark):
     edges = [(i, i + 1) for i in range(200)] + [(1000, i) for i in range(1001, 1300)] + [(5, 5)]
     got = {r["node"]: r["root"] for r in components.components(spark.createDataFrame(edges, "u long, v long")).collect()}
