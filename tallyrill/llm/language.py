@@ -7,12 +7,11 @@ over its positions that hold a letter (ASCII letters and all bytes from 0x80).
 are read: each byte is in exactly one window.
 
 Training is backpropagation through time with Adam on the driver, from a bounded sample: for
-each language at most ``docs_per_language`` labelled documents, the first by hash of their
-texts' ids, and of each at most ``windows_per_doc`` windows, evenly spaced over the whole text.  At
+each language at most ``docs_per_language`` labelled documents, the first by hash of their ids, and of each at most ``windows_per_doc`` windows, evenly spaced over the whole text.  At
 most ``MAX_LANGUAGES`` languages are learned, the most frequent.
 
 Defined cases: ``und`` with score 0 where the text is null or has no letter, or where there was
-nothing to learn from; a null language is not learned from; ties go to the language that
+nothing to learn from; rows with a null language or id are not learned from; ties go to the language that
 comes first by code point; repeated rows are judged alike; an empty table gives no rows.
 """
 
@@ -22,10 +21,11 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallyrill.llm.samples import RANGE, first_by_hash
 from tallyrill.llm.shared import arrow_map, pick, utf8
 
 SPAN, MAX_LANGUAGES, ROWS = 64, 256, 4096
@@ -165,10 +165,10 @@ def has_letter(text: bytes) -> bool:
 def sampled_windows(docs: DataFrame, learn: Column, text_col: str, lang_col: str, id_col: str, docs_per_language: int, windows_per_doc: int) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Languages by code point, and the sample's windows with their language numbers."""
     chosen = docs.where(learn)
-    narrow = pick(chosen, {"_lang": lang_col, "_id": id_col}).where("_lang is not null").withColumn("_h", F.xxhash64("_id"))
-    narrow = narrow.withColumn("_r", F.row_number().over(Window.partitionBy("_lang").orderBy("_h"))).where(F.col("_r") <= docs_per_language)
-    limits = narrow.groupBy("_lang").agg(F.max("_h").alias("_limit"), F.count("*").alias("_n")).orderBy(F.desc("_n"), "_lang").limit(MAX_LANGUAGES).select("_lang", "_limit")
-    texts = pick(chosen, {"_lang": lang_col, "_id": id_col, "text": text_col}).join(F.broadcast(limits), "_lang").where(F.xxhash64("_id") <= F.col("_limit")).select("_lang", "text")
+    place = F.pmod(F.xxhash64("_id"), F.lit(RANGE))
+    narrow = pick(chosen, {"_lang": lang_col, "_id": id_col}).where("_lang is not null and _id is not null").select("_lang", place.alias("_h"))
+    limits = first_by_hash(narrow, "_lang", docs_per_language, MAX_LANGUAGES).groupBy("_lang").agg(F.max("_h").alias("_limit"))
+    texts = pick(chosen, {"_lang": lang_col, "_id": id_col, "text": text_col}).where("_id is not null").join(F.broadcast(limits), "_lang").where(place <= F.col("_limit")).select("_lang", "text")
 
     def run(batches):
         for batch in batches:

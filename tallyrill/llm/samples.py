@@ -2,24 +2,46 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyrill.llm.shared import pick
 
+#: Hashes are dealt over so many values.
+RANGE = 1 << 31
+
+
+def first_by_hash(rows: DataFrame, group: str, bounds: dict | int, most_groups: int = 256, hash_col: str = "_h") -> DataFrame:
+    """Of each group the first rows by ``hash_col`` (0 to ``RANGE``), at most its bound; with one bound, of the ``most_groups`` largest groups.
+
+    Groups are counted first, and each is cut to the part of the hash range that holds somewhat
+    more than its bound, so the ranking never sees more rows than that, however many there are.
+    """
+    sizes = rows.groupBy(group).agg(F.count("*").alias("n"))
+    if isinstance(bounds, dict):
+        sizes = sizes.where(F.col(group).isin(list(bounds)))
+    found = {r[group]: r["n"] for r in sizes.orderBy(F.desc("n"), group).limit(most_groups).collect()}
+    if not found:
+        return rows.limit(0)
+    bound = {g: bounds[g] if isinstance(bounds, dict) else bounds for g in found}
+    reach = {g: math.ceil(RANGE * min(1.0, (1.5 * bound[g] + 200) / n)) for g, n in found.items()}
+    lookup = lambda m: F.create_map(*(F.lit(x) for kv in m.items() for x in kv))[F.col(group)]
+    near = rows.where(F.col(hash_col) < lookup(reach))
+    place = F.row_number().over(Window.partitionBy(group).orderBy(hash_col))
+    return near.withColumn("_place", place).where(F.col("_place") <= lookup(bound)).drop("_place")
+
 
 def labelled(docs: DataFrame, labels: DataFrame, label: str, bounds: dict[int, int], id_col: str = "doc_id", text_col: str = "text", seed: str = "sample", docs_id_col: str | None = None) -> DataFrame:
     """``doc_id, text, label``: of each label value at most ``bounds[value]`` documents, the first by hash of their ids.
 
-    The ids are chosen from the narrow table of labels (each task keeps at most the bound before
-    any shuffle), so at most ``sum(bounds.values())`` of them are broadcast to the scan of the texts.
+    The ids are chosen from the narrow table of labels, so at most ``sum(bounds.values())`` of
+    them are broadcast to the scan of the texts.
     ``id_col`` names the id in both tables, unless ``docs_id_col`` names it in ``docs``.
     Null ids and labels are left out; an id with two labels counts for the larger.
     """
-    value = F.col("_label")
-    ids = pick(labels, {"_id": id_col, "_label": label}).where(F.col("_id").isNotNull() & value.isin(list(bounds))).groupBy("_id").agg(F.max("_label").alias("_label"))
-    order = Window.partitionBy("_label").orderBy(F.xxhash64(F.lit(seed), "_id"), "_id")
-    most = F.create_map(*(F.lit(x) for pair in bounds.items() for x in pair))
-    ids = ids.withColumn("_place", F.row_number().over(order)).where(F.col("_place") <= max(bounds.values())).where(F.col("_place") <= most[value]).select("_id", "_label")
+    ids = pick(labels, {"_id": id_col, "_label": label}).where(F.col("_id").isNotNull() & F.col("_label").isin(list(bounds))).groupBy("_id").agg(F.max("_label").alias("_label"))
+    ids = first_by_hash(ids.withColumn("_h", F.pmod(F.xxhash64(F.lit(seed), "_id"), F.lit(RANGE))), "_label", bounds).select("_id", "_label")
     texts = pick(docs, {"_id": docs_id_col or id_col, "text": text_col})
     return texts.join(F.broadcast(ids), "_id").select(F.col("_id").alias("doc_id"), "text", F.col("_label").alias("label"))
