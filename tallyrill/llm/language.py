@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyrill.llm.samples import RANGE, first_by_hash
-from tallyrill.llm.shared import arrow_map, pick, utf8
+from tallyrill.llm.shared import arrow_map, mapped, pick, utf8
 
 SPAN, MAX_LANGUAGES, ROWS = 64, 256, 4096
 #: ASCII letters and every byte of a longer UTF-8 sequence.
@@ -176,7 +176,7 @@ def sampled_windows(docs: DataFrame, learn: Column, text_col: str, lang_col: str
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.binary())], names=["lang", "w"])
 
-    got = texts.mapInArrow(run, "lang string, w binary").toArrow()
+    got = mapped(texts, run, "lang string, w binary").toArrow()
     pairs = sorted(zip(got.column("lang").to_pylist(), got.column("w").to_pylist(), strict=True))
     names = sorted({p[0] for p in pairs})
     number = {n: i for i, n in enumerate(names)}

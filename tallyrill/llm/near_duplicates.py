@@ -45,7 +45,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyrill.llm.components import components
-from tallyrill.llm.shared import pick, release, utf8, written
+from tallyrill.llm.shared import mapped, pick, release, utf8, written
 from tallyrill.llm.shingles import identity, mixed, shingle_sets
 
 SKETCH_BITS, FILTER_BITS, CHUNK = 2048, 1 << 24, 1024
@@ -121,7 +121,7 @@ def _sizes(rows: DataFrame, width: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(c, pa.int64())], names=["doc_id", "h", "n", "c"])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.select("doc_id", "h", "text").mapInArrow(run, f"doc_id {kind}, h long, n long, c long")
+    return mapped(rows.select("doc_id", "h", "text"), run, f"doc_id {kind}, h long, n long, c long")
 
 
 def _keys(rows: DataFrame, width: int, percent: int) -> DataFrame:
@@ -138,7 +138,7 @@ def _keys(rows: DataFrame, width: int, percent: int) -> DataFrame:
             if keys:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(classes))], names=["key", "c"])
 
-    return rows.select("text").mapInArrow(run, "key long, c long")
+    return mapped(rows.select("text"), run, "key long, c long")
 
 
 def _stars(keys: DataFrame) -> DataFrame:
@@ -160,7 +160,7 @@ def _stars(keys: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(x[out]) for x in (k, least, c)], names=["key", "a", "x"])
             key, first, last = k[-1], least[-1], c[-1]
 
-    return keys.repartition("key").sortWithinPartitions("key", "c").mapInArrow(run, "key long, a long, x long")
+    return mapped(keys.repartition("key").sortWithinPartitions("key", "c"), run, "key long, a long, x long")
 
 
 def _filter(hashes: DataFrame) -> np.ndarray:
@@ -186,7 +186,7 @@ def _candidate_sets(rows: DataFrame, wanted: DataFrame, width: int) -> DataFrame
                 lengths = np.cumsum([0] + [x[1] for x in out])
                 yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.list_(pa.int64())), pa.ListArray.from_arrays(pa.array(lengths, pa.int32()), pa.concat_arrays([x[3] for x in out]))], names=["c", "n", "sketch", "hashes"])
 
-    found = written(rows.select("h", "text").mapInArrow(run, "c long, n long, sketch array<long>, hashes array<long>"), "found")
+    found = written(mapped(rows.select("h", "text"), run, "c long, n long, sketch array<long>, hashes array<long>"), "found")
     return written(found.dropDuplicates(["c"]), "sets")
 
 
@@ -247,7 +247,7 @@ def _near(members: DataFrame, percent: int, most: int | None) -> DataFrame:
         if len(held) > 1 and (out := pairs()):
             yield batch_of(out)
 
-    return members.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "u long, v long").distinct()
+    return mapped(members.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j"), run, "u long, v long").distinct()
 
 
 def _mixed_keys(stars: DataFrame, apart: DataFrame) -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyrill.llm.shared import arrow_map, pick, written
+from tallyrill.llm.shared import arrow_map, mapped, pick, written
 
 BITS, VOCABULARY, ORDER = 7, 128, 5
 MASK = (1 << BITS) - 1
@@ -111,7 +111,7 @@ def alphabet(texts: DataFrame, text_col: str = "text", lower: bool = False) -> A
         at = np.nonzero(held)[0]
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(held[at], pa.int64())], names=["point", "n"])
 
-    counts = pick(texts, {"t": text_col}).mapInArrow(run, "point long, n long").groupBy("point").agg(F.sum("n").alias("n"))
+    counts = mapped(pick(texts, {"t": text_col}), run, "point long, n long").groupBy("point").agg(F.sum("n").alias("n"))
     return Alphabet([32] + [r["point"] for r in counts.where("point not in (9, 10, 11, 12, 13, 32, 133, 160)").orderBy(F.desc("n"), "point").limit(VOCABULARY - 3).collect()])
 
 
@@ -149,7 +149,7 @@ def count_ngrams(texts: DataFrame, letters: Alphabet, text_col: str = "text", fl
 
     plain = pick(texts, {"t": text_col} | ({"f": flag_col} if flag_col else {}))
     plain = plain if flag_col else plain.withColumn("f", F.lit(False))
-    return plain.mapInArrow(run, "key long, n long, flagged long").groupBy("key").agg(F.sum("n").alias("n"), F.sum("flagged").alias("flagged"))
+    return mapped(plain, run, "key long, n long, flagged long").groupBy("key").agg(F.sum("n").alias("n"), F.sum("flagged").alias("flagged"))
 
 
 # --- the model ----------------------------------------------------------------------------

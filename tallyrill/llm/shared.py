@@ -70,6 +70,16 @@ def pick(df: DataFrame, columns: Mapping[str, str], keep: Sequence[str] = ()) ->
     return renamed.select(*out, *(F.col(f"_p{names.index(c)}").alias(c) for c in keep))
 
 
+#: Bytes of an Arrow batch on its way to a Python worker; a batch holds one row at least.
+BATCH = 8 << 20
+
+
+def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType | str) -> DataFrame:
+    """``df.mapInArrow`` in batches bounded by bytes, so that long texts do not add up in a worker."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH))
+    return df.mapInArrow(run, schema)
+
+
 def arrow_map(
     df: DataFrame,
     make: Callable[[], Callable[[pa.RecordBatch], tuple[dict[str, pa.Array], pa.Array | None]]],
@@ -101,7 +111,7 @@ def arrow_map(
             yield out if mask is None else out.filter(mask)
 
     flat = T.StructType([T.StructField(f"c{i}", f.dataType, True) for i, f in enumerate(schema.fields)])
-    return plain.mapInArrow(run, flat).toDF(*names)
+    return mapped(plain, run, flat).toDF(*names)
 
 
 def utf8(column: pa.Array) -> list[bytes | None]:

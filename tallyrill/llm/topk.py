@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyrill.llm.shared import pick, written
+from tallyrill.llm.shared import mapped, pick, written
 
 LEVELS = (1, 4, 16)
 SAFE = float(1 << 53)
@@ -164,4 +164,4 @@ def _search(spark, table: DataFrame, held, first, k: int, number: int) -> DataFr
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["block", "query", "query_id", "own", "vec_id", "score"])
 
-    return table.mapInArrow(run, "block long, query long, query_id long, own long, vec_id long, score long")
+    return mapped(table, run, "block long, query long, query_id long, own long, vec_id long, score long")
