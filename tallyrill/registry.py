@@ -538,3 +538,24 @@ def json_records(spark, sf_dir):
 
     regions = table(spark, sf_dir, "region").select("r_regionkey", "r_name")
     return json_rows(regions).select(F.get_json_object("json", "$.r_regionkey").cast("int").alias("r_regionkey"), "json")
+
+
+@query(r"SELECT page_id, regexp_extract(url, '([^/]*)$', 1) AS base, regexp_replace(regexp_extract(url, '([^/]*)$', 1), '(.)\.[^.]*$', '\1') AS stem, 'p' || page_id AS first, 'p' || page_id || '<br>q' AS broken, CASE WHEN page_id % 2 = 0 THEN '(no title)' ELSE url END AS title, 'a > ' || page_id AS path FROM pages")
+def text_functions(spark, sf_dir):
+    k, lines = F.col("page_id").cast("string"), F.concat(F.lit("p"), F.col("page_id").cast("string"), F.lit("\nq"))
+    title = text.text_or(F.when(F.col("page_id") % 2 == 0, " \t").otherwise(F.col("url")), "(no title)")
+    return table(spark, sf_dir, "pages").select("page_id", text.base_name(F.col("url")).alias("base"), text.stem(F.col("url")).alias("stem"), text.first_line(lines).alias("first"), text.breaks(lines).alias("broken"), title.alias("title"), severity.target_path(F.array(F.lit("a"), k)).alias("path"))
+
+
+@query("SELECT page_id, CAST(i - 1 AS INTEGER) AS position, 'l' || i AS link, CASE WHEN i <= page_id % 4 THEN 's' || i ELSE '' END AS snippet FROM pages, unnest(range(1, 4)) AS u(i)")
+def zipped_hits(spark, sf_dir):
+    named = lambda p, n: F.transform(F.sequence(F.lit(1), n), lambda i: F.concat(F.lit(p), i.cast("string")))
+    n = (F.col("page_id") % 4).cast("int")
+    snippets = F.when(n > 0, named("s", n)).otherwise(F.array().cast("array<string>"))
+    pairs = web.zipped(named("l", F.lit(3)), snippets)
+    return table(spark, sf_dir, "pages").select("page_id", F.posexplode(pairs).alias("position", "z")).select("page_id", "position", "z.link", "z.snippet")
+
+
+@query()
+def uri_components(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", text.uri_component(F.col("url")).alias("encoded"))

@@ -6,6 +6,8 @@ import struct
 import zlib
 
 import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 
 
 def decode_png(data: bytes) -> np.ndarray:
@@ -63,3 +65,17 @@ def encode_png(pixels: np.ndarray) -> bytes:
     lines = b"".join(b"\0" + pixels[y].astype(np.uint8).tobytes() for y in range(height))
     chunk = lambda k, b: struct.pack(">I", len(b)) + k + b + struct.pack(">I", zlib.crc32(k + b))
     return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, 6, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(lines)) + chunk(b"IEND", b"")
+
+
+def read_png(spark: SparkSession, path: str) -> DataFrame:
+    """``path, width, height, pixels`` (RGBA bytes, row by row) of the PNG files of a folder."""
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for name, data in zip(batch["path"], batch["content"], strict=True):
+                px = decode_png(bytes(data))
+                rows.append((name, px.shape[1], px.shape[0], px.tobytes()))
+            yield pd.DataFrame(rows, columns=["path", "width", "height", "pixels"])
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.png").load(path).select("path", "content")
+    return files.mapInPandas(run, "path string, width int, height int, pixels binary")

@@ -170,6 +170,13 @@ def write_xlsx(df: DataFrame, path: str, sheet: str = "Data", styled: bool = Tru
             put("</sheetData></worksheet>")
 
 
+def write_brand_workbook(audit: DataFrame, path: str, country: str, auditor: str, date: str) -> None:
+    """The brand audit with a title, a subtitle, the header in row 4, and the status coloured."""
+    status = {"Verified Present": GOOD, "Manual Review": CHECK, "Misrepresentation": BAD}
+    above = [f"{country} Brand Existence Report", f"{auditor}, {date}", ""]
+    write_xlsx(audit, path, "Brand Audit", above=above, colours={"status": status})
+
+
 def _clean(v: object) -> str:
     return re.sub(r"[\x00-\x08\x0b\x0c\x0e-\x1f]", "", str(v))
 

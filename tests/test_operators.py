@@ -164,6 +164,19 @@ def test_workbook_round_trip(spark, tmp_path):
         tables.read_table(spark, path, sheet="nope").collect()
 
 
+def test_brand_workbook_and_png_folder(spark, tmp_path):
+    df = spark.createDataFrame([("A", "Manual Review"), ("B", "Verified Present")], "brand_name string, status string").coalesce(1)
+    path = str(tmp_path / "b.xlsx")
+    xlsx.write_brand_workbook(df, path, "CH", "me", "today")
+    with open(path, "rb") as f:
+        got = [*xlsx.sheet_rows(f.read())]
+    assert got[3] == ["brand_name", "status"] and got[4] == ["A", "Manual Review"] and got[0] == ["CH Brand Existence Report"]
+    (tmp_path / "p").mkdir()
+    (tmp_path / "p" / "x.png").write_bytes(images.encode_png(np.zeros((2, 3, 4), np.uint8)))
+    r = images.read_png(spark, str(tmp_path / "p")).first()
+    assert (r["width"], r["height"], len(r["pixels"])) == (3, 2, 24)
+
+
 def test_csv_records_and_missing_files(spark, tmp_path):
     p = tmp_path / "a.csv"
     p.write_text('x,y\n1,"a ""q""\nline"\nNA,-\n')
