@@ -18,19 +18,24 @@ def _chain(c: Column, rules: list[tuple[str, str]]) -> Column:
     return c
 
 
+# The patterns that make markdown, in order, and the entities decoded after them, in order.
+MARKDOWN = [
+    (SCRIPT, ""),
+    (STYLE, ""),
+    (r"(?i)<h1[^>]*>(.*?)</h1>", "\n# $1\n"),
+    (r"(?i)<h2[^>]*>(.*?)</h2>", "\n## $1\n"),
+    (r"(?i)<h3[^>]*>(.*?)</h3>", "\n### $1\n"),
+    (r"(?i)<p[^>]*>(.*?)</p>", "\n$1\n"),
+    (r"(?i)<li[^>]*>(.*?)</li>", "- $1\n"),
+    (r"<[^>]+>", ""),
+]
+ENTITIES = [("&nbsp;", " "), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"')]
+
+
 def html_to_markdown(html: Column) -> Column:
     """Headings 1 to 3, paragraphs and list items as lines; other tags go, five entities are decoded in order."""
-    body = _chain(html, [
-        (SCRIPT, ""),
-        (STYLE, ""),
-        (r"(?i)<h1[^>]*>(.*?)</h1>", "\n# $1\n"),
-        (r"(?i)<h2[^>]*>(.*?)</h2>", "\n## $1\n"),
-        (r"(?i)<h3[^>]*>(.*?)</h3>", "\n### $1\n"),
-        (r"(?i)<p[^>]*>(.*?)</p>", "\n$1\n"),
-        (r"(?i)<li[^>]*>(.*?)</li>", "- $1\n"),
-        (r"<[^>]+>", ""),
-    ])
-    for entity, to in (("&nbsp;", " "), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"')):
+    body = _chain(html, MARKDOWN)
+    for entity, to in ENTITIES:
         body = F.replace(body, F.lit(entity), F.lit(to))
     lines = F.filter(F.transform(F.split(body, "\n"), strip), lambda x: x != "")
     return F.array_join(lines, "\n\n")

@@ -9,8 +9,11 @@ from pyspark.sql import functions as F
 
 from tallyrill.sources.images import decode_png, encode_png
 
-#: The largest perceptual difference (white against black), squared and weighted.
+# Fixed values of the published perceptual measure: the largest difference, squared and weighted,
+# the weights of the three channels, and the channels' coefficients for red, green and blue.
 LARGEST = 35215.0
+WEIGHTS = (0.5053, 0.299, 0.1957)
+YIQ = ((0.29889531, 0.58662247, 0.11448223), (0.59597799, -0.27417610, -0.32180189), (0.21147017, -0.52261711, 0.31114694))
 
 
 def band(percent: Column) -> Column:
@@ -22,17 +25,15 @@ def percent(different: Column, total: Column) -> Column:
     return F.when(total > 0, F.round(different / total * 100, 2)).otherwise(F.lit(0.0))
 
 
-def _luma(px: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _channels(px: np.ndarray) -> np.ndarray:
+    """Brightness and colour channels of an image laid over white."""
     alpha = px[..., 3:4].astype(float) / 255
-    r, g, b = np.moveaxis(255 + (px[..., :3].astype(float) - 255) * alpha, -1, 0)
-    return 0.29889531 * r + 0.58662247 * g + 0.11448223 * b, 0.59597799 * r - 0.27417610 * g - 0.32180189 * b, 0.21147017 * r - 0.52261711 * g + 0.31114694 * b
+    return (255 + (px[..., :3].astype(float) - 255) * alpha) @ np.array(YIQ).T
 
 
 def differing(a: np.ndarray, b: np.ndarray, threshold: float = 0.1) -> np.ndarray:
     """Where two images of one size differ by more than the threshold, as booleans; smooth edges count."""
-    ya, ia, qa = _luma(a)
-    yb, ib, qb = _luma(b)
-    delta = 0.5053 * (ya - yb) ** 2 + 0.299 * (ia - ib) ** 2 + 0.1957 * (qa - qb) ** 2
+    delta = (_channels(a) - _channels(b)) ** 2 @ np.array(WEIGHTS)
     return delta > LARGEST * threshold * threshold
 
 
