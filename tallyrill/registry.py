@@ -71,7 +71,7 @@ KIND = r"CASE WHEN regexp_matches(v, 'Ã.|Â.|â€.|ï¿½|\?\?|\x{FFFD}') THEN
 # --- tables -------------------------------------------------------------------------------
 
 
-@query(f"WITH {DIRTY}, l AS ({_long(['c_custkey', *TEXTS])}) SELECT column_name, count(*) AS total_rows, count_if(v = '') AS blanks, count(DISTINCT v) AS distinct_values FROM l GROUP BY column_name")
+@query(f"WITH {DIRTY}, l AS ({_long(['c_custkey', *TEXTS])}) SELECT column_name, count(*) AS total_rows, count(*) FILTER (WHERE v = '') AS blanks, count(DISTINCT v) AS distinct_values FROM l GROUP BY column_name")
 def column_stats(spark, sf_dir):
     return tabular.column_stats(dirty_customer(spark, sf_dir))
 
@@ -131,7 +131,7 @@ def column_widths(spark, sf_dir):
 # --- audits -------------------------------------------------------------------------------
 
 
-@query(f"WITH {DIRTY}, l AS ({_long(['c_custkey', *TEXTS])}), n AS (SELECT column_name, count_if(trim(v) = '') AS empty_rows, count(*) AS total FROM l GROUP BY column_name) SELECT column_name, empty_rows, empty_rows / total * 100 AS empty_share, printf('%.1f%%', empty_rows / total * 100) AS empty_percentage FROM n WHERE empty_rows > 0")
+@query(f"WITH {DIRTY}, l AS ({_long(['c_custkey', *TEXTS])}), n AS (SELECT column_name, count(*) FILTER (WHERE trim(v) = '') AS empty_rows, count(*) AS total FROM l GROUP BY column_name) SELECT column_name, empty_rows, empty_rows / total * 100 AS empty_share, printf('%.1f%%', empty_rows / total * 100) AS empty_percentage FROM n WHERE empty_rows > 0")
 def blank_coverage(spark, sf_dir):
     return audit.blank_coverage(dirty_customer(spark, sf_dir))
 
@@ -328,7 +328,7 @@ def dns_verify_stub(spark, sf_dir):
     return domains.with_results(sites, "url", domains.resolved(domains.distinct_domains(sites, "url"), stub_resolver, 8)).select("page_id", "url", "domain", "is_valid", "message")
 
 
-@query(f"WITH {RESOLVED} SELECT count(*) AS tested, count_if(is_valid) AS valid, printf('%.1f%%', count_if(is_valid) / count(*) * 100) AS valid_percentage, count_if(NOT is_valid) AS failed FROM r")
+@query(f"WITH {RESOLVED} SELECT count(*) AS tested, count(*) FILTER (WHERE is_valid) AS valid, printf('%.1f%%', count(*) FILTER (WHERE is_valid) / count(*) * 100) AS valid_percentage, count(*) FILTER (WHERE NOT is_valid) AS failed FROM r")
 def domain_summary(spark, sf_dir):
     return domains.summary(domains.resolved(domains.distinct_domains(_sites(spark, sf_dir), "url"), stub_resolver, 8))
 
@@ -386,9 +386,9 @@ def html_text(spark, sf_dir):
     return web.page_text(table(spark, sf_dir, "pages"))
 
 
-@query(rf"WITH {RICH} SELECT page_id, {CLEAN('''regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)''')} AS title, list_transform(regexp_extract_all(html, '(?is)<h[1-3]\b[^>]*>.*?</h[1-3]>'), lambda x: {CLEAN('x')}) AS headings FROM rich")
+@query(rf"WITH {RICH} SELECT page_id, {CLEAN('''regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)''')} AS title, array_to_string(list_transform(regexp_extract_all(html, '(?is)<h[1-3]\b[^>]*>.*?</h[1-3]>'), lambda x: {CLEAN('x')}), chr(10)) AS headings FROM rich")
 def html_overview(spark, sf_dir):
-    return web.page_overview(_rich(spark, sf_dir))
+    return web.page_overview(_rich(spark, sf_dir)).withColumn("headings", F.array_join("headings", "\n"))
 
 
 def _jsonld(spark, sf_dir) -> DataFrame:
@@ -411,14 +411,14 @@ def jsonld_flatten(spark, sf_dir):
     return records.select("event_id", F.get_json_object("r", "$.k").cast("long").alias("k")).groupBy("event_id", "k").agg(F.count("*").alias("copies"))
 
 
-@query("WITH " + LINKS + ", c AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY position) AS r, CASE (page_id + position) % 10 WHEN 0 THEN 404 WHEN 1 THEN 0 ELSE 200 END AS status FROM links) SELECT page_id, count(*) AS total, count_if(r <= 4) AS checked, count_if(r <= 4 AND NOT (status > 0 AND status < 400)) AS broken FROM c GROUP BY page_id")
+@query("WITH " + LINKS + ", c AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY position) AS r, CASE (page_id + position) % 10 WHEN 0 THEN 404 WHEN 1 THEN 0 ELSE 200 END AS status FROM links) SELECT page_id, count(*) AS total, count(*) FILTER (WHERE r <= 4) AS checked, count(*) FILTER (WHERE r <= 4 AND NOT (status > 0 AND status < 400)) AS broken FROM c GROUP BY page_id")
 def link_status_summary(spark, sf_dir):
     n = (F.col("page_id") + F.col("position")) % 10
     links = web.page_links(table(spark, sf_dir, "pages")).withColumn("status", F.when(n == 0, 404).when(n == 1, 0).otherwise(200))
     return web.link_summary(links, "page_id", 4).drop("details")
 
 
-@query("SELECT page_id % 20 AS page, count(*) AS total, count_if(page_id % 3 = 0 AND page_id % 2 = 0) AS broken, count_if(page_id % 5 = 0) AS missing_alt FROM pages GROUP BY ALL")
+@query("SELECT page_id % 20 AS page, count(*) AS total, count(*) FILTER (WHERE page_id % 3 = 0 AND page_id % 2 = 0) AS broken, count(*) FILTER (WHERE page_id % 5 = 0) AS missing_alt FROM pages GROUP BY ALL")
 def image_summary(spark, sf_dir):
     k = F.col("page_id")
     images = table(spark, sf_dir, "pages").select((k % 20).alias("page"), F.col("url").alias("src"), F.when(k % 5 == 0, "").otherwise("shown").alias("alt"), F.when(k % 3 == 0, 0).otherwise(640).alias("natural_width"), (k % 2 == 0).alias("complete"))
@@ -485,16 +485,16 @@ def severity_icons(spark, sf_dir):
     return table(spark, sf_dir, "events").groupBy(severity.icon(impact).alias("icon")).agg(F.count("*").alias("n"))
 
 
-@query("SELECT count_if(event_type = 'view') AS passed, count_if(event_type = 'error') AS violations, count_if(event_type = 'click') AS incomplete FROM events")
+@query("SELECT count(*) FILTER (WHERE event_type = 'view') AS passed, count(*) FILTER (WHERE event_type = 'error') AS violations, count(*) FILTER (WHERE event_type = 'click') AS incomplete FROM events")
 def severity_summary(spark, sf_dir):
     outcome = F.when(F.col("event_type") == "view", "pass").when(F.col("event_type") == "error", "violation").when(F.col("event_type") == "click", "incomplete")
     return severity.summary(table(spark, sf_dir, "events").select(outcome.alias("outcome")))
 
 
-@query("WITH r AS (SELECT event_type AS rule, event_id, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS r, count(*) OVER (PARTITION BY event_type) AS affected FROM events) SELECT rule, affected, list(CAST(event_id AS VARCHAR) ORDER BY r) AS shown, '... and ' || (affected - 3) || ' more' AS more FROM r WHERE r <= 3 GROUP BY rule, affected")
+@query("WITH r AS (SELECT event_type AS rule, event_id, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS r, count(*) OVER (PARTITION BY event_type) AS affected FROM events) SELECT rule, affected, string_agg(CAST(event_id AS VARCHAR), '|' ORDER BY r) AS shown, '... and ' || (affected - 3) || ' more' AS more FROM r WHERE r <= 3 GROUP BY rule, affected")
 def top3_per_rule(spark, sf_dir):
     nodes = table(spark, sf_dir, "events").select(F.col("event_type").alias("rule"), "event_id", F.concat(F.col("event_id").cast("string"), F.lit("\nrest")).alias("text"))
-    return severity.first_nodes(nodes, "rule", "event_id", "text")
+    return severity.first_nodes(nodes, "rule", "event_id", "text").withColumn("shown", F.array_join("shown", "|"))
 
 
 @query("SELECT count(*) AS n FROM events WHERE event_type IN ('click', 'error')")
@@ -504,11 +504,11 @@ def tagged_rules(spark, sf_dir):
 
 
 @query("""WITH s AS (SELECT o_orderkey, CAST(o_orderkey % 7 + 1 AS INTEGER) AS a, CAST(o_orderkey % 11 AS INTEGER) AS b FROM orders)
-SELECT o_orderkey, list_transform(list_sort(list_distinct(list_filter(list_concat([a], range(a, b + 1)), lambda x: x >= 1 AND x <= 6))), lambda x: CAST(x - 1 AS INTEGER)) AS pages FROM s""")
+SELECT o_orderkey, array_to_string(list_transform(list_sort(list_distinct(list_filter(list_concat([a], range(a, b + 1)), lambda x: x >= 1 AND x <= 6))), lambda x: CAST(x - 1 AS VARCHAR)), ',') AS pages FROM s""")
 def page_ranges(spark, sf_dir):
     a, b = (F.col("o_orderkey") % 7 + 1).cast("string"), (F.col("o_orderkey") % 11).cast("string")
     spec = F.concat(a, F.lit(", "), a, F.lit("-"), b)
-    return table(spark, sf_dir, "orders").select("o_orderkey", text.page_ranges(spec, F.lit(6)).alias("pages"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.array_join(text.page_ranges(spec, F.lit(6)).cast("array<string>"), ",").alias("pages"))
 
 
 @query("""WITH p AS (SELECT a.vec_id, a.embedding AS x, b.embedding AS y FROM embeddings AS a JOIN embeddings AS b ON b.vec_id = a.vec_id + 1),
