@@ -38,6 +38,9 @@ def written(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{_session_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    heap = spark.sparkContext._jvm.java.lang.Runtime.getRuntime()
+    if heap.totalMemory() > heap.maxMemory() // 2:
+        release(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
