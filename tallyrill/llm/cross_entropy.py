@@ -30,10 +30,10 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     rows = pick(docs, {"doc_id": id_col, "text": text_col})
     chosen = pick(labels, {"_id": id_col, "_label": label_col}).where((F.col("_label") == target) & F.col("_id").isNotNull()).select("_id").distinct().withColumn("_flag", F.lit(True)).hint("merge")  # labels grow with the corpus
     flagged = rows.join(chosen, F.col("doc_id") == F.col("_id"), "left").select("text", F.coalesce("_flag", F.lit(False)).alias("flag"))
-    letters = ngram.alphabet(rows, "text")
+    letters = ngram.alphabet(rows, "text", order=order)
     counts = ngram.written(ngram.count_ngrams(flagged, letters, "text", "flag", order=order), "pair")
-    target_model = ngram.model(counts.where("flagged > 0").select("key", F.col("flagged").alias("n")), order)
-    background = ngram.model(counts.select("key", "n"), order)
+    target_model = ngram.model(counts.where("flagged > 0").select("key", F.col("flagged").alias("n")), order, bits=letters.bits)
+    background = ngram.model(counts.select("key", "n"), order, bits=letters.bits)
     got = ngram.log_likelihoods(rows, [target_model, background], letters, "text", ["doc_id"], order=order)
     loss = [F.when(F.col("n_tokens") > 0, -F.col("log_likelihood")[i] / F.col("n_tokens")) for i in (0, 1)]
     return got.select("doc_id", "n_tokens", loss[0].alias("target_loss"), loss[1].alias("background_loss"), (loss[0] - loss[1]).alias("difference"))

@@ -1,8 +1,13 @@
 """Interpolated modified Kneser-Ney models over characters, built by sharded count joins.
 
-A text becomes symbols: 0 is the boundary before it, 1 any character outside the vocabulary,
-and the ``VOCABULARY - 2`` most frequent characters have the rest; white space is one symbol.
-An n-gram is a long of ``BITS`` bits a symbol, the last symbol lowest.
+A text becomes symbols: 0 is the boundary before it, and every character of the texts that set
+the alphabet has its own; white space is one symbol.  The alphabet sets the width of a symbol, from
+``BITS`` to ``MOST_BITS`` bits (less where the order is above 5).  Characters that the alphabet
+lacks (not among the texts that set it, or beyond the 4,030 most frequent that ``MOST_BITS`` holds)
+are spelled: the escape 1, then three digits of 6 bits, high to low (code points from 2 ** 18 on: two
+escapes, four digits).  So no two characters are one, and the escape's probability is divided
+among the characters it stands for by those of the digits.
+An n-gram is a long of the alphabet's ``bits`` a symbol, the last symbol lowest.
 
 Building is distributed: tasks count their own n-grams, the counts are summed by key, lower
 orders count distinct left neighbours, context totals are grouped by prefix, and each
@@ -10,7 +15,7 @@ order's probabilities are joined with those of the next lower one by suffix.  Wh
 the cluster are three sums a model for the discounts.  The finished tables are measured;
 they go to the scoring tasks in shards of at most ``max_shard_rows`` n-grams, dealt by the
 two symbols before the last, so that a position finds all it needs in a single shard
-(orders below 3, at most 16,512 rows, are in each).  Beyond one shard the texts pass one
+(orders below 3, at most the square of the number of symbols met, are in each).  Beyond one shard the texts pass one
 shard after another in one chain of maps that carries the sums so far.
 
 A null or empty text has no symbols and a log-likelihood of 0.
@@ -29,8 +34,11 @@ from pyspark.sql import types as T
 
 from tallyrill.llm.shared import arrow_map, mapped, pick, written
 
-BITS, VOCABULARY, ORDER = 7, 128, 5
-MASK = (1 << BITS) - 1
+#: Least and most bits of a symbol, and the order: ``MOST_BITS * ORDER`` fit a long.
+BITS, MOST_BITS, ORDER = 7, 12, 5
+#: Symbols besides characters: boundary, escape, and the digits (the highest symbols).
+ESCAPE, DIGIT_BITS = 1, 6
+DIGITS = 1 << DIGIT_BITS
 #: Symbols handled at once, and distinct n-grams that a counting task holds before it emits them.
 PIECE, HELD = 1 << 20, 2_000_000
 
@@ -46,23 +54,50 @@ def fold(text: str | None, lower: bool) -> str:
     return "" if text is None else text.lower() if lower else text
 
 
+def room(bits: int) -> int:
+    """Characters that symbols of so many bits hold."""
+    return (1 << bits) - 2 - DIGITS
+
+
 class Alphabet:
     """Code points to symbols."""
 
-    def __init__(self, points: list[int]) -> None:
-        self.table = np.ones(0x110000, np.uint8)
-        for i, p in enumerate(points[: VOCABULARY - 2]):
+    def __init__(self, points: list[int], most_bits: int = MOST_BITS) -> None:
+        self.bits = min(most_bits, max(BITS, (len(points) + 1 + DIGITS).bit_length()))
+        self.table = np.zeros(0x110000, np.uint16)  # 0: to be spelled
+        for i, p in enumerate(points[: room(self.bits)]):
             self.table[p] = i + 2
         for space in (9, 10, 11, 12, 13, 0x85, 0xA0):
             self.table[space] = self.table[32]
 
     def __getstate__(self):
-        at = np.nonzero(self.table != 1)[0]
-        return at, self.table[at]
+        at = np.nonzero(self.table)[0]
+        return at, self.table[at], self.bits
 
     def __setstate__(self, state) -> None:
-        self.table = np.ones(0x110000, np.uint8)
+        self.table = np.zeros(0x110000, np.uint16)
         self.table[state[0]] = state[1]
+        self.bits = state[2]
+
+    def symbols(self, text: str) -> np.ndarray:
+        """One symbol for each known character, the spelling for each other."""
+        points = code_points(text)
+        ids = self.table[points]
+        rare = ids == 0
+        if not rare.any():
+            return ids
+        width = np.where(rare, np.where(points >> (3 * DIGIT_BITS), 6, 4), 1)
+        start = np.cumsum(width) - width
+        out = np.empty(int(width.sum()), np.uint16)
+        out[start[~rare]] = ids[~rare]
+        p, at, end, digit = points[rare], start[rare], (start + width)[rare], (1 << self.bits) - DIGITS
+        out[at] = ESCAPE
+        for k in range(3):
+            out[end - 1 - k] = digit + (p >> (DIGIT_BITS * k) & (DIGITS - 1))
+        far = end - at == 6
+        out[at[far] + 1] = ESCAPE
+        out[at[far] + 2] = digit + (p[far] >> (3 * DIGIT_BITS))
+        return out
 
     def keys(self, texts: list[str | None], lower: bool = False, order: int = ORDER) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """Per group of whole texts or pieces of a text: n-gram keys, document of each, symbols of each."""
@@ -70,24 +105,25 @@ class Alphabet:
         for i, raw in enumerate(texts):
             text = fold(raw, lower)
             for start in range(0, len(text), PIECE):
-                before = max(0, start - order + 1)
-                ids = self.table[code_points(text[before : start + PIECE])]
-                pad = np.zeros(order - 1 - (start - before), np.uint8)
-                parts.append(np.concatenate([pad, ids]))
-                owners.append((i, len(parts[-1]) - order + 1))
+                ids = self.symbols(text[start : start + PIECE])
+                before = self.symbols(text[max(0, start - order + 1) : start])
+                before = before[max(0, len(before) - order + 1) :]
+                pad = np.zeros(order - 1 - len(before), np.uint16)
+                parts.append(np.concatenate([pad, before, ids]))
+                owners.append((i, len(ids)))
                 total += len(ids)
                 if total >= PIECE:
-                    yield self._keys(parts, owners, order)
+                    yield self._keys(parts, owners, order, self.bits)
                     owners, parts, total = [], [], 0
         if parts:
-            yield self._keys(parts, owners, order)
+            yield self._keys(parts, owners, order, self.bits)
 
     @staticmethod
-    def _keys(parts: list[np.ndarray], owners: list[tuple[int, int]], order: int):
+    def _keys(parts: list[np.ndarray], owners: list[tuple[int, int]], order: int, bits: int):
         symbols = np.concatenate(parts)
         key = symbols[order - 1 :].astype(np.int64)
         for k in range(1, order):
-            key |= symbols[order - 1 - k : len(symbols) - k].astype(np.int64) << (BITS * k)
+            key |= symbols[order - 1 - k : len(symbols) - k].astype(np.int64) << (bits * k)
         ends = np.cumsum([n + order - 1 for _, n in owners])
         real = np.ones(len(key), bool)
         for k in range(1, order):  # positions whose window runs over into the next part
@@ -97,8 +133,8 @@ class Alphabet:
         return key[real], doc, symbols[order - 1 :][real]
 
 
-def alphabet(texts: DataFrame, text_col: str = "text", lower: bool = False) -> Alphabet:
-    """The most frequent characters of all texts, ties by code point; at most ``VOCABULARY - 2`` rows are collected."""
+def alphabet(texts: DataFrame, text_col: str = "text", lower: bool = False, order: int = ORDER) -> Alphabet:
+    """The characters of all texts, the most frequent first, ties by code point; at most ``room(MOST_BITS)`` rows are collected."""
 
     def run(batches):
         held = np.zeros(0x110000, np.int64)
@@ -112,7 +148,8 @@ def alphabet(texts: DataFrame, text_col: str = "text", lower: bool = False) -> A
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(held[at], pa.int64())], names=["point", "n"])
 
     counts = mapped(pick(texts, {"t": text_col}), run, "point long, n long").groupBy("point").agg(F.sum("n").alias("n"))
-    return Alphabet([32] + [r["point"] for r in counts.where("point not in (9, 10, 11, 12, 13, 32, 133, 160)").orderBy(F.desc("n"), "point").limit(VOCABULARY - 3).collect()])
+    most = max(BITS, min(MOST_BITS, 63 // order))
+    return Alphabet([32] + [r["point"] for r in counts.where("point not in (9, 10, 11, 12, 13, 32, 133, 160)").orderBy(F.desc("n"), "point").limit(room(most) - 1).collect()], most)
 
 
 # --- counts -------------------------------------------------------------------------------
@@ -168,32 +205,32 @@ def _by_count(n: Column, values: tuple[float, float, float]) -> Column:
     return F.when(n >= 3, values[2]).when(n == 2, values[1]).when(n == 1, values[0]).otherwise(0.0)
 
 
-def _level(counts: DataFrame, lower: DataFrame | None, k: int) -> tuple[DataFrame, DataFrame]:
+def _level(counts: DataFrame, lower: DataFrame | None, k: int, bits: int) -> tuple[DataFrame, DataFrame]:
     """Probabilities ``key, p`` of order ``k`` and back-off weights ``context, gamma``."""
     seen = counts.agg(*(F.count_if(F.col("n") == i) for i in (1, 2, 3, 4))).first()
     d = _discounts(*seen)
-    contexts = counts.groupBy(F.shiftright("key", BITS).alias("context")).agg(F.sum("n").alias("total"), F.sum(_by_count(F.col("n"), d)).alias("cut")).select("context", "total", (F.col("cut") / F.col("total")).alias("gamma"))
-    own = counts.withColumn("context", F.shiftright("key", BITS)).join(contexts, "context")
+    contexts = counts.groupBy(F.shiftright("key", bits).alias("context")).agg(F.sum("n").alias("total"), F.sum(_by_count(F.col("n"), d)).alias("cut")).select("context", "total", (F.col("cut") / F.col("total")).alias("gamma"))
+    own = counts.withColumn("context", F.shiftright("key", bits)).join(contexts, "context")
     kept = F.greatest(F.col("n") - _by_count(F.col("n"), d), F.lit(0.0)) / F.col("total")
     if lower is None:
-        return own.select("key", (kept + F.col("gamma") / VOCABULARY).alias("p")), contexts.select("context", "gamma")
-    suffix = F.col("key").bitwiseAND((1 << (BITS * (k - 1))) - 1).alias("_suffix")
+        return own.select("key", (kept + F.col("gamma") / (1 << bits)).alias("p")), contexts.select("context", "gamma")
+    suffix = F.col("key").bitwiseAND((1 << (bits * (k - 1))) - 1).alias("_suffix")
     joined = own.select("key", kept.alias("kept"), "gamma", suffix).join(lower.select(F.col("key").alias("_suffix"), F.col("p").alias("below")), "_suffix")
     return joined.select("key", (F.col("kept") + F.col("gamma") * F.col("below")).alias("p")), contexts.select("context", "gamma")
 
 
-def _orders(counts: DataFrame, order: int) -> dict[int, DataFrame]:
+def _orders(counts: DataFrame, order: int, bits: int) -> dict[int, DataFrame]:
     """``key, n`` by order: counts in the highest, distinct left neighbours in the others."""
     levels = {order: counts}
     for k in range(order - 1, 0, -1):
-        suffix = F.col("key").bitwiseAND((1 << (BITS * k)) - 1).alias("key")
+        suffix = F.col("key").bitwiseAND((1 << (bits * k)) - 1).alias("key")
         levels[k] = written(levels[k + 1].groupBy(suffix).agg(F.count("*").alias("n")), "counts")
     return levels
 
 
-def model(counts: DataFrame, order: int = ORDER, classes: dict[str, Column] | None = None, shared: int = 2) -> DataFrame:
+def model(counts: DataFrame, order: int = ORDER, classes: dict[str, Column] | None = None, shared: int = 2, bits: int = BITS) -> DataFrame:
     """Rows ``part, k, key, value``: log probabilities of n-grams (part ``p``) and log back-off
-    weights of contexts (part ``g``), for orders 1 to ``order``.
+    weights of contexts (part ``g``), for orders 1 to ``order``; ``bits``: of the alphabet that made the keys.
 
     With ``classes`` (name to a count column), orders above ``shared`` are made for each class from its
     own counts, as parts ``p_name`` and ``g_name``; orders up to ``shared`` count all classes together.
@@ -203,18 +240,18 @@ def model(counts: DataFrame, order: int = ORDER, classes: dict[str, Column] | No
 
     def chain(levels: dict[int, DataFrame], orders: range, p: DataFrame | None, name: str) -> DataFrame | None:
         for k in orders:
-            p, gamma = _level(levels[k].select("key", "n"), p, k)
+            p, gamma = _level(levels[k].select("key", "n"), p, k, bits)
             p = written(p, "level")
             parts.extend([_rows(p, f"p{name}", k, "key", "p"), _rows(gamma, f"g{name}", k, "context", "gamma")])
         return p
 
     if not classes:
-        chain(_orders(counts, order), range(1, order + 1), None, "")
+        chain(_orders(counts, order, bits), range(1, order + 1), None, "")
     else:
-        below = chain(_orders(counts, order), range(1, shared + 1), None, "")
+        below = chain(_orders(counts, order, bits), range(1, shared + 1), None, "")
         for name in classes:
             own = counts.select("key", F.col(f"n_{name}").alias("n")).where("n > 0")
-            chain(_orders(own, order), range(shared + 1, order + 1), below, f"_{name}")
+            chain(_orders(own, order, bits), range(shared + 1, order + 1), below, f"_{name}")
     return written(reduce(DataFrame.union, parts), "model")
 
 
@@ -261,8 +298,8 @@ class Table:
 class Scorer:
     """Log probabilities of positions under one model (``name``: a class, or none)."""
 
-    def __init__(self, rows: dict[tuple[str, int], tuple[np.ndarray, np.ndarray]], order: int = ORDER, name: str = "") -> None:
-        self.order = order
+    def __init__(self, rows: dict[tuple[str, int], tuple[np.ndarray, np.ndarray]], order: int = ORDER, name: str = "", bits: int = BITS) -> None:
+        self.order, self.bits = order, bits
         nothing = (np.zeros(0, np.int64), np.zeros(0, np.float32))
         own = lambda part, k: rows.get((f"{part}_{name}", k)) or rows.get((part, k), nothing)
         self.p = {k: Table(*own("p", k)) for k in range(1, order + 1)}
@@ -272,25 +309,25 @@ class Scorer:
         out = np.zeros(len(keys), np.float32)
         left = np.arange(len(keys))
         for k in range(self.order, 0, -1):
-            part = keys[left] & ((1 << (BITS * k)) - 1)
+            part = keys[left] & ((1 << (self.bits * k)) - 1)
             value, found = self.p[k].get(part)
             out[left] += value
             left, part = left[~found], part[~found]
             if not len(left):
                 return out
-            out[left] += self.g[k].get(part >> BITS)[0]
-        out[left] -= np.float32(np.log(VOCABULARY))
+            out[left] += self.g[k].get(part >> self.bits)[0]
+        out[left] -= np.float32(self.bits * np.log(2))
         return out
 
 
-def _shard(context: Column, shards: int) -> Column:
-    return F.pmod(F.shiftright(context.bitwiseAND((1 << (2 * BITS)) - 1) * 40503, 8), F.lit(shards))
+def _shard(context: Column, shards: int, bits: int) -> Column:
+    return F.pmod(F.shiftright(context.bitwiseAND((1 << (2 * bits)) - 1) * 40503, 8), F.lit(shards))
 
 
-def collected(model_rows: DataFrame, n: int = 1, s: int = 0) -> dict[tuple[str, int], tuple[np.ndarray, np.ndarray]]:
+def collected(model_rows: DataFrame, n: int = 1, s: int = 0, bits: int = BITS) -> dict[tuple[str, int], tuple[np.ndarray, np.ndarray]]:
     """Shard ``s`` of ``n`` of a model: keys and values by part and order."""
-    context = F.when(F.col("part").startswith("p"), F.shiftright("key", BITS)).otherwise(F.col("key"))
-    got = (model_rows if n == 1 else model_rows.where((F.col("k") < 3) | (_shard(context, n) == s))).toArrow()
+    context = F.when(F.col("part").startswith("p"), F.shiftright("key", bits)).otherwise(F.col("key"))
+    got = (model_rows if n == 1 else model_rows.where((F.col("k") < 3) | (_shard(context, n, bits) == s))).toArrow()
     if not got.num_rows:
         return {}
     part = got.column("part").combine_chunks().dictionary_encode()
@@ -309,7 +346,7 @@ def log_likelihoods(docs: DataFrame, models: list[DataFrame], letters: Alphabet,
     alpha, out = context.broadcast(letters), docs
     n = max(1, -(-sum(m.count() for m in models) // max_shard_rows))
     for s in range(n):
-        tables = context.broadcast([collected(m, n, s) for m in models])
+        tables = context.broadcast([collected(m, n, s, letters.bits) for m in models])
         names = None if keep is None else [*keep, *([] if s == n - 1 else [text_col])]
         inputs = {"text": text_col} | ({"so_far": "log_likelihood"} if s else {})
         out = arrow_map(out, lambda t=tables, s=s: _sums(alpha, t, n, s, lower, order), inputs, SUMS, names)
@@ -317,14 +354,15 @@ def log_likelihoods(docs: DataFrame, models: list[DataFrame], letters: Alphabet,
 
 
 def _sums(alpha, tables, n: int, s: int, lower: bool, order: int):
-    scorers = [Scorer(rows, order) for rows in tables.value]
+    bits = alpha.value.bits
+    scorers = [Scorer(rows, order, bits=bits) for rows in tables.value]
 
     def step(batch: pa.RecordBatch):
         texts = batch.column("text").to_pylist()
         sums = np.array(batch.column("so_far").to_pylist(), float).reshape(len(texts), len(scorers)) if s else np.zeros((len(texts), len(scorers)))
         for keys, doc, _ in alpha.value.keys(texts, lower, order):
             if n > 1:
-                mine = ((((keys >> BITS) & ((1 << (2 * BITS)) - 1)) * 40503) >> 8) % n == s
+                mine = ((((keys >> bits) & ((1 << (2 * bits)) - 1)) * 40503) >> 8) % n == s
                 keys, doc = keys[mine], doc[mine]
             for i, scorer in enumerate(scorers):
                 sums[:, i] += np.bincount(doc, scorer.log_p(keys), len(texts))

@@ -46,7 +46,7 @@ def _strongest(best: np.ndarray, owner: np.ndarray, value: np.ndarray) -> np.nda
 
 
 def _features(letters, tables):
-    toxic, ordinary = (ngram.Scorer(tables.value, name=n) for n in ("toxic", "ordinary"))
+    toxic, ordinary = (ngram.Scorer(tables.value, name=n, bits=letters.value.bits) for n in ("toxic", "ordinary"))
 
     def step(batch: pa.RecordBatch):
         texts = batch.column("text").to_pylist()
@@ -99,7 +99,7 @@ class Detector:
         context = docs.sparkSession.sparkContext
         letters = ngram.alphabet(modelled, lower=True)
         counts = ngram.count_ngrams(modelled, letters, "text", "flag", lower=True)
-        tables = ngram.collected(ngram.model(counts, classes={"toxic": F.col("flagged"), "ordinary": F.col("n") - F.col("flagged")}))
+        tables = ngram.collected(ngram.model(counts, classes={"toxic": F.col("flagged"), "ordinary": F.col("n") - F.col("flagged")}, bits=letters.bits))
         self.letters, self.tables = context.broadcast(letters), context.broadcast(tables)
         rest = self.ratios(sample.where(~fit), "text", ["label"]).toPandas()
         y = rest["label"].to_numpy(float)
