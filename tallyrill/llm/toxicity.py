@@ -51,12 +51,12 @@ def _features(letters, tables):
     def step(batch: pa.RecordBatch):
         texts = batch.column("text").to_pylist()
         n = len(texts)
-        total, length, words, marked = (np.zeros(n) for _ in range(4))
+        total, words, marked = (np.zeros(n) for _ in range(3))
+        length = np.array([len(ngram.fold(t, True)) for t in texts])
         best = np.zeros((n, TOP))
         for keys, doc, symbols in letters.value.keys(texts, lower=True):
             ratio = (toxic.log_p(keys) - ordinary.log_p(keys)).astype(float)
             total += np.bincount(doc, ratio, n)
-            length += np.bincount(doc, minlength=n)
             first = np.ones(len(keys), bool)
             first[1:] = (symbols[:-1] == SPACE) | (doc[1:] != doc[:-1])
             start = np.nonzero(first)[0]

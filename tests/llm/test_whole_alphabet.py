@@ -7,7 +7,7 @@ from test_llm_small import docs
 from tallyrill.llm import cross_entropy, ngram
 
 #: More characters than 7 bits hold, each more frequent than any other character.
-HOT = "".join(chr(0x100 + i) for i in range(200)) * 400
+HOT = "".join(chr(0x1100 + i) for i in range(200)) * 400
 
 
 def test_spelled_characters_stay_apart():
