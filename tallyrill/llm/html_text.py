@@ -13,7 +13,9 @@ blocks counts as content too, unless that element is the body itself.
 Elements that are no article by what they say they are take no part in any of this: menus,
 headers, footers, sidebars, notices, adverts, forms and comments by their tag, role, class or
 id, and what is hidden.  Scripts, styles and markup are never text.  A header within an
-article keeps its headings.
+article keeps its headings.  Such a mark does not count where it stands on most of the article: on an
+element, or on all elements of a class together, that hold more than half of the text outside links of
+the page's article or main element (of the page, if there is none with a twentieth of its text).
 
 Character references are decoded, white space within a block (line breaks and no-break
 spaces too) becomes one space, blocks are joined in page order by a newline.
@@ -61,10 +63,12 @@ BARRIER = {"li": {"ul", "ol", "menu", "dir"}, "dt": {"dl"}, "dd": {"dl"}, "tr":
 
 
 class Element:
-    __slots__ = ("label", "outside", "parent", "tag", "within")
+    __slots__ = ("classes", "hidden", "label", "marked", "outside", "parent", "tag", "weight", "within")
 
-    def __init__(self, tag: str, label: str, parent: Element | None, outside: bool, within: bool) -> None:
-        self.tag, self.label, self.parent, self.outside, self.within = tag, label, parent, outside, within
+    def __init__(self, tag: str, label: str, parent: Element | None, hidden: bool, within: bool, marked: bool = False, classes: tuple[str, ...] = ()) -> None:
+        self.tag, self.label, self.parent, self.hidden, self.within = tag, label, parent, hidden, within
+        self.marked, self.classes = marked, classes  # by tag, role or id; the classes that say so
+        self.outside, self.weight = False, 0  # known once the page is read
 
 
 class Block:
@@ -74,36 +78,116 @@ class Block:
         self.element, self.parts, self.linked = element, [], 0
 
 
-def _open(tag: str, rest: str, parent: Element | None) -> Element:
-    outside = parent is not None and parent.outside
-    within = parent is not None and (parent.within or parent.tag in ("article", "main"))
+def _says(value: str, within: bool) -> bool:
+    words = set(re.split(r"[\s_-]+", value))
+    return bool(words & MARKS) or ("header" in words and not within)
+
+
+def _open(tag: str, rest: str, parent: Element) -> Element:
+    hidden, marked = parent.hidden or tag == "head", False
+    within = parent.within or parent.tag in ("article", "main")
     names: list[str] = []
+    ids: list[str] = []
+    role = ""
     if rest and not rest.isspace():
         for m in ATTRIBUTE.finditer(rest):
             name, value = (m[1] or "hidden").lower(), (m[2] or m[3] or m[4] or "").lower()
-            if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value)) or (name == "role" and value in ROLES):
-                outside = True
-            elif name in ("class", "id"):
-                names += value.split() if name == "class" else []
-                words = set(re.split(r"[\s_-]+", value))
-                if tag not in ("html", "body") and (words & MARKS or ("header" in words and not within and not words & OWN)):
-                    outside = True
-    if tag in OUTSIDE and not (tag == "header" and within):
-        outside = True
-    if within and tag in HEADINGS and parent.tag == "header" and not parent.parent.outside:
-        outside = False
-    return Element(tag, ".".join([tag, *sorted(names)]), parent, outside, within)
+            if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value)):
+                hidden = True
+            elif name == "role":
+                role = value
+            elif name == "class":
+                names += value.split()
+            elif name == "id":
+                ids.append(value)
+    classes: tuple[str, ...] = ()
+    if tag not in ("html", "body"):
+        own = lambda values: within or any(set(re.split(r"[\s_-]+", v)) & OWN for v in values)
+        if names:
+            at_home = own(names)
+            classes = tuple(dict.fromkeys(n for n in names if _says(n, at_home)))
+        marked = any(_says(v, own([v])) for v in ids)
+    marked = marked or role in ROLES or (tag in OUTSIDE and not (tag == "header" and within))
+    return Element(tag, ".".join([tag, *sorted(names)]), parent, hidden, within, marked, classes)
+
+
+def _judge(elements: list[Element]) -> None:
+    """Sets ``outside`` of all elements, parents first; ``weight`` holds each one's own text outside links."""
+    for e in reversed(elements[1:]):
+        e.parent.weight += e.weight
+    scope = _scope(elements)
+    around: set[int] = set()
+    e = scope
+    while e is not None:
+        around.add(id(e))
+        e = e.parent
+    inside: dict[int, bool] = {}
+    chain: dict[int, frozenset[str]] = {id(elements[0]): frozenset()}
+    by_class: dict[str, int] = {}
+    for e in elements:
+        inside[id(e)] = e is scope or (e.parent is not None and inside[id(e.parent)])
+        if e.parent is None:
+            continue
+        above = chain[id(e.parent)]
+        for c in e.classes:
+            if c not in above:
+                by_class[c] = by_class.get(c, 0) + _share(e, scope, inside, around)
+        chain[id(e)] = above | frozenset(e.classes) if e.classes else above
+    void = {c for c, w in by_class.items() if 2 * w > scope.weight}
+    for e in elements[1:]:
+        much = (e.marked or bool(e.classes)) and 2 * _share(e, scope, inside, around) > scope.weight
+        e.outside = e.parent.outside or e.hidden or (not much and (e.marked or any(_counts(c, void, e.within) for c in e.classes)))
+        if e.within and e.tag in HEADINGS and e.parent.tag == "header" and not e.parent.parent.outside:
+            e.outside = e.hidden
+
+
+def _share(e: Element, scope: Element, inside: dict[int, bool], around: set[int]) -> int:
+    """The text of the scope that the element holds."""
+    return e.weight if inside[id(e)] else scope.weight if id(e) in around else 0
+
+
+def _counts(name: str, void: set[str], within: bool) -> bool:
+    """Whether a marked class counts: not if it stands on most of the article, nor by what it has from such a class."""
+    for v in void:
+        if name == v:
+            return False
+        if name.startswith((v + "-", v + "_")):
+            name = name[len(v) + 1 :]
+            return _says(name, within)
+    return True
+
+
+def _scope(elements: list[Element]) -> Element:
+    """The page's article or main element: that with most text, halved for each marked element on its way; else the page."""
+    marks: dict[int, int] = {}
+    home: dict[int, Element | None] = {}  # the nearest such element around, or itself
+    within: dict[int, list[Element]] = {}
+    best, most = elements[0], 0.0
+    for e in elements:
+        marks[id(e)] = (marks[id(e.parent)] if e.parent is not None else 0) + bool(e.marked or e.classes)
+        home[id(e)] = outer = home[id(e.parent)] if e.parent is not None else None
+        if e.tag in ("article", "main") and not e.hidden and 20 * e.weight > elements[0].weight:
+            home[id(e)] = e
+            if outer is not None and marks[id(e)] == marks[id(outer)]:
+                within.setdefault(id(outer), []).append(e)
+            score = e.weight * 0.5 ** min(marks[id(e)], 60)
+            if score > most:
+                best, most = e, score
+    while len(within.get(id(best), ())) == 1:  # an article alone in it, with no further mark, is meant
+        best = within[id(best)][0]
+    return best
 
 
 def blocks_of(page: str) -> list[Block]:
     """The page's blocks with text, in page order."""
     out: list[Block] = []
     top = Element("#root", "#root", None, False, False)
+    elements = [top]
     now, block, links = top, None, 0
 
     def text(raw: str) -> None:
         nonlocal block
-        if now.outside or not raw:
+        if now.hidden or not raw:
             return
         if block is None:
             home = now
@@ -114,9 +198,9 @@ def blocks_of(page: str) -> list[Block]:
             block = Block(home)
             out.append(block)
         decoded = entities.unescape(raw)
-        block.parts.append(decoded)
-        if links:
-            block.linked += len(decoded)
+        block.parts.append((now, decoded, links > 0))
+        if not links:
+            now.weight += len(decoded) - decoded.count(" ")
 
     def leave(to: Element) -> None:
         nonlocal now, block, links
@@ -145,7 +229,7 @@ def blocks_of(page: str) -> list[Block]:
         if tag in BLOCK:
             block = None
         if tag == "br" and block is not None:
-            block.parts.append(" ")
+            block.parts.append((now, " ", False))
         if tag in VOID:
             continue
         if tag in CLOSES_P or tag in SAME:
@@ -161,12 +245,17 @@ def blocks_of(page: str) -> list[Block]:
                 leave(last.parent)
         rest = m["rest"] if m["tag"] else m["rest2"]
         now = _open(tag, rest, now)
+        elements.append(now)
         if tag == "a":
             links += 1
         if rest.endswith("/") and tag not in BLOCK:
             leave(now.parent)
     text(page[at:])
-    return out
+    _judge(elements)
+    for b in out:
+        b.linked = sum(len(t) for e, t, linked in b.parts if linked and not e.outside)
+        b.parts = [t for e, t, _ in b.parts if not e.outside]
+    return [b for b in out if b.parts]
 
 
 def _path(element: Element, known: dict[int, str]) -> str:
