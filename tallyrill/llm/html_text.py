@@ -8,7 +8,10 @@ the path's ratio.  The ratios are smoothed along the page with a small Gaussian
 paths whose mean smoothed ratio reaches the threshold (the deviation over the page, at most
 half of the largest) are content.  Short blocks of an article (headings, list items) have low
 ratios on their own, so every block within the smallest element that holds all content
-blocks counts as content too, unless that element is the body itself.
+blocks counts as content too.  Where that element is the body itself, the same holds for each element
+below it that has content blocks; what lies between two content blocks that stand in the body
+without a container, and headings, lists, tables and the like that follow on content blocks or lead
+to them there, are content unless they are links for the most part.
 
 Elements that are no article by what they say they are take no part in any of this: menus,
 headers, footers, sidebars, notices, adverts, forms and comments by their tag, role, class or
@@ -58,6 +61,7 @@ ROLES = set("navigation banner contentinfo complementary search form dialog aler
 MARKS = set("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar nav navbar navigation menu breadcrumb breadcrumbs footer masthead comment comments disqus reply replies cookie cookies consent gdpr notice alert popup modal overlay share sharing social related recommended newsletter subscribe subscription signup login widget toolbar pagination pager skip sidenav subnav topnav topbar rail copyright paywall teaser".split())
 OWN = set("article content entry post story main".split())
 HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
+FLOW = HEADINGS | set("p ul ol dl table pre blockquote figure details hr".split())
 SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 BARRIER = {"li": {"ul", "ol", "menu", "dir"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "option": {"select"}}
 
@@ -293,6 +297,85 @@ def _deviation(values: list[float]) -> float:
     return math.sqrt(sum((v - mean) ** 2 for v in values) / len(values))
 
 
+def _chain(element: Element) -> list[Element]:
+    """From the root to the element."""
+    chain = []
+    while element is not None:
+        chain.append(element)
+        element = element.parent
+    return chain[::-1]
+
+
+def _smallest(elements: list[Element]) -> Element:
+    """The smallest element around all; that of a paragraph is what the paragraph stands in."""
+    common = elements[0]
+    chain = _chain(common)
+    at = {id(e): d for d, e in enumerate(chain)}
+    depth, seen = len(chain) - 1, set()
+    for e in elements[1:]:
+        while id(e) not in at and id(e) not in seen:
+            seen.add(id(e))
+            e = e.parent
+        depth = min(depth, at.get(id(e), depth))
+    common = chain[depth]
+    return common.parent if common.tag == "p" and common.parent is not None else common
+
+
+def _recovered(blocks: list[Block], texts: list[str], chosen: set[int]) -> set[int]:
+    """Blocks below the threshold that belong to the article by where they stand."""
+
+    def held(by: Element, among: range | list[int]) -> set[int]:
+        known = {id(by): True}
+        for i in among:
+            way, e = [], blocks[i].element
+            while e is not None and id(e) not in known:
+                way.append(id(e))
+                e = e.parent
+            known.update(dict.fromkeys(way, e is not None and known[id(e)]))
+        return {i for i in among if known[id(blocks[i].element)]}
+
+    everything = range(len(blocks))
+    common = _smallest([blocks[i].element for i in sorted(chosen)])
+    if common.tag not in ("#root", "html", "body"):
+        return held(common, everything)
+    tops: dict[int, Element | None] = {id(common): None}  # the element below the common one, on the way to each
+
+    def top(e: Element) -> Element | None:
+        way = []
+        while e is not None and id(e) not in tops:
+            way.append(e)
+            e = e.parent
+        found = tops[id(e)] if e is not None else None
+        if way and (e is common or e is None):
+            found = way[-1]
+        tops.update((id(x), found) for x in way)
+        return found
+
+    at = [top(b.element) for b in blocks]
+    loose = [t is None or t.tag in FLOW for t in at]
+    plain = [2 * b.linked < len(t) for b, t in zip(blocks, texts, strict=True)]
+    found = set(chosen)
+    regions: dict[int, tuple[list[int], list[int]]] = {}
+    for i in everything:
+        if not loose[i]:
+            every, own = regions.setdefault(id(at[i]), ([], []))
+            every.append(i)
+            if i in chosen:
+                own.append(i)
+    for every, own in regions.values():
+        if own:
+            found |= held(_smallest([blocks[i].element for i in own]), every)
+    ends = [i for i in sorted(chosen) if loose[i]]
+    for a, b in zip(ends, ends[1:], strict=False):
+        found |= {i for i in range(a + 1, b) if plain[i]}
+    joins = [plain[i] and (loose[i] or blocks[i].element.tag in HEADINGS) for i in everything]
+    for order, back in ((everything, -1), (everything[::-1], 1)):
+        for i in order:
+            if joins[i] and i + back in found:
+                found.add(i)
+    return found
+
+
 def main_text(page: str | None) -> str:
     blocks, texts = [], []
     for b in blocks_of(page or ""):
@@ -305,27 +388,7 @@ def main_text(page: str | None) -> str:
     threshold = min(deviation, max(mean.values()) / 2)
     chosen = {i for i, p in enumerate(paths) if mean[p] >= threshold and mean[p] > 0}
     if chosen:
-        chains = []
-        for i in chosen:
-            chain, e = [], blocks[i].element
-            while e is not None:
-                chain.append(e)
-                e = e.parent
-            chains.append(chain[::-1])
-        common = None
-        for level in zip(*chains, strict=False):
-            if any(e is not level[0] for e in level):
-                break
-            common = level[0]
-        if common.tag == "p" and common.parent is not None:
-            common = common.parent
-        if common.tag not in ("#root", "html", "body"):
-            for i, b in enumerate(blocks):
-                e = b.element
-                while e is not None and e is not common:
-                    e = e.parent
-                if e is common:
-                    chosen.add(i)
+        chosen |= _recovered(blocks, texts, chosen)
     return "\n".join(t for i, t in enumerate(texts) if i in chosen)
 
 

@@ -23,3 +23,18 @@ def test_marked_containers_of_the_article(page):
 
 def test_articles_in_articles():
     assert html_text.main_text("<article>" * 3000 + P) == " ".join([LINE] * 6)
+
+
+ITEMS = "<ul>" + "<li>short</li>" * 10 + "</ul>"
+LINKS = '<div><a href="x">Link here</a> <a href="y">Link there</a></div>'
+
+
+@pytest.mark.parametrize("page", [
+    f"<h2>T</h2>{P * 10}{ITEMS}",
+    f"<h2>T</h2>{P * 5}{ITEMS}{P * 5}{LINKS}",
+    f"<section><h2>T</h2>{P * 4}</section><section>{P * 4}{ITEMS}</section>",
+    f"<div><h2>T</h2>{P * 4}{ITEMS}</div>{LINKS}<div><p>{LINE * 9}</p></div>",
+])
+def test_short_blocks_without_a_container_of_all(page):
+    got = html_text.main_text(f"<body>{page}</body>").split("\n")
+    assert got.count("short") == 10 and got[0] == "T" and not any("Link" in line for line in got)
