@@ -32,8 +32,11 @@ def stripe(position: Column) -> Column:
 
 
 def table_section(df: DataFrame, heading: str = "Data", most: int = 1000) -> dict:
-    """A result's first rows (in the order it has) as a table section."""
-    return {"heading": heading, "type": "table", "data": [r.asDict(recursive=True) for r in df.limit(most).collect()]}
+    """All rows of a result (in the order it has) as a table section; more than ``most`` raise, as the section is held on the driver."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"a table section holds {most} rows at most; write larger results with section_rows")
+    return {"heading": heading, "type": "table", "data": [r.asDict(recursive=True) for r in rows]}
 
 
 def build_sections(source: object = None, sections: list[dict] | None = None) -> list[dict]:
