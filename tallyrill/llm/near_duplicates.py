@@ -22,11 +22,11 @@ keys each key's classes are paired with its smallest class, in a stream that hol
 row.  Then links are verified from likely to unlikely, and what is already connected is not
 compared: first each class with the partner that shares most keys; then the other pairs that
 are still apart; last, in keys whose classes are still apart, the pairs of distinct
-components, in blocks of at most ``CHUNK`` classes, after a bound on the one-bit parity
-sketches (whose Hamming distance is a lower bound, too) has removed nearly all.  In that last
-part each class first brings its nearest few of other components, so that components grow
-as in a minimum spanning tree, and only then all that are still apart.  Exact verification
-intersects the shingle sets.  Components need no more links than that.
+components, in blocks of at most ``CHUNK`` classes.  In that last part each class first brings its
+nearest few of other components, so that components grow as in a minimum spanning tree, and only
+then all that are still apart.  Components need no more links than that.  Before shingle sets
+are sent anywhere, a bound on the one-bit parity sketches (whose Hamming distance is a lower
+bound, too) removes nearly all pairs that do not link; exact verification intersects the sets.
 
 Class ids, like shingles, are 64-bit hashes; that two of ``N`` sets collide has the odds
 ``N**2 / 2**65``.
@@ -45,7 +45,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyrill.llm.components import components
-from tallyrill.llm.shared import mapped, pick, release, utf8, written
+from tallyrill.llm.shared import discard, mapped, pick, utf8, written
 from tallyrill.llm.shingles import identity, mixed, shingle_sets
 
 SKETCH_BITS, FILTER_BITS, CHUNK = 2048, 1 << 24, 1024
@@ -186,10 +186,19 @@ def _candidate_sets(rows: DataFrame, wanted: DataFrame, width: int) -> DataFrame
                 lengths = np.cumsum([0] + [x[1] for x in out])
                 yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.list_(pa.int64())), pa.ListArray.from_arrays(pa.array(lengths, pa.int32()), pa.concat_arrays([x[3] for x in out]))], names=["c", "n", "sketch", "hashes"])
 
-    found = written(mapped(rows.select("h", "text"), run, "c long, n long, sketch array<long>, hashes array<long>"), "found")
+    found = mapped(rows.select("h", "text"), run, "c long, n long, sketch array<long>, hashes array<long>")
     return written(found.dropDuplicates(["c"]), "sets")
 
 
+def _possible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Those of the pairs whose sizes and parity sketches allow a link; no shingle set is read."""
+    named = lambda c: sets.select(F.col("c").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}"))
+    joined = pairs.select("u", "v").join(named("u"), "u").join(named("v"), "v")
+    joined = joined.where(F.least("nu", "nv") * 100 >= F.greatest("nu", "nv") * percent)
+    apart = F.aggregate(F.zip_with("su", "sv", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda t, x: t + x)
+    return joined.where(apart * (100 + percent) <= (F.col("nu") + F.col("nv")) * (100 - percent)).select("u", "v")
+
+
 def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs ``(u, v)`` of distinct classes that link, by exact intersection of their sets.
 
@@ -273,31 +282,36 @@ def _rest(members: DataFrame, roots: DataFrame, sets: DataFrame, percent: int, m
     return _near(full.select("key", "i", "j", "part", "c", "root", "n", "sketch"), percent, most)
 
 
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The written table of those of the pairs that link: first by sketch, then by their sets."""
+    possible = written(_possible(pairs, sets, percent), "possible")
+    links = written(_links(possible, sets, percent), "links")
+    discard(possible)
+    return links
+
+
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, percent: int = 85) -> tuple[DataFrame, DataFrame]:
     """Two written tables: ``doc_id, h, n, c`` for every row, and ``c, component_id, root`` for every class."""
     rows = pick(docs, {"doc_id": id_col, "text": text_col})
     rows = rows.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("h"))
     sized = written(_sizes(rows, width), "sizes")
     stars = written(_stars(_keys(rows, width, percent)), "stars")
-    release(docs.sparkSession)
     pairs = written(stars.groupBy("a", "x").agg(F.count("*").alias("shared")).select(F.col("a").alias("u"), F.col("x").alias("v"), "shared"), "pairs")
     involved = pairs.select(F.col("u").alias("c")).union(pairs.select(F.col("v").alias("c"))).distinct()
     wanted = sized.where("c is not null").groupBy("c").agg(F.min("h").alias("h")).join(involved, "c", "left_semi")
     sets = _candidate_sets(rows, wanted, width)
 
-    release(docs.sparkSession)
     likely = pairs.groupBy("v").agg(F.max(F.struct("shared", "u")).alias("_b")).select(F.col("_b.u").alias("u"), "v")
-    links = written(_links(likely, sets, percent), "links")
+    links = _verified(likely, sets, percent)
     roots = components(links)
     others = _apart(pairs.join(likely, ["u", "v"], "left_anti").select("u", "v"), roots)
-    more = written(_links(others, sets, percent), "links")
+    more = _verified(others, sets, percent)
     if not more.isEmpty():
-        links = links.union(more)
-        roots = components(links)
+        roots = components(_as_edges(roots).union(more))
     apart = written(_apart(pairs.select("u", "v"), roots), "apart")
     if not apart.isEmpty():
         members, tested = written(_mixed_keys(stars, apart), "members"), [pairs.select("u", "v")]
-        ahead: list[int | None] = [1, 2, 4, 8, None]  # nearest first, so that components grow before the rest is listed
+        ahead: list[int | None] = [1, 4, None]  # nearest first, so that components grow before the rest is listed
         while ahead:
             most = ahead.pop(0)
             left = _rest(members, roots, sets, percent, most)
@@ -309,14 +323,21 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
             if more.isEmpty():
                 ahead = ahead[-1:]
             else:
-                roots = components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).union(more))
+                roots = components(_as_edges(roots).union(more))
+        discard(members)
+    discard(stars, pairs, sets, links, apart)
 
-    release(docs.sparkSession)
     by_class = sized.where("c is not null").groupBy("c").agg(F.min("doc_id").alias("doc_id"))
     named = by_class.join(roots.select(F.col("node").alias("c"), "root"), "c", "left").withColumn("root", F.coalesce("root", "c"))
     named = written(named, "classes")
     ids = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return sized, written(named.join(ids, "root").select("c", "component_id", "root"), "components")
+    found = written(named.join(ids, "root").select("c", "component_id", "root"), "components")
+    discard(named)
+    return sized, found
+
+
+def _as_edges(roots: DataFrame) -> DataFrame:
+    return roots.select(F.col("node").alias("u"), F.col("root").alias("v"))
 
 
 def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, percent: int = 85) -> DataFrame:
