@@ -3,14 +3,18 @@
 For a vector cut into segments of length ``l``, a segment's mean ``m`` and deviation ``s`` bound
 the product with a query from above: ``sum over segments of l * (mq * mx + sq * sx)``, by
 Cauchy and Schwarz; with both squared norms that is a lower bound on the distance.  Bounds
-are evaluated from coarse (one segment) to fine; a candidate whose bound is below the
-query's k-th best score so far is dropped, and survivors get exact scores.  The bounds have
-a margin for rounding, so nothing is lost.
-
-Queries are taken in blocks of at most ``block`` rows.  A block's size is fixed, so it is
-broadcast; every task streams its candidates past it and keeps k + 1 rows a query, and the
-tasks' lists are merged by a grouped top-k over (query, task) rows.  A block's first
-thresholds come from a bounded sample of candidates, whose exact scores can only be too low.
+are evaluated from coarse (one segment) to fine (segments of two components); a candidate whose
+bound is below the query's k-th best score so far is dropped, a finer level looks at what the
+coarser ones left, and only survivors get exact scores.  The bounds have a margin for rounding,
+so nothing is lost.  A level is a matrix product over a block while more than ``GATHERED`` of its
+pairs are alive (that is faster than picking them out), and a product a query beyond.
+
+Queries are taken in blocks of a bounded size.  A block is broadcast; every task streams its
+candidates past it and keeps k + 1 rows a query, and the tasks' lists are merged by a grouped
+top-k over (query, task) rows.  A block's first thresholds come from a bounded sample of
+candidates, whose exact scores can only be too low.  Each block is written before the next is
+taken, so neither the plan nor what is broadcast grows with the number of queries.  Queries equal in
+id and vector are searched once.
 
 Components become ``floor(scale * x)`` with x as a double.  While products stay below 2**53
 the arithmetic is exact in doubles; beyond, exact Python integers are used, and a score
@@ -24,16 +28,17 @@ query with fewer candidates than k returns them all, one without any returns no
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyrill.llm.shared import mapped, pick, written
+from tallyrill.llm.shared import discard, mapped, pick, written
 
-LEVELS = (1, 4, 16)
+#: Segments by level, from coarse to fine; a level of as many segments as components is the product itself.
+LEVELS = (1, 4, 16, 32)
+#: Share of pairs alive up to which a finer level picks them out.
+GATHERED = 0.1
 SAFE = float(1 << 53)
 #: No floor is above: scores from there on may be equal once they count as longs.
 HIGHEST = (1 - 1e-9) * 2.0**63
@@ -68,33 +73,43 @@ class Searcher:
 
     def __init__(self, queries: np.ndarray, floor: np.ndarray, keep: int) -> None:
         self.q, self.keep, self.floor = queries, keep, floor
-        self.stats = [_statistics(queries, s) for s in LEVELS]
+        self.stats = [(s, _statistics(queries, s)) for s in LEVELS if s < queries.shape[1]]
+        self.size = np.linalg.norm(queries, axis=1)
         self.best: list[list[tuple]] = [[] for _ in queries]  # (-score, id), ascending
+        self.pairs = self.products = 0  # met, and scored exactly
+
+    def survivors(self, x: np.ndarray) -> np.ndarray:
+        """Which candidates no bound rules out, a row for each query."""
+        alive = np.ones((len(self.q), len(x)), bool)
+        norm = np.linalg.norm(x, axis=1)
+        for s, own in self.stats:
+            theirs = _statistics(x, s)
+            if np.count_nonzero(alive) > GATHERED * alive.size:
+                alive &= own @ theirs.T + 1e-9 * self.size[:, None] * norm + 1e-6 >= self.floor[:, None]
+                continue
+            for i in np.flatnonzero(alive.any(1)):
+                at = np.flatnonzero(alive[i])
+                alive[i, at] = theirs[at] @ own[i] + 1e-9 * self.size[i] * norm[at] + 1e-6 >= self.floor[i]
+        return alive
 
     def add(self, ids: np.ndarray, x: np.ndarray) -> None:
         if not len(self.q):
             return
-        alive = np.ones((len(self.q), len(x)), bool)
-        size = np.linalg.norm(self.q, axis=1)[:, None] * np.linalg.norm(x, axis=1)[None, :]
-        for s, stats in zip(LEVELS, self.stats, strict=True):
-            if s >= x.shape[1]:
-                break
-            alive &= stats @ _statistics(x, s).T + 1e-9 * size + 1e-6 >= self.floor[:, None]
-        rows, cols = np.nonzero(alive.any(1))[0], np.nonzero(alive.any(0))[0]
-        if not len(rows) or not len(cols):
-            return
-        scores = _exact(self.q[rows], x[cols])
-        near = alive[np.ix_(rows, cols)] & (scores >= self.floor[rows][:, None]).astype(bool)
-        for i, row in enumerate(rows):
-            at = np.nonzero(near[i])[0]
-            if len(at):
-                if len(at) > 4 * self.keep and scores.dtype != object:
-                    cut = np.partition(scores[i, at], len(at) - self.keep)[len(at) - self.keep]
-                    at = at[scores[i, at] >= cut]
-                found = [(-_clip(int(scores[i, j])), int(ids[cols[j]])) for j in at]
-                self.best[row] = sorted(self.best[row] + found)[: self.keep]
-                if len(self.best[row]) == self.keep:
-                    self.floor[row] = min(HIGHEST, max(self.floor[row], float(-self.best[row][-1][0])))
+        alive = self.survivors(x)
+        self.pairs += alive.size
+        for i in np.flatnonzero(alive.any(1)):
+            at = np.flatnonzero(alive[i])
+            self.products += len(at)
+            scores = _exact(self.q[i][None], x[at])[0]
+            near = np.flatnonzero((scores >= self.floor[i]).astype(bool))
+            if len(near) > 4 * self.keep and scores.dtype != object:
+                cut = np.partition(scores[near], len(near) - self.keep)[len(near) - self.keep]
+                near = near[scores[near] >= cut]
+            if len(near):
+                found = [(-_clip(int(scores[j])), int(ids[at[j]])) for j in near]
+                self.best[i] = sorted(self.best[i] + found)[: self.keep]
+                if len(self.best[i]) == self.keep:
+                    self.floor[i] = min(HIGHEST, max(self.floor[i], float(-self.best[i][-1][0])))
 
 
 def _matrix(column: pa.Array) -> dict[int, tuple[np.ndarray, np.ndarray]]:
@@ -110,33 +125,42 @@ def _matrix(column: pa.Array) -> dict[int, tuple[np.ndarray, np.ndarray]]:
 
 
 def top_k(rows: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 5, scale: float = 256.0, block: int = 4096, sample: int = 2048) -> DataFrame:
-    """``query_id, rank, vec_id, score``: for each row with ``is_query`` (over ``vec_id``) its k best others."""
+    """``query_id, rank, vec_id, score``: for each row with ``is_query`` (over ``vec_id``) its k best others.
+
+    ``block`` bounds the queries of a block, ``sample`` the candidates that set its first thresholds."""
     spark = rows.sparkSession
     table = written(quantised(rows, id_col, vector_col, scale), "vectors")
-    queries = table.where(is_query).select("vec_id", "v", F.xxhash64("vec_id", "v").alias("_h"))
-    n = queries.count()
-    blocks = max(1, -(-n // (block // 2)))  # dealt by hash: about half a block each, checked below
-    first = table.orderBy(F.xxhash64("vec_id")).limit(sample).select("v").toPandas()["v"]
-    parts = []
+    queries = table.where(is_query).groupBy("vec_id", "v").agg(F.count("*").alias("times"))
+    queries = written(queries.withColumn("_h", F.xxhash64("vec_id", "v")), "queries")
+    blocks = max(1, -(-queries.count() // (block // 2)))  # dealt by hash: about half a block each, checked below
+    first = table.orderBy(F.xxhash64("vec_id", "v")).limit(sample).select("v").toPandas()["v"]
+    paths = []
     for b in range(blocks):
-        held = queries.where(F.pmod("_h", F.lit(blocks)) == b).select("vec_id", "v").toPandas()
-        for at in range(0, len(held), block):
-            parts.append(_search(spark, table, held.iloc[at : at + block], first, k, len(parts)))
-    found = reduce(DataFrame.union, parts) if parts else _search(spark, table, queries.limit(0).select("vec_id", "v").toPandas(), first, k, 0)
-    best = Window.partitionBy("block", "query")
+        held = queries.where(F.pmod("_h", F.lit(blocks)) == b).select("vec_id", "v", "times").toPandas()
+        for at in range(0, max(1, len(held)), block):
+            paths.append(written(_merged(_search(spark, table, held.iloc[at : at + block], first, k), k), "found").written_to)
+    discard(queries)
+    return spark.read.schema("query_id long, rank int, vec_id long, score long").parquet(*paths)
+
+
+def _merged(found: DataFrame, k: int) -> DataFrame:
+    """The best ``k`` of the tasks' lists, without the query's own row, as often as the query's row occurs."""
+    best = Window.partitionBy("query")
     merged = found.withColumn("place", F.row_number().over(best.orderBy(F.desc("score"), "vec_id"))).where(F.col("place") <= k + 1)
     own = (F.col("vec_id") == F.col("query_id")) & (F.col("score") == F.col("own"))
     first_own = F.min(F.when(own, F.col("place"))).over(best)
     kept = merged.withColumn("_own", first_own).where(F.col("_own").isNull() | (F.col("place") != F.col("_own")))
     rank = F.col("place") - F.when(F.col("place") > F.coalesce("_own", F.lit(k + 2)), 1).otherwise(0)
-    return kept.select("query_id", rank.cast("int").alias("rank"), "vec_id", "score").where(F.col("rank") <= k)
+    each = F.explode(F.sequence(F.lit(1), "times")).alias("_time")
+    return kept.select("query_id", rank.cast("int").alias("rank"), "vec_id", "score", "times").where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score", each).drop("_time")
 
 
 def _clip(score: int) -> int:
     return max(-(1 << 63), min((1 << 63) - 1, score))
 
 
-def _search(spark, table: DataFrame, held, first, k: int, number: int) -> DataFrame:
+def _search(spark, table: DataFrame, held, first, k: int) -> DataFrame:
+    """Each task's best for the queries ``held``: a row for each, with the score that the query has with itself."""
     by: dict[int, tuple] = {}
     for d in {len(v) for v in held["v"]}:
         at = [i for i, v in enumerate(held["v"]) if len(v) == d]
@@ -147,11 +171,11 @@ def _search(spark, table: DataFrame, held, first, k: int, number: int) -> DataFr
             floor = np.sort(_exact(q, np.stack(some)).astype(float), axis=1)[:, -(k + 1)] * 1.0
             floor = np.minimum(floor - 1e-9 * np.abs(floor), HIGHEST)
         own = [_clip(int(_exact(x[None], x[None])[0, 0])) for x in q]
-        by[d] = (np.array(at), q, floor, [int(held["vec_id"].iloc[i]) for i in at], own)
+        by[d] = (np.array(at), q, floor, [int(held["vec_id"].iloc[i]) for i in at], own, [int(held["times"].iloc[i]) for i in at])
     shared = spark.sparkContext.broadcast(by)
 
     def run(batches):
-        tasks = {d: Searcher(q, floor.copy(), k + 1) for d, (_, q, floor, _, _) in shared.value.items()}
+        tasks = {d: Searcher(q, floor.copy(), k + 1) for d, (_, q, floor, *_) in shared.value.items()}
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             for d, (at, x) in _matrix(batch.column(1)).items():
@@ -159,9 +183,9 @@ def _search(spark, table: DataFrame, held, first, k: int, number: int) -> DataFr
                     for i in range(0, len(at), 2048):
                         tasks[d].add(ids[at[i : i + 2048]], x[i : i + 2048])
         for d, s in tasks.items():
-            at, _, _, query_ids, own = shared.value[d]
-            rows = [(number, int(at[i]), query_ids[i], own[i], vec, -neg) for i, best in enumerate(s.best) for neg, vec in best]
+            at, _, _, query_ids, own, times = shared.value[d]
+            rows = [(int(at[i]), query_ids[i], own[i], times[i], vec, -neg) for i, best in enumerate(s.best) for neg, vec in best]
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["block", "query", "query_id", "own", "vec_id", "score"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["query", "query_id", "own", "times", "vec_id", "score"])
 
-    return mapped(table, run, "block long, query long, query_id long, own long, vec_id long, score long")
+    return mapped(table, run, "query long, query_id long, own long, times long, vec_id long, score long")
