@@ -4,28 +4,32 @@ A page is read once as a stream of tags and text.  Its text falls into blocks, t
 text between the borders of block elements; a block belongs to the path of block elements,
 with their classes, from the root to it.  Over each path the text length outside links and the
 punctuation are aggregated, each a block; their fusion (length times one plus punctuation) is
-the path's ratio.  The ratios are smoothed along the page with a small Gaussian window, and
-paths whose mean smoothed ratio reaches the threshold (the deviation over the page, at most
-half of the largest) are content.  Short blocks of an article (headings, list items) have low
-ratios on their own, so every block within the smallest element that holds all content
-blocks counts as content too.  Where that element is the body itself, the same holds for each element
-below it that has content blocks; what lies between two content blocks that stand in the body
-without a container, and headings, lists, tables and the like that follow on content blocks or lead
-to them there, are content unless they are links for the most part.
-
-Elements that are no article by what they say they are take no part in any of this: menus,
-headers, footers, sidebars, notices, adverts, forms and comments by their tag, role, class or
-id, and what is hidden.  Scripts, styles and markup are never text.  A header within an
-article keeps its headings.  Such a mark does not count where it stands on most of the article: on an
-element, or on all elements of a class together, that hold more than half of the text outside links of
-the page's article or main element (of the page, if there is none with a twentieth of its text).
+the path's ratio.  The ratios are smoothed along the page with a small Gaussian window; the
+geometric mean of a block's own and its smoothed ratio is weighed by what elements say they are
+(below).  Paths whose mean reaches the threshold (the deviation over the page, at most half of the largest, at least ``FLOOR``) are
+content.  Short blocks of an article (headings, list items) have low ratios on their own, so every
+block within the smallest element that holds all content blocks counts as content too.  Where that
+element is the body itself, the same holds for each element below it that has content blocks;
+what lies between two content blocks that stand in the body without a container, and headings,
+lists, tables and the like that follow on content blocks or lead to them there, are content
+unless they are links for the most part.
+
+What elements say they are is a prior, no verdict.  Text in menus, headers, footers, sidebars,
+notices, adverts, forms and comments, by their tag, role, class or id, weighs ``MARKED`` of its
+ratio, and text outside the page's article or main element ``BESIDE``: it is content where the page
+has nothing that comes near it.  A header within an article keeps its headings.  A mark does not
+count where it stands on most of the article: on an element, or on all elements of a class together,
+that hold more than half of the text outside links of the page's article or main element (of the
+page, if there is none with a twentieth of its text).  Scripts, styles, markup and what is hidden are
+never text, nor are phrases within a block that say they are no part of it.
 
 Character references are decoded, white space within a block (line breaks and no-break
 spaces too) becomes one space, blocks are joined in page order by a newline.
 
 Defined cases: a null or empty page has the empty text; a page that breaks off counts up to
 there (an unfinished tag is markup, an unfinished script has no text); elements left open end
-with their parent; repeated rows are judged alike; an empty table gives no rows.
+with their parent; repeated rows are judged alike; an empty table gives no rows; a column named like
+one of the result, case aside, gives way to it.
 """
 
 from __future__ import annotations
@@ -52,6 +56,9 @@ ATTRIBUTE = re.compile(r"([a-z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))
 PUNCTUATION = re.compile(r"[.,;:!?…¿¡。，、；：！？]")
 SPACE = re.compile(r"\s+")
 
+#: What text that says it is no article weighs, what text beside the article element weighs, and the least ratio of content.
+MARKED, BESIDE, FLOOR = 1e-5, 1e-2, 1.0
+
 # Elements by kind, and words that mark an element as no article.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = set("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
@@ -76,10 +83,10 @@ class Element:
 
 
 class Block:
-    __slots__ = ("element", "linked", "parts")
+    __slots__ = ("element", "linked", "parts", "prior")
 
     def __init__(self, element: Element) -> None:
-        self.element, self.parts, self.linked = element, [], 0
+        self.element, self.parts, self.linked, self.prior = element, [], 0, 1.0
 
 
 def _says(value: str, within: bool) -> bool:
@@ -115,8 +122,9 @@ def _open(tag: str, rest: str, parent: Element) -> Element:
     return Element(tag, ".".join([tag, *sorted(names)]), parent, hidden, within, marked, classes)
 
 
-def _judge(elements: list[Element]) -> None:
-    """Sets ``outside`` of all elements, parents first; ``weight`` holds each one's own text outside links."""
+def _judge(elements: list[Element]) -> dict[int, bool]:
+    """Sets ``outside`` of all elements, parents first; ``weight`` holds each one's own text outside links.
+    Returns which elements, by identity, lie in the page's article or main element (all, if it has none)."""
     for e in reversed(elements[1:]):
         e.parent.weight += e.weight
     scope = _scope(elements)
@@ -143,6 +151,7 @@ def _judge(elements: list[Element]) -> None:
         e.outside = e.parent.outside or e.hidden or (not much and (e.marked or any(_counts(c, void, e.within) for c in e.classes)))
         if e.within and e.tag in HEADINGS and e.parent.tag == "header" and not e.parent.parent.outside:
             e.outside = e.hidden
+    return {id(e): scope.parent is None or e.within or e.tag in ("article", "main") for e in elements}
 
 
 def _share(e: Element, scope: Element, inside: dict[int, bool], around: set[int]) -> int:
@@ -255,10 +264,12 @@ def blocks_of(page: str) -> list[Block]:
         if rest.endswith("/") and tag not in BLOCK:
             leave(now.parent)
     text(page[at:])
-    _judge(elements)
+    at_home = _judge(elements)
     for b in out:
-        b.linked = sum(len(t) for e, t, linked in b.parts if linked and not e.outside)
-        b.parts = [t for e, t, _ in b.parts if not e.outside]
+        outside = b.element.outside
+        b.prior = (MARKED if outside else 1.0) * (1.0 if at_home[id(b.element)] else BESIDE)
+        b.linked = sum(len(t) for e, t, linked in b.parts if linked and (outside or not e.outside))
+        b.parts = [t for e, t, _ in b.parts if outside or not e.outside]
     return [b for b in out if b.parts]
 
 
@@ -269,13 +280,13 @@ def _path(element: Element, known: dict[int, str]) -> str:
         element = element.parent
     path = known[id(element)] if element is not None else ""
     for e in reversed(chain):
-        path = f"{path}/{e.label}" if e.tag in BLOCK else path
+        path = f"{path}/{e.label}{'!' if e.outside else ''}" if e.tag in BLOCK else path
         known[id(e)] = path
     return path
 
 
 def ratios(blocks: list[Block], texts: list[str]) -> tuple[list[str], dict[str, float], float]:
-    """The path of each block, each path's mean smoothed ratio, and the deviation of the smoothed ratios."""
+    """The path of each block, each path's mean of weighed smoothed ratios, and their deviation over the blocks."""
     known: dict[int, str] = {}
     paths = [_path(b.element, known) for b in blocks]
     sums: dict[str, list[float]] = {}
@@ -285,7 +296,8 @@ def ratios(blocks: list[Block], texts: list[str]) -> tuple[list[str], dict[str,
         s[1] += len(PUNCTUATION.findall(t)) if len(t) > b.linked else 0
         s[2] += 1
     raw = [sums[p][0] / sums[p][2] * (1 + sums[p][1] / sums[p][2]) for p in paths]
-    smooth = [(raw[max(0, i - 1)] + 2 * raw[i] + raw[min(len(raw) - 1, i + 1)]) / 4 for i in range(len(raw))]
+    last = len(raw) - 1
+    smooth = [b.prior * math.sqrt(raw[i] * (raw[max(0, i - 1)] + 2 * raw[i] + raw[min(last, i + 1)]) / 4) for i, b in enumerate(blocks)]
     by: dict[str, list[float]] = {}
     for p, s in zip(paths, smooth, strict=True):
         by.setdefault(p, []).append(s)
@@ -385,10 +397,11 @@ def main_text(page: str | None) -> str:
     if not blocks:
         return ""
     paths, mean, deviation = ratios(blocks, texts)
-    threshold = min(deviation, max(mean.values()) / 2)
-    chosen = {i for i, p in enumerate(paths) if mean[p] >= threshold and mean[p] > 0}
+    threshold = max(FLOOR, min(deviation, max(mean.values()) / 2))
+    chosen = {i for i, p in enumerate(paths) if mean[p] >= threshold}
     if chosen:
-        chosen |= _recovered(blocks, texts, chosen)
+        least = min(blocks[i].prior for i in chosen)
+        chosen |= {i for i in _recovered(blocks, texts, chosen) if blocks[i].prior >= least}
     return "\n".join(t for i, t in enumerate(texts) if i in chosen)
 
 

@@ -4,7 +4,8 @@ FOLD = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'
 
 OP2 = r"""
 WITH a AS (
-  SELECT page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)(?:</article>|$)', 1) AS h FROM pages
+  SELECT page_id, url, regexp_replace(coalesce(html, ''),
+    '(?s)<!--.*?-->|<(?:!|/?html|/?body|/?article)[^>]*>|<head>.*?</head>|<nav>.*?</nav>|<footer>.*?(?:</footer>|$)|<div class="ad">.*?</div>', chr(1), 'g') AS h FROM pages
 ), b AS (
   SELECT page_id, url, string_split(regexp_replace(h, '</?(?:p|h1)>', chr(1), 'g'), chr(1)) AS parts FROM a
 ), c AS (
