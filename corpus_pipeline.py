@@ -19,7 +19,7 @@ LEAST_LANGUAGE = 0.35
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents whose perplexity under trusted text is beyond their language's threshold."""
-    return quality.Judge(docs, table(spark, sf_dir, "labels")).kept(docs)
+    return quality.Judge(docs, table(spark, sf_dir, "labels"), carry=True).kept()
 
 
 def language_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

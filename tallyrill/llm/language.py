@@ -7,8 +7,9 @@ over its positions that hold a letter (ASCII letters and all bytes from 0x80).
 are read: each byte is in exactly one window.
 
 Training is backpropagation through time with Adam on the driver, from a bounded sample: for
-each language at most ``docs_per_language`` labelled documents, the first by hash of their ids, and of each at most ``windows_per_doc`` windows, evenly spaced over the whole text.  At
-most ``MAX_LANGUAGES`` languages are learned, the most frequent.
+each language at most ``docs_per_language`` labelled documents, the first by hash of their ids (and
+texts, where an id occurs more than once), and of each at most ``windows_per_doc`` windows, evenly
+spaced over the whole text.  Every language among them is learned.
 
 Defined cases: ``und`` with score 0 where the text is null or has no letter, or where there was
 nothing to learn from; rows with a null language or id are not learned from; ties go to the language that
@@ -25,10 +26,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyrill.llm.samples import RANGE, first_by_hash
+from tallyrill.llm.samples import first_by_hash
 from tallyrill.llm.shared import arrow_map, mapped, pick, utf8
 
-SPAN, MAX_LANGUAGES, ROWS = 64, 256, 4096
+SPAN, ROWS = 64, 4096
 #: ASCII letters and every byte of a longer UTF-8 sequence.
 LETTER = np.array([chr(c).isalpha() if c < 128 else True for c in range(256)])
 ASCII_LETTER = re.compile(rb"[A-Za-z]")
@@ -165,10 +166,10 @@ def has_letter(text: bytes) -> bool:
 def sampled_windows(docs: DataFrame, learn: Column, text_col: str, lang_col: str, id_col: str, docs_per_language: int, windows_per_doc: int) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Languages by code point, and the sample's windows with their language numbers."""
     chosen = docs.where(learn)
-    place = F.pmod(F.xxhash64("_id"), F.lit(RANGE))
-    narrow = pick(chosen, {"_lang": lang_col, "_id": id_col}).where("_lang is not null and _id is not null").select("_lang", place.alias("_h"))
-    limits = first_by_hash(narrow, "_lang", docs_per_language, MAX_LANGUAGES).groupBy("_lang").agg(F.max("_h").alias("_limit"))
-    texts = pick(chosen, {"_lang": lang_col, "_id": id_col, "text": text_col}).where("_id is not null").join(F.broadcast(limits), "_lang").where(place <= F.col("_limit")).select("_lang", "text")
+    place = F.xxhash64(F.col("_id").cast("string")), F.xxhash64("text")
+    plain = pick(chosen, {"_lang": lang_col, "_id": id_col, "text": text_col}).where("_lang is not null and _id is not null and text is not null").select("_lang", place[0].alias("_h"), place[1].alias("_t"), "text")
+    first = first_by_hash(plain.select("_lang", "_h", "_t"), "_lang", docs_per_language, ("_h", "_t"))
+    texts = plain.join(F.broadcast(first), ["_lang", "_h", "_t"]).groupBy("_lang", "_h", "_t").agg(F.first("text").alias("text")).select("_lang", "text")
 
     def run(batches):
         for batch in batches:

@@ -15,8 +15,8 @@ order's probabilities are joined with those of the next lower one by suffix.  Wh
 the cluster are three sums a model for the discounts.  The finished tables are measured;
 they go to the scoring tasks in shards of at most ``max_shard_rows`` n-grams, dealt by the
 two symbols before the last, so that a position finds all it needs in a single shard
-(orders below 3, at most the square of the number of symbols met, are in each).  Beyond one shard the texts pass one
-shard after another in one chain of maps that carries the sums so far.
+(orders below 3, at most the square of the number of symbols met, are in each).  Beyond one shard the texts are
+read once a shard, with one shard alive at a time; its sums are written by hash of the text and added in the end.
 
 A null or empty text has no symbols and a log-likelihood of 0.
 """
@@ -343,14 +343,24 @@ SUMS = T.StructType([T.StructField("n_tokens", T.LongType()), T.StructField("log
 def log_likelihoods(docs: DataFrame, models: list[DataFrame], letters: Alphabet, text_col: str = "text", keep: list[str] | None = None, lower: bool = False, order: int = ORDER, max_shard_rows: int = 3_000_000) -> DataFrame:
     """Rows of ``docs`` with ``n_tokens`` (characters) and ``log_likelihood``, natural, one for each model."""
     context = docs.sparkSession.sparkContext
-    alpha, out = context.broadcast(letters), docs
+    alpha = context.broadcast(letters)
     n = max(1, -(-sum(m.count() for m in models) // max_shard_rows))
+    if n == 1:
+        tables = context.broadcast([collected(m, 1, 0, letters.bits) for m in models])
+        return arrow_map(docs, lambda: _sums(alpha, tables, 1, 0, lower, order), {"text": text_col}, SUMS, keep)
+    # one shard at a time: its sums by hash of the text are written, and its broadcast goes, before the next is made
+    kept = [c for c in dict.fromkeys(docs.columns if keep is None else keep) if c not in SUMS.names]
+    named = pick(docs, {"text": text_col} | {f"_k{i}": c for i, c in enumerate(kept)}).withColumn("_text_hash", F.xxhash64("text"))
+    texts, parts = named.select("_text_hash", "text"), []
     for s in range(n):
         tables = context.broadcast([collected(m, n, s, letters.bits) for m in models])
-        names = None if keep is None else [*keep, *([] if s == n - 1 else [text_col])]
-        inputs = {"text": text_col} | ({"so_far": "log_likelihood"} if s else {})
-        out = arrow_map(out, lambda t=tables, s=s: _sums(alpha, t, n, s, lower, order), inputs, SUMS, names)
-    return out
+        some = arrow_map(texts, lambda t=tables, s=s: _sums(alpha, t, n, s, lower, order), {"text": "text"}, SUMS, ["_text_hash"])
+        parts.append(written(some.groupBy("_text_hash").agg(F.first("n_tokens").alias("n_tokens"), F.first("log_likelihood").alias("part")), "sums"))
+        tables.destroy()
+    total = [F.sum(F.col("part")[i]) for i in range(len(models))]
+    sums = reduce(DataFrame.union, parts).groupBy("_text_hash").agg(F.first("n_tokens").alias("n_tokens"), F.array(*total).alias("log_likelihood"))
+    joined = named.drop("text").join(sums, "_text_hash")
+    return joined.select(*(F.col(f"_k{i}").alias(c) for i, c in enumerate(kept)), "n_tokens", "log_likelihood")
 
 
 def _sums(alpha, tables, n: int, s: int, lower: bool, order: int):
@@ -359,7 +369,7 @@ def _sums(alpha, tables, n: int, s: int, lower: bool, order: int):
 
     def step(batch: pa.RecordBatch):
         texts = batch.column("text").to_pylist()
-        sums = np.array(batch.column("so_far").to_pylist(), float).reshape(len(texts), len(scorers)) if s else np.zeros((len(texts), len(scorers)))
+        sums = np.zeros((len(texts), len(scorers)))
         for keys, doc, _ in alpha.value.keys(texts, lower, order):
             if n > 1:
                 mine = ((((keys >> bits) & ((1 << (2 * bits)) - 1)) * 40503) >> 8) % n == s

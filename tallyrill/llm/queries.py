@@ -43,7 +43,7 @@ def op4_cross_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return quality.Judge(docs, table(spark, sf_dir, "labels")).scored(docs)
+    return quality.Judge(docs, table(spark, sf_dir, "labels")).scored()
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
