@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyrill.llm.shared import arrow_map, mapped, pick, written
+from tallyrill.llm.shared import arrow_map, in_passes, mapped, pick, written
 
 #: Least and most bits of a symbol, and the order: ``MOST_BITS * ORDER`` fit a long.
 BITS, MOST_BITS, ORDER = 7, 12, 5
@@ -348,19 +348,17 @@ def log_likelihoods(docs: DataFrame, models: list[DataFrame], letters: Alphabet,
     if n == 1:
         tables = context.broadcast([collected(m, 1, 0, letters.bits) for m in models])
         return arrow_map(docs, lambda: _sums(alpha, tables, 1, 0, lower, order), {"text": text_col}, SUMS, keep)
-    # one shard at a time: its sums by hash of the text are written, and its broadcast goes, before the next is made
+
+    def one(s: int):
+        def run(texts: DataFrame) -> DataFrame:
+            tables = context.broadcast([collected(m, n, s, letters.bits) for m in models])
+            return arrow_map(texts, lambda: _sums(alpha, tables, n, s, lower, order), {"text": "text"}, SUMS, ["_text_hash"])
+
+        return run
+
+    total = F.array(*(F.sum(F.col("log_likelihood")[i]) for i in range(len(models)))).alias("log_likelihood")
     kept = [c for c in dict.fromkeys(docs.columns if keep is None else keep) if c not in SUMS.names]
-    named = pick(docs, {"text": text_col} | {f"_k{i}": c for i, c in enumerate(kept)}).withColumn("_text_hash", F.xxhash64("text"))
-    texts, parts = named.select("_text_hash", "text"), []
-    for s in range(n):
-        tables = context.broadcast([collected(m, n, s, letters.bits) for m in models])
-        some = arrow_map(texts, lambda t=tables, s=s: _sums(alpha, t, n, s, lower, order), {"text": "text"}, SUMS, ["_text_hash"])
-        parts.append(written(some.groupBy("_text_hash").agg(F.first("n_tokens").alias("n_tokens"), F.first("log_likelihood").alias("part")), "sums"))
-        tables.destroy()
-    total = [F.sum(F.col("part")[i]) for i in range(len(models))]
-    sums = reduce(DataFrame.union, parts).groupBy("_text_hash").agg(F.first("n_tokens").alias("n_tokens"), F.array(*total).alias("log_likelihood"))
-    joined = named.drop("text").join(sums, "_text_hash")
-    return joined.select(*(F.col(f"_k{i}").alias(c) for i, c in enumerate(kept)), "n_tokens", "log_likelihood")
+    return in_passes(docs, text_col, kept, (one(s) for s in range(n)), [F.first("n_tokens").alias("n_tokens"), total])
 
 
 def _sums(alpha, tables, n: int, s: int, lower: bool, order: int):

@@ -5,10 +5,11 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator, Mapping, Sequence
+from collections.abc import Callable, Iterable, Iterator, Mapping, Sequence
+from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -131,6 +132,22 @@ def arrow_map(
     return mapped(plain, run, flat).toDF(*names)
 
 
+def in_passes(docs: DataFrame, text_col: str, keep: Sequence[str], passes: Iterable[Callable[[DataFrame], DataFrame]], total: Sequence[Column]) -> DataFrame:
+    """The columns ``keep`` of ``docs`` with the aggregates ``total`` over what several passes say of each text.
+
+    A pass turns ``_text_hash, text`` into rows of ``_text_hash`` and columns of its own; it is written, once a
+    distinct text, before the next begins, so whatever it broadcasts lives alone.
+    """
+    named = pick(docs, {"text": text_col} | {f"_k{i}": c for i, c in enumerate(keep)}).withColumn("_text_hash", F.xxhash64("text"))
+    parts = []
+    for run in passes:
+        found = run(named.select("_text_hash", "text"))
+        firsts = [F.first(c).alias(c) for c in found.columns if c != "_text_hash"]
+        parts.append(written(found.groupBy("_text_hash").agg(*firsts), "pass"))
+    joined = named.drop("text").join(reduce(DataFrame.union, parts).groupBy("_text_hash").agg(*total), "_text_hash")
+    return joined.drop("_text_hash").withColumnsRenamed({f"_k{i}": c for i, c in enumerate(keep)})
+
+
 def utf8(column: pa.Array) -> list[bytes | None]:
     """The UTF-8 bytes of a string column."""
     return column.cast(pa.binary() if pa.types.is_string(column.type) else pa.large_binary()).to_pylist()

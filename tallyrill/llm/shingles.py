@@ -44,15 +44,25 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
+class Spans:
+    """Words of a buffer of little more than ``PIECE`` bytes at most, which begins and ends with a space, and hashes of any of its spans."""
+
+    def __init__(self, folded: bytes) -> None:
+        self.raw = np.frombuffer(folded, np.uint8)
+        space = self.raw == 0x20
+        self.start = np.flatnonzero(space[:-1] & ~space[1:]) + 1
+        self.end = np.flatnonzero(~space[:-1] & space[1:]) + 1
+        powers, self.inverse = _powers()
+        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[self.raw] * powers[: len(self.raw)], dtype=np.uint64)])
+
+    def hashes(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return mixed((self.sums[end] - self.sums[start]) * self.inverse[start])
+
+
 def _word_hashes(folded: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Hash and start of each word; ``folded`` begins and ends with a space."""
-    raw = np.frombuffer(folded, np.uint8)
-    space = raw == 0x20
-    start = np.flatnonzero(space[:-1] & ~space[1:]) + 1
-    end = np.flatnonzero(~space[:-1] & space[1:]) + 1
-    powers, inverse = _powers()
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[raw] * powers[: len(raw)], dtype=np.uint64)])
-    return mixed((sums[end] - sums[start]) * inverse[start]), start
+    spans = Spans(folded)
+    return spans.hashes(spans.start, spans.end), spans.start
 
 
 def _long_text(folded: bytes) -> np.ndarray:

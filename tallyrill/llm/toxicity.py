@@ -1,25 +1,32 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
-Two character models (see ``ngram``), of toxic and of ordinary documents, have orders 3 to 5
-from their own counts and share orders 1 and 2, which are counted over both classes: an
-expression that neither class has seen falls back on the same probabilities and speaks
-for neither.  The log-likelihood ratio of a text is summed by word (the space that follows belongs to it),
-and compared length-normalised: the mean a character, and the share of words whose ratio is
-above ``MARKED`` nats.  As a text that insults twice in a thousand words must stand out, the
-ratios of its ``TOP`` strongest words join them.  A logistic function of these, fitted on
-sampled documents that the models have not seen, gives the score.
+A text is lower-cased and cut into words (ASCII letters and digits, and all bytes from 0x80).  Two models,
+of toxic and of ordinary documents, predict each byte of a word, and its end, from the word's beginning, up to
+``DEPTH`` bytes.  A class counts in how many of its documents a beginning occurs (modified Kneser-Ney
+discounts, interpolated); what the discounts free goes to one back-off model that both classes share, a
+Kneser-Ney model (see ``ngram``) of order ``ORDER`` over the bytes of all words.  So an expression that
+neither class knows has the same probability in both and speaks for neither, and one that shares its
+beginning with known ones speaks as that does.
+
+The log-likelihoods are compared length-normalised: the difference a word, over the whole text and over
+its 1, 2 and 4 strongest words, as a text that insults twice in a thousand words must stand out.  The
+evidence beyond ``MARKED`` nats a word, summed, and the number of words join them on a logarithmic scale.  A
+logistic function of these six, fitted on sampled documents that the models have not seen, gives the score.
 
 The fit uses a bounded sample of labelled rows, the first by hash of their ids: at most
 ``max_toxic`` and ``max_ordinary``; 7 in 10 of each go to the models, the rest to the logistic
-function.
+function.  The models go to the tasks in shards of at most ``max_shard_rows`` beginnings, dealt by a word's
+first two bytes, and beyond one shard one at a time.
 
-Defined cases: null and empty texts have ratios of 0 and the score that belongs to them;
-letters are lower-cased; with one class only in the sample, every score is that class's
-share (0 without labels); repeated rows are scored alike.
+Defined cases: null and empty texts, and texts without a word, have ratios of 0 and the score that belongs to
+them; with one class only in the sample, every score is that class's share (0 without labels);
+repeated rows are scored alike; an empty table gives no rows; a column named like one of the result gives way.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -27,12 +34,145 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyrill.llm import ngram
+from tallyrill.llm.decontaminate import FOLD
 from tallyrill.llm.samples import labelled
-from tallyrill.llm.shared import arrow_map, pick, written
+from tallyrill.llm.shared import arrow_map, discard, in_passes, mapped, pick, written
+from tallyrill.llm.shingles import LONG, PIECE, Spans
+
+DEPTH, ORDER, MARKED, LIMIT = 12, 5, 2.0, 12.0
+#: Strongest words whose mean is taken, and how many are kept.
+STRONGEST, TOP = (1, 2, 4), 4
+FOUND = T.StructType([T.StructField("words", T.LongType()), T.StructField("sums", T.ArrayType(T.DoubleType())), T.StructField("top", T.ArrayType(T.DoubleType()))])
+#: The beginning of every word.
+ROOT = 0
+
+
+class Words:
+    """The words of some texts: ``owner`` (the text of each), ``kind`` (a number for each distinct word, as far as ``DEPTH`` tells)."""
+
+    def __init__(self, line: bytes, owners: list[int], ends: list[int]) -> None:
+        self.spans = Spans(line)
+        start, size = self.spans.start, np.minimum(self.spans.end - self.spans.start + 1, DEPTH)
+        self.owner = np.array(owners)[np.searchsorted(ends, start, "right")]
+        self.hash, first, self.kind = np.unique(self.spans.hashes(start, start + size), return_index=True, return_inverse=True)
+        self.start, self.size = start[first], size[first]  # the end of a word is a byte of it
+
+    def beginnings(self, k: int, of: np.ndarray) -> np.ndarray:
+        """Hashes of the first ``k`` bytes of the distinct words ``of``."""
+        return self.spans.hashes(self.start[of], self.start[of] + k).view(np.int64)
+
+    def roots(self) -> np.ndarray:
+        return self.spans.hashes(self.start, self.start + np.minimum(self.size, 2)).view(np.int64)
+
+    def grams(self, k: int, of: np.ndarray) -> np.ndarray:
+        """The last ``ORDER`` of the first ``k`` bytes, 8 bits each; 0 before the word."""
+        out = np.zeros(len(of), np.int64)
+        for j in range(min(ORDER, k)):
+            out |= self.spans.raw[self.start[of] + k - 1 - j].astype(np.int64) << (8 * j)
+        return out
+
+
+def words(texts: list[str | None]) -> Iterator[Words]:
+    """The words of all texts, about ``PIECE`` bytes at a time."""
+    parts: list[bytes] = []
+    owners: list[int] = []
+    total = 0
+
+    def made() -> Words:
+        return Words(b" " + b" ".join(parts) + b" ", owners, (1 + np.cumsum([len(p) + 1 for p in parts])).tolist())
+
+    for i, text in enumerate(texts):
+        folded = (text or "").lower().encode("utf-8", "replace").translate(FOLD)
+        if len(folded) > LONG:  # of a very long word only the beginning matters
+            folded = b" ".join(w[: 2 * DEPTH] for w in folded.split())
+        while folded:
+            if len(folded) > LONG:
+                cut = folded.rindex(b" ", 0, LONG)
+                part, folded = folded[:cut], folded[cut + 1 :]
+            else:
+                part, folded = folded, b""
+            if total + len(part) > PIECE:
+                yield made()
+                parts, owners, total = [], [], 0
+            parts.append(part)
+            owners.append(i)
+            total += len(part) + 1
+    if parts:
+        yield made()
+
 
-MARKED, TOP, LIMIT = 2.0, 4, 12.0
-FEATURES = T.StructType([T.StructField("ratios", T.ArrayType(T.DoubleType()))])
-SPACE = 2  # the symbol of white space
+# --- the models ---------------------------------------------------------------------------
+
+
+def counted(sample: DataFrame) -> DataFrame:
+    """``key, parent, gram, root, toxic, ordinary`` by beginning of a word, from ``text`` and ``flag``: in how many documents of each class."""
+
+    def run(batches):
+        for batch in batches:
+            flags = np.array([bool(f) for f in batch.column(1).to_pylist()])
+            for group in words(batch.column(0).to_pylist()):
+                met = np.unique(group.owner.astype(np.int64) * len(group.hash) + group.kind)  # a word once a document
+                owner, kind = met // len(group.hash), met % len(group.hash)
+                toxic, ordinary = (np.bincount(kind, w, len(group.hash)).astype(np.int64) for w in (flags[owner], ~flags[owner]))
+                parent, root = np.full(len(group.hash), ROOT, np.int64), group.roots()
+                for k in range(1, DEPTH + 1):
+                    at = np.flatnonzero(group.size >= k)
+                    if not len(at):
+                        break
+                    key, first, same = np.unique(mine := group.beginnings(k, at), return_index=True, return_inverse=True)
+                    sums = [np.bincount(same, c[at], len(key)).astype(np.int64) for c in (toxic, ordinary)]
+                    place = root[at][first] if k > 1 else np.full(len(key), ROOT, np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (key, parent[at][first], group.grams(k, at)[first], place, *sums)], names=["key", "parent", "gram", "root", "toxic", "ordinary"])
+                    parent[at] = mine
+
+    got = mapped(pick(sample, {"t": "text", "f": "flag"}), run, "key long, parent long, gram long, root long, toxic long, ordinary long")
+    return got.groupBy("key").agg(F.min("parent").alias("parent"), F.min("gram").alias("gram"), F.min("root").alias("root"), F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
+
+
+def model(counts: DataFrame) -> DataFrame:
+    """``key, root, ratio, miss``: log of toxic to ordinary probability of a beginning's last byte after the
+    rest of it, and of a byte that neither class has met after it (both beside the shared back-off)."""
+    counts = written(counts, "beginnings")
+    classes = ("toxic", "ordinary")
+    seen = counts.agg(*(F.count_if(F.col(c) == i) for c in classes for i in (1, 2, 3, 4))).first()
+    cuts = {c: ngram._discounts(*seen[4 * j : 4 * j + 4]) for j, c in enumerate(classes)}
+    cut = {c: ngram._by_count(F.col(c), cuts[c]) for c in classes}
+    free = counts.groupBy("parent").agg(*(F.sum(c).alias(f"all_{c}") for c in classes), *(F.sum(cut[c]).alias(f"cut_{c}") for c in classes))
+    gamma = {c: F.when(F.col(f"all_{c}") > 0, F.col(f"cut_{c}") / F.col(f"all_{c}")).otherwise(1.0) for c in classes}
+    free = written(free.select("parent", *(F.col(f"all_{c}") for c in classes), *(gamma[c].alias(f"free_{c}") for c in classes)), "contexts")
+    grams = counts.groupBy(F.col("gram").alias("key")).agg(F.sum(F.col("toxic") + F.col("ordinary")).alias("n"))
+    below = ngram.model(grams, ORDER, bits=8).where((F.col("part") == "p") & (F.col("k") == ORDER)).select(F.col("key").alias("gram"), F.exp("value").alias("below"))
+    own = counts.join(free, "parent").join(below, "gram")
+    p = {c: F.when(F.col(f"all_{c}") > 0, F.greatest(F.col(c) - cut[c], F.lit(0.0)) / F.col(f"all_{c}")).otherwise(0.0) + F.col(f"free_{c}") * F.col("below") for c in classes}
+    steps = own.select("key", "root", F.log(p["toxic"] / p["ordinary"]).cast("float").alias("ratio"))
+    misses = free.select(F.col("parent").alias("key"), F.log(F.col("free_toxic") / F.col("free_ordinary")).cast("float").alias("miss"))
+    found = written(steps.join(misses, "key", "left").select("key", "root", "ratio", F.coalesce("miss", F.lit(0.0).cast("float")).alias("miss")), "toxicity")
+    discard(counts, free)
+    return found
+
+
+class Ratios:
+    """Log-likelihood ratios of words under the rows of a model (of one shard)."""
+
+    def __init__(self, key: np.ndarray, ratio: np.ndarray, miss: np.ndarray) -> None:
+        self.at, self.ratio, self.miss = ngram.Table(key, np.arange(len(key), dtype=np.float32)), ratio, miss
+
+    def of(self, group: Words) -> np.ndarray:
+        """Of each distinct word, toxic against ordinary, at most ``LIMIT``."""
+        out = np.zeros(len(group.hash))
+        alive, last = np.arange(len(out)), np.full(len(out), -1)
+        for k in range(1, DEPTH + 1):
+            alive = alive[group.size[alive] >= k]
+            if not len(alive):
+                break
+            place, found = self.at.get(group.beginnings(k, alive))
+            place = place.astype(np.int64)
+            out[alive[found]] += self.ratio[place[found]]
+            lost = alive[~found & (last[alive] >= 0)]
+            out[lost] += self.miss[last[lost]]
+            alive = alive[found]
+            last[alive] = place[found]
+        return np.minimum(out, LIMIT)
 
 
 def _strongest(best: np.ndarray, owner: np.ndarray, value: np.ndarray) -> np.ndarray:
@@ -45,28 +185,26 @@ def _strongest(best: np.ndarray, owner: np.ndarray, value: np.ndarray) -> np.nda
     return value[start[:, None] + np.arange(TOP)]
 
 
-def _features(letters, tables):
-    toxic, ordinary = (ngram.Scorer(tables.value, name=n, bits=letters.value.bits) for n in ("toxic", "ordinary"))
+def _summed(tables, shards: int, shard: int):
+    ratios = Ratios(*tables.value)
 
     def step(batch: pa.RecordBatch):
         texts = batch.column("text").to_pylist()
         n = len(texts)
-        total, words, marked = (np.zeros(n) for _ in range(3))
-        length = np.array([len(ngram.fold(t, True)) for t in texts])
+        count, total, marked = (np.zeros(n) for _ in range(3))
         best = np.zeros((n, TOP))
-        for keys, doc, symbols in letters.value.keys(texts, lower=True):
-            ratio = (toxic.log_p(keys) - ordinary.log_p(keys)).astype(float)
-            total += np.bincount(doc, ratio, n)
-            first = np.ones(len(keys), bool)
-            first[1:] = (symbols[:-1] == SPACE) | (doc[1:] != doc[:-1])
-            start = np.nonzero(first)[0]
-            value = np.add.reduceat(ratio, start)
-            owner = doc[start]
-            words += np.bincount(owner, minlength=n)
-            marked += np.bincount(owner, value > MARKED, n)
-            best = _strongest(best, owner, np.minimum(value, LIMIT))
-        mean, share = total / np.maximum(length, 1), marked / np.maximum(words, 1)
-        return {"ratios": pa.array(np.column_stack([best, mean, share]).tolist(), pa.list_(pa.float64()))}, None
+        for group in words(texts):
+            owner, kind, value = group.owner, group.kind, ratios.of(group)
+            if shards > 1:
+                mine = (group.roots() % shards == shard)[kind]
+                owner, kind = owner[mine], kind[mine]
+            each = value[kind]
+            count += np.bincount(owner, minlength=n)
+            total += np.bincount(owner, each, n)
+            strong = each > 0
+            marked += np.bincount(owner[strong], np.maximum(each[strong] - MARKED, 0), n)
+            best = _strongest(best, owner[strong], each[strong])
+        return {"words": pa.array(count.astype(np.int64)), "sums": pa.array(np.column_stack([total, marked]).tolist(), pa.list_(pa.float64())), "top": pa.array(best.tolist(), pa.list_(pa.float64()))}, None
 
     return step
 
@@ -91,16 +229,12 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
 class Detector:
     """A fitted detector; ``scored`` applies it."""
 
-    def __init__(self, docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_toxic: int = 4000, max_ordinary: int = 6000) -> None:
+    def __init__(self, docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_toxic: int = 4000, max_ordinary: int = 6000, max_shard_rows: int = 3_000_000) -> None:
         self.id_col, self.text_col = id_col, text_col
-        sample = written(labelled(docs, labels, label_col, {1: max_toxic, 0: max_ordinary}, id_col, text_col), "toxic")
+        sample = written(labelled(docs, labels, label_col, {1: max_toxic, 0: max_ordinary}, id_col, text_col), "sample")
         fit = F.pmod(F.xxhash64(F.lit("part"), "doc_id"), F.lit(10)) < 7
-        modelled = sample.where(fit).withColumn("flag", F.col("label") == 1)
-        context = docs.sparkSession.sparkContext
-        letters = ngram.alphabet(modelled, lower=True)
-        counts = ngram.count_ngrams(modelled, letters, "text", "flag", lower=True)
-        tables = ngram.collected(ngram.model(counts, classes={"toxic": F.col("flagged"), "ordinary": F.col("n") - F.col("flagged")}, bits=letters.bits))
-        self.letters, self.tables = context.broadcast(letters), context.broadcast(tables)
+        self.model = model(counted(sample.where(fit).withColumn("flag", F.col("label") == 1)))
+        self.shards = max(1, -(-self.model.count() // max_shard_rows))
         rest = self.ratios(sample.where(~fit), "text", ["label"]).toPandas()
         y = rest["label"].to_numpy(float)
         self.weights = None
@@ -108,10 +242,32 @@ class Detector:
             self.weights, self.centre, self.scale = _logistic(np.array(rest["ratios"].tolist(), float), y)
         self.only = float(y.mean()) if len(y) else 0.0
 
+    def _tables(self, shard: int):
+        mine = (F.col("root") == ROOT) | (F.pmod("root", F.lit(self.shards)) == shard)
+        got = (self.model if self.shards == 1 else self.model.where(mine)).toArrow()
+        return self.model.sparkSession.sparkContext.broadcast(tuple(got.column(c).to_numpy() for c in ("key", "ratio", "miss")))
+
     def ratios(self, docs: DataFrame, text_col: str, keep: list[str] | None = None) -> DataFrame:
-        """Rows of ``docs`` with ``ratios``: the strongest words, the mean, the share of marked words."""
-        letters, tables = self.letters, self.tables
-        return arrow_map(docs, lambda: _features(letters, tables), {"text": text_col}, FEATURES, keep)
+        """Rows of ``docs`` with ``ratios``: the means of the strongest words and of all, the marked evidence, the words."""
+        n = self.shards
+        if n == 1:
+            tables = self._tables(0)
+            got = arrow_map(docs, lambda: _summed(tables, 1, 0), {"text": text_col}, FOUND, keep)
+        else:
+
+            def one(s: int):
+                def run(texts: DataFrame) -> DataFrame:
+                    tables = self._tables(s)
+                    return arrow_map(texts, lambda: _summed(tables, n, s), {"text": "text"}, FOUND, ["_text_hash"])
+
+                return run
+
+            strongest = F.slice(F.sort_array(F.flatten(F.collect_list("top")), asc=False), 1, TOP)
+            kept = [c for c in dict.fromkeys(docs.columns if keep is None else keep) if c.lower() not in FOUND.names]
+            got = in_passes(docs, text_col, kept, (one(s) for s in range(n)), [F.sum("words").alias("words"), F.array(*(F.sum(F.col("sums")[i]) for i in (0, 1))).alias("sums"), strongest.alias("top")])
+        means = [F.aggregate(F.slice("top", 1, k), F.lit(0.0), lambda t, x: t + x) / k for k in STRONGEST]
+        whole = F.col("sums")[0] / F.greatest("words", F.lit(1))
+        return got.withColumn("ratios", F.array(*means, whole, F.log1p(F.col("sums")[1]), F.log1p("words"))).drop(*FOUND.names)
 
     def scored(self, docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
         """Rows of ``docs`` (columns ``keep``, default all) with ``ratios`` and ``score``."""
@@ -119,6 +275,6 @@ class Detector:
         if self.weights is None:
             return got.withColumn("score", F.lit(self.only))
         margin = F.lit(float(self.weights[-1]))
-        for i in range(TOP + 2):
+        for i in range(len(self.weights) - 1):
             margin = margin + (F.col("ratios")[i] - float(self.centre[i])) / float(self.scale[i]) * float(self.weights[i])
         return got.withColumn("score", 1 / (1 + F.exp(-margin)))
