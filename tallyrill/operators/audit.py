@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyrill.functions.address import postal_valid
@@ -50,10 +50,15 @@ def encoding_findings(df: DataFrame, order: str, columns: list[str] | None = Non
     return long.withColumn("type", finding(F.col("value"))).where("type is not null")
 
 
+def _bad_postal(code: str, country: str, checked: tuple[str, ...]) -> tuple[Column, Column]:
+    """The stripped code, and whether it is non-blank without the country's form."""
+    text = strip(F.coalesce(_col(code).cast("string"), F.lit("")))
+    return text, (text != "") & ~postal_valid(text, F.lit(country)) if country.upper() in checked else F.lit(False)
+
+
 def postal_invalid(df: DataFrame, order: str, code: str = "postal_code", country: str = "BE", checked: tuple[str, ...] = ("BE",)) -> DataFrame:
     """``row_ord, postal_code`` of non-blank codes without the country's form; countries not ``checked`` pass."""
-    text = strip(F.coalesce(_col(code).cast("string"), F.lit("")))
-    bad = (text != "") & ~postal_valid(text, F.lit(country)) if country.upper() in checked else F.lit(False)
+    text, bad = _bad_postal(code, country, checked)
     return df.where(bad).select(_col(order).alias("row_ord"), text.alias("postal_code"))
 
 
@@ -67,27 +72,39 @@ def excel_row(order_col):
     return order_col + 2
 
 
-def audit(df: DataFrame, keys: list[str], order: str, country: str = "BE", dataset: str = "") -> DataFrame:
-    """The whole audit as one row: counts, coverage, duplicates, findings and their first ten."""
+def audit(df: DataFrame, keys: list[str], order: str, country: str = "BE", dataset: str = "", checked: tuple[str, ...] = ("BE",)) -> DataFrame:
+    """The whole audit as one row: counts, coverage, duplicates, findings and their first ten.
+
+    One aggregate makes all counts; the duplicates are a second one, by key, and each list of samples is a top ten.
+    """
     keys = [k for k in keys if k in df.columns]
     names = [c for c in df.columns if c != order]
-    base = df.agg(F.count("*").alias("total_rows")).select(F.lit(dataset).alias("dataset"), "total_rows", F.lit(len(names)).alias("total_columns"))
-    entry = F.struct("empty_rows", "empty_percentage")
-    coverage = blank_coverage(df.select(*map(_col, names))).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col("column_name").alias("key"), entry.alias("value"))))).alias("null_coverage"))
-    out = base.crossJoin(F.broadcast(coverage))  # one row by one row
-    if keys:
+    blank = [F.count_if(is_blank(_col(c).cast("string"))).alias(f"_b{i}") for i, c in enumerate(names)]
+    kinds = F.array(*(finding(F.coalesce(_col(c).cast("string"), F.lit(""))) for c in names)) if names else F.array().cast("array<string>")
+    counts = [F.coalesce(F.sum(F.size(F.filter(kinds, lambda k: k.isNotNull()))), F.lit(0)).alias("encoding_issues_count")]
+    lists = [("encoding_samples", encoding_findings(df, order), ["row_ord", "column_name"])] if names else []
+    if "postal_code" in names:
+        counts.append(F.count_if(_bad_postal("postal_code", country, checked)[1]).alias("invalid_postal_codes_count"))
+        lists.append(("invalid_postal_samples", postal_invalid(df, order, country=country, checked=checked), ["row_ord"]))
+    base = df.agg(F.count("*").alias("total_rows"), *blank, *counts)
+    share = [pct_text(F.try_divide(F.col(f"_b{i}"), F.col("total_rows")) * 100) for i in range(len(names))]
+    entries = F.array(*(F.struct(F.lit(c).alias("key"), F.struct(F.col(f"_b{i}").alias("empty_rows"), share[i].alias("empty_percentage")).alias("value")) for i, c in enumerate(names)))
+    coverage = F.map_from_entries(F.array_sort(F.filter(entries, lambda e: e["value"]["empty_rows"] > 0))) if names else F.create_map()
+    out = base.select(F.lit(dataset).alias("dataset"), "total_rows", F.lit(len(names)).alias("total_columns"), coverage.alias("null_coverage"), *base.columns[1 + len(names) :])
+    if keys:  # one row by one row, here and below
         dup = duplicate_summary(df, keys).select(F.struct(F.array(*map(F.lit, keys)).alias("keys_checked"), "duplicate_rows", "unique_rows").alias("duplicates"))
         out = out.crossJoin(F.broadcast(dup))
-    found = encoding_findings(df, order)
-    parts = [("encoding_issues_count", "encoding_samples", found, ["row_ord", "column_name"])]
-    if "postal_code" in names:
-        parts.append(("invalid_postal_codes_count", "invalid_postal_samples", postal_invalid(df, order, country=country), ["row_ord"]))
-    for count, samples, rows, by in parts:
-        first = sample(rows, by).agg(F.array_sort(F.collect_list(F.struct(*rows.columns))).alias(samples))
-        out = out.crossJoin(F.broadcast(rows.agg(F.count("*").alias(count)))).crossJoin(F.broadcast(first))
+    for name, rows, by in lists:
+        out = out.crossJoin(F.broadcast(sample(rows, by).agg(F.array_sort(F.collect_list(F.struct(*rows.columns))).alias(name))))
     return out
 
 
 def duplicate_flags(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Every row with ``is_duplicate``, by a window over the keys."""
-    return df.withColumn("is_duplicate", F.count("*").over(Window.partitionBy(*map(_col, keys))) > 1)
+    """Every row with ``is_duplicate``; null is a key value.  Keys met more than once are counted and joined back."""
+    groups = df.groupBy(*map(_col, keys)).agg(F.count("*").alias("_n")).where("_n > 1")
+    renamed = groups.select(*(_col(k).alias(f"_g{i}") for i, k in enumerate(keys)), "_n")
+    same = [_col(k).eqNullSafe(F.col(f"_g{i}")) for i, k in enumerate(keys)]
+    condition = same[0]
+    for s in same[1:]:
+        condition = condition & s
+    return df.join(renamed, condition, "left").withColumn("is_duplicate", F.col("_n").isNotNull()).drop("_n", *(f"_g{i}" for i in range(len(keys))))

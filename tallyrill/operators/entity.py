@@ -33,16 +33,43 @@ def fuzzy_candidates(df: DataFrame, name: str, block: str | None, order: str, th
     return a.join(b, on).select(F.col("a.block").alias("block"), F.col("a.n").alias("first"), F.col("b.n").alias("second"))
 
 
-def fuzzy_pairs(df: DataFrame, name: str, block: str | None, order: str, threshold: float = 0.85, most_unblocked: int = 20_000) -> DataFrame:
+def possible_pairs(df: DataFrame, name: str, block: str | None, order: str, threshold: float = 0.85) -> DataFrame:
+    """Those of the :func:`fuzzy_candidates` whose letters allow the threshold, found without comparing all names of a block.
+
+    A similarity is twice the matching characters over both lengths, and no more characters match than
+    the two names share.  A name's characters, numbered by occurrence, are a set of tokens, and a name of
+    size ``s`` shares at least ``threshold * s / (2 - threshold)`` of them with any partner; so of the tokens beyond
+    that, the rarest, two partners have one in common.  Names meet by block and such a token, which
+    deals a block of any size over its tokens; then the whole sets are compared.
+    """
+    names = _named(df, name, block, order).groupBy("block", "n").agg(F.min("_ord").alias("lo"), F.max("_ord").alias("hi")).where("n <> ''")
+    letters = F.split("n", "")
+    numbered = F.transform(letters, lambda c, i: F.concat(c, F.size(F.filter(F.slice(letters, 1, i + 1), lambda x: x == c)).cast("string")))
+    names = names.withColumn("tokens", numbered).withColumn("size", F.size("tokens"))
+    each = names.select("block", "n", F.explode("tokens").alias("token"))
+    often = each.groupBy("token").agg(F.count("*").alias("often"))
+    ranked = each.join(often, "token").groupBy("block", "n").agg(F.array_sort(F.collect_list(F.struct("often", "token"))).alias("ranked"))
+    sized = F.size("ranked")
+    shared = F.ceil(sized * threshold / (2 - threshold) - 1e-9).cast("int")
+    rare = ranked.select("block", "n", F.explode(F.slice("ranked", F.lit(1), F.greatest(sized - shared + 1, F.lit(1)))).alias("r")).select("block", "n", "r.token")
+    keyed = rare.join(names, ["block", "n"])
+    a, b = keyed.alias("a"), keyed.alias("b")
+    size = F.col("a.size") + F.col("b.size")
+    on = (F.col("a.block") == F.col("b.block")) & (F.col("a.token") == F.col("b.token")) & (F.col("a.n") != F.col("b.n")) & (F.col("a.lo") < F.col("b.hi")) & (2 * F.least("a.size", "b.size") >= threshold * size)
+    near = a.join(b, on).where(2 * F.size(F.array_intersect("a.tokens", "b.tokens")) >= threshold * size)
+    return near.select(F.col("a.block").alias("block"), F.col("a.n").alias("first"), F.col("b.n").alias("second")).distinct()
+
+
+def fuzzy_pairs(df: DataFrame, name: str, block: str | None, order: str, threshold: float = 0.85, most_unblocked: int | None = None) -> DataFrame:
     """``ord_1, name_1, ord_2, name_2, block, similarity, similarity_score`` of row pairs in a block, in row order,
     whose names differ but are similar. The measure depends on the order of its arguments.
 
-    Without a block all rows are one; then more than ``most_unblocked`` distinct names raise.
+    Without a block all rows are one; where ``most_unblocked`` is given, more distinct names than that raise then.
     """
     rows = _named(df, name, block, order)
-    if block is None and rows.select("n").distinct().limit(most_unblocked + 1).count() > most_unblocked:
+    if block is None and most_unblocked is not None and rows.select("n").distinct().limit(most_unblocked + 1).count() > most_unblocked:
         raise ValueError(f"more than {most_unblocked} names and no block to compare them in")
-    pairs = fuzzy_candidates(df, name, block, order, threshold)
+    pairs = possible_pairs(df, name, block, order, threshold)
     scored = pairs.select("first", "second").distinct().withColumn("similarity", seq_ratio("first", "second")).where(F.col("similarity") >= threshold)
     good = pairs.join(scored, ["first", "second"])
     a, b = rows.alias("a"), rows.alias("b")
@@ -139,9 +166,9 @@ def brand_audit(df: DataFrame, order: str, country: str = "CH", columns: dict[st
         F.coalesce(F.bool_or(F.when(real, local)), F.lit(False)).alias("local"),
     )
     cities = rows.where("city is not null").groupBy("brand", "city").agg(F.min("_ord").alias("first"))
-    placed = cities.withColumn("_r", F.row_number().over(Window.partitionBy("brand").orderBy("first")))
-    listed = F.transform(F.array_sort(F.collect_list(F.when(F.col("_r") <= 3, F.struct("_r", "city")))), lambda x: x["city"])
-    cities = placed.groupBy("brand").agg(listed.alias("cities"), F.count("*").alias("n_cities"))
+    first = cities.withColumn("_r", F.row_number().over(Window.partitionBy("brand").orderBy("first"))).where("_r <= 3")  # cut before the shuffle
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("_r", "city"))), lambda x: x["city"])
+    cities = first.groupBy("brand").agg(listed.alias("cities")).join(cities.groupBy("brand").agg(F.count("*").alias("n_cities")), "brand")
     more = F.when(F.col("n_cities") > 3, F.concat(F.lit(" (+"), (F.col("n_cities") - 3).cast("string"), F.lit(" more)"))).otherwise("")
     out = base.join(cities, "brand", "left").withColumn("v", classified(strip(F.col("brand")), country))
     return out.select(

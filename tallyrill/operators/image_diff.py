@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyrill.operators.web import _mapped
 from tallyrill.sources.images import decode_png, encode_png
 
 # Fixed values of the published perceptual measure: the largest difference, squared and weighted,
@@ -55,7 +56,7 @@ def image_diff(pairs: DataFrame, id_col: str, first: str, second: str, threshold
                 rows.append((key, w, h, w * h, int(out.sum()), encode_png(shown) if with_image else None))
             yield pd.DataFrame(rows, columns=[id_col, "width", "height", "total_pixels", "different_pixels", "diff"])
 
-    got = pairs.select(id_col, first, second).mapInPandas(run, f"{id_col} {kind}, width int, height int, total_pixels long, different_pixels long, diff binary")
+    got = _mapped(pairs.select(id_col, first, second), run, f"{id_col} {kind}, width int, height int, total_pixels long, different_pixels long, diff binary")
     share = percent(F.col("different_pixels"), F.col("total_pixels"))
     got = got.withColumn("percent", share).withColumn("band", band(F.col("percent")))
     return got if with_image else got.drop("diff")

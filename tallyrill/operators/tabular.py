@@ -38,18 +38,39 @@ def column_stats(df: DataFrame, approximate: bool = False) -> DataFrame:
     return values.groupBy("column_name").agg(F.sum("n").alias("total_rows"), F.coalesce(F.sum(F.when(F.col("v") == "", F.col("n"))), F.lit(0)).alias("blanks"), F.count("*").alias("distinct_values"))
 
 
-def slice_rows(df: DataFrame, spec: str | None, order: str) -> DataFrame:
+def positioned(df: DataFrame, order: list[str], per_range: int = 1_000_000, most_ranges: int = 1000) -> DataFrame:
+    """All rows with ``_range`` and ``_position``, from 1 by ``order`` (whose values together are unique).
+
+    No task sorts more than a range: the order is cut at up to ``most_ranges`` rows chosen by hash, one for
+    ``per_range`` rows; the ranges are counted, and only the inside of a range is ranked.
+    """
+    cuts = min(most_ranges, df.count() // per_range)
+    place, offsets = F.lit(0), [0]
+    if cuts:
+        chosen = df.select(*map(_col, order)).orderBy(F.xxhash64(*map(_col, order))).limit(cuts).distinct().orderBy(*map(_col, order)).collect()
+        kinds = [df.schema[c].dataType for c in order]
+        edge = lambda row: F.struct(*(F.lit(v).cast(k).alias(f"o{i}") for i, (v, k) in enumerate(zip(row, kinds, strict=True))))
+        key = F.struct(*(_col(c).alias(f"o{i}") for i, c in enumerate(order)))
+        place = F.size(F.filter(F.array(*map(edge, chosen)), lambda e: e <= key))
+        counts = {r["_range"]: r["n"] for r in df.groupBy(place.alias("_range")).agg(F.count("*").alias("n")).collect()}
+        for i in range(len(chosen)):
+            offsets.append(offsets[-1] + counts.get(i, 0))
+    ranked = F.row_number().over(Window.partitionBy("_range").orderBy(*map(_col, order)))
+    before = F.element_at(F.array(*(F.lit(n).cast("long") for n in offsets)), F.col("_range") + 1)
+    return df.withColumn("_range", place).withColumn("_position", before + ranked)
+
+
+def slice_rows(df: DataFrame, spec: str | None, order: str, per_range: int = 1_000_000) -> DataFrame:
     """``n``: the first n rows; ``a-b``: rows a to b from 1; anything else warns and keeps all."""
     if not spec:
         return df
     if spec.isdigit():
-        return df.orderBy(order).limit(int(spec))
+        return df.orderBy(_col(order)).limit(int(spec))
     m = re.fullmatch(r"(\d+)-(\d+)", spec)
     if not m:
         warnings.warn(f"row range {spec!r} is not understood; all rows are kept", stacklevel=2)
         return df
-    a, b = max(1, int(m[1])), int(m[2])
-    return df.orderBy(order).limit(max(0, b)).orderBy(order).offset(a - 1)
+    return positioned(df, [order], per_range).where(F.col("_position").between(max(1, int(m[1])), int(m[2]))).drop("_range", "_position")
 
 
 def merge_tables(tables: list[DataFrame]) -> DataFrame:

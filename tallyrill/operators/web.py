@@ -15,6 +15,16 @@ from tallyrill.functions.text import strip, text_or
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 
 
+#: Bytes of a batch of pages on its way to a Python worker; a batch holds one page at least.
+BATCH = 8 << 20
+
+
+def _mapped(df: DataFrame, run, schema: str) -> DataFrame:
+    """``mapInPandas`` in batches bounded by bytes, so that long pages do not add up in a worker."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH))
+    return df.mapInPandas(run, schema)
+
+
 def page_links(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
     """``id, position, text, href`` of every link."""
     return pages.select(id_col, F.posexplode(H.links(F.col(html_col))).alias("position", "l")).select(id_col, "position", "l.text", "l.href")
@@ -50,9 +60,14 @@ def link_summary(checked: DataFrame, by: str, most: int = 50) -> DataFrame:
 
 
 def image_summary(images: DataFrame, by: str) -> DataFrame:
-    """From ``by, src, alt, natural_width, complete``: ``total, broken, missing_alt``."""
+    """From ``by, src, alt, natural_width, complete`` (and ``position``): ``total, broken, missing_alt`` and ``details``, a page's images
+    by position, where there is one, else by source; an image without a text says so."""
     alt = F.coalesce("alt", F.lit(""))
-    return images.groupBy(by).agg(F.count("*").alias("total"), F.count_if(F.col("complete") & (F.col("natural_width") == 0)).alias("broken"), F.count_if(alt.isin("", "(no alt text)")).alias("missing_alt"))
+    shown = F.when(alt == "", "(no alt text)").otherwise(alt)
+    place = [F.col("position")] if "position" in images.columns else []
+    detail = F.struct(*place, F.col("src"), shown.alias("alt"), "natural_width", "complete")
+    details = F.array_sort(F.collect_list(detail))
+    return images.groupBy(by).agg(F.count("*").alias("total"), F.count_if(F.col("complete") & (F.col("natural_width") == 0)).alias("broken"), F.count_if(alt.isin("", "(no alt text)")).alias("missing_alt"), (F.transform(details, lambda d: d.dropFields("position")) if place else details).alias("details"))
 
 
 def console_errors(messages: DataFrame, most: int = 20, order: str = "position") -> DataFrame:
@@ -151,7 +166,7 @@ def select_records(pages: DataFrame, selector: str, fields: dict[str, str] | Non
                     rows.append((key, i, *values))
             yield pd.DataFrame(rows, columns=[id_col, "position", *names])
 
-    return pages.select(id_col, html_col).mapInPandas(run, f"{id_col} {kind}, position int, " + ", ".join(f"`{n}` string" for n in names))
+    return _mapped(pages.select(id_col, html_col), run, f"{id_col} {kind}, position int, " + ", ".join(f"`{n}` string" for n in names))
 
 
 def page_forms(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
@@ -169,7 +184,7 @@ def page_forms(pages: DataFrame, id_col: str = "page_id", html_col: str = "html"
             yield pd.DataFrame(rows, columns=[id_col, "form_index", "action", "method", "fields"])
 
     fields = "tag: string, type: string, name: string, id: string, placeholder: string, required: boolean"
-    return pages.select(id_col, html_col).mapInPandas(run, f"{id_col} {kind}, form_index int, action string, method string, fields array<struct<{fields}>>")
+    return _mapped(pages.select(id_col, html_col), run, f"{id_col} {kind}, form_index int, action string, method string, fields array<struct<{fields}>>")
 
 
 # --- search hits --------------------------------------------------------------------------
@@ -229,4 +244,4 @@ def engine_hits(pages: DataFrame, id_col: str = "page_id", html_col: str = "html
                         rows.append((key, i + 1, link.text().strip(), link.attrs.get("href", ""), text.text().strip() if text else ""))
             yield pd.DataFrame(rows, columns=[id_col, "rank", "title", "url", "snippet"])
 
-    return pages.select(id_col, html_col).mapInPandas(run, f"{id_col} {kind}, rank int, title string, url string, snippet string")
+    return _mapped(pages.select(id_col, html_col), run, f"{id_col} {kind}, rank int, title string, url string, snippet string")

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tallyrill.functions import address, html, text, urls
 from tallyrill.operators import audit, domains, entity, image_diff, severity, tabular, web
 from tallyrill.plans import report
+from tallyrill.sources import fetch, images
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -219,6 +220,14 @@ audit AS (SELECT trim(brand) AS brand_name, coalesce(category, 'General') AS cat
   CASE WHEN contains(lower(brand), 'corrupted') OR regexp_matches(brand, '(?i)\b(ingenieure|architektur|consulting|holding|bau|berater|contractor|construction)\b') THEN 'Misrepresentation'
     WHEN contains(lower(brand), 'hotel') OR contains(lower(brand), 'ibis') OR contains(lower(brand), 'radisson') THEN 'Manual Review'
     WHEN contains(lower(brand), 'bank') AND len(string_split(trim(brand), ' ')) > 3 THEN 'Manual Review' ELSE 'Verified Present' END AS status,
+  CASE WHEN contains(lower(brand), 'corrupted') THEN 'Corrupted brand string containing supervisor edit instruction.'
+    WHEN regexp_matches(brand, '(?i)\b(ingenieure|architektur|consulting|holding|bau|berater|contractor|construction)\b') THEN 'Industrial construction, B2B engineering, or architectural firm with no retail store chain.'
+    WHEN contains(lower(brand), 'hotel') OR contains(lower(brand), 'ibis') OR contains(lower(brand), 'radisson') THEN 'Hotel chain property. Verify subcategory taxonomy alignment to ''Hotels & Accommodations''.'
+    WHEN contains(lower(brand), 'bank') AND len(string_split(trim(brand), ' ')) > 3 THEN 'Brand name contains regional canton/city suffix. Clean location suffix.' ELSE 'Active franchise brand verified operating in NET.' END AS reason,
+  CASE WHEN contains(lower(brand), 'corrupted') THEN 'REMOVE / MERGE — Clean and merge under canonical brand name.'
+    WHEN regexp_matches(brand, '(?i)\b(ingenieure|architektur|consulting|holding|bau|berater|contractor|construction)\b') THEN 'REMOVE / RECLASSIFY — B2B entity, not a consumer retail franchise.'
+    WHEN contains(lower(brand), 'hotel') OR contains(lower(brand), 'ibis') OR contains(lower(brand), 'radisson') THEN 'ALIGN TAXONOMY — Confirm subcategory matches ''Hotels & Accommodations''.'
+    WHEN contains(lower(brand), 'bank') AND len(string_split(trim(brand), ' ')) > 3 THEN 'STRIP LOCATION SUFFIX — Clean franchise_name to pure brand name.' ELSE 'VERIFIED' END AS action_required,
   website AS sample_website, coalesce(array_to_string(l[1:3], ', ') || CASE WHEN len(l) > 3 THEN ' (+' || (len(l) - 3) || ' more)' ELSE '' END, '') AS sample_cities, CASE WHEN local THEN 'Yes' ELSE 'No' END AS domain_hint
   FROM base LEFT JOIN cities USING (brand))"""
 
@@ -233,12 +242,12 @@ def _brands(spark, sf_dir) -> DataFrame:
 
 @query(f"WITH {BRANDS} SELECT * FROM audit")
 def brand_audit(spark, sf_dir):
-    return _brands(spark, sf_dir).drop("reason", "action_required")
+    return _brands(spark, sf_dir)
 
 
-@query(f"WITH {BRANDS} SELECT brand_name, status, branch_count FROM audit ORDER BY status, branch_count DESC, brand_name LIMIT 20")
+@query(f"WITH {BRANDS} SELECT brand_name, status, branch_count FROM audit ORDER BY status, branch_count DESC, brand_name")
 def brand_sorted(spark, sf_dir):
-    return entity.brand_sorted(_brands(spark, sf_dir)).select("brand_name", "status", "branch_count").limit(20)
+    return entity.brand_sorted(_brands(spark, sf_dir)).select("brand_name", "status", "branch_count")
 
 
 NAMES = "n AS (SELECT p_brand AS block, lower(trim(p_name)) AS n, min(p_partkey) AS lo, max(p_partkey) AS hi FROM part WHERE p_name IS NOT NULL AND p_brand IS NOT NULL GROUP BY ALL)"
@@ -263,8 +272,14 @@ def fuzzy_pairs_top(spark, sf_dir):
 # --- addresses and domains ----------------------------------------------------------------
 
 CODES = "codes AS (SELECT o_orderkey, CASE o_orderkey % 6 WHEN 0 THEN CAST(o_orderkey % 10000 AS VARCHAR) WHEN 1 THEN '1-' || lpad(CAST(o_orderkey % 1000 AS VARCHAR), 3, '0') WHEN 2 THEN CAST(1000 + o_orderkey % 9000 AS VARCHAR) || ' AB' WHEN 3 THEN NULL WHEN 4 THEN CAST(10000 + o_orderkey % 90000 AS VARCHAR) ELSE 'SW1A 1AA' END AS code, ['BE', 'lu', 'US', 'DE', 'NL', 'GB', 'XX'][o_orderkey % 7 + 1] AS cc FROM orders)"
-RANGES = " ".join(f"WHEN d BETWEEN {a} AND {b} THEN '{n}'" for a, b, n in address.PROVINCES_BE)
-VALID = " ".join(f"WHEN upper(cc) = '{cc}' THEN regexp_matches(coalesce(trim(code), 'None'), '(?i){p}')" for cc, p in address.POSTAL_PATTERNS.items())
+# Fixed values, spelled out here once more so that the operators are not compared with themselves.
+RANGES = """WHEN d BETWEEN 1000 AND 1299 THEN 'Brussels-Capital Region' WHEN d BETWEEN 1300 AND 1499 THEN 'Walloon Brabant' WHEN d BETWEEN 1500 AND 1999 THEN 'Flemish Brabant'
+  WHEN d BETWEEN 2000 AND 2999 THEN 'Antwerp' WHEN d BETWEEN 3000 AND 3499 THEN 'Flemish Brabant' WHEN d BETWEEN 3500 AND 3999 THEN 'Limburg' WHEN d BETWEEN 4000 AND 4999 THEN 'Liège'
+  WHEN d BETWEEN 5000 AND 5999 THEN 'Namur' WHEN d BETWEEN 6000 AND 6599 THEN 'Hainaut' WHEN d BETWEEN 6600 AND 6999 THEN 'Luxembourg (BE)' WHEN d BETWEEN 7000 AND 7999 THEN 'Hainaut'
+  WHEN d BETWEEN 8000 AND 8999 THEN 'West Flanders' WHEN d BETWEEN 9000 AND 9999 THEN 'East Flanders'"""
+VALID = r"""WHEN upper(cc) IN ('BE', 'LU') THEN regexp_matches(coalesce(trim(code), 'None'), '^\d{4}$') WHEN upper(cc) = 'US' THEN regexp_matches(coalesce(trim(code), 'None'), '^\d{5}(-\d{4})?$')
+  WHEN upper(cc) IN ('DE', 'FR') THEN regexp_matches(coalesce(trim(code), 'None'), '^\d{5}$') WHEN upper(cc) = 'NL' THEN regexp_matches(coalesce(trim(code), 'None'), '(?i)^\d{4}\s?[A-Z]{2}$')
+  WHEN upper(cc) = 'GB' THEN regexp_matches(coalesce(trim(code), 'None'), '(?i)^[A-Z]{1,2}\d[A-Z\d]?\s?\d[A-Z]{2}$')"""
 
 
 def _codes(spark, sf_dir) -> DataFrame:
@@ -411,18 +426,19 @@ def jsonld_flatten(spark, sf_dir):
     return records.select("event_id", F.get_json_object("r", "$.k").cast("long").alias("k")).groupBy("event_id", "k").agg(F.count("*").alias("copies"))
 
 
-@query("WITH " + LINKS + ", c AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY position) AS r, CASE (page_id + position) % 10 WHEN 0 THEN 404 WHEN 1 THEN 0 ELSE 200 END AS status FROM links) SELECT page_id, count(*) AS total, count(*) FILTER (WHERE r <= 4) AS checked, count(*) FILTER (WHERE r <= 4 AND NOT (status > 0 AND status < 400)) AS broken FROM c GROUP BY page_id")
+@query("WITH " + LINKS + ", c AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY position) AS r, CASE (page_id + position) % 10 WHEN 0 THEN 404 WHEN 1 THEN 0 ELSE 200 END AS status FROM links) SELECT page_id, count(*) AS total, count(*) FILTER (WHERE r <= 50) AS checked, count(*) FILTER (WHERE r <= 50 AND NOT (status > 0 AND status < 400)) AS broken, string_agg(href || ' ' || status, '|' ORDER BY r) FILTER (WHERE r <= 50) AS details FROM c GROUP BY page_id")
 def link_status_summary(spark, sf_dir):
     n = (F.col("page_id") + F.col("position")) % 10
     links = web.page_links(table(spark, sf_dir, "pages")).withColumn("status", F.when(n == 0, 404).when(n == 1, 0).otherwise(200))
-    return web.link_summary(links, "page_id", 4).drop("details")
+    details = F.array_join(F.transform("details", lambda d: F.concat_ws(" ", d["href"], d["status"].cast("string"))), "|")
+    return web.link_summary(links, "page_id").withColumn("details", details)
 
 
-@query("SELECT page_id % 20 AS page, count(*) AS total, count(*) FILTER (WHERE page_id % 3 = 0 AND page_id % 2 = 0) AS broken, count(*) FILTER (WHERE page_id % 5 = 0) AS missing_alt FROM pages GROUP BY ALL")
+@query("SELECT page_id % 20 AS page, count(*) AS total, count(*) FILTER (WHERE page_id % 3 = 0 AND page_id % 2 = 0) AS broken, count(*) FILTER (WHERE page_id % 5 = 0) AS missing_alt, string_agg(url || ' ' || CASE WHEN page_id % 5 = 0 THEN '(no alt text)' ELSE 'shown' END, '|' ORDER BY page_id) AS details FROM pages GROUP BY ALL")
 def image_summary(spark, sf_dir):
     k = F.col("page_id")
-    images = table(spark, sf_dir, "pages").select((k % 20).alias("page"), F.col("url").alias("src"), F.when(k % 5 == 0, "").otherwise("shown").alias("alt"), F.when(k % 3 == 0, 0).otherwise(640).alias("natural_width"), (k % 2 == 0).alias("complete"))
-    return web.image_summary(images, "page")
+    images = table(spark, sf_dir, "pages").select((k % 20).alias("page"), k.alias("position"), F.col("url").alias("src"), F.when(k % 5 == 0, "").otherwise("shown").alias("alt"), F.when(k % 3 == 0, 0).otherwise(640).alias("natural_width"), (k % 2 == 0).alias("complete"))
+    return web.image_summary(images, "page").withColumn("details", F.array_join(F.transform("details", lambda d: F.concat_ws(" ", d["src"], d["alt"])), "|"))
 
 
 @query("SELECT event_id AS position, event_type AS type, props AS text FROM events WHERE event_type = 'error' ORDER BY event_id LIMIT 20")
@@ -430,29 +446,62 @@ def console_errors(spark, sf_dir):
     return web.console_errors(table(spark, sf_dir, "events").select(F.col("event_id").alias("position"), F.col("event_type").alias("type"), F.col("props").alias("text")))
 
 
-@query()
+@query("""WITH l AS (SELECT page_id, regexp_extract_all(regexp_extract(html, '(?s)<nav>(.*?)</nav>', 1), '(?s)<li><a [^>]*>(.*?)</a></li>', 1) AS l FROM pages)
+SELECT page_id, CAST(i - 1 AS INTEGER) AS position, regexp_replace(replace(replace(l[i], '&quot;', '"'), '&amp;', '&'), '^\\s+|\\s+$', '', 'g') AS label FROM l, unnest(range(1, len(l) + 1)) AS u(i)""")
 def selector_records(spark, sf_dir):
     return web.select_records(table(spark, sf_dir, "pages"), "nav li", {"label": "a"})
 
 
-@query()
+@query("SELECT page_id, CAST(0 AS INTEGER) AS form_index, '/s' AS action, 'post' AS method, 'input text q' || page_id || ' true|select select-one  false' AS fields FROM pages")
 def html_forms(spark, sf_dir):
     form = F.concat(F.lit('<form action="/s" method="POST"><input name="q'), F.col("page_id").cast("string"), F.lit('" required><select id="s"></select></form>'), "html")
-    return web.page_forms(table(spark, sf_dir, "pages").select("page_id", form.alias("html")))
+    shown = F.transform("fields", lambda f: F.concat_ws(" ", f["tag"], f["type"], f["name"], f["required"].cast("string")))
+    return web.page_forms(table(spark, sf_dir, "pages").select("page_id", form.alias("html"))).withColumn("fields", F.array_join(shown, "|"))
 
 
-HITS = "hits AS (SELECT lang AS query, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS position, CASE WHEN doc_id % 6 = 0 THEN ' ' ELSE substr(text, 1, 20) END AS title, CASE doc_id % 4 WHEN 0 THEN 'ftp://x/' WHEN 1 THEN 'https://engine.example/' ELSE 'https://site.example/' END || doc_id AS url FROM documents)"
+@query("SELECT page_id, CAST(i AS INTEGER) AS rank, CASE i WHEN 1 THEN 'T & ' || page_id ELSE 'plain' END AS title, CASE i WHEN 1 THEN url ELSE '/x' END AS url, CASE i WHEN 1 THEN 's' || page_id ELSE '' END AS snippet FROM pages, unnest([1, 3]) AS u(i)")
+def engine_hits(spark, sf_dir):
+    """The fall-back engine's result pages: an entry without a link keeps its rank and gives no row."""
+    k = F.col("page_id").cast("string")
+    page = F.concat(F.lit('<ol><li class="b_algo"><h2><a href="'), "url", F.lit('">T &amp; '), k, F.lit('</a></h2><div class="b_caption"><p>s'), k, F.lit('</p></div></li><li class="b_algo"><p>none</p></li><li class="b_algo"><a href="/x"> plain </a></li></ol>'))
+    return web.engine_hits(table(spark, sf_dir, "pages").select("page_id", page.alias("html")))
 
 
-@query(rf"WITH {HITS}, k AS (SELECT * FROM hits WHERE position < 30 AND url LIKE 'http%' AND NOT contains(url, 'engine.example')) SELECT query, position, coalesce(nullif(regexp_replace(title, '^\s+|\s+$', '', 'g'), ''), '(no title)') AS title, url, '' AS snippet, CAST(row_number() OVER (PARTITION BY query ORDER BY position) AS INTEGER) AS rank FROM k")
-def search_rank(spark, sf_dir):
-    from pyspark.sql import Window
+def stub_transport(url: str, headers: dict) -> tuple[int, dict, str]:
+    """Deterministic and offline: plain pages move to secure ones, which answer by the length of their address."""
+    if url.startswith("http://"):
+        return 301, {"Location": "https://" + url[7:]}, ""
+    if len(url) % 3 == 0:
+        raise OSError("unreachable")
+    return 200 if len(url) % 3 == 1 else 404, {}, '{"n": 1}' if len(url) % 2 else "text"
+
+
+@query("""WITH t AS (SELECT DISTINCT url, CASE WHEN starts_with(url, 'http://') THEN 'https://' || substr(url, 8) ELSE url END AS final_url FROM pages)
+SELECT url, CASE WHEN length(final_url) % 3 = 0 THEN 0 WHEN length(final_url) % 3 = 1 THEN 200 ELSE 404 END AS status, final_url, CASE WHEN length(final_url) % 3 = 0 THEN 'unreachable' END AS error,
+  CASE WHEN length(final_url) % 3 > 0 AND length(final_url) % 2 = 1 THEN '{"n": 1}' END AS json, CASE WHEN length(final_url) % 3 > 0 AND length(final_url) % 2 = 0 THEN 'text' END AS raw FROM t""")
+def fetch_stub(spark, sf_dir):
+    got = fetch.fetch(table(spark, sf_dir, "pages"), stub_transport, partitions=8).withColumn("b", fetch.parsed_body(F.col("body")))
+    return got.select("url", "status", "final_url", "error", "b.json", "b.raw")
 
+
+HITS = "hits AS (SELECT doc_id // 40 AS query, doc_id % 40 AS position, CASE WHEN doc_id % 6 = 0 THEN ' ' ELSE lang || ' ' || source END AS title, CASE doc_id % 4 WHEN 0 THEN 'ftp://x/' WHEN 1 THEN 'https://engine.example/' ELSE 'https://site.example/' END || doc_id AS url FROM documents)"
+
+
+def _hits(spark, sf_dir) -> DataFrame:
+    """Forty hits a query, some without a title, some of the engine's own or not of the web."""
     k = F.col("doc_id")
     url = F.concat(F.when(k % 4 == 0, "ftp://x/").when(k % 4 == 1, "https://engine.example/").otherwise("https://site.example/"), k.cast("string"))
-    place = F.row_number().over(Window.partitionBy("lang").orderBy("doc_id")) - 1
-    hits = table(spark, sf_dir, "documents").select(F.col("lang").alias("query"), place.cast("long").alias("position"), F.when(k % 6 == 0, " ").otherwise(F.substring("text", 1, 20)).alias("title"), url.alias("url"), F.lit(None).cast("string").alias("snippet"))
-    return web.rank_hits(hits, "query", "position", 30, ("engine.example",))
+    return table(spark, sf_dir, "documents").select(F.floor(k / 40).alias("query"), (k % 40).alias("position"), F.when(k % 6 == 0, " ").otherwise(F.concat_ws(" ", "lang", "source")).alias("title"), url.alias("url"), F.lit(None).cast("string").alias("snippet"))
+
+
+@query(rf"WITH {HITS}, k AS (SELECT * FROM hits WHERE position < 30 AND url LIKE 'http%' AND NOT contains(url, 'engine.example')) SELECT query, position, coalesce(nullif(regexp_replace(title, '^\s+|\s+$', '', 'g'), ''), '(no title)') AS title, url, '' AS snippet, CAST(row_number() OVER (PARTITION BY query ORDER BY position) AS INTEGER) AS rank FROM k")
+def search_rank(spark, sf_dir):
+    return web.rank_hits(_hits(spark, sf_dir), "query", "position", 30, ("engine.example",))
+
+
+@query(rf"WITH {HITS}, k AS (SELECT *, CAST(row_number() OVER (PARTITION BY query ORDER BY position) AS INTEGER) AS rank FROM hits WHERE url LIKE 'http%' AND NOT contains(url, 'engine.example') AND length(trim(title)) > 3) SELECT query, position, title, url, '' AS snippet, rank FROM k WHERE rank <= 10")
+def external_links(spark, sf_dir):
+    return web.external_links(_hits(spark, sf_dir), "query", "position", 10, ("engine.example",))
 
 
 @query("SELECT s.page_id AS page_id, source, count(*) AS hits FROM (SELECT page_id % 50 AS page_id, CASE WHEN (page_id % 50) % 3 = 0 THEN 'first' WHEN (page_id % 50) % 3 = 1 THEN 'second' ELSE 'third' END AS source FROM pages) AS s GROUP BY ALL")
@@ -521,10 +570,24 @@ def pixel_diff_bands(spark, sf_dir):
     return image_diff.channel_diff(pairs, "vec_id", "x", "y", 0.3)
 
 
-@query()
+GREY = "list_transform({}, lambda v: least(255, floor(256 * abs(CAST(v AS DOUBLE)))))"
+
+
+@query(f"""WITH p AS (SELECT a.vec_id, {GREY.format("a.embedding")} AS x, {GREY.format("b.embedding")} AS y FROM embeddings AS a JOIN embeddings AS b ON b.vec_id = a.vec_id + 1),
+c AS (SELECT vec_id, CAST(8 AS INTEGER) AS width, CAST(8 AS INTEGER) AS height, CAST(64 AS BIGINT) AS total_pixels, CAST(len(list_filter(range(1, 65), lambda i: 0.5053 * (x[i] - y[i]) ** 2 > 35215 * 0.1 ** 2)) AS BIGINT) AS different_pixels FROM p),
+s AS (SELECT *, round(different_pixels / total_pixels * 100, 2) AS percent FROM c)
+SELECT *, CASE WHEN percent = 0 THEN 'identical' WHEN percent < 1 THEN 'minor' WHEN percent < 5 THEN 'moderate' ELSE 'significant' END AS band FROM s""")
+def image_diff_png(spark, sf_dir):
+    """Grey pictures of 8 by 8 pixels, as PNG files and back: grey has no colour channels, so brightness alone decides."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    png = images.grey_png(F.transform("embedding", lambda v: F.least(F.lit(255), F.floor(256 * F.abs(v.cast("double")))).cast("int")), 8)
+    drawn = e.select("vec_id", png.alias("x"))
+    return image_diff.image_diff(drawn.join(drawn.select((F.col("vec_id") - 1).alias("vec_id"), F.col("x").alias("y")), "vec_id"), "vec_id", "x", "y")
+
+
+@query("SELECT 'Customers' AS heading, row_number() OVER (ORDER BY c_mktsegment, c_custkey) AS position, CAST((row_number() OVER (ORDER BY c_mktsegment, c_custkey) - 1) % 2 AS INTEGER) AS parity, '{\"c_mktsegment\":\"' || c_mktsegment || '\",\"c_custkey\":' || c_custkey || '}' AS cells FROM customer")
 def report_sections(spark, sf_dir):
-    small = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
-    return report.section_rows(small, "Nations", ["n_nationkey"])
+    return report.section_rows(table(spark, sf_dir, "customer").select("c_mktsegment", "c_custkey"), "Customers", ["c_mktsegment", "c_custkey"])
 
 
 @query("SELECT o_orderkey, strftime(o_orderdate, '%-d %B %Y') AS long_date, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S.000Z') AS iso FROM orders")
@@ -540,6 +603,11 @@ def json_records(spark, sf_dir):
     return json_rows(regions).select(F.get_json_object("json", "$.r_regionkey").cast("int").alias("r_regionkey"), "json")
 
 
+@query("SELECT p_partkey, count(*) OVER (PARTITION BY p_brand, p_type, p_size) > 1 AS is_duplicate FROM part")
+def duplicate_flags(spark, sf_dir):
+    return audit.duplicate_flags(table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type", "p_size"), ["p_brand", "p_type", "p_size"]).select("p_partkey", "is_duplicate")
+
+
 @query(r"SELECT page_id, regexp_extract(url, '([^/]*)$', 1) AS base, regexp_replace(regexp_extract(url, '([^/]*)$', 1), '(.)\.[^.]*$', '\1') AS stem, 'p' || page_id AS first, 'p' || page_id || '<br>q' AS broken, CASE WHEN page_id % 2 = 0 THEN '(no title)' ELSE url END AS title, 'a > ' || page_id AS path FROM pages")
 def text_functions(spark, sf_dir):
     k, lines = F.col("page_id").cast("string"), F.concat(F.lit("p"), F.col("page_id").cast("string"), F.lit("\nq"))
@@ -556,6 +624,6 @@ def zipped_hits(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.posexplode(pairs).alias("position", "z")).select("page_id", "position", "z.link", "z.snippet")
 
 
-@query()
+@query("SELECT page_id, url_encode(url) AS encoded FROM pages")
 def uri_components(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", text.uri_component(F.col("url")).alias("encoded"))

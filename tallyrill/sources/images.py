@@ -7,7 +7,8 @@ import zlib
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def decode_png(data: bytes) -> np.ndarray:
@@ -67,6 +68,22 @@ def encode_png(pixels: np.ndarray) -> bytes:
     return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, 6, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(lines)) + chunk(b"IEND", b"")
 
 
+def grey_png(values: Column, width: int) -> Column:
+    """A PNG of an array of grey values (0 to 255), row by row; null without a whole row."""
+
+    @F.pandas_udf("binary")
+    def drawn(arrays: pd.Series) -> pd.Series:
+        def one(cells):
+            if cells is None or len(cells) < width:
+                return None
+            grey = np.asarray(cells, np.uint8)[: len(cells) // width * width].reshape(-1, width)
+            return encode_png(np.dstack([grey] * 3 + [np.full_like(grey, 255)]))
+
+        return arrays.map(one)
+
+    return drawn(values)
+
+
 def read_png(spark: SparkSession, path: str) -> DataFrame:
     """``path, width, height, pixels`` (RGBA bytes, row by row) of the PNG files of a folder."""
     def run(batches):

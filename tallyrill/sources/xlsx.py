@@ -119,14 +119,14 @@ class XlsxSource(DataSource):
 # Fixed values of the styled sheet: colours, fonts, borders, width limits.
 STYLES = (
     '<?xml version="1.0" encoding="UTF-8"?><styleSheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main">'
-    '<fonts count="3"><font><sz val="10"/><name val="Calibri"/></font><font><b/><sz val="11"/><color rgb="FFFFFFFF"/><name val="Calibri"/></font><font><b/><sz val="14"/><name val="Calibri"/></font></fonts>'
+    '<fonts count="5"><font><sz val="10"/><name val="Calibri"/></font><font><b/><sz val="11"/><color rgb="FFFFFFFF"/><name val="Calibri"/></font><font><b/><sz val="16"/><color rgb="FF1F4E78"/><name val="Calibri"/></font><font><i/><sz val="11"/><color rgb="FF595959"/><name val="Calibri"/></font><font><sz val="11"/><color rgb="FF000000"/><name val="Calibri"/></font></fonts>'
     '<fills count="6"><fill><patternFill patternType="none"/></fill><fill><patternFill patternType="gray125"/></fill><fill><patternFill patternType="solid"><fgColor rgb="FF1F4E78"/></patternFill></fill>'
     '<fill><patternFill patternType="solid"><fgColor rgb="FFC6EFCE"/></patternFill></fill><fill><patternFill patternType="solid"><fgColor rgb="FFFFEB9C"/></patternFill></fill><fill><patternFill patternType="solid"><fgColor rgb="FFFFC7CE"/></patternFill></fill></fills>'
     '<borders count="2"><border/><border><left style="thin"><color rgb="FFD9D9D9"/></left><right style="thin"><color rgb="FFD9D9D9"/></right><top style="thin"><color rgb="FFD9D9D9"/></top><bottom style="thin"><color rgb="FFD9D9D9"/></bottom></border></borders>'
-    '<cellStyleXfs count="1"><xf/></cellStyleXfs><cellXfs count="7"><xf/><xf fontId="1" fillId="2" borderId="1" applyFont="1" applyFill="1" applyAlignment="1"><alignment horizontal="center" vertical="center" wrapText="1"/></xf>'
-    '<xf fontId="0" borderId="1" applyBorder="1" applyAlignment="1"><alignment vertical="center"/></xf><xf fontId="2" applyFont="1"/><xf fontId="0" fillId="3" borderId="1" applyFill="1"/><xf fontId="0" fillId="4" borderId="1" applyFill="1"/><xf fontId="0" fillId="5" borderId="1" applyFill="1"/></cellXfs></styleSheet>'
+    '<cellStyleXfs count="1"><xf/></cellStyleXfs><cellXfs count="9"><xf/><xf fontId="1" fillId="2" borderId="1" applyFont="1" applyFill="1" applyAlignment="1"><alignment horizontal="center" vertical="center" wrapText="1"/></xf>'
+    '<xf fontId="0" borderId="1" applyBorder="1" applyAlignment="1"><alignment vertical="center"/></xf><xf fontId="2" applyFont="1"/><xf fontId="0" fillId="3" borderId="1" applyFill="1"/><xf fontId="0" fillId="4" borderId="1" applyFill="1"/><xf fontId="0" fillId="5" borderId="1" applyFill="1"/><xf fontId="3" applyFont="1"/><xf fontId="4" borderId="1" applyFont="1" applyBorder="1"/></cellXfs></styleSheet>'
 )
-HEADER, CELL, TITLE, GOOD, CHECK, BAD = 1, 2, 3, 4, 5, 6
+HEADER, CELL, TITLE, GOOD, CHECK, BAD, SUBTITLE, BODY = 1, 2, 3, 4, 5, 6, 7, 8
 LEAST_WIDTH, MOST_WIDTH, PAD = 12, 50, 3
 
 
@@ -136,10 +136,11 @@ def column_widths(df: DataFrame) -> DataFrame:
     return df.agg(*(F.least(F.greatest(widest(c) + PAD, F.lit(LEAST_WIDTH)), F.lit(MOST_WIDTH)).alias(c) for c in df.columns))
 
 
-def write_xlsx(df: DataFrame, path: str, sheet: str = "Data", styled: bool = True, above: list[str] | None = None, colours: dict[str, dict[str, int]] | None = None, most_rows: int = 1_048_575) -> None:
+def write_xlsx(df: DataFrame, path: str, sheet: str = "Data", styled: bool = True, above: list[str] | None = None, colours: dict[str, dict[str, int]] | None = None, most_rows: int = 1_048_575, labels: list[str] | None = None, body: int = CELL) -> None:
     """Write a result as one sheet, every value as text; rows come to the driver one partition at a time.
 
-    ``above``: title lines before the header. ``colours``: column, value, style. A sheet holds ``most_rows``
+    ``above``: title, subtitle and more before the header. ``labels``: the header, if it is not the columns' names.
+    ``colours``: column, value, style; ``body``: the style of other cells. A sheet holds ``most_rows``
     rows; larger results raise, as no sheet could hold them.
     """
     names, above, colours = df.columns, above or [], colours or {}
@@ -163,18 +164,32 @@ def write_xlsx(df: DataFrame, path: str, sheet: str = "Data", styled: bool = Tru
                     put("<cols>" + "".join(f'<col min="{i + 1}" max="{i + 1}" width="{widths[i]}" customWidth="1"/>' for i in range(len(names))) + "</cols>")
             put("<sheetData>")
             for r, line in enumerate(above, 1):
-                put(f'<row r="{r}">' + (cell(r, 0, line, TITLE if r == 1 else 0) if line else "") + "</row>")
-            put(f'<row r="{first}">' + "".join(cell(first, c, n, HEADER * styled) for c, n in enumerate(names)) + "</row>")
+                put(f'<row r="{r}">' + (cell(r, 0, line, {1: TITLE, 2: SUBTITLE}.get(r, 0)) if line else "") + "</row>")
+            put(f'<row r="{first}">' + "".join(cell(first, c, n, HEADER * styled) for c, n in enumerate(labels or names)) + "</row>")
             for r, row in enumerate(df.toLocalIterator(), first + 1):
-                put(f'<row r="{r}">' + "".join(cell(r, c, v, colours.get(names[c], {}).get(v, CELL * styled)) for c, v in enumerate(row) if v is not None) + "</row>")
+                put(f'<row r="{r}">' + "".join(cell(r, c, v, colours.get(names[c], {}).get(v, body * styled)) for c, v in enumerate(row) if v is not None) + "</row>")
             put("</sheetData></worksheet>")
 
 
-def write_brand_workbook(audit: DataFrame, path: str, country: str, auditor: str, date: str) -> None:
-    """The brand audit with a title, a subtitle, the header in row 4, and the status coloured."""
+# The sheet, its title and subtitle, and the columns with their labels.
+BRAND_SHEET = "Brand Presence Audit"
+BRAND_TITLE = "{country} Franchise Brand Existence & Misrepresentation Audit"
+BRAND_SUBTITLE = "Dataset: {dataset} | Auditor: {auditor} | Total Brands: {brands} | Total Rows: {rows:,}"
+BRAND_LABELS = {"brand_name": "Brand Name", "category": "Category", "branch_count": "Branch Count", "domain_hint": "Domain Hint (.{tld})", "status": "Status", "sample_website": "Sample Website", "reason": "Evidence / Issue Reason", "action_required": "Action Required"}
+
+
+def write_brand_workbook(audit: DataFrame, path: str, country: str, auditor: str, dataset: str, total_rows: int | None = None) -> None:
+    """The brand audit with title, subtitle with totals, the labelled header in row 4, and the status coloured.
+
+    Columns that the audit lacks are left out; ``total_rows`` is the sum of its branches if it is not given.
+    """
     status = {"Verified Present": GOOD, "Manual Review": CHECK, "Misrepresentation": BAD}
-    above = [f"{country} Brand Existence Report", f"{auditor}, {date}", ""]
-    write_xlsx(audit, path, "Brand Audit", above=above, colours={"status": status})
+    names = [c for c in BRAND_LABELS if c in audit.columns]
+    branches = F.sum("branch_count") if "branch_count" in names else F.lit(None)
+    brands, rows = audit.agg(F.count("*"), branches).first()
+    totals = BRAND_SUBTITLE.format(dataset=dataset, auditor=auditor, brands=brands, rows=total_rows if total_rows is not None else rows or 0)
+    labels = [BRAND_LABELS[c].format(tld=country.lower()) for c in names]
+    write_xlsx(audit.select(*names), path, BRAND_SHEET, above=[BRAND_TITLE.format(country=country), totals, ""], colours={"status": status}, labels=labels, body=BODY)
 
 
 def _clean(v: object) -> str:

@@ -54,6 +54,38 @@ def test_duplicates_add_up(spark):
     assert (dup, unique) == (4, 1) and audit.duplicate_rows(df, ["k", "v"]).count() == 4
 
 
+def test_flags_and_positions_in_ranges(spark):
+    df = spark.createDataFrame([("a", None), ("a", None), ("b", "x"), (None, None), (None, None), ("c", None)], "k string, v string")
+    assert sorted(r["is_duplicate"] for r in audit.duplicate_flags(df, ["k", "v"]).collect()) == [False] * 2 + [True] * 4
+    rng = np.random.default_rng(3)
+    data = [(["hot", "a", None, "z"][min(3, int(rng.geometric(0.6)) - 1)], int(i)) for i in rng.permutation(300)]
+    df = spark.createDataFrame(data, "g string, i int").repartition(5)
+    want = [r["i"] for r in df.orderBy("g", "i").collect()]
+    for per_range in (1_000_000, 20, 1):
+        got = tabular.positioned(df, ["g", "i"], per_range).orderBy("_position").collect()
+        assert [r["_position"] for r in got] == list(range(1, 301)) and [r["i"] for r in got] == want
+        assert per_range > 20 or len({r["_range"] for r in got}) > 5
+        assert [r["i"] for r in tabular.slice_rows(df, "41-60", "i", per_range).orderBy("i").collect()] == list(range(40, 60))
+    assert tabular.positioned(df.limit(0), ["g", "i"]).count() == 0
+    assert [r["parity"] for r in report.section_rows(df, "h", ["g", "i"], 20).orderBy("position").collect()] == [0, 1] * 150
+
+
+def test_fuzzy_pairs_in_one_large_block(spark):
+    rng = np.random.default_rng(4)
+    names = sorted({"".join(rng.choice(list("aabcde é"), int(rng.integers(1, 14)))) for _ in range(250)} | {"😀ab", "😁ab", "abba" * 60, "abba" * 59 + "abb"})
+    df = spark.createDataFrame([(int(i), n) for i, n in zip(rng.permutation(len(names)), names, strict=True)], "_ord long, name string").repartition(3)
+    by = {r["_ord"]: r["name"] for r in df.collect()}
+    for threshold in (0.85, 0.6):
+        got = {(r["ord_1"], r["ord_2"]): r["similarity"] for r in entity.fuzzy_pairs(df, "name", None, "_ord", threshold).collect()}
+        want = {}
+        for i in range(len(names)):
+            for j in range(i + 1, len(names)):
+                a, b = (by[k].lower().strip() for k in (i, j))
+                if by[i] and by[j] and a != b and (r := SequenceMatcher(None, a, b).ratio()) >= threshold:
+                    want[i, j] = r
+        assert got == want and len(want) >= 5
+
+
 def test_majority_rules(spark):
     data = [(0, "t", "x"), (1, "t", "y"), (2, "s", "x"), (3, "s", None), (4, "m", "a"), (5, "m", "b"), (6, "m", "b"), (7, "m", None), (8, "n", None), (9, None, "q")]
     df = spark.createDataFrame(data, "_ord long, g string, v string")
@@ -165,12 +197,15 @@ def test_workbook_round_trip(spark, tmp_path):
 
 
 def test_brand_workbook_and_png_folder(spark, tmp_path):
-    df = spark.createDataFrame([("A", "Manual Review"), ("B", "Verified Present")], "brand_name string, status string").coalesce(1)
+    brands = [("A", "c", 1200, "Yes", "Manual Review", "http://a.ch", "r", "x"), ("B", "c", 34, "No", "Verified Present", "N/A", "r", "y")]
+    df = spark.createDataFrame(brands, "brand_name string, category string, branch_count long, domain_hint string, status string, sample_website string, reason string, action_required string").coalesce(1)
     path = str(tmp_path / "b.xlsx")
-    xlsx.write_brand_workbook(df, path, "CH", "me", "today")
+    xlsx.write_brand_workbook(df.select("status", *[c for c in df.columns if c != "status"]), path, "CH", "me", "base.xlsx")
     with open(path, "rb") as f:
         got = [*xlsx.sheet_rows(f.read())]
-    assert got[3] == ["brand_name", "status"] and got[4] == ["A", "Manual Review"] and got[0] == ["CH Brand Existence Report"]
+    assert got[0] == ["CH Franchise Brand Existence & Misrepresentation Audit"] and got[1] == ["Dataset: base.xlsx | Auditor: me | Total Brands: 2 | Total Rows: 1,234"]
+    assert got[3] == ["Brand Name", "Category", "Branch Count", "Domain Hint (.ch)", "Status", "Sample Website", "Evidence / Issue Reason", "Action Required"]
+    assert got[4] == [str(v) for v in brands[0]] and got[5][0] == "B"
     (tmp_path / "p").mkdir()
     (tmp_path / "p" / "x.png").write_bytes(images.encode_png(np.zeros((2, 3, 4), np.uint8)))
     r = images.read_png(spark, str(tmp_path / "p")).first()
@@ -202,3 +237,7 @@ def test_report_shapes():
     page = report.render_html(report.build_sections([{"a": "PASS", "b": "<x>"}, {"a": None, "c": "no"}]), "T", "me", "today")
     assert "✅ PASS" in page and "&lt;x&gt;" in page and "❌ no" in page and "undefined" not in page
     assert "<br>" in report.render_section({"body": "a\nb"})
+    assert list(report.THEMES) == ["dark", "light", "blue", "green"]
+    for name, theme in report.THEMES.items():
+        page = report.render_html(report.build_sections([{"a": "ok"}]), "T", "me", "today", name)
+        assert theme["bg"] in page and theme["success"] in page
