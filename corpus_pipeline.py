@@ -2,6 +2,12 @@
 
 Every stage takes ``(spark, docs, sf_dir)`` and works on all that its predecessor kept.  All but
 the last return the columns of ``docs``; the last returns the mix.
+
+Defined cases, by stage: a null or empty text goes in the first; a text without a letter goes in the second; a
+blank text would be nobody's copy, a null or wordless one clean and of size 0, where a stage is called alone.
+Of repeated rows one stays from the third stage on.  Without labels nothing with a letter goes in the first two;
+without a benchmark nothing goes in the fourth.  Empty tables give no rows.  Extra columns are carried through, named
+as they may be, up to the mix, which has its own.
 """
 
 from __future__ import annotations
@@ -13,9 +19,6 @@ from tallyrill.llm import decontaminate, language, mixing, near_duplicates, qual
 from tallyrill.llm.queries import table
 from tallyrill.llm.shared import written
 
-#: Below this pooled probability a document has no language to speak of.
-LEAST_LANGUAGE = 0.35
-
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents whose perplexity under trusted text is beyond their language's threshold."""
@@ -23,9 +26,8 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def language_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a letter, or without a language that the network is sure enough of."""
-    got = language.Identifier(docs).labelled(docs)
-    return got.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_LANGUAGE)).select(*docs.columns)
+    """Drops documents without a letter, or scored below nearly all that are told rightly in their language."""
+    return language.kept(docs)
 
 
 def near_duplicate_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,8 +37,9 @@ def near_duplicate_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def benchmark_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that benchmark windows cover by a twentieth or more."""
-    found = decontaminate.scan(docs, table(spark, sf_dir, "benchmark"), spans=False)
-    return decontaminate.judged(found).where(~F.col("contaminated")).select(*docs.columns)
+    plain = docs.toDF(*(f"_c{i}" for i in range(len(docs.columns))))
+    found = decontaminate.scan(plain, table(spark, sf_dir, "benchmark"), f"_c{docs.columns.index('text')}", spans=False)
+    return decontaminate.judged(found).where(~F.col("contaminated")).select(*plain.columns).toDF(*docs.columns)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,7 +55,7 @@ STAGES = [
     ("mixing sources to target weights", source_mix),
 ]
 
-#: The stages train and sketch; SQL cannot express them. Tests hold them against brute force.
+#: The stages train and sketch; SQL cannot express them. ``tests/llm/test_pipeline.py`` holds them against brute force.
 ORACLE_SQL = None
 
 

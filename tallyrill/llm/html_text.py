@@ -20,7 +20,8 @@ ratio, and text outside the page's article or main element ``BESIDE``: it is con
 has nothing that comes near it.  A header within an article keeps its headings.  A mark does not
 count where it stands on most of the article: on an element, or on all elements of a class together,
 that hold more than half of the text outside links of the page's article or main element (of the
-page, if there is none with a twentieth of its text).  Scripts, styles, markup and what is hidden are
+page, if there is none with a twentieth of its text), if they hold an article or several blocks and
+are no menu, header, footer or the like by tag or role.  Scripts, styles, markup and what is hidden are
 never text, nor are phrases within a block that say they are no part of it.
 
 Character references are decoded, white space within a block (line breaks and no-break
@@ -64,6 +65,8 @@ VOID = set("area base br col embed hr img input link meta param source track wbr
 BLOCK = set("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 CLOSES_P = BLOCK - set("body html td th tr tbody thead tfoot caption".split())
 OUTSIDE = set("head nav header footer aside form button menu dialog input label fieldset canvas audio video".split())
+FORMS = set("form fieldset label".split())
+HOMES = ("article", "main")
 ROLES = set("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 MARKS = set("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar nav navbar navigation menu breadcrumb breadcrumbs footer masthead comment comments disqus reply replies cookie cookies consent gdpr notice alert popup modal overlay share sharing social related recommended newsletter subscribe subscription signup login widget toolbar pagination pager skip sidenav subnav topnav topbar rail copyright paywall teaser".split())
 OWN = set("article content entry post story main".split())
@@ -74,12 +77,12 @@ BARRIER = {"li": {"ul", "ol", "menu", "dir"}, "dt": {"dl"}, "dd": {"dl"}, "tr":
 
 
 class Element:
-    __slots__ = ("classes", "hidden", "label", "marked", "outside", "parent", "tag", "weight", "within")
+    __slots__ = ("blocks", "classes", "hidden", "holds", "label", "marked", "outside", "parent", "strict", "tag", "weight", "within")
 
-    def __init__(self, tag: str, label: str, parent: Element | None, hidden: bool, within: bool, marked: bool = False, classes: tuple[str, ...] = ()) -> None:
+    def __init__(self, tag: str, label: str, parent: Element | None, hidden: bool, within: bool, marked: bool = False, strict: bool = False, classes: tuple[str, ...] = ()) -> None:
         self.tag, self.label, self.parent, self.hidden, self.within = tag, label, parent, hidden, within
-        self.marked, self.classes = marked, classes  # by tag, role or id; the classes that say so
-        self.outside, self.weight = False, 0  # known once the page is read
+        self.marked, self.strict, self.classes = marked, strict, classes  # by tag, role or id; by tag or role alone; the classes that say so
+        self.outside, self.weight, self.blocks, self.holds = False, 0, 0, tag in HOMES  # known once the page is read
 
 
 class Block:
@@ -96,7 +99,7 @@ def _says(value: str, within: bool) -> bool:
 
 def _open(tag: str, rest: str, parent: Element) -> Element:
     hidden, marked = parent.hidden or tag == "head", False
-    within = parent.within or parent.tag in ("article", "main")
+    within = parent.within or parent.tag in HOMES
     names: list[str] = []
     ids: list[str] = []
     role = ""
@@ -118,8 +121,9 @@ def _open(tag: str, rest: str, parent: Element) -> Element:
             at_home = own(names)
             classes = tuple(dict.fromkeys(n for n in names if _says(n, at_home)))
         marked = any(_says(v, own([v])) for v in ids)
-    marked = marked or role in ROLES or (tag in OUTSIDE and not (tag == "header" and within))
-    return Element(tag, ".".join([tag, *sorted(names)]), parent, hidden, within, marked, classes)
+    strict = role in ROLES - FORMS or (tag in OUTSIDE - FORMS and not (tag == "header" and within))
+    marked = marked or strict or role in ROLES or tag in FORMS
+    return Element(tag, ".".join([tag, *sorted(names)]), parent, hidden, within, marked, strict, classes)
 
 
 def _judge(elements: list[Element]) -> dict[int, bool]:
@@ -127,6 +131,8 @@ def _judge(elements: list[Element]) -> dict[int, bool]:
     Returns which elements, by identity, lie in the page's article or main element (all, if it has none)."""
     for e in reversed(elements[1:]):
         e.parent.weight += e.weight
+        e.parent.blocks += e.blocks
+        e.parent.holds |= e.holds
     scope = _scope(elements)
     around: set[int] = set()
     e = scope
@@ -135,7 +141,7 @@ def _judge(elements: list[Element]) -> dict[int, bool]:
         e = e.parent
     inside: dict[int, bool] = {}
     chain: dict[int, frozenset[str]] = {id(elements[0]): frozenset()}
-    by_class: dict[str, int] = {}
+    by_class: dict[str, tuple[int, int, bool]] = {}
     for e in elements:
         inside[id(e)] = e is scope or (e.parent is not None and inside[id(e.parent)])
         if e.parent is None:
@@ -143,15 +149,16 @@ def _judge(elements: list[Element]) -> dict[int, bool]:
         above = chain[id(e.parent)]
         for c in e.classes:
             if c not in above:
-                by_class[c] = by_class.get(c, 0) + _share(e, scope, inside, around)
+                weight, blocks, holds = by_class.get(c, (0, 0, False))
+                by_class[c] = weight + _share(e, scope, inside, around), blocks + e.blocks, holds or e.holds
         chain[id(e)] = above | frozenset(e.classes) if e.classes else above
-    void = {c for c, w in by_class.items() if 2 * w > scope.weight}
+    void = {c for c, (weight, blocks, holds) in by_class.items() if (holds or blocks > 1) and 2 * weight > scope.weight}
     for e in elements[1:]:
-        much = (e.marked or bool(e.classes)) and 2 * _share(e, scope, inside, around) > scope.weight
+        much = not e.strict and (e.marked or bool(e.classes)) and (e.holds or e.blocks > 1) and 2 * _share(e, scope, inside, around) > scope.weight
         e.outside = e.parent.outside or e.hidden or (not much and (e.marked or any(_counts(c, void, e.within) for c in e.classes)))
         if e.within and e.tag in HEADINGS and e.parent.tag == "header" and not e.parent.parent.outside:
             e.outside = e.hidden
-    return {id(e): scope.parent is None or e.within or e.tag in ("article", "main") for e in elements}
+    return {id(e): scope.parent is None or e.within or e.tag in HOMES for e in elements}
 
 
 def _share(e: Element, scope: Element, inside: dict[int, bool], around: set[int]) -> int:
@@ -179,7 +186,7 @@ def _scope(elements: list[Element]) -> Element:
     for e in elements:
         marks[id(e)] = (marks[id(e.parent)] if e.parent is not None else 0) + bool(e.marked or e.classes)
         home[id(e)] = outer = home[id(e.parent)] if e.parent is not None else None
-        if e.tag in ("article", "main") and not e.hidden and 20 * e.weight > elements[0].weight:
+        if e.tag in HOMES and not e.hidden and 20 * e.weight > elements[0].weight:
             home[id(e)] = e
             if outer is not None and marks[id(e)] == marks[id(outer)]:
                 within.setdefault(id(outer), []).append(e)
@@ -210,6 +217,7 @@ def blocks_of(page: str) -> list[Block]:
                 return
             block = Block(home)
             out.append(block)
+            home.blocks += 1
         decoded = entities.unescape(raw)
         block.parts.append((now, decoded, links > 0))
         if not links:

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyrill.llm.samples import first_by_hash
-from tallyrill.llm.shared import arrow_map, mapped, pick, utf8
+from tallyrill.llm.shared import arrow_map, mapped, pick, utf8, written
 
 SPAN, ROWS = 64, 4096
 #: ASCII letters and every byte of a longer UTF-8 sequence.
@@ -223,6 +223,30 @@ class Identifier:
         return arrow_map(docs, lambda: _guesses(shared), {"text": self.text_col}, GUESS, keep)
 
 
+def kept(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", quantile: float = 0.0005, least: int = 50) -> DataFrame:
+    """The rows of ``docs`` whose language is told surely enough.
+
+    The network learns from one half of the labelled ids.  In the other half, the documents of each language that are
+    told rightly set its bound: the ``quantile`` of their scores (of all languages together, where a
+    language has fewer than ``least``).  Below it, and without a letter, a document goes.  Without labels all with a
+    letter stay, as there is nothing to tell them by.
+    """
+    names = docs.columns
+    at = {c: f"_c{names.index(c)}" for c in (id_col, text_col, lang_col)}
+    plain = docs.toDF(*(f"_c{i}" for i in range(len(names))))
+    fold = F.pmod(F.xxhash64(F.lit("language"), F.col(at[id_col]).cast("string")), F.lit(2))
+    found = Identifier(plain, fold == 0, at[id_col], at[text_col], at[lang_col])
+    if not found.names:
+        return docs.where(F.coalesce(F.col(f"`{text_col}`").rlike(r"\p{L}"), F.lit(False)))
+    scored = written(found.labelled(plain), "languages")
+    right = scored.where((fold == 1) & (F.col("lang_pred") == F.col(at[lang_col])))
+    low = F.percentile_approx("score", quantile, 100_000)
+    by = written(right.groupBy(F.col("lang_pred").alias("_by")).agg(low.alias("_bound"), F.count("*").alias("_n")).where(F.col("_n") >= least), "bounds")
+    overall = right.agg(low).first()[0] or 0.0
+    sure = scored.join(by, F.col("lang_pred") == F.col("_by"), "left").where((F.col("lang_pred") != "und") & (F.col("score") >= F.coalesce("_bound", F.lit(overall))))
+    return sure.select(*plain.columns).toDF(*names)
+
+
 def _guesses(shared):
     names, net = shared.value
 
