@@ -8,8 +8,8 @@ word, and word indices are mapped back to character offsets of the original text
 
 The automaton is built on the driver from windows whose total size is measured first.
 Up to ``max_shard_bytes`` there is one automaton, broadcast to the tasks.  Beyond, the
-windows are dealt by hash into shards within the bound; the documents pass one automaton
-after another in one chain of maps, carrying what has been hit so far, without a shuffle.
+windows are dealt by hash into shards within the bound, and the documents are scanned once a
+shard; one automaton is alive at a time, and what it finds is written by hash of the text.
 
 Defined cases: a null or wordless text has no words and is clean; a null or wordless item
 has no windows; items without an id are ignored; items that share an id count once; two
@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyrill.llm.shared import arrow_map, pick, utf8
+from tallyrill.llm.shared import arrow_map, in_passes, pick, utf8
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 #: ASCII that is no letter or digit becomes a space, A-Z become a-z; bytes from 0x80 on stay.
@@ -87,28 +87,46 @@ def scan(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col
     windows = benchmark_windows(benchmark, item_col, item_text_col, window)
     total = windows.agg(F.sum(F.octet_length("window") + 8)).first()[0] or 0
     shards = max(1, -(-total // max_shard_bytes))
-    out, carried = docs, False
-    for k in range(shards):
-        rows = windows.where(F.pmod(F.xxhash64("window"), F.lit(shards)) == k).collect()
-        automaton = spark.sparkContext.broadcast(_automaton(rows)) if rows else None
-        last = k == shards - 1
-        inputs = {"text": text_col} | ({"hit_words": "hit_words", "items": "items"} if carried else {})
-        names = None if keep is None else list(dict.fromkeys([*keep, *([] if last else [text_col])]))
-        out = arrow_map(out, lambda a=automaton, more=carried, s=spans and last: _scanner(a, more, s), inputs, FOUND, names)
-        carried = True
-    return out
+
+    def automaton(shard: int):
+        rows = windows.where(F.pmod(F.xxhash64("window"), F.lit(shards)) == shard).collect()
+        return spark.sparkContext.broadcast(_automaton(rows)) if rows else None
+
+    if shards == 1:
+        only = automaton(0)
+        return arrow_map(docs, lambda: _scanner(only, spans), {"text": text_col}, FOUND, keep)
+
+    def one(shard: int):
+        def run(texts: DataFrame) -> DataFrame:
+            shared = automaton(shard)
+            return arrow_map(texts, lambda: _scanner(shared, False), {"text": "text"}, FOUND, ["_text_hash"]).drop("spans")
+
+        return run
+
+    union = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c)
+    kept = [c for c in dict.fromkeys(docs.columns if keep is None else keep) if c.lower() not in FOUND.names]
+    carried = [*kept, *([text_col] if spans and text_col not in kept else [])]
+    found = in_passes(docs, text_col, carried, (one(s) for s in range(shards)), [F.first("n_words").alias("n_words"), union("hit_words"), union("items")])
+    if not spans:
+        return found.withColumn("spans", F.array().cast(FOUND["spans"].dataType))
+    return arrow_map(found, lambda: _spanned, {"text": text_col, "hit_words": "hit_words"}, T.StructType([FOUND["spans"]]), [*kept, *FOUND.names[:3]])
+
+
+def _spanned(batch: pa.RecordBatch):
+    texts, hits = batch.column("text").to_pylist(), batch.column("hit_words").to_pylist()
+    return {"spans": pa.array([spans_of(t, h) if h else [] for t, h in zip(texts, hits, strict=True)], pa.list_(pa.list_(pa.int32())))}, None
 
 
-def _scanner(automaton, carried: bool, want_spans: bool):
+def _scanner(automaton, want_spans: bool):
     found = automaton.value if automaton is not None else None
 
     def step(batch: pa.RecordBatch):
-        before = [*zip(batch.column("hit_words").to_pylist(), batch.column("items").to_pylist(), strict=True)] if carried else None
         n, hits, items, spans = [], [], [], []
-        for i, text in enumerate(utf8(batch.column("text"))):
+        for text in utf8(batch.column("text")):
             ws = words(text)
             n.append(len(ws))
-            hit, item = (set(before[i][0]), set(before[i][1])) if before else (set(), set())
+            hit: set[int] = set()
+            item: set[str] = set()
             if ws and found is not None:
                 line = b" " + b" ".join(ws) + b" "
                 if matches := [*found.iter(line.decode("latin-1"))]:
@@ -117,10 +135,10 @@ def _scanner(automaton, carried: bool, want_spans: bool):
                     for e, (_, (length, ids)) in zip(ends.tolist(), matches, strict=True):
                         hit.update(range(e - length, e))
                         item.update(ids)
-            hit = sorted(hit)
-            hits.append(hit)
+            places = sorted(hit)
+            hits.append(places)
             items.append(sorted(item))
-            spans.append(spans_of(text.decode(), hit) if hit and want_spans else [])
+            spans.append(spans_of(text.decode(), places) if places and want_spans else [])
         return {"n_words": pa.array(n, pa.int64()), "hit_words": pa.array(hits, pa.list_(pa.int32())), "items": pa.array(items, pa.list_(pa.string())), "spans": pa.array(spans, pa.list_(pa.list_(pa.int32())))}, None
 
     return step

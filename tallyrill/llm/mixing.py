@@ -3,9 +3,10 @@
 Source ``i`` has ``size_i`` words and weight ``w_i``.  The mix shall have ``share`` times all
 words.  A source's target is ``level * w_i``, but at most ``max_epochs * size_i``: sources
 above their cap are clamped and the rest is shared anew by weight, until none is above.
-Each round is one aggregate over the table of sources, which stays distributed; only two
-sums come to the driver.  Every round clamps a source or ends the loop, and in practice a
-handful of rounds does.
+The clamped are those whose ratio of cap to weight is at most some bound, and what the mix holds rises with
+the level; so the bound is searched for among ``CUTS`` quantiles of the ratios at a time.  A round is one aggregate over the
+table of sources, which stays distributed; a list of sums comes to the driver, and the number of rounds
+grows with the logarithm of the number of sources.
 
 Of a source's target, ``floor(target / size)`` whole repetitions go to each document.  The
 remaining fraction is met by one more repetition of the documents that come first in the
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 
 from tallyrill.llm.shared import pick, written
 
-ROWS_A_BUCKET, MAX_BUCKETS = 500, 65_536
+ROWS_A_BUCKET, MAX_BUCKETS, CUTS = 500, 65_536, 32
 
 
 def word_count(text: Column) -> Column:
@@ -50,15 +51,16 @@ def ranked(sources: DataFrame, key: str = "source") -> DataFrame:
 def water_fill(sources: DataFrame, share: float = 1.5, max_epochs: float = 2.0) -> DataFrame:
     """Adds ``target`` to a table with ``source_size`` and ``weight`` (a row for each source)."""
     cap = F.col("source_size") * F.lit(float(max_epochs))
-    total = sources.agg(F.sum("source_size")).first()[0] or 0
-    level, clamped = None, -1
-    while True:
-        free = F.lit(True) if level is None else F.col("weight") * F.lit(level) <= cap
-        got = sources.agg(F.sum(F.when(~free, cap)), F.sum(F.when(free, F.col("weight"))), F.count_if(~free)).first()
-        if got[2] == clamped or not got[1]:
-            break
-        clamped, level = got[2], (share * total - (got[0] or 0.0)) / got[1]
-    return sources.withColumn("target", cap if level is None or not got[1] else F.when(F.col("weight") * F.lit(level) <= cap, F.col("weight") * F.lit(level)).otherwise(cap))
+    ratio = cap / F.col("weight")
+    goal = share * (sources.agg(F.sum("source_size")).first()[0] or 0)
+    low, high = -1.0, float("inf")  # sources up to the one ratio are clamped, from the other on free
+    while cuts := sources.where((ratio > low) & (ratio < high)).agg(F.percentile_approx(ratio, [(i + 1) / (CUTS + 1) for i in range(CUTS)], 10_000)).first()[0]:
+        cuts = sorted(set(cuts))  # ratios that occur, so every round settles some
+        held = sources.agg(*(F.sum(F.when(ratio <= t, cap).otherwise(F.col("weight") * t)) for t in cuts)).first()
+        low = max([low, *(t for t, h in zip(cuts, held, strict=True) if h <= goal)])
+        high = min([high, *(t for t, h in zip(cuts, held, strict=True) if h > goal)])
+    clamped, free = sources.agg(F.sum(F.when(ratio <= low, cap)), F.sum(F.when(ratio > low, F.col("weight")))).first()
+    return sources.withColumn("target", F.least(cap, F.col("weight") * ((goal - (clamped or 0.0)) / free)) if free else cap)
 
 
 def mix(docs: DataFrame, weigh, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", share: float = 1.5, max_epochs: float = 2.0, seed: str = "mix") -> DataFrame:

@@ -155,38 +155,31 @@ def alphabet(texts: DataFrame, text_col: str = "text", lower: bool = False, orde
 # --- counts -------------------------------------------------------------------------------
 
 
-def count_ngrams(texts: DataFrame, letters: Alphabet, text_col: str = "text", flag_col: str | None = None, lower: bool = False, order: int = ORDER) -> DataFrame:
-    """``key, n`` over all texts, and ``flagged``: the count within texts whose flag is true."""
+def count_ngrams(texts: DataFrame, letters: Alphabet, text_col: str = "text", lower: bool = False, order: int = ORDER) -> DataFrame:
+    """``key, n`` over all texts."""
     shared = texts.sparkSession.sparkContext.broadcast(letters)
 
     def run(batches):
-        held: list[np.ndarray] = []
+        held: list[tuple[np.ndarray, np.ndarray]] = []
 
         def merged(done: bool):
             nonlocal held
             if held:
-                stack = np.concatenate(held, axis=1)
-                keys, at = np.unique(stack[0], return_inverse=True)
-                held = [np.stack([keys, *(np.bincount(at, stack[r], len(keys)).astype(np.int64) for r in (1, 2))])]
+                keys, at = np.unique(np.concatenate([h[0] for h in held]), return_inverse=True)
+                counts = np.bincount(at, np.concatenate([h[1] for h in held]), len(keys)).astype(np.int64)
+                held = [(keys, counts)]
                 if done or len(keys) > HELD:
-                    out, held = held[0], []
-                    yield pa.RecordBatch.from_arrays([pa.array(r) for r in out], names=["key", "n", "flagged"])
+                    held = []
+                    yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts)], names=["key", "n"])
 
         for batch in batches:
-            flags = np.array([bool(f) for f in batch.column(1).to_pylist()])
-            for key, doc, _ in shared.value.keys(batch.column(0).to_pylist(), lower, order):
-                keys, counts = np.unique(key, return_counts=True)
-                some, within = np.unique(key[flags[doc]], return_counts=True)
-                marked = np.zeros(len(keys), np.int64)
-                marked[np.searchsorted(keys, some)] = within
-                held.append(np.stack([keys, counts, marked]))
-                if sum(h.shape[1] for h in held) > HELD:
+            for key, _, _ in shared.value.keys(batch.column(0).to_pylist(), lower, order):
+                held.append(np.unique(key, return_counts=True))
+                if sum(len(h[0]) for h in held) > HELD:
                     yield from merged(False)
         yield from merged(True)
 
-    plain = pick(texts, {"t": text_col} | ({"f": flag_col} if flag_col else {}))
-    plain = plain if flag_col else plain.withColumn("f", F.lit(False))
-    return mapped(plain, run, "key long, n long, flagged long").groupBy("key").agg(F.sum("n").alias("n"), F.sum("flagged").alias("flagged"))
+    return mapped(pick(texts, {"t": text_col}), run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
 
 # --- the model ----------------------------------------------------------------------------
@@ -228,30 +221,18 @@ def _orders(counts: DataFrame, order: int, bits: int) -> dict[int, DataFrame]:
     return levels
 
 
-def model(counts: DataFrame, order: int = ORDER, classes: dict[str, Column] | None = None, shared: int = 2, bits: int = BITS) -> DataFrame:
+def model(counts: DataFrame, order: int = ORDER, bits: int = BITS) -> DataFrame:
     """Rows ``part, k, key, value``: log probabilities of n-grams (part ``p``) and log back-off
     weights of contexts (part ``g``), for orders 1 to ``order``; ``bits``: of the alphabet that made the keys.
-
-    With ``classes`` (name to a count column), orders above ``shared`` are made for each class from its
-    own counts, as parts ``p_name`` and ``g_name``; orders up to ``shared`` count all classes together.
     """
-    counts = written(counts.select("key", "n", *(c.alias(f"n_{name}") for name, c in (classes or {}).items())), "counts")
+    counts = written(counts.select("key", "n"), "counts")
+    levels = _orders(counts, order, bits)
     parts: list[DataFrame] = []
-
-    def chain(levels: dict[int, DataFrame], orders: range, p: DataFrame | None, name: str) -> DataFrame | None:
-        for k in orders:
-            p, gamma = _level(levels[k].select("key", "n"), p, k, bits)
-            p = written(p, "level")
-            parts.extend([_rows(p, f"p{name}", k, "key", "p"), _rows(gamma, f"g{name}", k, "context", "gamma")])
-        return p
-
-    if not classes:
-        chain(_orders(counts, order, bits), range(1, order + 1), None, "")
-    else:
-        below = chain(_orders(counts, order, bits), range(1, shared + 1), None, "")
-        for name in classes:
-            own = counts.select("key", F.col(f"n_{name}").alias("n")).where("n > 0")
-            chain(_orders(own, order, bits), range(shared + 1, order + 1), below, f"_{name}")
+    p = None
+    for k in range(1, order + 1):
+        p, gamma = _level(levels[k].select("key", "n"), p, k, bits)
+        p = written(p, "level")
+        parts.extend([_rows(p, "p", k, "key", "p"), _rows(gamma, "g", k, "context", "gamma")])
     return written(reduce(DataFrame.union, parts), "model")
 
 
@@ -296,14 +277,12 @@ class Table:
 
 
 class Scorer:
-    """Log probabilities of positions under one model (``name``: a class, or none)."""
+    """Log probabilities of positions under one model."""
 
-    def __init__(self, rows: dict[tuple[str, int], tuple[np.ndarray, np.ndarray]], order: int = ORDER, name: str = "", bits: int = BITS) -> None:
+    def __init__(self, rows: dict[tuple[str, int], tuple[np.ndarray, np.ndarray]], order: int = ORDER, bits: int = BITS) -> None:
         self.order, self.bits = order, bits
         nothing = (np.zeros(0, np.int64), np.zeros(0, np.float32))
-        own = lambda part, k: rows.get((f"{part}_{name}", k)) or rows.get((part, k), nothing)
-        self.p = {k: Table(*own("p", k)) for k in range(1, order + 1)}
-        self.g = {k: Table(*own("g", k)) for k in range(1, order + 1)}
+        self.p, self.g = ({k: Table(*rows.get((part, k), nothing)) for k in range(1, order + 1)} for part in "pg")
 
     def log_p(self, keys: np.ndarray) -> np.ndarray:
         out = np.zeros(len(keys), np.float32)

@@ -109,34 +109,44 @@ def _sets(words: np.ndarray, bounds: list[tuple[int, int]], width: int) -> list[
     return out
 
 
-def shingle_sets(texts: list[bytes | None], width: int = 4):
-    """Yields (index, sorted set of hashes) for every text, in order."""
+def word_groups(texts: list[bytes | None]):
+    """Yields (indices of texts, hashes of their words, where each text's words begin and end), all texts in order."""
     group: list[int] = []
+    folded: list[bytes] = []
     size = 0
 
     def flush():
-        parts = [folded[i] for i in group]
-        starts = np.cumsum([1] + [len(p) + 1 for p in parts])
-        words, at = _word_hashes(b" " + b" ".join(parts) + b" ") if parts else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-        cut = np.searchsorted(at, starts)
-        yield from zip(group, _sets(words, [*zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)], width), strict=True)
+        starts = np.cumsum([1] + [len(p) + 1 for p in folded])
+        words, at = _word_hashes(b" " + b" ".join(folded) + b" ") if folded else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        cut = np.searchsorted(at, starts).tolist()
+        return group, words, [*zip(cut[:-1], cut[1:], strict=True)]
 
-    folded: dict[int, bytes] = {}
     for i, text in enumerate(texts):
         line = (text or b"").translate(FOLD)
         if len(line) >= LONG:
-            yield from flush()
-            group, size, folded = [], 0, {}
+            yield flush()
             words = _long_text(line)
-            yield i, _sets(words, [(0, len(words))], width)[0]
+            yield [i], words, [(0, len(words))]
+            group, folded, size = [], [], 0
             continue
         if size + len(line) + 1 > PIECE:
-            yield from flush()
-            group, size, folded = [], 0, {}
+            yield flush()
+            group, folded, size = [], [], 0
         group.append(i)
-        folded[i] = line
+        folded.append(line)
         size += len(line) + 1
-    yield from flush()
+    yield flush()
+
+
+def shingle_sets(texts: list[bytes | None], width: int = 4):
+    """Yields (index, sorted set of hashes) for every text, in order."""
+    for group, words, bounds in word_groups(texts):
+        yield from zip(group, _sets(words, bounds, width), strict=True)
+
+
+def pair_hashes(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """A hash of each ordered pair of hashes."""
+    return mixed(first * np.uint64(_MIX) + second)
 
 
 def identity(found: np.ndarray) -> int:

@@ -8,8 +8,8 @@ a stack holds the rules whose intervals contain the current key, outermost first
 moves between tasks, so a host with a third of all URLs costs nothing extra.
 
 The rules are measured first.  Up to ``max_shard_bytes`` they are broadcast; beyond, they
-are dealt by host into shards within the bound, and the URLs pass one shard after another
-in a chain of maps that carries the best rule so far.
+are dealt by host into shards within the bound, and the URLs are judged once a shard, with one
+shard alive at a time; of the shards' rules for a URL the longest is taken in the end.
 
 Defined cases: the host is what follows the first ``://`` up to ``/``, ``?``, ``#`` or the end,
 with A-Z lower-cased; the path follows up to ``?``, ``#`` or the end; both are empty for a null
@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyrill.llm.shared import arrow_map, pick
+from tallyrill.llm.shared import arrow_map, in_passes, pick
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BEST = T.StructType([T.StructField("rule", T.StringType()), T.StructField("verdict", T.StringType()), T.StructField("_length", T.IntegerType()), T.StructField("_host_length", T.IntegerType())])
@@ -85,33 +85,38 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url_col: str = "url", keep: l
     spark = pages.sparkSession
     own = [c for c in (pages.columns if keep is None else keep) if c.lower() not in {"host", "path", "rule", "verdict"}]
     parsed = pick(pages, {"_url": url_col} | {f"_k{i}": c for i, c in enumerate(own)})
-    host, path = host_and_path(F.col("_url"))
-    out = parsed.select(*(f"_k{i}" for i in range(len(own))), host.alias("host"), path.alias("path"), host_key(host).alias("_key")).sortWithinPartitions("_key", "path")
+    names = [f"_k{i}" for i in range(len(own))]
     tidy = pick(rules, {"host": "host", "path": "path", "verdict": "verdict"}).select(F.translate("host", UPPER, LOWER).alias("host"), F.coalesce("path", F.lit("")).alias("path"), "verdict").where("host != '' and verdict is not null")
     tidy = tidy.groupBy("host", "path").agg(F.max("verdict").alias("verdict")).withColumn("key", host_key(F.col("host")))
     total = tidy.agg(F.sum(F.octet_length("host") + F.octet_length("path") + 64)).first()[0] or 0
     shards = max(1, -(-total // max_shard_bytes))
-    carried = False
-    for k in range(shards):
+
+    def judged(urls: DataFrame, url: str, keep: list[str], shard: int) -> DataFrame:
+        """``host, path`` and the best of a shard's rules for each URL."""
         groups: dict[str, tuple[str, int, dict]] = {}
-        for r in tidy.where(F.pmod(F.xxhash64("host"), F.lit(shards)) == k).collect():
+        for r in tidy.where(F.pmod(F.xxhash64("host"), F.lit(shards)) == shard).collect():
             groups.setdefault(r["key"], (r["key"], len(r["host"]), {}))[2][r["path"]] = (r["host"] + r["path"], r["verdict"])
-        shard = spark.sparkContext.broadcast([groups[key] for key in sorted(groups)])
-        inputs = {"key": "_key", "path": "path"} | ({n: n for n in BEST.names} if carried else {})
-        out = arrow_map(out, lambda s=shard, more=carried: _judge_batches(s.value, more), inputs, BEST, [c for c in out.columns if c not in BEST.names])
-        carried = True
+        shared = spark.sparkContext.broadcast([groups[key] for key in sorted(groups)])
+        host, path = host_and_path(F.col(url))
+        keyed = urls.select(*keep, host.alias("host"), path.alias("path"), host_key(host).alias("_key")).sortWithinPartitions("_key", "path")
+        return arrow_map(keyed, lambda: _judge_batches(shared.value), {"key": "_key", "path": "path"}, BEST, [*keep, "host", "path"])
+
+    if shards == 1:
+        out = judged(parsed, "_url", names, 0)
+    else:
+        passes = (lambda texts, s=s: judged(texts, "text", ["_text_hash"], s) for s in range(shards))
+        best = F.max_by(F.struct("rule", "verdict"), F.struct("_length", "_host_length")).alias("_best")
+        out = in_passes(parsed, "_url", names, passes, [F.first("host").alias("host"), F.first("path").alias("path"), best])
+        out = out.select(*names, "host", "path", "_best.rule", "_best.verdict")
     kept = [F.col(f"_k{i}").alias(c) for i, c in enumerate(own)]
     return out.select(*kept, "host", "path", "rule", F.coalesce("verdict", F.lit(default)).alias("verdict"))
 
 
-def _judge_batches(groups, carried: bool):
+def _judge_batches(groups):
     judge = _sweep(groups)
 
     def step(batch: pa.RecordBatch):
         rows = [judge(k, p) for k, p in zip(batch.column("key").to_pylist(), batch.column("path").to_pylist(), strict=True)]
-        if carried:
-            before = zip(*(batch.column(n).to_pylist() for n in BEST.names), strict=True)
-            rows = [max(b, r, key=lambda x: x[2:]) for b, r in zip(before, rows, strict=True)]
         return {n: pa.array([r[i] for r in rows], pa.string() if i < 2 else pa.int32()) for i, n in enumerate(BEST.names)}, None
 
     return step
