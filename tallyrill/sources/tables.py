@@ -38,6 +38,9 @@ def read_table(spark: SparkSession, path: str, format: str | None = None, sheet:
         return with_ordinal(read_records(spark, path))
     if kind == "csv":
         return with_ordinal(nulls(spark.read.csv(path, header=True, inferSchema=infer, multiLine=True, escape='"')))
+    if "://" in path and not path.startswith("file://"):
+        df = nulls(xlsx.read_workbooks(spark, path, sheet))
+        return inferred(df) if infer else df
     xlsx.register(spark)
     reader = spark.read.format("xlsx").option("sheet", str(sheet)).option("sheetByName", "false" if isinstance(sheet, int) else "true")
     df = nulls(reader.load(path))

@@ -13,6 +13,7 @@ import zipfile
 from collections.abc import Iterator
 from xml.sax.saxutils import escape
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -70,7 +71,7 @@ def sheet_rows(book: bytes, sheet: str | int = 0) -> Iterator[list[str | None]]:
 
 
 def _bytes(path: str) -> bytes:
-    """A workbook's bytes through Spark's file systems are not open to a Python source; local and mounted paths are."""
+    """The bytes of a workbook on a local or mounted path; those of other file systems come through :func:`read_workbooks`."""
     with open(path.removeprefix("file://"), "rb") as f:
         return f.read()
 
@@ -114,6 +115,29 @@ class XlsxSource(DataSource):
         return _Reader(dict(self.options), schema)
 
 
+def read_workbooks(spark: SparkSession, path: str, sheet: str | int = 0) -> DataFrame:
+    """What the data source reads, from any file system that Spark can open: a task a workbook, the columns of the first by path."""
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    first = files.agg(F.min("path")).first()[0]
+    if first is None:
+        raise FileNotFoundError(f"no workbook at {path}")
+
+    def heads(batches):
+        for batch in batches:
+            yield pd.DataFrame({"name": [h or f"_c{i}" for book in batch["content"] for i, h in enumerate(next(sheet_rows(bytes(book), sheet), []))]})
+
+    names = [r["name"] for r in files.where(F.col("path") == first).mapInPandas(heads, "name string").collect()]
+
+    def rows(batches):
+        for batch in batches:
+            for book in batch["content"]:
+                cells = [(*row[: len(names)], *[None] * (len(names) - len(row)), i - 1) for i, row in enumerate(sheet_rows(bytes(book), sheet)) if i]
+                yield pd.DataFrame(cells, columns=range(len(names) + 1))
+
+    schema = StructType([*(StructField(n, StringType()) for n in names), StructField("_ord", LongType())])
+    return files.repartition(F.col("path")).mapInPandas(rows, schema)
+
+
 # --- writing ------------------------------------------------------------------------------
 
 # Fixed values of the styled sheet: colours, fonts, borders, width limits.

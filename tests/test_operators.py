@@ -192,6 +192,8 @@ def test_workbook_round_trip(spark, tmp_path):
     back = tables.read_table(spark, path, sheet="Sheet A")
     assert rows(back, "_ord") == [("a", "<&>\"é", None, 0), ("b", None, "2", 1), ("c", None, "3", 2)]
     assert dict(tables.inferred(back).dtypes)["n"] == "bigint"
+    for sheet in ("Sheet A", 0):
+        assert rows(tables.nulls(xlsx.read_workbooks(spark, path, sheet)), "_ord") == rows(back, "_ord")
     with pytest.raises(Exception, match="no sheet"):
         tables.read_table(spark, path, sheet="nope").collect()
 
