@@ -180,6 +180,19 @@ def full_audit(spark, sf_dir):
     return flagship(spark, sf_dir)
 
 
+@query(f"""WITH {DIRTY}, l AS ({_long(TEXTS)}), n AS (SELECT column_name, count(*) FILTER (WHERE trim(v) = '') AS empty_rows, count(*) AS total FROM l GROUP BY column_name),
+g AS (SELECT count(*) AS n FROM dirty GROUP BY segment, nation)
+SELECT (SELECT count(*) FROM dirty) AS total_rows, CAST(4 AS INTEGER) AS total_columns,
+  (SELECT string_agg(column_name || ' ' || empty_rows || ' ' || printf('%.1f%%', empty_rows / total * 100), '|' ORDER BY column_name) FROM n WHERE empty_rows > 0) AS coverage,
+  (SELECT count(*) FROM l WHERE {KIND} IS NOT NULL) AS encoding_issues,
+  (SELECT count(*) FROM dirty WHERE trim(postal_code) <> '' AND NOT regexp_matches(trim(postal_code), '^\\d{{{{4}}}}$')) AS invalid_codes,
+  (SELECT CAST(coalesce(sum(n) FILTER (n > 1), 0) AS BIGINT) FROM g) AS duplicate_rows, (SELECT CAST(coalesce(sum(n) FILTER (n = 1), 0) AS BIGINT) FROM g) AS unique_rows""".replace("{{", "{").replace("}}", "}"))
+def audit_figures(spark, sf_dir):
+    """The figures of the full audit as plain columns."""
+    shown = F.transform(F.map_entries("null_coverage"), lambda e: F.concat_ws(" ", e["key"], e["value"]["empty_rows"].cast("string"), e["value"]["empty_percentage"]))
+    return flagship(spark, sf_dir).select("total_rows", "total_columns", F.array_join(shown, "|").alias("coverage"), F.col("encoding_issues_count").alias("encoding_issues"), F.col("invalid_postal_codes_count").alias("invalid_codes"), "duplicates.duplicate_rows", "duplicates.unique_rows")
+
+
 # --- conformance --------------------------------------------------------------------------
 
 VOTES = "counts AS (SELECT p_brand AS g, p_type AS v, count(*) AS n, min(p_partkey) AS f FROM dirty_part WHERE p_brand IS NOT NULL GROUP BY ALL), best AS (SELECT g, arg_max(v, {'n': n, 'f': -f}) FILTER (v IS NOT NULL) AS majority, max(n) FILTER (v IS NOT NULL) AS votes, CAST(sum(n) AS BIGINT) AS members, count(v) AS distinct_values FROM counts GROUP BY g HAVING count(v) > 0)"
@@ -590,6 +603,16 @@ def report_sections(spark, sf_dir):
     return report.section_rows(table(spark, sf_dir, "customer").select("c_mktsegment", "c_custkey"), "Customers", ["c_mktsegment", "c_custkey"])
 
 
+@query("""WITH r AS (SELECT row_number() OVER (ORDER BY n_nationkey) AS i, n_nationkey AS k, n_name AS n, ['Pass', 'closed', 'other', 'PENDING'][n_nationkey % 4 + 1] AS w FROM nation)
+SELECT '<section><h2>Nations</h2><table><thead><tr><th>n_nationkey</th><th>n_name</th><th>state</th></tr></thead><tbody>' || string_agg('<tr style="background:' || CASE WHEN i % 2 = 0 THEN '#f1f5f9' ELSE '#ffffff' END || '"><td>' || k || '</td><td>' || n || '</td><td>'
+  || CASE w WHEN 'Pass' THEN '<span style="color:#16a34a;font-weight:600">✅ Pass</span>' WHEN 'closed' THEN '<span style="color:#dc2626;font-weight:600">❌ closed</span>' WHEN 'PENDING' THEN '<span style="color:#d97706;font-weight:600">⚠️ PENDING</span>' ELSE w END || '</td></tr>', '' ORDER BY i) || '</tbody></table></section>' AS html FROM r""")
+def report_table(spark, sf_dir):
+    """A small result as a section of a page."""
+    state = F.element_at(F.array(*map(F.lit, ["Pass", "closed", "other", "PENDING"])), (F.col("n_nationkey") % 4 + 1).cast("int"))
+    section = report.table_section(table(spark, sf_dir, "nation").orderBy("n_nationkey").select("n_nationkey", "n_name", state.alias("state")), "Nations")
+    return spark.createDataFrame([(report.render_section(section),)], "html string")
+
+
 @query("SELECT o_orderkey, strftime(o_orderdate, '%-d %B %Y') AS long_date, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S.000Z') AS iso FROM orders")
 def report_dates(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", text.long_date(F.col("o_orderdate")).alias("long_date"), text.iso_time(F.col("o_orderdate")).alias("iso"))
