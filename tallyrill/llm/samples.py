@@ -21,14 +21,16 @@ from tallyrill.llm.shared import mapped, pick
 
 #: Rows that a task holds of all groups together before it passes some on; a bound of memory, not of the sample.
 HELD = 200_000
+PARTS = 32
 
 
 def first_by_hash(rows: DataFrame, group: str, bounds: Mapping | int, keys: tuple[str, ...] = ("_h",)) -> DataFrame:
     """Of each value of ``group`` the first rows by the long columns ``keys`` (ties in all of them count once),
     at most its bound; ``bounds``: one for all, or by value (others get none).
 
-    ``rows`` has the columns ``group`` and ``keys`` only.  Two rounds of a bounded heap a group: one over
-    the rows as they lie, one over what that left, dealt by group.
+    ``rows`` has the columns ``group`` and ``keys`` only.  Three rounds of a bounded heap a group: over
+    the rows as they lie, over what that left, dealt by group and one of ``PARTS`` parts, and over what is left then by
+    group.  So the last task of a group never meets more than ``PARTS`` times its bound.
     """
     rows = rows.select(group, *keys).where(F.col(group).isNotNull())
     if isinstance(bounds, Mapping):
@@ -67,7 +69,8 @@ def first_by_hash(rows: DataFrame, group: str, bounds: Mapping | int, keys: tupl
 
     schema = T.StructType([T.StructField(group, rows.schema[group].dataType)] + [T.StructField(k, T.LongType()) for k in keys])
     near = mapped(rows, run, schema)
-    return mapped(near.repartition(group), run, schema)
+    part = F.pmod(F.xxhash64(*keys), F.lit(PARTS))
+    return mapped(mapped(near.repartition(group, part), run, schema).repartition(group), run, schema)
 
 
 def labelled(docs: DataFrame, labels: DataFrame, label: str, bounds: Mapping[int, int], id_col: str = "doc_id", text_col: str = "text", seed: str = "sample", docs_id_col: str | None = None) -> DataFrame:
