@@ -40,7 +40,7 @@ BITS, MOST_BITS, ORDER = 7, 12, 5
 ESCAPE, DIGIT_BITS = 1, 6
 DIGITS = 1 << DIGIT_BITS
 #: Symbols handled at once, and distinct n-grams that a counting task holds before it emits them.
-PIECE, HELD = 1 << 20, 2_000_000
+PIECE, HELD = 1 << 18, 1_000_000
 
 
 # --- symbols ------------------------------------------------------------------------------
