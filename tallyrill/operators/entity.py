@@ -24,7 +24,7 @@ def fuzzy_candidates(df: DataFrame, name: str, block: str | None, order: str, th
     A similarity is at most twice the shorter length over both lengths, so lengths alone
     rule pairs out, in the join.  Only distinct names are paired, not rows: a pair of names
     that fill a block is scored once, in the orders that occur (some row with the first name
-    before some row with the second).
+    before some row with the second).  All names of a block meet; :func:`possible_pairs` spares them that.
     """
     names = _named(df, name, block, order).groupBy("block", "n").agg(F.min("_ord").alias("lo"), F.max("_ord").alias("hi")).withColumn("size", F.length("n"))
     a, b = names.alias("a"), names.alias("b")
