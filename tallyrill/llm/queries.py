@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyrill.llm import cross_entropy, decontaminate, html_text, language, mixing, near_duplicates, quality, topk, toxicity, url_rules
+from tallyrill.llm import cross_entropy, decontaminate, host_rules, html_text, language, mixing, near_duplicates, quality, topk, toxicity, url_rules
 
 #: Fixed values of the URL query: host, path, verdict.
 URL_RULES = [
@@ -71,5 +71,10 @@ def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), mixing.cyclic_weights((3, 1, 2))).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op13_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = host_rules.judged(table(spark, sf_dir, "documents"))
+    return got.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_language, op2_html_text, op3_url_rules, op4_cross_entropy, op5_quality, op6_toxicity, op7_decontaminate, op8_near_duplicates, op9_top_k, op10_mix)}
+    return {f.__name__: f for f in (op1_language, op2_html_text, op3_url_rules, op4_cross_entropy, op5_quality, op6_toxicity, op7_decontaminate, op8_near_duplicates, op9_top_k, op10_mix, op13_host_rules)}

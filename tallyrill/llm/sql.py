@@ -114,6 +114,42 @@ SELECT doc_id, size, source_size, target,
 FROM placed
 """
 
+OP13_RULES = {
+    "few_words": "n_words < 20",
+    "repeated_words": "100 * n_repeat_words > 30 * n_words",
+    "symbols": "10 * n_symbols > n_words",
+    "repeated_lines": "100 * n_dup_lines > 30 * n_lines",
+    "word_length": "word_chars < 2 * n_words OR word_chars > 20 * n_words",
+}
+OP13 = rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
+  FROM documents
+), places AS (
+  SELECT r, s, array_to_string(w[s:s + 7], ' ') AS t FROM d, unnest(range(1, len(w) - 6)) AS u(s) WHERE len(w) >= 8
+), again AS (SELECT r, t FROM places GROUP BY r, t HAVING count(*) > 1),
+hit AS (SELECT r, count(DISTINCT p) AS n FROM places JOIN again USING (r, t), unnest(range(s, s + 8)) AS v(p) GROUP BY r),
+counted AS (
+  SELECT doc_id, source, CAST(len(w) AS BIGINT) AS n_words, CAST(length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars,
+    CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
+    CAST(coalesce(hit.n, 0) AS BIGINT) AS n_repeat_words, len(lines) AS n_lines
+  FROM d LEFT JOIN hit USING (r)
+), hosts AS (
+  SELECT source, CAST(count(*) AS DOUBLE) AS n, {", ".join(f"count(*) FILTER ({c}) / CAST(count(*) AS DOUBLE) AS p_{r}" for r, c in OP13_RULES.items())}
+  FROM counted WHERE source IS NOT NULL GROUP BY source
+), prior AS (
+  SELECT {", ".join(f"avg(p_{r}) AS m_{r}, avg(p_{r}) * (1 - avg(p_{r})) AS o_{r}, var_pop(p_{r}) - avg(p_{r}) * (1 - avg(p_{r})) * avg(1 / n) AS b_{r}" for r in OP13_RULES)} FROM hosts
+), weights AS (
+  SELECT {", ".join(f"m_{r}, CASE WHEN b_{r} > 0 THEN least(10000.0::DOUBLE, greatest(2.0::DOUBLE, o_{r} / b_{r} - 1)) ELSE 10000.0::DOUBLE END AS s_{r}" for r in OP13_RULES)} FROM prior
+), bad AS (
+  SELECT source FROM hosts, weights WHERE {" OR ".join(f"(n * p_{r} + s_{r} * m_{r}) / (n + s_{r}) > 0.5::DOUBLE" for r in OP13_RULES)}
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+  NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND NOT coalesce(source IN (SELECT source FROM bad), false) AS kept
+FROM counted
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_html_text": OP2, "op3_url_rules": OP3, "op7_decontaminate": OP7, "op8_near_duplicates": OP8, "op9_top_k": OP9, "op10_mix": OP10}
+    return {"op2_html_text": OP2, "op3_url_rules": OP3, "op7_decontaminate": OP7, "op8_near_duplicates": OP8, "op9_top_k": OP9, "op10_mix": OP10, "op13_host_rules": OP13}
