@@ -114,6 +114,24 @@ SELECT doc_id, size, source_size, target,
 FROM placed
 """
 
+OP11 = """
+WITH v AS (
+  SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT a.r, a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same, CAST(list_dot_product(a.e, c.e) AS BIGINT) AS score
+  FROM v AS a JOIN v AS c ON a.vec_id % 50 = 0 AND a.r <> c.r AND len(a.e) = len(c.e)
+), p AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) AS place FROM s WHERE same) WHERE place <= 5
+), n AS (
+  SELECT p.anchor_id, p.vec_id AS positive_id, p.score AS positive_score, s.vec_id AS negative_id, s.score AS negative_score,
+    CAST(row_number() OVER (PARTITION BY p.r, p.place ORDER BY s.score DESC, s.vec_id) AS INTEGER) AS rank
+  FROM p JOIN s ON p.r = s.r AND NOT s.same AND 50 * p.score <= 100 * s.score AND 100 * s.score <= 95 * p.score
+)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 3
+"""
+
 OP13_RULES = {
     "few_words": "n_words < 20",
     "repeated_words": "100 * n_repeat_words > 30 * n_words",
@@ -152,4 +170,4 @@ FROM counted
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_html_text": OP2, "op3_url_rules": OP3, "op7_decontaminate": OP7, "op8_near_duplicates": OP8, "op9_top_k": OP9, "op10_mix": OP10, "op13_host_rules": OP13}
+    return {"op2_html_text": OP2, "op3_url_rules": OP3, "op7_decontaminate": OP7, "op8_near_duplicates": OP8, "op9_top_k": OP9, "op10_mix": OP10, "op11_hard_negatives": OP11, "op13_host_rules": OP13}
