@@ -39,6 +39,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyrill.llm.packing import counts_of, keys_of, packed_counts, packed_keys
 from tallyrill.llm.shared import discard, mapped, pick, utf8, written
 from tallyrill.llm.shingles import pair_hashes, word_groups
 
@@ -78,25 +79,6 @@ def _first(owner: np.ndarray) -> np.ndarray:
     return np.concatenate([[True], owner[1:] != owner[:-1]]) if len(owner) else np.zeros(0, bool)
 
 
-def _packed(counts: np.ndarray) -> bytes:
-    """Counts in as few bytes each as the largest needs."""
-    return counts.astype(np.min_scalar_type(int(counts.max(initial=0)))).tobytes()
-
-
-def _counts(raw: bytes, n: int) -> np.ndarray:
-    return np.frombuffer(raw, f"u{len(raw) // n}" if n else "u1").astype(np.int64)
-
-
-def _packed_keys(keys: np.ndarray) -> bytes:
-    """Sorted hashes as differences, highest bytes first, as those are mostly 0 and compress."""
-    return np.diff(keys, prepend=np.uint64(0)).astype(">u8").view(np.uint8).reshape(-1, 8).T.tobytes()
-
-
-def _keys(raw: bytes) -> np.ndarray:
-    planes = np.frombuffer(raw, np.uint8).reshape(8, -1)
-    return np.cumsum(np.ascontiguousarray(planes.T).view(">u8").ravel().astype(np.uint64), dtype=np.uint64)
-
-
 def _slices(rows: DataFrame) -> DataFrame:
     """``slice, docs``: the rows ``doc_id, flag, text`` packed as they lie, a batch a slice."""
 
@@ -124,13 +106,13 @@ def _requests(slices: DataFrame, shards: int) -> DataFrame:
                 _, flags, texts = _unpacked(docs)
                 words, pairs, owner, lengths = tokens(texts)
                 some = lengths > 0
-                out = [(name, 0, TEXT, _packed_keys(np.array([START])), _packed(np.array([some.sum()])), _packed(np.array([flags[some].sum()])))]
+                out = [(name, 0, TEXT, packed_keys(np.array([START])), packed_counts(np.array([some.sum()])), packed_counts(np.array([flags[some].sum()])))]
                 for kind, keys in ((WORD, words), (PAIR, pairs)):
                     known, at = np.unique(keys, return_inverse=True)
                     n, f = (np.bincount(x, minlength=len(known)) for x in (at, at[flags[owner]]))
                     to, start = np.unique(((known >> np.uint64(32)) * np.uint64(shards)) >> np.uint64(32), return_index=True)
                     for shard, a, b in zip(to.tolist(), start, np.append(start[1:], len(known)), strict=True):
-                        out.append((name, shard, kind, _packed_keys(known[a:b]), _packed(n[a:b]), _packed(f[a:b])))
+                        out.append((name, shard, kind, packed_keys(known[a:b]), packed_counts(n[a:b]), packed_counts(f[a:b])))
                 kinds = (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["slice", "shard", "kind", "keys", "n", "f"])
 
@@ -144,8 +126,8 @@ def _answers(table: pa.Table) -> pa.Table:
     out = []
     for kind in sorted(set(columns["kind"])):
         rows = [i for i, k in enumerate(columns["kind"]) if k == kind]
-        parts = [_keys(columns["keys"][i]) for i in rows]
-        n, f = (np.concatenate([_counts(columns[c][i], len(p)) for i, p in zip(rows, parts, strict=True)]) for c in "nf")
+        parts = [keys_of(columns["keys"][i]) for i in rows]
+        n, f = (np.concatenate([counts_of(columns[c][i], len(p)) for i, p in zip(rows, parts, strict=True)]) for c in "nf")
         if kind == TEXT:
             out.append((-1, 0, TEXT, None, None, None, int(n.sum()), int(f.sum())))
             continue
@@ -153,7 +135,7 @@ def _answers(table: pa.Table) -> pa.Table:
         totals = [np.bincount(at, x, len(known)).astype(np.int64) for x in (n, f)]
         ends = np.cumsum([len(p) for p in parts])
         for i, a, b in zip(rows, (ends - [len(p) for p in parts]).tolist(), ends.tolist(), strict=True):
-            out.append((columns["slice"][i], columns["shard"][i], kind, *(_packed(t[at[a:b]]) for t in totals), b - a, None, None))
+            out.append((columns["slice"][i], columns["shard"][i], kind, *(packed_counts(t[at[a:b]]) for t in totals), b - a, None, None))
         out.append((-1, columns["shard"][0], kind, None, None, len(known), int(n.sum()), int(f.sum())))
     kinds = (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64())
     return pa.table([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["slice", "shard", "kind", "n", "f", "types", "total", "flagged"])
@@ -192,7 +174,7 @@ def _scored(slices: DataFrame, answers: DataFrame, sums: dict[str, int], mu: flo
             for docs, answers in zip(batch.column(0), batch.column(1), strict=True):
                 ids, flags, texts = _unpacked(docs)
                 blocks = sorted(answers.as_py() or [], key=lambda a: (a["kind"], a["shard"]))
-                totals = {k: tuple(np.concatenate([np.zeros(0, np.int64), *(_counts(a[c], a["types"]) for a in blocks if a["kind"] == k)]) for c in "nf") for k in (WORD, PAIR)}
+                totals = {k: tuple(np.concatenate([np.zeros(0, np.int64), *(counts_of(a[c], a["types"]) for a in blocks if a["kind"] == k)]) for c in "nf") for k in (WORD, PAIR)}
                 n, target, background = losses(texts, flags, totals, sums, mu)
                 some = np.where(n > 0, n, 1)
                 columns = [pa.array(x / some, pa.float64(), mask=n == 0) for x in (target, background, target - background)]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyrill.llm import cross_entropy, decontaminate, hard_negatives, host_rules, html_text, language, mixing, near_duplicates, quality, topk, toxicity, url_rules
+from tallyrill.llm import cross_entropy, decontaminate, hard_negatives, host_rules, html_text, language, mixing, near_duplicates, phrases, quality, topk, toxicity, url_rules
 
 #: Fixed values of the URL query: host, path, verdict.
 URL_RULES = [
@@ -76,10 +76,14 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.mine(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, moved)
 
 
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.mine(table(spark, sf_dir, "documents"))
+
+
 def op13_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = host_rules.judged(table(spark, sf_dir, "documents"))
     return got.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_language, op2_html_text, op3_url_rules, op4_cross_entropy, op5_quality, op6_toxicity, op7_decontaminate, op8_near_duplicates, op9_top_k, op10_mix, op11_hard_negatives, op13_host_rules)}
+    return {f.__name__: f for f in (op1_language, op2_html_text, op3_url_rules, op4_cross_entropy, op5_quality, op6_toxicity, op7_decontaminate, op8_near_duplicates, op9_top_k, op10_mix, op11_hard_negatives, op12_phrases, op13_host_rules)}

@@ -132,6 +132,29 @@ WITH v AS (
 SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 3
 """
 
+OP12 = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, 'und') AS lang, {FOLD.format("coalesce(text, '')")} AS t FROM documents),
+p AS (
+  SELECT r, lang, i, regexp_extract_all(parts[i], '[^\x20\x09]+') AS w
+  FROM (SELECT r, lang, string_split_regex(t, '[.,;:!?\x0A-\x0D]') AS parts FROM d), unnest(range(1, len(parts) + 1)) AS u(i)
+), total AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM p GROUP BY lang HAVING sum(len(w)) > 0),
+f AS (
+  SELECT lang, m, array_to_string(w[s:s + m - 1], ' ') AS phrase, count(*) AS a
+  FROM p, unnest([1, 2, 3, 4]) AS v(m), unnest(range(1, len(w) - m + 2)) AS u(s) WHERE len(w) >= m GROUP BY ALL HAVING count(*) >= 30
+), c AS (SELECT lang, m, phrase, a, string_split(phrase, ' ') AS w FROM f WHERE m > 1),
+cuts AS (
+  SELECT c.lang, c.phrase, c.a, k, x.a AS l, y.a AS r, CAST(2000000 * CAST(c.a AS HUGEINT) // (x.a + y.a) AS BIGINT) AS score
+  FROM c, unnest(range(1, c.m)) AS u(k) JOIN f AS x ON x.lang = c.lang AND x.phrase = array_to_string(w[1:k], ' ') JOIN f AS y ON y.lang = c.lang AND y.phrase = array_to_string(w[k + 1:c.m], ' ')
+), weakest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS place FROM cuts) WHERE place = 1),
+inside AS (
+  SELECT lang, array_to_string(w[s:s + k - 1], ' ') AS phrase, max(a) AS most FROM c, unnest(range(2, m)) AS v(k), unnest(range(1, m - k + 2)) AS u(s) GROUP BY ALL
+), ranked AS (
+  SELECT x.*, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank
+  FROM weakest AS x LEFT JOIN inside USING (lang, phrase) WHERE NOT coalesce(100 * most >= 80 * a, false)
+)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN total USING (lang) WHERE rank <= 2000
+"""
+
 OP13_RULES = {
     "few_words": "n_words < 20",
     "repeated_words": "100 * n_repeat_words > 30 * n_words",
@@ -170,4 +193,4 @@ FROM counted
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_html_text": OP2, "op3_url_rules": OP3, "op7_decontaminate": OP7, "op8_near_duplicates": OP8, "op9_top_k": OP9, "op10_mix": OP10, "op11_hard_negatives": OP11, "op13_host_rules": OP13}
+    return {"op2_html_text": OP2, "op3_url_rules": OP3, "op7_decontaminate": OP7, "op8_near_duplicates": OP8, "op9_top_k": OP9, "op10_mix": OP10, "op11_hard_negatives": OP11, "op12_phrases": OP12, "op13_host_rules": OP13}
