@@ -17,7 +17,8 @@ unless they are links for the most part.
 What elements say they are is a prior, no verdict.  Text in menus, headers, footers, sidebars,
 notices, adverts, forms and comments, by their tag, role, class or id, weighs ``MARKED`` of its
 ratio, and text outside the page's article or main element ``BESIDE``: it is content where the page
-has nothing that comes near it.  A header within an article keeps its headings.  A mark does not
+has nothing that comes near it.  Within the article a class of the ``SOFT`` words alone weighs ``INNER``: such a block is drawn in by its place if
+its own weighed ratio reaches ``SPOKEN``, as that of a long block with punctuation does.  A header within an article keeps its headings.  A mark does not
 count where it stands on most of the article: on an element, or on all elements of a class together,
 that hold more than half of the text outside links of the page's article or main element (of the
 page, if there is none with a twentieth of its text), if they hold an article or several blocks and
@@ -47,28 +48,30 @@ from tallyrill.llm.shared import arrow_map
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>script|style|noscript|template|iframe|svg|object|textarea|title|select)\b[^>]*+(?:>.*?(?:</(?P=raw)\s*>|\Z)|\Z)"
+    r"|<(?P<raw>script|style|template|iframe|svg|object|textarea|title|select)\b[^>]*+(?:>.*?(?:</(?P=raw)\s*>|\Z)|\Z)"
     r"|<(?P<end>/?)(?P<tag>[a-z][a-z0-9:-]*+)(?P<rest>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)(?:>|\Z)"
     r"|<(?P<end2>/?)(?P<tag2>[a-z][a-z0-9:-]*+)(?P<rest2>[^>]*+)(?:>|\Z)"
     r"|<[!?/][^>]*+(?:>|\Z)",
     re.S | re.I,
 )
-ATTRIBUTE = re.compile(r"([a-z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))|\bhidden\b", re.I)
+ATTRIBUTE = re.compile(r"([^\s=>\"'/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?")
 PUNCTUATION = re.compile(r"[.,;:!?…¿¡。，、；：！？]")
 SPACE = re.compile(r"\s+")
 
-#: What text that says it is no article weighs, what text beside the article element weighs, and the least ratio of content.
-MARKED, BESIDE, FLOOR = 1e-5, 1e-2, 1.0
+#: What text weighs that says it is no article, what it weighs where only a class or id within the article says so, what text beside
+#: the article element weighs, the least ratio of content, and that of a paragraph that speaks for itself.
+MARKED, INNER, BESIDE, FLOOR, SPOKEN = 1e-5, 0.1, 1e-2, 1.0, 50.0
 
-# Elements by kind, and words that mark an element as no article.
+# Elements by kind, words that mark an element as no article, and those that within an article may mean its own matter.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = set("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 CLOSES_P = BLOCK - set("body html td th tr tbody thead tfoot caption".split())
-OUTSIDE = set("head nav header footer aside form button menu dialog input label fieldset canvas audio video".split())
-FORMS = set("form fieldset label".split())
+OUTSIDE = set("head nav header footer aside form button menu dialog input label fieldset canvas audio video noscript".split())
+FORMS = set("form fieldset label noscript".split())
 HOMES = ("article", "main")
 ROLES = set("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 MARKS = set("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar nav navbar navigation menu breadcrumb breadcrumbs footer masthead comment comments disqus reply replies cookie cookies consent gdpr notice alert popup modal overlay share sharing social related recommended newsletter subscribe subscription signup login widget toolbar pagination pager skip sidenav subnav topnav topbar rail copyright paywall teaser".split())
+SOFT = set("related skip share sharing social rail overlay alert notice widget promotion teaser copyright".split())
 OWN = set("article content entry post story main".split())
 HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
 FLOW = HEADINGS | set("p ul ol dl table pre blockquote figure details hr".split())
@@ -77,12 +80,12 @@ BARRIER = {"li": {"ul", "ol", "menu", "dir"}, "dt": {"dl"}, "dd": {"dl"}, "tr":
 
 
 class Element:
-    __slots__ = ("blocks", "classes", "hidden", "holds", "label", "marked", "outside", "parent", "strict", "tag", "weight", "within")
+    __slots__ = ("blocks", "classes", "hidden", "holds", "label", "marked", "outside", "parent", "soft", "strict", "tag", "weight", "within")
 
     def __init__(self, tag: str, label: str, parent: Element | None, hidden: bool, within: bool, marked: bool = False, strict: bool = False, classes: tuple[str, ...] = ()) -> None:
         self.tag, self.label, self.parent, self.hidden, self.within = tag, label, parent, hidden, within
         self.marked, self.strict, self.classes = marked, strict, classes  # by tag, role or id; by tag or role alone; the classes that say so
-        self.outside, self.weight, self.blocks, self.holds = False, 0, 0, tag in HOMES  # known once the page is read
+        self.soft, self.outside, self.weight, self.blocks, self.holds = False, False, 0, 0, tag in HOMES  # known once the page is read
 
 
 class Block:
@@ -105,7 +108,7 @@ def _open(tag: str, rest: str, parent: Element) -> Element:
     role = ""
     if rest and not rest.isspace():
         for m in ATTRIBUTE.finditer(rest):
-            name, value = (m[1] or "hidden").lower(), (m[2] or m[3] or m[4] or "").lower()
+            name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
             if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value)):
                 hidden = True
             elif name == "role":
@@ -155,7 +158,10 @@ def _judge(elements: list[Element]) -> dict[int, bool]:
     void = {c for c, (weight, blocks, holds) in by_class.items() if (holds or blocks > 1) and 2 * weight > scope.weight}
     for e in elements[1:]:
         much = not e.strict and (e.marked or bool(e.classes)) and (e.holds or e.blocks > 1) and 2 * _share(e, scope, inside, around) > scope.weight
-        e.outside = e.parent.outside or e.hidden or (not much and (e.marked or any(_counts(c, void, e.within) for c in e.classes)))
+        counting = [] if much else [c for c in e.classes if _counts(c, void, e.within)]
+        doubt = e.within and e.tag in BLOCK and all(set(re.split(r"[_-]+", c)) & MARKS <= SOFT for c in counting)
+        e.outside = e.parent.outside or e.hidden or (not much and e.marked) or (bool(counting) and not doubt)
+        e.soft = e.parent.soft or (bool(counting) and doubt)
         if e.within and e.tag in HEADINGS and e.parent.tag == "header" and not e.parent.parent.outside:
             e.outside = e.hidden
     return {id(e): scope.parent is None or e.within or e.tag in HOMES for e in elements}
@@ -275,7 +281,7 @@ def blocks_of(page: str) -> list[Block]:
     at_home = _judge(elements)
     for b in out:
         outside = b.element.outside
-        b.prior = (MARKED if outside else 1.0) * (1.0 if at_home[id(b.element)] else BESIDE)
+        b.prior = (MARKED if outside else INNER if b.element.soft else 1.0) * (1.0 if at_home[id(b.element)] else BESIDE)
         b.linked = sum(len(t) for e, t, linked in b.parts if linked and (outside or not e.outside))
         b.parts = [t for e, t, _ in b.parts if outside or not e.outside]
     return [b for b in out if b.parts]
@@ -288,7 +294,7 @@ def _path(element: Element, known: dict[int, str]) -> str:
         element = element.parent
     path = known[id(element)] if element is not None else ""
     for e in reversed(chain):
-        path = f"{path}/{e.label}{'!' if e.outside else ''}" if e.tag in BLOCK else path
+        path = f"{path}/{e.label}{'!' if e.outside else '?' if e.soft else ''}" if e.tag in BLOCK else path
         known[id(e)] = path
     return path
 
@@ -396,6 +402,11 @@ def _recovered(blocks: list[Block], texts: list[str], chosen: set[int]) -> set[i
     return found
 
 
+def _ratio(block: Block, text: str) -> float:
+    """A block's own."""
+    return max(0, len(text) - block.linked) * (1 + len(PUNCTUATION.findall(text)))
+
+
 def main_text(page: str | None) -> str:
     blocks, texts = [], []
     for b in blocks_of(page or ""):
@@ -409,7 +420,7 @@ def main_text(page: str | None) -> str:
     chosen = {i for i, p in enumerate(paths) if mean[p] >= threshold}
     if chosen:
         least = min(blocks[i].prior for i in chosen)
-        chosen |= {i for i in _recovered(blocks, texts, chosen) if blocks[i].prior >= least}
+        chosen |= {i for i in _recovered(blocks, texts, chosen) if (INNER * _ratio(blocks[i], texts[i]) >= SPOKEN if blocks[i].element.soft else blocks[i].prior >= least)}
     return "\n".join(t for i, t in enumerate(texts) if i in chosen)
 
 

@@ -38,3 +38,32 @@ LINKS = '<div><a href="x">Link here</a> <a href="y">Link there</a></div>'
 def test_short_blocks_without_a_container_of_all(page):
     got = html_text.main_text(f"<body>{page}</body>").split("\n")
     assert got.count("short") == 10 and got[0] == "T" and not any("Link" in line for line in got)
+
+
+TEXT = " ".join([LINE] * 6)
+
+
+@pytest.mark.parametrize("page", [
+    f"<article data-hidden>{P * 3}</article>",
+    f'<article data-col2="hidden">{P * 3}</article>',
+    f'<article data-x="a" not-hidden=1 aria-hidden="false">{P * 3}</article>',
+    f'<div data-x1="not hidden"><article title="hidden or not">{P * 3}</article></div>',
+    f"<noscript><article>{P * 3}</article></noscript>",
+    f"<article>{P * 3}<noscript>Switch scripts on, please.</noscript><p hidden>{LINE}</p><div HIDDEN=''>{P}</div></article>",
+])
+def test_hidden_is_a_whole_name(page):
+    assert html_text.main_text(f"<body>{page}</body>") == "\n".join([TEXT] * 3)
+    assert html_text.main_text(f"<body><article hidden>{P}</article></body>") == ""
+
+
+@pytest.mark.parametrize("name", ["related-work", "skip", "share", "rail", "overlay", "alert", "notice-board", "plain"])
+def test_a_paragraph_of_the_article_outweighs_a_doubtful_class(name):
+    last = " ".join([LINE] * 3) + " The end."
+    page = f'<article>{P * 3}<div class="{name}"><p>{last}</p></div></article><div class="comments"><p>Reader, says.</p></div>'
+    assert html_text.main_text(f"<body>{page}</body>") == "\n".join([*[TEXT] * 3, last])
+
+
+@pytest.mark.parametrize("name", ["related", "share", "ad", "comments", "newsletter", "sidebar"])
+@pytest.mark.parametrize("inner", ["<p>Buy now.</p>", "<p><a href=x>More, of this; and of that, as well.</a></p>", "<ul><li>One thing, or two.</li><li>Another, you know.</li></ul>", "<p>Sign up now, and get our best stories, every week. No spam.</p>"])
+def test_short_or_linked_blocks_of_such_a_class_go(name, inner):
+    assert html_text.main_text(f'<body><article>{P * 3}<div class="{name}">{inner}</div></article></body>') == "\n".join([TEXT] * 3)
