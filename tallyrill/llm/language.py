@@ -9,7 +9,8 @@ are read: each byte is in exactly one window.
 Training is backpropagation through time with Adam on the driver, from a bounded sample: for
 each language at most ``docs_per_language`` labelled documents, the first by hash of their ids (and
 texts, where an id occurs more than once), and of each at most ``windows_per_doc`` windows, evenly
-spaced over the whole text.  Every language among them is learned.
+spaced over the whole text.  At most ``max_languages`` languages are learned, those with most rows, so a column of stray
+values is no burden; documents of the others are told as the learned one that is most like them.
 
 Defined cases: ``und`` with score 0 where the text is null or has no letter, or where there was
 nothing to learn from; rows with a null language or id are not learned from; ties go to the language that
@@ -163,11 +164,15 @@ def has_letter(text: bytes) -> bool:
     return bool(ASCII_LETTER.search(text)) or (not text.isascii() and any(c.isalpha() for c in text.decode("utf-8", "replace")))
 
 
-def sampled_windows(docs: DataFrame, learn: Column, text_col: str, lang_col: str, id_col: str, docs_per_language: int, windows_per_doc: int) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Languages by code point, and the sample's windows with their language numbers."""
+def sampled_windows(docs: DataFrame, learn: Column, text_col: str, lang_col: str, id_col: str, docs_per_language: int, windows_per_doc: int, max_languages: int = 256) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Languages by code point, and the sample's windows with their language numbers.
+
+    Of more than ``max_languages`` languages those with most rows are learned (ties by code point)."""
     chosen = docs.where(learn)
+    often = pick(chosen, {"_lang": lang_col}).where("_lang is not null").groupBy("_lang").count()
+    often = [r[0] for r in often.orderBy(F.desc("count"), "_lang").limit(max_languages).collect()]
     place = F.xxhash64(F.col("_id").cast("string")), F.xxhash64("text")
-    plain = pick(chosen, {"_lang": lang_col, "_id": id_col, "text": text_col}).where("_lang is not null and _id is not null and text is not null").select("_lang", place[0].alias("_h"), place[1].alias("_t"), "text")
+    plain = pick(chosen, {"_lang": lang_col, "_id": id_col, "text": text_col}).where("_lang is not null and _id is not null and text is not null").where(F.col("_lang").isin(often)).select("_lang", place[0].alias("_h"), place[1].alias("_t"), "text")
     first = first_by_hash(plain.select("_lang", "_h", "_t"), "_lang", docs_per_language, ("_h", "_t"))
     texts = plain.join(F.broadcast(first), ["_lang", "_h", "_t"]).groupBy("_lang", "_h", "_t").agg(F.first("text").alias("text")).select("_lang", "text")
 
@@ -211,10 +216,10 @@ def pooled(net: Network, texts: list[bytes | None], languages: int) -> np.ndarra
 class Identifier:
     """A trained identifier; ``labelled`` applies it."""
 
-    def __init__(self, docs: DataFrame, learn: Column | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_per_language: int = 400, windows_per_doc: int = 12, units: int = 8, steps: int = 400) -> None:
+    def __init__(self, docs: DataFrame, learn: Column | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_per_language: int = 400, windows_per_doc: int = 12, units: int = 8, steps: int = 400, max_languages: int = 256) -> None:
         """``learn``: a condition over the columns of ``docs`` that training rows fulfil."""
         self.text_col = text_col
-        self.names, windows, labels = sampled_windows(docs, F.lit(True) if learn is None else learn, text_col, lang_col, id_col, docs_per_language, windows_per_doc)
+        self.names, windows, labels = sampled_windows(docs, F.lit(True) if learn is None else learn, text_col, lang_col, id_col, docs_per_language, windows_per_doc, max_languages)
         self.net = train(windows, labels, len(self.names), units, steps) if self.names else None
 
     def labelled(self, docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
@@ -237,7 +242,7 @@ def kept(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_c
     fold = F.pmod(F.xxhash64(F.lit("language"), F.col(at[id_col]).cast("string")), F.lit(2))
     found = Identifier(plain, fold == 0, at[id_col], at[text_col], at[lang_col])
     if not found.names:
-        return docs.where(F.coalesce(F.col(f"`{text_col}`").rlike(r"\p{L}"), F.lit(False)))
+        return plain.where(F.coalesce(F.col(at[text_col]).rlike(r"\p{L}"), F.lit(False))).toDF(*names)
     scored = written(found.labelled(plain), "languages")
     right = scored.where((fold == 1) & (F.col("lang_pred") == F.col(at[lang_col])))
     low = F.percentile_approx("score", quantile, 100_000)
