@@ -1,25 +1,30 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
-A text is lower-cased and cut into words (ASCII letters and digits, and all bytes from 0x80).  Two models,
-of toxic and of ordinary documents, predict each byte of a word, and its end, from the word's beginning, up to
-``DEPTH`` bytes.  A class counts in how many of its documents a beginning occurs (modified Kneser-Ney
+A text is lower-cased and cut into words (ASCII letters and digits, and all bytes from 0x80; each ideograph, kana, hangul
+syllable and the like is a word of its own, and two of them in a row are one more).  Two models, of toxic and of ordinary documents, predict each byte of a word,
+and its end, from the word's beginning, up to ``DEPTH`` bytes; a longer word is read on in runs of ``RUN`` bytes, one from each
+byte, predicted in the same way from the run's beginning, so what a long word says is heard wherever in it it stands.
+A class counts in how many of its documents a beginning occurs (modified Kneser-Ney
 discounts, interpolated); what the discounts free goes to one back-off model that both classes share, a
 Kneser-Ney model (see ``ngram``) of order ``ORDER`` over the bytes of all words.  So an expression that
 neither class knows has the same probability in both and speaks for neither, and one that shares its
-beginning with known ones speaks as that does.
+beginning with known ones speaks as that does.  Two further models predict a word from the whole word before it, so that
+expressions of several words count; their shared back-off is the share of words that
+a word follows.  Beginnings of runs, and pairs, that occur in one document only are smoothing mass, and speak for neither class.
 
 The log-likelihoods are compared length-normalised: the difference a word, over the whole text and over
-its 1, 2 and 4 strongest words, as a text that insults twice in a thousand words must stand out.  The
-evidence beyond ``MARKED`` nats a word, summed, and the number of words join them on a logarithmic scale.  A
-logistic function of these six, fitted on sampled documents that the models have not seen, gives the score.
+its 1, 2 and 4 strongest words, as a text that insults twice in a thousand words must stand out, and that of pairs
+over the whole text.  The evidence beyond ``MARKED`` nats a word, summed, and the number of words join them on a logarithmic scale.  A
+logistic function of these seven, fitted on sampled documents that the models have not seen, gives the score.
 
 The fit uses a bounded sample of labelled rows, the first by hash of their ids: at most
 ``max_toxic`` and ``max_ordinary``; 7 in 10 of each go to the models, the rest to the logistic
-function.  The models go to the tasks in shards of at most ``max_shard_rows`` beginnings, dealt by a word's
-first two bytes, and beyond one shard one at a time.
+function.  The models go to the tasks in shards of at most ``max_shard_rows`` rows, dealt by a word's
+or run's first two bytes and by the hash of a pair, and beyond one shard one at a time.
 
 Defined cases: null and empty texts, and texts without a word, have ratios of 0 and the score that belongs to
 them; with one class only in the sample, every score is that class's share (0 without labels);
+a word beyond ``LONG`` bytes counts as several words; a pair that lies across two pieces of a very long text is seen as its words;
 repeated rows are scored alike; an empty table gives no rows; a column named like one of the result gives way.
 """
 
@@ -29,43 +34,61 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyrill.llm import ngram
+from tallyrill.llm.cross_entropy import LONE
 from tallyrill.llm.decontaminate import FOLD
 from tallyrill.llm.samples import labelled
 from tallyrill.llm.shared import arrow_map, discard, in_passes, mapped, pick, written
-from tallyrill.llm.shingles import LONG, PIECE, Spans
+from tallyrill.llm.shingles import LONG, PIECE, Spans, pair_hashes
 
-DEPTH, ORDER, MARKED, LIMIT = 12, 5, 2.0, 12.0
+DEPTH, RUN, ORDER, MARKED, LIMIT = 12, 6, 5, 2.0, 12.0
 #: Strongest words whose mean is taken, and how many are kept.
 STRONGEST, TOP = (1, 2, 4), 4
-FOUND = T.StructType([T.StructField("words", T.LongType()), T.StructField("sums", T.ArrayType(T.DoubleType())), T.StructField("top", T.ArrayType(T.DoubleType()))])
-#: The beginning of every word.
-ROOT = 0
+FOUND = T.StructType([T.StructField("words", T.LongType()), *(T.StructField(n, T.ArrayType(T.DoubleType())) for n in ("sums", "top"))])
+#: The beginnings of every word and of every run; what tells runs from words.
+ROOT, RUNS, LATER = 0, 1, np.uint64(0xA5A5_1234_5EED_0F0F)
 
 
 class Words:
-    """The words of some texts: ``owner`` (the text of each), ``kind`` (a number for each distinct word, as far as ``DEPTH`` tells)."""
+    """The words of some texts, and the runs of those beyond ``DEPTH`` bytes, as parts: ``owner`` (the text of each), ``kind`` (a number for each
+    distinct part, as far as ``DEPTH`` tells); ``pair`` and ``pair_owner`` are those of two words in a row."""
 
     def __init__(self, line: bytes, owners: list[int], ends: list[int]) -> None:
         self.spans = Spans(line)
-        start, size = self.spans.start, np.minimum(self.spans.end - self.spans.start + 1, DEPTH)
-        self.owner = np.array(owners)[np.searchsorted(ends, start, "right")]
-        self.hash, first, self.kind = np.unique(self.spans.hashes(start, start + size), return_index=True, return_inverse=True)
-        self.start, self.size = start[first], size[first]  # the end of a word is a byte of it
+        begin, length = self.spans.start, self.spans.end - self.spans.start + 1  # the end of a word is a byte of it
+        owner = np.array(owners)[np.searchsorted(ends, begin, "right")]
+        parts = 1 + np.maximum(length - DEPTH, 0)
+        word = np.repeat(np.arange(len(begin)), parts)
+        place = np.arange(len(word)) - np.repeat(np.cumsum(parts) - parts, parts)
+        later = place > 0
+        start, size = begin[word] + np.where(later, place + DEPTH - RUN, 0), np.where(later, RUN, np.minimum(length[word], DEPTH))
+        same = owner[1:] == owner[:-1]
+        lead, close = self.spans.raw[begin], np.diff(begin) <= 6
+        lone = ((length == 4) & (lead >= 0xE0)) | ((length == 5) & (lead >= 0xF0))  # one character of a script without spaces
+        both = np.flatnonzero(lone[:-1] & lone[1:] & same & close)
+        self.owner = np.concatenate([owner[word], owner[both]])
+        start, size = np.concatenate([start, begin[both]]), np.concatenate([size, (begin + length)[both + 1] - begin[both]])
+        later = np.concatenate([later, np.zeros(len(both), bool)])
+        hashes = self.spans.hashes(start, start + size) ^ (LATER * later)
+        self.hash, first, self.kind = np.unique(hashes, return_index=True, return_inverse=True)
+        self.start, self.size, self.later = start[first], size[first], later[first]
+        whole = self.spans.hashes(begin, begin + length)
+        self.pair, self.pair_owner = pair_hashes(whole[:-1], whole[1:])[same].view(np.int64), owner[1:][same]
+        self.first, self.second = (w[same].view(np.int64) for w in (whole[:-1], whole[1:]))
 
     def beginnings(self, k: int, of: np.ndarray) -> np.ndarray:
-        """Hashes of the first ``k`` bytes of the distinct words ``of``."""
-        return self.spans.hashes(self.start[of], self.start[of] + k).view(np.int64)
+        """Hashes of the first ``k`` bytes of the distinct parts ``of``."""
+        return (self.spans.hashes(self.start[of], self.start[of] + k) ^ (LATER * self.later[of])).view(np.int64)
 
     def roots(self) -> np.ndarray:
-        return self.spans.hashes(self.start, self.start + np.minimum(self.size, 2)).view(np.int64)
+        return (self.spans.hashes(self.start, self.start + np.minimum(self.size, 2)) ^ (LATER * self.later)).view(np.int64)
 
     def grams(self, k: int, of: np.ndarray) -> np.ndarray:
-        """The last ``ORDER`` of the first ``k`` bytes, 8 bits each; 0 before the word."""
+        """The last ``ORDER`` of the first ``k`` bytes, 8 bits each; 0 before the part."""
         out = np.zeros(len(of), np.int64)
         for j in range(min(ORDER, k)):
             out |= self.spans.raw[self.start[of] + k - 1 - j].astype(np.int64) << (8 * j)
@@ -82,15 +105,14 @@ def words(texts: list[str | None]) -> Iterator[Words]:
         return Words(b" " + b" ".join(parts) + b" ", owners, (1 + np.cumsum([len(p) + 1 for p in parts])).tolist())
 
     for i, text in enumerate(texts):
-        folded = (text or "").lower().encode("utf-8", "replace").translate(FOLD)
-        if len(folded) > LONG:  # of a very long word only the beginning matters
-            folded = b" ".join(w[: 2 * DEPTH] for w in folded.split())
+        lowered = (text or "").lower()
+        if not lowered.isascii() and LONE.search(lowered):
+            lowered = LONE.sub(r" \g<0> ", lowered)
+        folded = lowered.encode("utf-8", "replace").translate(FOLD)
         while folded:
-            if len(folded) > LONG:
-                cut = folded.rindex(b" ", 0, LONG)
-                part, folded = folded[:cut], folded[cut + 1 :]
-            else:
-                part, folded = folded, b""
+            part, folded = folded[:LONG], folded[LONG:]
+            if folded and (cut := part.rfind(b" ")) > 0:
+                part, folded = part[:cut], part[cut + 1 :] + folded
             if total + len(part) > PIECE:
                 yield made()
                 parts, owners, total = [], [], 0
@@ -114,7 +136,7 @@ def counted(sample: DataFrame) -> DataFrame:
                 met = np.unique(group.owner.astype(np.int64) * len(group.hash) + group.kind)  # a word once a document
                 owner, kind = met // len(group.hash), met % len(group.hash)
                 toxic, ordinary = (np.bincount(kind, w, len(group.hash)).astype(np.int64) for w in (flags[owner], ~flags[owner]))
-                parent, root = np.full(len(group.hash), ROOT, np.int64), group.roots()
+                parent, root = np.where(group.later, RUNS, ROOT), group.roots()
                 for k in range(1, DEPTH + 1):
                     at = np.flatnonzero(group.size >= k)
                     if not len(at):
@@ -122,28 +144,68 @@ def counted(sample: DataFrame) -> DataFrame:
                     key, first, same = np.unique(mine := group.beginnings(k, at), return_index=True, return_inverse=True)
                     sums = [np.bincount(same, c[at], len(key)).astype(np.int64) for c in (toxic, ordinary)]
                     place = root[at][first] if k > 1 else np.full(len(key), ROOT, np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (key, parent[at][first], group.grams(k, at)[first], place, *sums)], names=["key", "parent", "gram", "root", "toxic", "ordinary"])
+                    columns = (key, parent[at][first], group.grams(k, at)[first], place, *sums, group.later[at][first])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["key", "parent", "gram", "root", "toxic", "ordinary", "later"])
                     parent[at] = mine
 
-    got = mapped(pick(sample, {"t": "text", "f": "flag"}), run, "key long, parent long, gram long, root long, toxic long, ordinary long")
-    return got.groupBy("key").agg(F.min("parent").alias("parent"), F.min("gram").alias("gram"), F.min("root").alias("root"), F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
+    got = mapped(pick(sample, {"t": "text", "f": "flag"}), run, "key long, parent long, gram long, root long, toxic long, ordinary long, later long")
+    return got.groupBy("key").agg(*(F.min(c).alias(c) for c in ("parent", "gram", "root", "later")), F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
 
 
-def model(counts: DataFrame) -> DataFrame:
-    """``key, root, ratio, miss``: log of toxic to ordinary probability of a beginning's last byte after the
-    rest of it, and of a byte that neither class has met after it (both beside the shared back-off)."""
-    counts = written(counts, "beginnings")
+def counted_pairs(sample: DataFrame) -> DataFrame:
+    """``key, first, second, toxic, ordinary`` by two words in a row: in how many documents of each class."""
+
+    def run(batches):
+        for batch in batches:
+            flags = np.array([bool(f) for f in batch.column(1).to_pylist()])
+            for group in words(batch.column(0).to_pylist()):
+                key, first, kind = np.unique(group.pair, return_index=True, return_inverse=True)
+                met = np.unique(group.pair_owner.astype(np.int64) * max(1, len(key)) + kind)
+                owner, kind = met // max(1, len(key)), met % max(1, len(key))
+                sums = [np.bincount(kind, w, len(key)).astype(np.int64) for w in (flags[owner], ~flags[owner])]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (key, group.first[first], group.second[first], *sums)], names=["key", "first", "second", "toxic", "ordinary"])
+
+    got = mapped(pick(sample, {"t": "text", "f": "flag"}), run, "key long, first long, second long, toxic long, ordinary long")
+    return got.groupBy("key").agg(F.min("first").alias("first"), F.min("second").alias("second"), F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
+
+
+def _smoothed(counts: DataFrame, context: str) -> tuple[DataFrame, dict[str, Column], dict[str, Column]]:
+    """By context: the classes' totals and what their discounts free; the columns of a class's discounted share and of its freed share."""
     classes = ("toxic", "ordinary")
     seen = counts.agg(*(F.count_if(F.col(c) == i) for c in classes for i in (1, 2, 3, 4))).first()
     cuts = {c: ngram._discounts(*seen[4 * j : 4 * j + 4]) for j, c in enumerate(classes)}
     cut = {c: ngram._by_count(F.col(c), cuts[c]) for c in classes}
-    free = counts.groupBy("parent").agg(*(F.sum(c).alias(f"all_{c}") for c in classes), *(F.sum(cut[c]).alias(f"cut_{c}") for c in classes))
+    free = counts.groupBy(context).agg(*(F.sum(c).alias(f"all_{c}") for c in classes), *(F.sum(cut[c]).alias(f"cut_{c}") for c in classes))
     gamma = {c: F.when(F.col(f"all_{c}") > 0, F.col(f"cut_{c}") / F.col(f"all_{c}")).otherwise(1.0) for c in classes}
-    free = written(free.select("parent", *(F.col(f"all_{c}") for c in classes), *(gamma[c].alias(f"free_{c}") for c in classes)), "contexts")
+    free = free.select(context, *(F.col(f"all_{c}") for c in classes), *(gamma[c].alias(f"free_{c}") for c in classes))
+    own = {c: F.when(F.col(f"all_{c}") > 0, F.greatest(F.col(c) - cut[c], F.lit(0.0)) / F.col(f"all_{c}")).otherwise(0.0) for c in classes}
+    return free, own, {c: F.col(f"free_{c}") for c in classes}
+
+
+def pair_model(counts: DataFrame) -> DataFrame:
+    """``key, ratio``: log of toxic to ordinary probability of the second word after the first, of pairs in two documents or more."""
+    counts = written(counts, "pairs")
+    free, own, freed = _smoothed(counts, "first")
+    followers = counts.groupBy("second").agg(F.count("*").alias("n"))  # of words, each once
+    kinds = counts.count()
+    known = counts.where(F.col("toxic") + F.col("ordinary") > 1).join(free, "first").join(followers, "second")
+    p = {c: own[c] + freed[c] * F.col("n") / F.lit(float(max(1, kinds))) for c in own}
+    found = written(known.select("key", F.log(p["toxic"] / p["ordinary"]).cast("float").alias("ratio")), "pair-ratios")
+    discard(counts)
+    return found
+
+
+def model(counts: DataFrame) -> DataFrame:
+    """``key, root, ratio, miss``: log of toxic to ordinary probability of a beginning's last byte after the
+    rest of it, and of a byte that neither class has met after it (both beside the shared back-off)."""
+    counts = written(counts, "beginnings")
+    free, share, freed = _smoothed(counts, "parent")
+    free = written(free, "contexts")
     grams = counts.groupBy(F.col("gram").alias("key")).agg(F.sum(F.col("toxic") + F.col("ordinary")).alias("n"))
     below = ngram.model(grams, ORDER, bits=8).where((F.col("part") == "p") & (F.col("k") == ORDER)).select(F.col("key").alias("gram"), F.exp("value").alias("below"))
-    own = counts.join(free, "parent").join(below, "gram")
-    p = {c: F.when(F.col(f"all_{c}") > 0, F.greatest(F.col(c) - cut[c], F.lit(0.0)) / F.col(f"all_{c}")).otherwise(0.0) + F.col(f"free_{c}") * F.col("below") for c in classes}
+    spoken = (F.col("later") == 0) | (F.col("toxic") + F.col("ordinary") > 1)  # not a run of one document
+    own = counts.where(spoken).join(free, "parent").join(below, "gram")
+    p = {c: share[c] + freed[c] * F.col("below") for c in share}
     steps = own.select("key", "root", F.log(p["toxic"] / p["ordinary"]).cast("float").alias("ratio"))
     misses = free.select(F.col("parent").alias("key"), F.log(F.col("free_toxic") / F.col("free_ordinary")).cast("float").alias("miss"))
     found = written(steps.join(misses, "key", "left").select("key", "root", "ratio", F.coalesce("miss", F.lit(0.0).cast("float")).alias("miss")), "toxicity")
@@ -152,13 +214,14 @@ def model(counts: DataFrame) -> DataFrame:
 
 
 class Ratios:
-    """Log-likelihood ratios of words under the rows of a model (of one shard)."""
+    """Log-likelihood ratios of words and of pairs under the rows of the models (of one shard)."""
 
-    def __init__(self, key: np.ndarray, ratio: np.ndarray, miss: np.ndarray) -> None:
+    def __init__(self, key: np.ndarray, ratio: np.ndarray, miss: np.ndarray, pair: np.ndarray, pair_ratio: np.ndarray) -> None:
         self.at, self.ratio, self.miss = ngram.Table(key, np.arange(len(key), dtype=np.float32)), ratio, miss
+        self.pairs = ngram.Table(pair, pair_ratio)
 
     def of(self, group: Words) -> np.ndarray:
-        """Of each distinct word, toxic against ordinary, at most ``LIMIT``."""
+        """Of each distinct part, toxic against ordinary, at most ``LIMIT``."""
         out = np.zeros(len(group.hash))
         alive, last = np.arange(len(out)), np.full(len(out), -1)
         for k in range(1, DEPTH + 1):
@@ -174,15 +237,20 @@ class Ratios:
             last[alive] = place[found]
         return np.minimum(out, LIMIT)
 
+    def of_pairs(self, group: Words) -> np.ndarray:
+        """Of each pair, 0 where it is not known."""
+        value, found = self.pairs.get(group.pair)
+        return np.where(found, np.minimum(value, LIMIT), 0.0).astype(float)
+
 
 def _strongest(best: np.ndarray, owner: np.ndarray, value: np.ndarray) -> np.ndarray:
-    """The ``TOP`` largest values by owner, beside those found before."""
-    n = len(best)
-    owner, value = np.concatenate([owner, np.repeat(np.arange(n), TOP)]), np.concatenate([value, best.ravel()])
+    """The largest values by owner, beside those found before, as many as there were."""
+    n, top = best.shape
+    owner, value = np.concatenate([owner, np.repeat(np.arange(n), top)]), np.concatenate([value, best.ravel()])
     order = np.lexsort((-value, owner))
     owner, value = owner[order], value[order]
     start = np.searchsorted(owner, np.arange(n))
-    return value[start[:, None] + np.arange(TOP)]
+    return value[start[:, None] + np.arange(top)]
 
 
 def _summed(tables, shards: int, shard: int):
@@ -191,20 +259,21 @@ def _summed(tables, shards: int, shard: int):
     def step(batch: pa.RecordBatch):
         texts = batch.column("text").to_pylist()
         n = len(texts)
-        count, total, marked = (np.zeros(n) for _ in range(3))
-        best = np.zeros((n, TOP))
+        count, sums, best = np.zeros(n), np.zeros((3, n)), np.zeros((n, TOP))
         for group in words(texts):
             owner, kind, value = group.owner, group.kind, ratios.of(group)
+            pair_owner, pair = group.pair_owner, ratios.of_pairs(group)  # of another shard's pairs: 0
             if shards > 1:
                 mine = (group.roots() % shards == shard)[kind]
                 owner, kind = owner[mine], kind[mine]
             each = value[kind]
             count += np.bincount(owner, minlength=n)
-            total += np.bincount(owner, each, n)
             strong = each > 0
-            marked += np.bincount(owner[strong], np.maximum(each[strong] - MARKED, 0), n)
+            for i, (o, v) in enumerate(((owner, each), (owner[strong], np.maximum(each[strong] - MARKED, 0)), (pair_owner, pair))):
+                sums[i] += np.bincount(o, v, n)
             best = _strongest(best, owner[strong], each[strong])
-        return {"words": pa.array(count.astype(np.int64)), "sums": pa.array(np.column_stack([total, marked]).tolist(), pa.list_(pa.float64())), "top": pa.array(best.tolist(), pa.list_(pa.float64()))}, None
+        lists = lambda x: pa.array(x.tolist(), pa.list_(pa.float64()))
+        return {"words": pa.array(count.astype(np.int64)), "sums": lists(sums.T), "top": lists(best)}, None
 
     return step
 
@@ -233,8 +302,9 @@ class Detector:
         self.id_col, self.text_col = id_col, text_col
         sample = written(labelled(docs, labels, label_col, {1: max_toxic, 0: max_ordinary}, id_col, text_col), "sample")
         fit = F.pmod(F.xxhash64(F.lit("part"), "doc_id"), F.lit(10)) < 7
-        self.model = model(counted(sample.where(fit).withColumn("flag", F.col("label") == 1)))
-        self.shards = max(1, -(-self.model.count() // max_shard_rows))
+        learn = sample.where(fit).withColumn("flag", F.col("label") == 1)
+        self.model, self.pairs = model(counted(learn)), pair_model(counted_pairs(learn))
+        self.shards = max(1, -(-(self.model.count() + self.pairs.count()) // max_shard_rows))
         rest = self.ratios(sample.where(~fit), "text", ["label"]).toPandas()
         y = rest["label"].to_numpy(float)
         self.weights = None
@@ -245,10 +315,12 @@ class Detector:
     def _tables(self, shard: int):
         mine = (F.col("root") == ROOT) | (F.pmod("root", F.lit(self.shards)) == shard)
         got = (self.model if self.shards == 1 else self.model.where(mine)).toArrow()
-        return self.model.sparkSession.sparkContext.broadcast(tuple(got.column(c).to_numpy() for c in ("key", "ratio", "miss")))
+        pairs = (self.pairs if self.shards == 1 else self.pairs.where(F.pmod("key", F.lit(self.shards)) == shard)).toArrow()
+        tables = (*(got.column(c).to_numpy() for c in ("key", "ratio", "miss")), *(pairs.column(c).to_numpy() for c in ("key", "ratio")))
+        return self.model.sparkSession.sparkContext.broadcast(tables)
 
     def ratios(self, docs: DataFrame, text_col: str, keep: list[str] | None = None) -> DataFrame:
-        """Rows of ``docs`` with ``ratios``: the means of the strongest words and of all, the marked evidence, the words."""
+        """Rows of ``docs`` with ``ratios``: the means of the strongest words, of all and of all pairs, the marked evidence, the words."""
         n = self.shards
         if n == 1:
             tables = self._tables(0)
@@ -262,12 +334,13 @@ class Detector:
 
                 return run
 
-            strongest = F.slice(F.sort_array(F.flatten(F.collect_list("top")), asc=False), 1, TOP)
+            strongest = F.slice(F.sort_array(F.flatten(F.collect_list("top")), asc=False), 1, TOP).alias("top")
             kept = [c for c in dict.fromkeys(docs.columns if keep is None else keep) if c.lower() not in FOUND.names]
-            got = in_passes(docs, text_col, kept, (one(s) for s in range(n)), [F.sum("words").alias("words"), F.array(*(F.sum(F.col("sums")[i]) for i in (0, 1))).alias("sums"), strongest.alias("top")])
+            sums = F.array(*(F.sum(F.col("sums")[i]) for i in range(3))).alias("sums")
+            got = in_passes(docs, text_col, kept, (one(s) for s in range(n)), [F.sum("words").alias("words"), sums, strongest])
         means = [F.aggregate(F.slice("top", 1, k), F.lit(0.0), lambda t, x: t + x) / k for k in STRONGEST]
-        whole = F.col("sums")[0] / F.greatest("words", F.lit(1))
-        return got.withColumn("ratios", F.array(*means, whole, F.log1p(F.col("sums")[1]), F.log1p("words"))).drop(*FOUND.names)
+        whole = [F.col("sums")[i] / F.greatest("words", F.lit(1)) for i in (0, 2)]
+        return got.withColumn("ratios", F.array(*means, *whole, F.log1p(F.col("sums")[1]), F.log1p("words"))).drop(*FOUND.names)
 
     def scored(self, docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
         """Rows of ``docs`` (columns ``keep``, default all) with ``ratios`` and ``score``."""

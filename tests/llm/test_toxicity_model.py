@@ -9,31 +9,73 @@ from tallyrill.llm import ngram, toxicity
 from tallyrill.llm.decontaminate import FOLD
 
 DOC = "doc_id long, text string, flag boolean, WORDS string"
-TEXTS = [("Abra kadabra", True), ("abra abba, abra!", True), ("cab drab", False), ("abba cab dab", False), ("été drab", False), (None, True), ("", False)]
+LONG_ONE = "thisveryverylongwordendswithanabominableinsultinit"
+TEXTS = [(LONG_ONE, True), ("y" + LONG_ONE + " abba cab", True), ("thisveryverylongwordendswithwishesofgoodhealth abba cab dab", False), ("Abra kadabra", True), ("abra abba, abra!", True), ("cab drab", False), ("abba cab dab", False), ("été drab", False), (None, True), ("", False)]
 
 
-def beginnings(word):
-    whole = word + b" "
-    return [whole[:k] for k in range(1, min(len(whole), toxicity.DEPTH) + 1)]
+D, R = toxicity.DEPTH, toxicity.RUN
 
 
 def words_of(text):
     return (text or "").lower().encode().translate(FOLD).split()
 
 
+def parts_of(text):
+    """The beginnings of each word, and of each run beyond its first ``D`` bytes (marked)."""
+    out = []
+    for w in words_of(text):
+        whole = w + b" "
+        out.append(tuple(whole[:k] for k in range(1, min(len(whole), D) + 1)))
+        out += [tuple(("run", whole[at : at + k]) for k in range(1, R + 1)) for at in range(D - R + 1, len(whole) - R + 1)]
+    return out
+
+
+def context(b):
+    return ("run", b[1][:-1]) if isinstance(b, tuple) else b[:-1]
+
+
+def gram(b):
+    return tuple((b"\0" * toxicity.ORDER + (b[1] if isinstance(b, tuple) else b))[-toxicity.ORDER :])
+
+
+def brute_pairs(texts):
+    """Ratios of pairs of words in a row."""
+    counts = [{}, {}]
+    for text, flag in texts:
+        w = words_of(text)
+        for p in set(zip(w, w[1:], strict=False)):
+            at = counts[0 if flag else 1]
+            at[p] = at.get(p, 0) + 1
+    every = set(counts[0]) | set(counts[1])
+    cuts = [ngram._discounts(*(sum(n == i for n in c.values()) for i in (1, 2, 3, 4))) for c in counts]
+
+    def ratio(p):
+        if sum(c.get(p, 0) for c in counts) < 2:
+            return 0.0
+        below = sum(q[1] == p[1] for q in every) / len(every)
+        out = []
+        for c, d in zip(counts, cuts, strict=True):
+            follow = [n for q, n in c.items() if q[0] == p[0]]
+            n, free = c.get(p, 0), sum(d[min(n, 3) - 1] for n in follow) / sum(follow) if follow else 1.0
+            out.append((max(n - d[min(n, 3) - 1], 0) / sum(follow) if n else 0.0) + free * below)
+        return min(math.log(out[0] / out[1]), toxicity.LIMIT)
+
+    return ratio
+
+
 def brute_ratios(texts):
     """A function from a word to its ratio."""
     counts = [{}, {}]
     for text, flag in texts:
-        for w in set(words_of(text)):
-            for b in beginnings(w):
+        for part in set(parts_of(text)):
+            for b in dict.fromkeys(part):
                 at = counts[0 if flag else 1]
                 at[b] = at.get(b, 0) + 1
     everything = set(counts[0]) | set(counts[1])
     cuts = [ngram._discounts(*(sum(n == i for n in c.values()) for i in (1, 2, 3, 4))) for c in counts]
     grams = {}
     for b in everything:
-        g = tuple((b"\0" * toxicity.ORDER + b)[-toxicity.ORDER :])
+        g = gram(b)
         grams[g] = grams.get(g, 0) + counts[0].get(b, 0) + counts[1].get(b, 0)
     levels = {toxicity.ORDER: grams}
     for k in range(toxicity.ORDER - 1, 0, -1):
@@ -51,17 +93,18 @@ def brute_ratios(texts):
         n, d = levels[len(g)].get(g, 0), lower[len(g)]
         return (max(n - d[min(n, 3) - 1], 0) / sum(follow) if n else 0) + sum(d[min(x, 3) - 1] for x in follow) / sum(follow) * below(g[1:])
 
-    def parts(c, d, context):
-        follow = [n for b, n in c.items() if b[:-1] == context and b]
+    def parts(c, d, before):
+        follow = [n for b, n in c.items() if context(b) == before]
         return sum(follow), sum(d[min(n, 3) - 1] for n in follow) / sum(follow) if follow else 1.0
 
-    def ratio(word):
+    def ratio(part):
         out = 0.0
-        for b in beginnings(word):
-            total, free = zip(*(parts(c, d, b[:-1]) for c, d in zip(counts, cuts, strict=True)), strict=True)
-            if b not in everything:
-                return out + (math.log(free[0] / free[1]) if len(b) > 1 else 0.0)
-            p = below(tuple((b"\0" * toxicity.ORDER + b)[-toxicity.ORDER :]))
+        for b in part:
+            total, free = zip(*(parts(c, d, context(b)) for c, d in zip(counts, cuts, strict=True)), strict=True)
+            run = isinstance(b, tuple)
+            if b not in everything or (run and sum(c.get(b, 0) for c in counts) < 2):
+                return min(out + (math.log(free[0] / free[1]) if len(b[1] if run else b) > 1 else 0.0), toxicity.LIMIT)
+            p = below(gram(b))
             own = [(max(c.get(b, 0) - (d[min(c[b], 3) - 1] if b in c else 0), 0) / t if t else 0) + f * p for c, d, t, f in zip(counts, cuts, total, free, strict=True)]
             out += math.log(own[0] / own[1])
         return min(out, toxicity.LIMIT)
@@ -73,19 +116,20 @@ def brute_ratios(texts):
 def test_ratios_against_the_textbook(spark, bound):
     rows = spark.createDataFrame([(i, t, f, "x") for i, (t, f) in enumerate(TEXTS)], DOC)
     detector = toxicity.Detector.__new__(toxicity.Detector)
-    detector.model = toxicity.model(toxicity.counted(rows))
+    detector.model, detector.pairs = toxicity.model(toxicity.counted(rows)), toxicity.pair_model(toxicity.counted_pairs(rows))
     detector.shards = max(1, -(-detector.model.count() // bound))
-    ratio = brute_ratios(TEXTS)
-    probes = ["abra kadab zebra", "cab", "ÉTÉ abba dab drab abra", "", None, "... !", "abra " * 3, "k" * 40]
+    ratio, pair = brute_ratios(TEXTS), brute_pairs(TEXTS)
+    probes = ["abra kadab zebra", "cab", "ÉTÉ abba dab drab abra", "", None, "... !", "abra " * 3, "k" * 40, "x" + LONG_ONE + " abba cab", "abba cab " * 3]
     df = spark.createDataFrame([(i, t, None, "x") for i, t in enumerate([*probes, probes[0]])], DOC)
     got = {}
     for r in detector.ratios(df, "text").collect():
         got.setdefault(r["doc_id"], r["ratios"])
     assert len(got) == len(probes) + 1 and got[0] == pytest.approx(got[len(probes)])
     for i, probe in enumerate(probes):
-        each = [ratio(w) for w in words_of(probe)]
+        each, w = [ratio(p) for p in parts_of(probe)], words_of(probe)
+        pairs = [pair(p) for p in zip(w, w[1:], strict=False)]
         best = (sorted((x for x in each if x > 0), reverse=True) + [0.0] * 4)[:4]
-        want = [sum(best[:k]) / k for k in toxicity.STRONGEST] + [sum(each) / max(1, len(each)), math.log1p(sum(max(x - toxicity.MARKED, 0) for x in each)), math.log1p(len(each))]
+        want = [sum(best[:k]) / k for k in toxicity.STRONGEST] + [sum(each) / max(1, len(each)), sum(pairs) / max(1, len(each)), math.log1p(sum(max(x - toxicity.MARKED, 0) for x in each)), math.log1p(len(each))]
         assert got[i] == pytest.approx(want, abs=1e-4), probe
 
 
