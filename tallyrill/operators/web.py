@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-import re
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult
 
 from tallyrill.functions import html as H
+from tallyrill.functions.selectors import compiled as matcher
 from tallyrill.functions.text import strip, text_or
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -79,16 +81,26 @@ def console_errors(messages: DataFrame, most: int = 20, order: str = "position")
 
 class Node:
     def __init__(self, tag: str, attrs: dict[str, str], parent: Node | None) -> None:
-        self.tag, self.attrs, self.parent, self.children = tag, attrs, parent, []
+        self.tag, self.attrs, self.parent, self.children, self.place = tag, attrs, parent, [], 0  # among its parent's elements, from 0
 
     def text(self) -> str:
-        return "".join(c if isinstance(c, str) else c.text() for c in self.children)
+        parts, left = [], [self]
+        while left:
+            node = left.pop()
+            if isinstance(node, str):
+                parts.append(node)
+            else:
+                left += reversed(node.children)
+        return "".join(parts)
 
     def below(self):
-        for c in self.children:
-            if isinstance(c, Node):
-                yield c
-                yield from c.below()
+        """The elements below, in page order."""
+        left = self.children[::-1]
+        while left:
+            node = left.pop()
+            if isinstance(node, Node):
+                yield node
+                left += reversed(node.children)
 
 
 class _Tree(HTMLParser):
@@ -123,52 +135,57 @@ def tree(page: str) -> Node:
     return parser.root
 
 
-def matcher(selector: str):
-    """A test of nodes: steps of ``tag``, ``.class``, ``#id`` and their combinations, by descent; commas are alternatives."""
-    def simple(text: str):
-        m = re.fullmatch(r"([a-zA-Z][\w-]*|\*)?((?:[.#][\w-]+)*)", text)
-        if not m or not text:
-            raise ValueError(f"selector {text!r} is not supported")
-        tag = None if m[1] in (None, "*") else m[1].lower()
-        marks = re.findall(r"([.#])([\w-]+)", m[2])
-        return lambda n: (tag is None or n.tag == tag) and all(name in n.attrs.get("class", "").split() if k == "." else n.attrs.get("id") == name for k, name in marks)
-
-    ways = [[simple(s) for s in part.split()] for part in selector.split(",")]
-
-    def test(node: Node) -> bool:
-        for steps in ways:
-            if not steps or not steps[-1](node):
-                continue
-            up, left = node.parent, len(steps) - 2
-            while left >= 0 and up is not None:
-                if steps[left](up):
-                    left -= 1
-                up = up.parent
-            if left < 0:
-                return True
-        return False
-
-    return test
-
-
 def select_records(pages: DataFrame, selector: str, fields: dict[str, str] | None = None, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
     """``id, position`` and a column for each field (its selector's first match, else empty); ``text`` without fields."""
     names = list(fields or {"text": ""})
     kind = pages.schema[id_col].dataType.simpleString()
 
     def run(batches):
-        main, parts = matcher(selector), {k: matcher(s) for k, s in (fields or {}).items()}
         for batch in batches:
-            rows = []
-            for key, page in zip(batch[id_col], batch[html_col], strict=True):
-                for i, node in enumerate(n for n in tree(page or "").below() if main(n)):
-                    values = [next((c.text().strip() for c in node.below() if parts[k](c)), "") for k in names] if fields else [node.text().strip()]
-                    rows.append((key, i, *values))
+            rows = [(key, *row) for key, page in zip(batch[id_col], batch[html_col], strict=True) for row in _rows(page, selector, fields)]
             yield pd.DataFrame(rows, columns=[id_col, "position", *names])
 
     return _mapped(pages.select(id_col, html_col), run, f"{id_col} {kind}, position int, " + ", ".join(f"`{n}` string" for n in names))
 
 
+def _rows(page: str | None, selector: str, fields: dict[str, str] | None):
+    """A tuple for each match: its place and the texts of its fields."""
+    main, parts = matcher(selector), [matcher(s) for s in (fields or {}).values()]
+    for i, node in enumerate(n for n in tree(page or "").below() if main(n)):
+        yield (i, *(next((c.text().strip() for c in node.below() if p(c)), "") for p in parts)) if fields else (i, node.text().strip())
+
+
+class SelectRecords:
+    """``select_records(html, selector[, fields])``: a row for each match, in page order.
+
+    ``selector`` and ``fields``, a map from column to selector, are constants, and the columns follow from them: ``position``, from 0,
+    and a text column for each field (the stripped text of its selector's first match below, else empty); ``text``
+    without fields.  A null page has no rows.
+    """
+
+    @staticmethod
+    def analyze(html: AnalyzeArgument, selector: AnalyzeArgument, fields: AnalyzeArgument | None = None) -> AnalyzeResult:
+        given = [("selector", selector)] + ([("fields", fields)] if fields is not None else [])
+        for name, argument in given:
+            if not argument.isConstantExpression:
+                raise ValueError(f"{name} must be a constant")
+        for text in [selector.value, *(fields.value or {}).values()] if fields is not None else [selector.value]:
+            matcher(text)
+        schema = T.StructType().add("position", T.IntegerType())
+        for name in (fields.value if fields is not None else None) or {"text": ""}:
+            schema = schema.add(name, T.StringType())
+        return AnalyzeResult(schema)
+
+    def eval(self, html, selector, fields=None):
+        if html is not None:
+            yield from _rows(html, selector, dict(fields) if fields else None)
+
+
+def register(spark: SparkSession) -> None:
+    """Makes ``select_records`` a table function of SQL, for ``LATERAL`` joins."""
+    spark.udtf.register("select_records", F.udtf(SelectRecords))
+
+
 def page_forms(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
     """``id, form_index, action, method, fields``: a form's inputs, selects and text areas in page order."""
     kind = pages.schema[id_col].dataType.simpleString()

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyrill.functions import address, html, text, urls
-from tallyrill.operators import audit, domains, entity, image_diff, severity, tabular, web
+from tallyrill.operators import audit, domains, entity, image_diff, profiles, ranges, redirects, severity, tabular, web
 from tallyrill.plans import report
 from tallyrill.sources import fetch, images
 
@@ -465,6 +465,18 @@ def selector_records(spark, sf_dir):
     return web.select_records(table(spark, sf_dir, "pages"), "nav li", {"label": "a"})
 
 
+@query(r"""WITH li AS (SELECT page_id, regexp_extract_all(regexp_extract(html, '<nav>(.*?)</nav>', 1, 's'), '<li><a href="/([^"]*)">([^<]*)</a></li>', 1) AS href,
+  regexp_extract_all(regexp_extract(html, '<nav>(.*?)</nav>', 1, 's'), '<li><a href="/([^"]*)">([^<]*)</a></li>', 2) AS label FROM pages)
+  SELECT page_id, CAST(i AS INTEGER) AS position, trim(label[2 * i + 1]) AS label, CASE WHEN 2 * i + 1 = len(label) THEN trim(label[2 * i + 1]) ELSE '' END AS last, '' AS none
+  FROM li, unnest(range(0, (len(label) + 1) // 2)) AS u(i)""")
+def select_udtf(spark, sf_dir):
+    """Every other entry of a page's menu, by a table function called from SQL."""
+    web.register(spark)
+    call = """SELECT p.page_id, r.* FROM {pages} AS p,
+      LATERAL select_records(p.html, 'nav > ul > li:nth-child(2n+1)', map('label', 'a[href^="/"]', 'last', 'li:last-child > a', 'none', 'b, li + li'))  AS r"""
+    return spark.sql(call, pages=table(spark, sf_dir, "pages"))
+
+
 @query("SELECT page_id, CAST(0 AS INTEGER) AS form_index, '/s' AS action, 'post' AS method, 'input text q' || page_id || ' true|select select-one  false' AS fields FROM pages")
 def html_forms(spark, sf_dir):
     form = F.concat(F.lit('<form action="/s" method="POST"><input name="q'), F.col("page_id").cast("string"), F.lit('" required><select id="s"></select></form>'), "html")
@@ -497,6 +509,55 @@ def fetch_stub(spark, sf_dir):
     return got.select("url", "status", "final_url", "error", "b.json", "b.raw")
 
 
+MOVES = """nodes AS (SELECT page_id, url AS home, page_id % 13 AS n, j, 'https://r.example/' || page_id || '/' || j AS node FROM pages, unnest(range(0, 12)) AS u(j) WHERE j < page_id % 13),
+  moves AS (SELECT node AS url, CASE WHEN j + 1 < n THEN 'https://r.example/' || page_id || '/' || (j + 1) WHEN page_id % 17 = 5 THEN 'https://r.example/' || page_id || '/0' ELSE home END AS target FROM nodes)"""
+
+
+def _moves(spark, sf_dir) -> DataFrame:
+    """Chains of 0 to 12 redirects before each page, every third location relative to its folder, to its host or absolute; some chains end where they began."""
+    k, n, j = F.col("page_id"), F.col("page_id") % 13, F.col("j")
+    nodes = table(spark, sf_dir, "pages").where(n > 0).select("page_id", "url", F.explode(F.sequence(F.lit(0), n - 1)).alias("j"))
+    path = F.concat_ws("/", F.lit("https://r.example"), k, j)
+    there = F.when(j % 3 == 0, F.concat(F.lit("../"), k, F.lit("/./"), j + 1)).when(j % 3 == 1, F.concat(F.lit("/"), k, F.lit("/"), j + 1)).otherwise(F.concat_ws("/", F.lit("https://r.example"), k, j + 1))
+    return nodes.select(path.alias("url"), F.when(j + 1 < n, there).when(k % 17 == 5, "0").otherwise(F.col("url")).alias("location"))
+
+
+@query(f"""WITH RECURSIVE {MOVES}, walk AS (
+    SELECT url AS start, target AS node, 1 AS n FROM moves UNION ALL
+    SELECT w.start, m.target, w.n + 1 FROM walk AS w JOIN moves AS m ON w.node = m.url WHERE w.n < 13
+  ), ends AS (SELECT w.start, w.node, w.n FROM walk AS w LEFT JOIN moves AS m ON w.node = m.url WHERE m.url IS NULL)
+  SELECT moves.url, CASE WHEN ends.n <= 10 THEN ends.node END AS final_url, CAST(ends.n AS BIGINT) AS n_hops, CASE WHEN ends.n IS NULL THEN 'cycle' WHEN ends.n > 10 THEN 'too many' ELSE 'ok' END AS verdict
+  FROM moves LEFT JOIN ends ON moves.url = ends.start""")
+def redirect_targets(spark, sf_dir):
+    return redirects.followed(_moves(spark, sf_dir))
+
+
+@query("""WITH r AS (SELECT o_orderkey AS id, (o_orderkey * 104729) % 4000000 AS low, (o_orderkey * 104729) % 4000000 + (o_orderkey % 50) * 13 - 20 AS high FROM orders),
+  p AS (SELECT o_orderkey, (o_orderkey * 7919) % 4000000 AS code FROM orders)
+  SELECT p.o_orderkey, p.code, min(r.id) AS first_range FROM p LEFT JOIN r ON p.code BETWEEN r.low AND r.high GROUP BY ALL""")
+def range_lookup(spark, sf_dir):
+    """Codes of orders in as many ranges, which overlap; the first by key wins, as in a chain of conditions."""
+    k = F.col("o_orderkey")
+    orders = table(spark, sf_dir, "orders")
+    low = k * 104729 % 4_000_000
+    found = orders.select(k.alias("first_range"), low.alias("low"), (low + k % 50 * 13 - 20).alias("high"))
+    return ranges.range_lookup(orders.select("o_orderkey", (k * 7919 % 4_000_000).alias("code")), "code", found, "low", "high", "first_range", ["first_range"])
+
+
+PROFILED = ["l_orderkey", "l_partkey", "l_suppkey", "l_quantity", "l_comment"]
+
+
+@query("""WITH c AS (SELECT unnest(['l_orderkey', 'l_partkey', 'l_suppkey', 'l_quantity', 'l_comment']) AS column_name, unnest([CAST(l_orderkey AS VARCHAR), CAST(l_partkey AS VARCHAR), CAST(l_suppkey AS VARCHAR), CAST(l_quantity AS VARCHAR), CASE WHEN l_linenumber = 3 THEN '' END]) AS v FROM lineitem)
+  SELECT column_name, count(*) AS total_rows, count(*) FILTER (coalesce(v, '') = '') AS blanks, count(DISTINCT coalesce(v, '')) AS distinct_values, true AS within FROM c GROUP BY column_name""")
+def profile_sketches(spark, sf_dir):
+    """Profiles of the parts of a table, merged; the estimate is held against the exact count."""
+    lines = table(spark, sf_dir, "lineitem").withColumn("l_comment", F.when(F.col("l_linenumber") == 3, ""))
+    merged = profiles.estimates(profiles.merged(profiles.profiles(lines, F.col("l_linenumber"), PROFILED))).withColumnRenamed("distinct_values", "estimate")
+    exact = tabular.column_stats(lines.select(*PROFILED)).select("column_name", "distinct_values")
+    within = F.abs(F.col("estimate") - F.col("distinct_values")) <= F.lit(profiles.error()) * F.col("distinct_values")
+    return merged.join(exact, "column_name").select("column_name", "total_rows", "blanks", "distinct_values", within.alias("within"))
+
+
 HITS = "hits AS (SELECT doc_id // 40 AS query, doc_id % 40 AS position, CASE WHEN doc_id % 6 = 0 THEN ' ' ELSE lang || ' ' || source END AS title, CASE doc_id % 4 WHEN 0 THEN 'ftp://x/' WHEN 1 THEN 'https://engine.example/' ELSE 'https://site.example/' END || doc_id AS url FROM documents)"
 
 

@@ -155,7 +155,7 @@ def test_selectors_and_forms(spark):
     form = web.page_forms(df).first()
     assert (form["action"], form["method"], [f["type"] for f in form["fields"]], form["fields"][0]["required"]) == ("/s", "get", ["text", "select-one"], True)
     with pytest.raises(ValueError, match="not supported"):
-        web.matcher("div > p")
+        web.matcher("div:hover")
 
 
 def test_link_summary_and_hits(spark):
