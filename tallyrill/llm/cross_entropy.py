@@ -14,11 +14,13 @@ stands out, as its copy still counts.
 boundary that counts as a word before the first.  What ``c(v)`` holds beyond its bigrams is the text's end.
 
 *Scale.*  Nothing but five sums comes to the driver: the counts grow with the corpus.  Documents are packed into
-slices of about ``shared.BATCH`` bytes, rows of a written table.  Each slice sends its distinct words and bigrams,
-packed by shard of their hashes; a shard adds up what all slices sent (so many shards that each gets about ``shard_bytes``
-of text) and answers every slice with the totals alone, in the order of its request; then slices meet their
+slices of some megabytes, rows of a written table.  Each slice sends its distinct words and bigrams,
+packed by shard of their hashes; a shard adds up what all slices sent and answers every slice with the totals alone, in the order of its request; then slices meet their
 answers and are scored.  Rows are blocks, not n-grams, so a frequent word costs as many numbers as there
-are slices.  Words are known by 64-bit hashes.
+are slices.  Slices and shards grow with the square root of the text (from ``SLICE`` and ``SHARD`` to ``GROWN`` times that), so the blocks, a
+row for each slice and shard, grow as the text does; beyond that growth they grow faster, but are never more than the n-grams that a plain
+grouping would send.  Words are known by 64-bit hashes.  Texts are not shuffled: the ids of targets are broadcast where they are
+at most ``TARGETS``; beyond, rows with an id are joined by sorting.
 
 Words are the runs of ``[^\\x20\\x09-\\x0D]`` after A-Z are lower-cased, and each ideograph, kana, hangul syllable
 and the like is a word of its own.
@@ -43,6 +45,10 @@ from tallyrill.llm.packing import counts_of, keys_of, packed_counts, packed_keys
 from tallyrill.llm.shared import discard, mapped, pick, utf8, written
 from tallyrill.llm.shingles import pair_hashes, word_groups
 
+#: Bytes of text a slice and a shard while the text is small, how far they grow, and the size of text from which they do.
+SLICE, SHARD, GROWN, SMALL = 8 << 20, 16 << 20, 4, 16 << 30
+#: Most ids of target documents that are broadcast.
+TARGETS = 2_000_000
 #: Weight of the unigram in a bigram's probability.
 MU = 10.0
 #: Scripts written without spaces.
@@ -79,7 +85,12 @@ def _first(owner: np.ndarray) -> np.ndarray:
     return np.concatenate([[True], owner[1:] != owner[:-1]]) if len(owner) else np.zeros(0, bool)
 
 
-def _slices(rows: DataFrame) -> DataFrame:
+def growth(size: int) -> float:
+    """By how much slices and shards are larger for so many bytes of text."""
+    return min(float(GROWN), max(1.0, (size / SMALL) ** 0.5))
+
+
+def _slices(rows: DataFrame, size: int) -> DataFrame:
     """``slice, docs``: the rows ``doc_id, flag, text`` packed as they lie, a batch a slice."""
 
     def run(batches):
@@ -89,7 +100,7 @@ def _slices(rows: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([base + i], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(docs)], pa.int32()), docs)], names=["slice", "docs"])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return mapped(rows.select("doc_id", "flag", "text"), run, f"slice long, docs array<struct<doc_id:{kind},flag:boolean,text:string>>")
+    return mapped(rows.select("doc_id", "flag", "text"), run, f"slice long, docs array<struct<doc_id:{kind},flag:boolean,text:string>>", int(SLICE * growth(size)))
 
 
 def _unpacked(docs: pa.ListScalar) -> tuple[pa.Array, np.ndarray, list[bytes | None]]:
@@ -111,7 +122,7 @@ def _requests(slices: DataFrame, shards: int) -> DataFrame:
                     known, at = np.unique(keys, return_inverse=True)
                     n, f = (np.bincount(x, minlength=len(known)) for x in (at, at[flags[owner]]))
                     to, start = np.unique(((known >> np.uint64(32)) * np.uint64(shards)) >> np.uint64(32), return_index=True)
-                    for shard, a, b in zip(to.tolist(), start, np.append(start[1:], len(known)), strict=True):
+                    for shard, a, b in zip(to.tolist(), start, np.append(start[1:], len(known))[: len(start)], strict=True):
                         out.append((name, shard, kind, packed_keys(known[a:b]), packed_counts(n[a:b]), packed_counts(f[a:b])))
                 kinds = (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["slice", "shard", "kind", "keys", "n", "f"])
@@ -184,14 +195,19 @@ def _scored(slices: DataFrame, answers: DataFrame, sums: dict[str, int], mu: flo
     return mapped(joined, run, f"doc_id {kind}, n_tokens long, target_loss double, background_loss double, difference double")
 
 
-def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", target: int = 1, mu: float = MU, shard_bytes: int = 16 << 20) -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", target: int = 1, mu: float = MU, shard_bytes: int | None = None) -> DataFrame:
     """``doc_id, n_tokens, target_loss, background_loss, difference`` (nats a token) for every row."""
     rows = pick(docs, {"doc_id": id_col, "text": text_col})
-    chosen = pick(labels, {"_id": id_col, "_label": label_col}).where((F.col("_label") == target) & F.col("_id").isNotNull()).select("_id").distinct().withColumn("flag", F.lit(True)).hint("merge")  # labels grow with the corpus
-    flagged = rows.join(chosen, F.col("doc_id") == F.col("_id"), "left").select("doc_id", F.coalesce("flag", F.lit(False)).alias("flag"), "text")
-    slices = written(_slices(flagged), "slices")
+    chosen = pick(labels, {"_id": id_col, "_label": label_col}).where((F.col("_label") == target) & F.col("_id").isNotNull()).select("_id").distinct().withColumn("flag", F.lit(True))
+    none = F.lit(False).alias("flag")
+    if chosen.count() <= TARGETS:
+        flagged = rows.join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"), "left").select("doc_id", F.coalesce("flag", none).alias("flag"), "text")
+    else:  # labels grow with the corpus; rows without an id stay where they are
+        known = rows.where("doc_id is not null").join(chosen.hint("merge"), F.col("doc_id") == F.col("_id"), "left")
+        flagged = known.select("doc_id", F.coalesce("flag", none).alias("flag"), "text").union(rows.where("doc_id is null").select("doc_id", none, "text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    asked = _requests(slices, max(1, -(-size // shard_bytes)))
+    slices = written(_slices(flagged, size), "slices")
+    asked = _requests(slices, max(1, -(-size // int((shard_bytes or SHARD) * growth(size)))))
     answers = written(asked.groupBy("shard").applyInArrow(_answers, ANSWER), "answers")
     by = {r["kind"]: r for r in answers.where("slice = -1").groupBy("kind").agg(F.sum("types").alias("types"), F.sum("total").alias("total"), F.sum("flagged").alias("flagged")).collect()}
     of = lambda kind, c: int(by[kind][c] or 0) if kind in by else 0

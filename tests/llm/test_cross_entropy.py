@@ -4,6 +4,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tallyrill.llm import cross_entropy, shared
 
@@ -74,3 +75,34 @@ def test_no_documents_and_no_targets(spark):
     got = {r["doc_id"]: r for r in cross_entropy.score(df, none).collect()}
     assert got[1]["target_loss"] == pytest.approx(math.log(3)) and got[2]["target_loss"] is None
     assert cross_entropy.score(df.limit(0), none).count() == 0
+
+
+def test_blocks_grow_as_the_text_does(spark, monkeypatch):
+    """A row for each slice and shard: with both growing by the square root, four times the text makes four times the rows."""
+    monkeypatch.setattr(cross_entropy, "SLICE", 1 << 14)
+    monkeypatch.setattr(cross_entropy, "SHARD", 1 << 15)
+    monkeypatch.setattr(cross_entropy, "SMALL", 1 << 19)
+    text = " ".join(f"w{i * 7919 % 4001}" for i in range(120))
+    sent = []
+    for times in (1, 4, 16):
+        rows = spark.range(1000 * times).coalesce(1).select(F.col("id").alias("doc_id"), F.lit(False).alias("flag"), F.concat(F.lit(text), F.lit(" "), F.col("id")).alias("text"))
+        size = rows.agg(F.sum(F.octet_length("text"))).first()[0]
+        slices = cross_entropy._slices(rows, size)
+        asked = cross_entropy._requests(slices, -(-size // int(cross_entropy.SHARD * cross_entropy.growth(size))))
+        sent.append(asked.where(F.col("kind") > 0).count())
+    assert sent[1] < 6 * sent[0] and sent[2] < 6 * sent[1], sent
+    assert cross_entropy.growth(1 << 60) == cross_entropy.GROWN and cross_entropy.growth(0) == 1
+
+
+def test_many_targets_and_rows_without_an_id(spark, monkeypatch):
+    docs = spark.createDataFrame([(i if i % 5 else None, f"some words {i % 7} and more") for i in range(60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1) for i in range(0, 60, 3)] + [(None, 1)], "doc_id long, quality int")
+    few = sorted(map(tuple, cross_entropy.score(docs, labels).collect()), key=repr)
+    monkeypatch.setattr(cross_entropy, "TARGETS", 3)
+    assert sorted(map(tuple, cross_entropy.score(docs, labels).collect()), key=repr) == few and len(few) == 60
+
+
+def test_slices_without_a_word(spark):
+    docs = spark.createDataFrame([(1, None), (2, ""), (3, " \t")], "doc_id long, text string").coalesce(1)
+    got = cross_entropy.score(docs, spark.createDataFrame([(1, 1)], "doc_id long, quality int")).collect()
+    assert sorted((r["doc_id"], r["n_tokens"], r["difference"]) for r in got) == [(1, 0, None), (2, 0, None), (3, 0, None)]
