@@ -6,6 +6,7 @@ by rules over the key, the same way on both sides.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +15,8 @@ from pyspark.sql import functions as F
 from tallyrill.functions import address, html, text, urls
 from tallyrill.operators import audit, domains, entity, image_diff, profiles, ranges, redirects, severity, tabular, web
 from tallyrill.plans import report
-from tallyrill.sources import fetch, images
+from tallyrill.scratch import shared_dir
+from tallyrill.sources import fetch, images, xlsx
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -544,6 +546,25 @@ def range_lookup(spark, sf_dir):
     return ranges.range_lookup(orders.select("o_orderkey", (k * 7919 % 4_000_000).alias("code")), "code", found, "low", "high", "first_range", ["first_range"])
 
 
+@query("SELECT CAST(s_suppkey AS VARCHAR) AS s_suppkey, s_name, CAST(s_nationkey AS VARCHAR) AS s_nationkey, CASE WHEN s_suppkey % 5 <> 0 THEN '<' || s_name || ' & \"é\"' END AS note FROM supplier WHERE s_nationkey IN (3, 7, 11)")
+def workbook_round_trip(spark, sf_dir):
+    """A table written as workbooks, one a partition, and read again by ranges of rows, with the filter pushed into the scan."""
+    note = F.when(F.col("s_suppkey") % 5 != 0, F.concat(F.lit("<"), "s_name", F.lit(' & "é"')))
+    suppliers = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_nationkey", note.alias("note"))
+    xlsx.register(spark)
+    folder = f"{shared_dir(spark)}/workbooks-{uuid.uuid4().hex}"
+    suppliers.repartition(3, "s_suppkey").write.format("xlsx").mode("append").save(folder)
+    setting = "spark.sql.python.filterPushdown.enabled"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, "true")
+    try:
+        back = spark.read.format("xlsx").option("pushdown", "true").option("rowsPerPartition", "40").load(folder).where(F.col("s_nationkey").isin("3", "7", "11")).drop("_ord")
+        back._jdf.queryExecution().executedPlan()  # planned while the setting holds
+    finally:
+        spark.conf.set(setting, before)
+    return back
+
+
 PROFILED = ["l_orderkey", "l_partkey", "l_suppkey", "l_quantity", "l_comment"]
 
 
