@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tallyrill.functions.text import strip
+from tallyrill.functions.urls import resolved
 
 #: The script content ends at the first end tag: no nested quantifiers, which overflow the matcher's stack.
 SCRIPT, STYLE = r"(?is)<script\b.*?</script>", r"(?is)<style\b.*?</style>"
@@ -68,11 +69,22 @@ def indented(tag: Column, text: Column) -> Column:
     return F.concat(F.repeat(F.lit("  "), level - 1), tag, F.lit(": "), text)
 
 
+#: An attribute's value: quoted, or bare up to a space or the tag's end.
+_HREF = r"\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))"
+
+
 def links(html: Column, most: int = 50) -> Column:
-    """``array<struct<text, href>>`` of anchors with a link, texts cut to ``most``; ``href`` is not resolved."""
-    found = F.regexp_extract_all(html, F.lit(r"(?is)<a\b[^>]*\bhref\s*=\s*[\"'][^\"']*[\"'][^>]*>.*?</a>"), F.lit(0))
-    href = lambda a: F.regexp_extract(a, r"(?is)^<a\b[^>]*?\bhref\s*=\s*[\"']([^\"']*)[\"']", 1)
-    return F.transform(found, lambda a: F.struct(F.substring(plain(a), 1, most).alias("text"), href(a).alias("href")))
+    """``array<struct<text, href>>`` of anchors with a link, quoted or not, texts cut to ``most``; ``href`` is as the page has it."""
+    found = F.regexp_extract_all(html, F.lit(rf"(?is)<a\b[^>]*?{_HREF}[^>]*>.*?</a>"), F.lit(0))
+    part = lambda a, i: F.regexp_extract(a, rf"(?is)^<a\b[^>]*?{_HREF}", i)
+    return F.transform(found, lambda a: F.struct(F.substring(plain(a), 1, most).alias("text"), F.concat(part(a, 1), part(a, 2), part(a, 3)).alias("href")))
+
+
+def base_of(html: Column, url: Column) -> Column:
+    """What a page's links are relative to: its ``base`` element's address, itself resolved, else the page's own."""
+    found = F.regexp_extract_all(html, F.lit(rf"(?is)<base\b[^>]*?{_HREF}"), F.lit(0))
+    value = F.regexp_replace(F.get(found, F.lit(0)), r"(?is)^.*?\bhref\s*=\s*[\"']?|[\"']$", "")
+    return F.coalesce(F.when(value != "", resolved(url, value)), url)
 
 
 def jsonld_texts(html: Column) -> Column:

@@ -82,10 +82,10 @@ def uri_component(c: Column) -> Column:
     return out
 
 
-@F.pandas_udf(T.StringType())
-def title_case(s: pd.Series) -> pd.Series:
-    """Capital after every non-letter, as ``initcap`` does not."""
-    return s.map(lambda x: x.title(), na_action="ignore")
+def title_case(c: Column) -> Column:
+    """Capital after everything that has no case, as ``initcap`` alone does not."""
+    runs = F.regexp_extract_all(c, F.lit(r"[\p{Lu}\p{Ll}\p{Lt}]+|[^\p{Lu}\p{Ll}\p{Lt}]+"), F.lit(0))
+    return F.array_join(F.transform(runs, F.initcap), "")
 
 
 @F.pandas_udf(T.DoubleType())

@@ -178,5 +178,5 @@ def brand_audit(df: DataFrame, order: str, country: str = "CH", columns: dict[st
 
 
 def brand_sorted(audit: DataFrame) -> DataFrame:
-    """By status, then branches descending, then name, with ``position`` from 1."""
+    """By status, then branches descending, then name."""
     return audit.orderBy("status", F.desc("branch_count"), "brand_name")

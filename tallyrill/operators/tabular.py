@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from tallyrill.functions.text import strip, title_case
+from tallyrill.scratch import written
 
 
 def _col(name: str):
@@ -38,26 +39,20 @@ def column_stats(df: DataFrame, approximate: bool = False) -> DataFrame:
     return values.groupBy("column_name").agg(F.sum("n").alias("total_rows"), F.coalesce(F.sum(F.when(F.col("v") == "", F.col("n"))), F.lit(0)).alias("blanks"), F.count("*").alias("distinct_values"))
 
 
-def positioned(df: DataFrame, order: list[str], per_range: int = 1_000_000, most_ranges: int = 1000) -> DataFrame:
+def positioned(df: DataFrame, order: list[str], per_range: int = 1_000_000) -> DataFrame:
     """All rows with ``_range`` and ``_position``, from 1 by ``order`` (whose values together are unique).
 
-    No task sorts more than a range: the order is cut at up to ``most_ranges`` rows chosen by hash, one for
-    ``per_range`` rows; the ranges are counted, and only the inside of a range is ranked.
+    No task ranks more than about ``per_range`` rows: larger tables are sorted into as many ranges as that takes and written, the ranges are counted,
+    and the rows before a range are added to the place within it.  The counts, a row for each range, stay a table.
     """
-    cuts = min(most_ranges, df.count() // per_range)
-    place, offsets = F.lit(0), [0]
-    if cuts:
-        chosen = df.select(*map(_col, order)).orderBy(F.xxhash64(*map(_col, order))).limit(cuts).distinct().orderBy(*map(_col, order)).collect()
-        kinds = [df.schema[c].dataType for c in order]
-        edge = lambda row: F.struct(*(F.lit(v).cast(k).alias(f"o{i}") for i, (v, k) in enumerate(zip(row, kinds, strict=True))))
-        key = F.struct(*(_col(c).alias(f"o{i}") for i, c in enumerate(order)))
-        place = F.size(F.filter(F.array(*map(edge, chosen)), lambda e: e <= key))
-        counts = {r["_range"]: r["n"] for r in df.groupBy(place.alias("_range")).agg(F.count("*").alias("n")).collect()}
-        for i in range(len(chosen)):
-            offsets.append(offsets[-1] + counts.get(i, 0))
-    ranked = F.row_number().over(Window.partitionBy("_range").orderBy(*map(_col, order)))
-    before = F.element_at(F.array(*(F.lit(n).cast("long") for n in offsets)), F.col("_range") + 1)
-    return df.withColumn("_range", place).withColumn("_position", before + ranked)
+    ranges = -(-df.count() // per_range)
+    if ranges <= 1:
+        return df.withColumn("_range", F.lit(0)).withColumn("_position", F.row_number().over(Window.partitionBy("_range").orderBy(*map(_col, order))).cast("long"))
+    dealt = written(df.repartitionByRange(ranges, *map(_col, order)).withColumn("_range", F.spark_partition_id()), "ranges")
+    earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    before = dealt.groupBy("_range").agg(F.count("*").alias("_n")).select("_range", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    place = F.row_number().over(Window.partitionBy("_range").orderBy(*map(_col, order)))
+    return dealt.withColumn("_place", place).join(before, "_range").withColumn("_position", F.col("_before") + F.col("_place")).select(*map(_col, df.columns), "_range", "_position")
 
 
 def slice_rows(df: DataFrame, spec: str | None, order: str, per_range: int = 1_000_000) -> DataFrame:
@@ -70,7 +65,13 @@ def slice_rows(df: DataFrame, spec: str | None, order: str, per_range: int = 1_0
     if not m:
         warnings.warn(f"row range {spec!r} is not understood; all rows are kept", stacklevel=2)
         return df
-    return positioned(df, [order], per_range).where(F.col("_position").between(max(1, int(m[1])), int(m[2]))).drop("_range", "_position")
+    first, last = max(1, int(m[1])), int(m[2])
+    if last <= per_range:  # a bounded head, sorted in part by every task
+        head = df.orderBy(_col(order)).limit(last)
+        return head.withColumn("_position", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(_col(order)))).where(F.col("_position") >= first).drop("_position")
+    places = positioned(df.select(_col(order)), [order], per_range).where(F.col("_position").between(first, last))
+    ends = places.agg(F.min(_col(order)), F.max(_col(order))).first()  # of the order alone; the rows between are then read by it
+    return df.where(_col(order).between(F.lit(ends[0]), F.lit(ends[1]))) if ends[0] is not None else df.limit(0)
 
 
 def merge_tables(tables: list[DataFrame]) -> DataFrame:

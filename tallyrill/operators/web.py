@@ -13,6 +13,7 @@ from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult
 from tallyrill.functions import html as H
 from tallyrill.functions.selectors import compiled as matcher
 from tallyrill.functions.text import strip, text_or
+from tallyrill.functions.urls import resolved
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 
@@ -32,6 +33,12 @@ def page_links(pages: DataFrame, id_col: str = "page_id", html_col: str = "html"
     return pages.select(id_col, F.posexplode(H.links(F.col(html_col))).alias("position", "l")).select(id_col, "position", "l.text", "l.href")
 
 
+def page_urls(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", url_col: str = "url") -> DataFrame:
+    """``id, position, text, href, url`` of every link, with its absolute address (after the page's ``base``)."""
+    found = pages.select(id_col, H.base_of(F.col(html_col), F.col(url_col)).alias("_base"), F.posexplode(H.links(F.col(html_col))).alias("position", "l"))
+    return found.select(id_col, "position", "l.text", "l.href", resolved(F.col("_base"), F.col("l.href")).alias("url"))
+
+
 def page_headings(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
     found = pages.select(id_col, F.posexplode(H.headings(F.col(html_col))).alias("position", "h"))
     return found.select(id_col, "position", "h.tag", "h.text", H.indented(F.col("h.tag"), F.col("h.text")).alias("outline"))

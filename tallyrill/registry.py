@@ -405,6 +405,14 @@ def html_links(spark, sf_dir):
     return web.page_links(table(spark, sf_dir, "pages"))
 
 
+@query(f"WITH {LINKS} SELECT links.*, CASE WHEN page_id % 3 = 0 THEN 'https://cdn.example' || href ELSE regexp_extract(pages.url, '^[a-z]+://[^/?#]*') || href END AS url FROM links JOIN pages USING (page_id)")
+def page_urls(spark, sf_dir):
+    """Links with their absolute addresses; every third page names another base."""
+    base = F.when(F.col("page_id") % 3 == 0, "<base href=//cdn.example/x/>").otherwise("")
+    pages = table(spark, sf_dir, "pages").select("page_id", F.regexp_replace("url", "^http:", "https:").alias("secure"), "url", F.concat(base, "html").alias("html"))
+    return web.page_urls(pages.withColumn("url", F.when(F.col("page_id") % 3 == 0, F.col("secure")).otherwise(F.col("url"))))
+
+
 @query(rf"SELECT page_id, {CLEAN('''regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)''')} AS title FROM pages")
 def html_title(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", html.title(F.col("html")).alias("title"))

@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import json
-import os
 from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -75,9 +75,17 @@ def read_records(spark: SparkSession, source: str) -> DataFrame:
     return df
 
 
-def existing(paths: list[str]) -> tuple[list[str], list[str]]:
-    """Paths that exist, and those left out; none at all raises."""
-    here = [p for p in paths if os.path.exists(p.removeprefix("file://"))]
+def _found(spark: SparkSession, path: str) -> tuple[object, object]:
+    """A path's file system, as Spark opens it, and the path with its scheme."""
+    name = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    system = name.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return system, system.makeQualified(name)
+
+
+def existing(paths: list[str], spark: SparkSession | None = None) -> tuple[list[str], list[str]]:
+    """Paths that exist, on any file system that Spark opens, and those left out; none at all raises."""
+    session = spark or SparkSession.active()
+    here = [p for p in paths if (lambda found: found[0].exists(found[1]))(_found(session, p))]
     if not here:
         raise FileNotFoundError(f"none of {paths} exists")
     return here, [p for p in paths if p not in here]
@@ -85,15 +93,19 @@ def existing(paths: list[str]) -> tuple[list[str], list[str]]:
 
 def merge_files(spark: SparkSession, paths: list[str]) -> DataFrame:
     """The union by name of the files that exist, in their order."""
-    here, _ = existing(paths)
+    here, _ = existing(paths, spark)
     placed = [read_table(spark, p).transform(blank_nulls).withColumn("_ord", F.lit(i * FILE_SPAN) + F.col("_ord")) for i, p in enumerate(here)]
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), placed)
 
 
 def write_csv(df: DataFrame, path: str, source: str | None = None, single: bool = False) -> None:
-    """CSV with a header; writing over the source that is read raises."""
-    if source is not None and os.path.abspath(source) == os.path.abspath(path):
-        raise ValueError("the output must not be the path that is read")
+    """CSV with a header; writing over what is read, be it ``source`` or any file that ``df`` reads, raises."""
+    spark = df.sparkSession
+    out = _found(spark, path)[1].toString().rstrip("/")
+    for name in [*([source] if source is not None else []), *df.inputFiles()]:
+        read = _found(spark, unquote(name) if "%" in name else name)[1].toString().rstrip("/")
+        if read == out or read.startswith(out + "/"):
+            raise ValueError("the output must not be the path that is read")
     (df.coalesce(1) if single else df).drop("_ord").write.csv(path, header=True, mode="overwrite")
 
 

@@ -243,3 +243,25 @@ def test_report_shapes():
     for name, theme in report.THEMES.items():
         page = report.render_html(report.build_sections([{"a": "ok"}]), "T", "me", "today", name)
         assert theme["bg"] in page and theme["success"] in page
+
+
+def test_links_bare_and_absolute(spark):
+    page = """<BASE href='/root/'><a href=x/y>One</a> <a class=b href='../z'>Two</a><a href="//o.example">T</a><a name=n>no</a><a data-x=1 HREF = "#s">S</a>"""
+    df = spark.createDataFrame([(1, page, "https://h.example/a/b"), (2, "<a href=q>Q</a>", "http://i.example/p/?x"), (3, None, "http://j.example/"), (4, "<a href=q>Q</a>", None)], "page_id long, html string, url string")
+    got = rows(web.page_urls(df), "page_id", "position")
+    assert [(r[0], r[3], r[4]) for r in got] == [
+        (1, "x/y", "https://h.example/root/x/y"), (1, "../z", "https://h.example/z"), (1, "//o.example", "https://o.example"), (1, "#s", "https://h.example/root/#s"),
+        (2, "q", "http://i.example/p/q"), (4, "q", None),
+    ]
+
+
+def test_a_sink_never_overwrites_what_is_read(spark, tmp_path):
+    path = str(tmp_path / "with space")
+    spark.range(5).write.csv(path, header=True)
+    df = spark.read.csv(path, header=True)
+    for out in (path, f"file://{path}/", str(tmp_path)):
+        with pytest.raises(ValueError, match="must not be"):
+            tables.write_csv(df, out)
+    tables.write_csv(df, str(tmp_path / "other"))
+    assert spark.read.csv(path, header=True).count() == 5 == spark.read.csv(str(tmp_path / "other"), header=True).count()
+    assert tables.existing([f"file://{path}", path, str(tmp_path / "none")], spark) == ([f"file://{path}", path], [str(tmp_path / "none")])
