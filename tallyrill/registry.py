@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyrill.functions import address, html, text, urls
-from tallyrill.operators import audit, domains, entity, image_diff, profiles, ranges, redirects, severity, tabular, web
+from tallyrill.operators import audit, domains, entity, image_diff, page_rules, profiles, ranges, redirects, severity, tabular, variants, web
 from tallyrill.plans import report
 from tallyrill.scratch import shared_dir
 from tallyrill.sources import fetch, images, xlsx
@@ -573,6 +573,36 @@ def workbook_round_trip(spark, sf_dir):
     return back
 
 
+@query("""WITH e AS (SELECT event_id, event_id % 5 AS m, json_extract_string(props, '$.k') AS k FROM events),
+  r AS (SELECT event_id, CASE m WHEN 1 THEN 'list' WHEN 2 THEN 'graph' ELSE 'object' END AS shape, i AS position, CASE WHEN i = 0 THEN k ELSE 'last' END AS k, CASE WHEN i = 0 THEN 'BIGINT' ELSE 'STRING' END AS type
+        FROM e, unnest([0, 1]) AS u(i) WHERE m < 3 AND (i = 0 OR m = 1))
+  SELECT event_id, shape, CAST(position AS INTEGER) AS position, 'k' AS name, type, k AS value FROM r""")
+def variant_records(spark, sf_dir):
+    """Properties of events as objects, lists and graphs, some of them no JSON: records and their fields."""
+    m, p = F.col("event_id") % 5, F.col("props")
+    text = F.when(m == 1, F.concat(F.lit("["), p, F.lit(', {"k": "last"}]'))).when(m == 2, F.concat(F.lit('{"@graph": ['), p, F.lit("]}"))).when(m == 3, F.concat(p, F.lit(","))).when(m == 0, p)
+    found = variants.records(table(spark, sf_dir, "events").select("event_id", text.alias("props")), "props", ["event_id"])
+    return variants.fields(found, ["event_id", "shape", "position"])
+
+
+def _flawed(spark, sf_dir) -> DataFrame:
+    """Pages with a part that breaks rules, more of them as the key goes."""
+    k = F.col("page_id")
+    part = F.concat(
+        F.lit('<main id="m"><h3>Deep</h3><img src="a"><img src="b" alt=""><a href="/x"><img src="c" alt="named"></a><a href="/y"> </a><button><span>go</span></button>'),
+        F.when(k % 2 == 0, '<label for="q">Q</label><input id="q"><input id=q type=hidden>').otherwise('<input name="q"><label>In <select></select></label><button></button>'),
+        F.when(k % 3 == 0, "</main>").otherwise("</main><main></main>"),
+    )
+    return table(spark, sf_dir, "pages").select("page_id", F.concat(F.regexp_replace("html", "(?s)</?(?:main|h1)>", ""), part).alias("html"))
+
+
+@query("""SELECT page_id AS page, rule, impact, node FROM pages, (VALUES (0, 'heading-order', 'moderate', 'h3[1]'), (0, 'image-alt', 'critical', 'img[1]'), (0, 'link-name', 'serious', 'a'), (2, 'duplicate-id', 'minor', 'input[2]'), (1, 'label', 'critical', 'input[1]'), (1, 'button-name', 'critical', 'button[2]'), (3, 'landmark-one-main', 'moderate', NULL)) AS v(m, rule, impact, node)
+  WHERE m = 0 OR (m = 2 AND page_id % 2 = 0) OR (m = 1 AND page_id % 2 = 1) OR (m = 3 AND page_id % 3 <> 0)""")
+def static_rules(spark, sf_dir):
+    found = page_rules.findings(_flawed(spark, sf_dir))
+    return found.withColumn("node", F.when(F.col("rule") == "link-name", "a").otherwise(F.col("node")))
+
+
 PROFILED = ["l_orderkey", "l_partkey", "l_suppkey", "l_quantity", "l_comment"]
 
 
