@@ -9,12 +9,9 @@ coarser ones left, and only survivors get exact scores.  The bounds have a margi
 so nothing is lost.  A level is a matrix product over a block while more than ``GATHERED`` of its
 pairs are alive (that is faster than picking them out), and a product a query beyond.
 
-Queries are taken in blocks of a bounded size.  A block is broadcast; every task streams its
-candidates past it and keeps k + 1 rows a query, and the tasks' lists are merged by a grouped
-top-k over (query, task) rows.  A block's first thresholds come from a bounded sample of
-candidates, whose exact scores can only be too low.  Each block is written before the next is
-taken, so neither the plan nor what is broadcast grows with the number of queries.  Queries equal in
-id and vector are searched once.
+Queries meet candidates by cells (:mod:`tallyrill.llm.grid`): a part of either in a task, in one job, without the driver; a cell keeps k + 1 rows a
+query, and the cells' lists are merged by a grouped top-k.  A level is left out of the rest of a cell once it has been seen to drop a smaller share
+of its pairs than it costs of a product.  Queries equal in id and vector are searched once, and so are equal candidates.
 
 Components become ``floor(scale * x)`` with x as a double.  While products stay below 2**53
 the arithmetic is exact in doubles; beyond, exact Python integers are used, and a score
@@ -33,10 +30,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyrill.llm.shared import discard, mapped, pick, written
+from tallyrill.llm import grid
+from tallyrill.llm.shared import discard, written
 
 #: Segments by level, from coarse to fine; a level of as many segments as components is the product itself.
 LEVELS = (1, 4, 16, 32)
+#: Queries that a cell searches at a time, and pairs after which a level's yield counts.
+QUERIES, PROBED = 1024, 1 << 22
 #: Share of pairs alive up to which a finer level picks them out.
 GATHERED = 0.1
 SAFE = float(1 << 53)
@@ -44,13 +44,6 @@ SAFE = float(1 << 53)
 HIGHEST = (1 - 1e-9) * 2.0**63
 
 
-def quantised(rows: DataFrame, id_col: str, vector_col: str, scale: float) -> DataFrame:
-    scaled = F.transform("_v", lambda x: x.cast("double") * scale)
-    fine = F.col("_v").isNotNull() & F.col("_id").isNotNull() & (F.size("_v") > 0) & F.forall("_v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double") * scale) < float("inf")))
-    floors = F.transform(scaled, lambda x: F.when(F.abs(x) < SAFE, F.floor(x).cast("double")).otherwise(x))  # doubles beyond are whole, and may be no longs
-    return pick(rows, {"_id": id_col, "_v": vector_col}).where(fine).select(F.col("_id").cast("long").alias("vec_id"), floors.alias("v"))
-
-
 def _statistics(x: np.ndarray, segments: int) -> np.ndarray:
     """Segment means and deviations side by side, so that a product of two rows is the bound."""
     parts = np.array_split(np.arange(x.shape[1]), min(segments, x.shape[1]))
@@ -69,30 +62,40 @@ def _exact(q: np.ndarray, x: np.ndarray) -> np.ndarray:
 
 
 class Searcher:
-    """The running top ``keep`` of one task for a block of queries of one dimension."""
+    """The running top ``keep`` of one cell for queries of one dimension."""
 
     def __init__(self, queries: np.ndarray, floor: np.ndarray, keep: int) -> None:
         self.q, self.keep, self.floor = queries, keep, floor
         self.stats = [(s, _statistics(queries, s)) for s in LEVELS if s < queries.shape[1]]
         self.size = np.linalg.norm(queries, axis=1)
-        self.best: list[list[tuple]] = [[] for _ in queries]  # (-score, id), ascending
+        self.best: list[list[tuple]] = [[] for _ in queries]  # (-score, id, row), ascending
+        self.seen = {s: [0, 0] for s, _ in self.stats}  # pairs that a level has met, and dropped
         self.pairs = self.products = 0  # met, and scored exactly
 
+    def _pays(self, level: int) -> bool:
+        met, dropped = self.seen[level]
+        return met < PROBED or dropped * self.q.shape[1] >= 2 * level * met
+
     def survivors(self, x: np.ndarray) -> np.ndarray:
         """Which candidates no bound rules out, a row for each query."""
         alive = np.ones((len(self.q), len(x)), bool)
         norm = np.linalg.norm(x, axis=1)
         for s, own in self.stats:
-            theirs = _statistics(x, s)
-            if np.count_nonzero(alive) > GATHERED * alive.size:
-                alive &= own @ theirs.T + 1e-9 * self.size[:, None] * norm + 1e-6 >= self.floor[:, None]
+            if not self._pays(s) or not np.isfinite(self.floor).any():
                 continue
-            for i in np.flatnonzero(alive.any(1)):
-                at = np.flatnonzero(alive[i])
-                alive[i, at] = theirs[at] @ own[i] + 1e-9 * self.size[i] * norm[at] + 1e-6 >= self.floor[i]
+            theirs, before = _statistics(x, s), np.count_nonzero(alive)
+            if before > GATHERED * alive.size:
+                alive &= own @ theirs.T + 1e-9 * self.size[:, None] * norm + 1e-6 >= self.floor[:, None]
+            else:
+                for i in np.flatnonzero(alive.any(1)):
+                    at = np.flatnonzero(alive[i])
+                    alive[i, at] = theirs[at] @ own[i] + 1e-9 * self.size[i] * norm[at] + 1e-6 >= self.floor[i]
+            self.seen[s][0] += before
+            self.seen[s][1] += before - np.count_nonzero(alive)
         return alive
 
-    def add(self, ids: np.ndarray, x: np.ndarray) -> None:
+    def add(self, ids: np.ndarray, x: np.ndarray, rows: np.ndarray | None = None) -> None:
+        """Candidates with their ids and, if given, the numbers of their rows."""
         if not len(self.q):
             return
         alive = self.survivors(x)
@@ -106,86 +109,52 @@ class Searcher:
                 cut = np.partition(scores[near], len(near) - self.keep)[len(near) - self.keep]
                 near = near[scores[near] >= cut]
             if len(near):
-                found = [(-_clip(int(scores[j])), int(ids[at[j]])) for j in near]
+                found = [(-_clip(int(scores[j])), int(ids[at[j]]), int(at[j] if rows is None else rows[at[j]])) for j in near]
                 self.best[i] = sorted(self.best[i] + found)[: self.keep]
                 if len(self.best[i]) == self.keep:
                     self.floor[i] = min(HIGHEST, max(self.floor[i], float(-self.best[i][-1][0])))
 
 
-def _matrix(column: pa.Array) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """By dimension: the row numbers and the vectors."""
-    length = np.diff(column.offsets.to_numpy())
-    flat = column.flatten().to_numpy(zero_copy_only=False)
-    start = np.concatenate([[0], np.cumsum(length)[:-1]]) if len(length) else length
-    out = {}
-    for d in np.unique(length).tolist():
-        at = np.nonzero(length == d)[0]
-        out[d] = (at, flat[start[at][:, None] + np.arange(d)])
-    return out
-
-
-def top_k(rows: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 5, scale: float = 256.0, block: int = 4096, sample: int = 2048) -> DataFrame:
-    """``query_id, rank, vec_id, score``: for each row with ``is_query`` (over ``vec_id``) its k best others.
-
-    ``block`` bounds the queries of a block, ``sample`` the candidates that set its first thresholds."""
-    spark = rows.sparkSession
-    table = written(quantised(rows, id_col, vector_col, scale), "vectors")
-    queries = table.where(is_query).groupBy("vec_id", "v").agg(F.count("*").alias("times"))
-    queries = written(queries.withColumn("_h", F.xxhash64("vec_id", "v")), "queries")
-    blocks = max(1, -(-queries.count() // (block // 2)))  # dealt by hash: about half a block each, checked below
-    first = table.orderBy(F.xxhash64("vec_id", "v")).limit(sample).select("v").toPandas()["v"]
-    paths = []
-    for b in range(blocks):
-        held = queries.where(F.pmod("_h", F.lit(blocks)) == b).select("vec_id", "v", "times").toPandas()
-        for at in range(0, max(1, len(held)), block):
-            paths.append(written(_merged(_search(spark, table, held.iloc[at : at + block], first, k), k), "found").written_to)
-    discard(queries)
-    return spark.read.schema("query_id long, rank int, vec_id long, score long").parquet(*paths)
-
-
-def _merged(found: DataFrame, k: int) -> DataFrame:
-    """The best ``k`` of the tasks' lists, without the query's own row, as often as the query's row occurs."""
-    best = Window.partitionBy("query")
-    merged = found.withColumn("place", F.row_number().over(best.orderBy(F.desc("score"), "vec_id"))).where(F.col("place") <= k + 1)
-    own = (F.col("vec_id") == F.col("query_id")) & (F.col("score") == F.col("own"))
-    first_own = F.min(F.when(own, F.col("place"))).over(best)
-    kept = merged.withColumn("_own", first_own).where(F.col("_own").isNull() | (F.col("place") != F.col("_own")))
-    rank = F.col("place") - F.when(F.col("place") > F.coalesce("_own", F.lit(k + 2)), 1).otherwise(0)
-    each = F.explode(F.sequence(F.lit(1), "times")).alias("_time")
-    return kept.select("query_id", rank.cast("int").alias("rank"), "vec_id", "score", "times").where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score", each).drop("_time")
-
-
 def _clip(score: int) -> int:
     return max(-(1 << 63), min((1 << 63) - 1, score))
 
 
-def _search(spark, table: DataFrame, held, first, k: int) -> DataFrame:
-    """Each task's best for the queries ``held``: a row for each, with the score that the query has with itself."""
-    by: dict[int, tuple] = {}
-    for d in {len(v) for v in held["v"]}:
-        at = [i for i, v in enumerate(held["v"]) if len(v) == d]
-        q = np.stack([np.asarray(held["v"].iloc[i], float) for i in at])
-        some = [np.asarray(v, float) for v in first if len(v) == d]
-        floor = np.full(len(at), -np.inf)
-        if len(some) > k:  # with its own row among them, still k others
-            floor = np.sort(_exact(q, np.stack(some)).astype(float), axis=1)[:, -(k + 1)] * 1.0
-            floor = np.minimum(floor - 1e-9 * np.abs(floor), HIGHEST)
-        own = [_clip(int(_exact(x[None], x[None])[0, 0])) for x in q]
-        by[d] = (np.array(at), q, floor, [int(held["vec_id"].iloc[i]) for i in at], own, [int(held["times"].iloc[i]) for i in at])
-    shared = spark.sparkContext.broadcast(by)
-
-    def run(batches):
-        tasks = {d: Searcher(q, floor.copy(), k + 1) for d, (_, q, floor, *_) in shared.value.items()}
-        for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            for d, (at, x) in _matrix(batch.column(1)).items():
-                if d in tasks:
-                    for i in range(0, len(at), 2048):
-                        tasks[d].add(ids[at[i : i + 2048]], x[i : i + 2048])
-        for d, s in tasks.items():
-            at, _, _, query_ids, own, times = shared.value[d]
-            rows = [(int(at[i]), query_ids[i], own[i], times[i], vec, -neg) for i, best in enumerate(s.best) for neg, vec in best]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["query", "query_id", "own", "times", "vec_id", "score"])
-
-    return mapped(table, run, "query long, query_id long, own long, times long, vec_id long, score long")
+def _cell(keep: int):
+    """The best of one cell for each query, without the query's own row."""
+
+    def run(queries: pa.Table, candidates: pa.Table) -> pa.Table:
+        found: list[tuple] = []
+        ids, times, theirs = candidates["vec_id"].to_numpy(), candidates["times"].to_numpy(), grid.matrices(candidates["v"])
+        numbers, own_ids = queries["anchor"].to_numpy(), queries["vec_id"].to_numpy()
+        for d, (of, q) in grid.matrices(queries["v"]).items():
+            if d not in theirs:
+                continue
+            at, x = theirs[d]
+            for a in range(0, len(q), QUERIES):
+                search = Searcher(q[a : a + QUERIES], np.full(len(q[a : a + QUERIES]), -np.inf), keep + 1)
+                for i in range(0, len(at), 2048):
+                    search.add(ids[at[i : i + 2048]], x[i : i + 2048], np.arange(i, min(i + 2048, len(at))))
+                for j, best in enumerate(search.best, a):
+                    for score, vec, row in best:
+                        left = int(times[at[row]]) - (vec == own_ids[of[j]] and bool((x[row] == q[j]).all()))
+                        if left:
+                            found.append((int(numbers[of[j]]), -score, vec, left))
+        columns = zip(*found, strict=True) if found else [()] * 4
+        return pa.table([pa.array(c, pa.int64()) for c in columns], names=["anchor", "score", "vec_id", "times"])
+
+    return run
+
+
+def top_k(rows: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 5, scale: float = 256.0) -> DataFrame:
+    """``query_id, rank, vec_id, score``: for each row with ``is_query`` (over ``vec_id``) its k best others."""
+    table = written(grid.counted(grid.narrow(grid.quantised(rows, id_col, vector_col, scale))), "vectors")
+    queries = written(table.where(is_query).withColumn("anchor", F.monotonically_increasing_id()), "queries")
+    found = grid.cells(queries.select("anchor", "vec_id", "v"), table, _cell(k), "anchor long, score long, vec_id long, times long")
+    order = Window.partitionBy("anchor").orderBy(F.desc("score"), "vec_id")
+    first = found.withColumn("_place", F.row_number().over(order)).where(F.col("_place") <= k).drop("_place")
+    each = first.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.least("times", F.lit(k))))).drop("_copy", "times")
+    ranked = each.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    asked = queries.select("anchor", F.col("vec_id").alias("query_id"), F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))).alias("_copy"))
+    out = written(asked.join(ranked, "anchor").select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score"), "found")
+    discard(table, queries)
+    return out

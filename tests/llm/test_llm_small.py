@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tallyrill.llm import components, cross_entropy, decontaminate, html_text, language, mixing, near_duplicates, ngram, quality, shared, topk, toxicity, url_rules
+from tallyrill.llm import components, cross_entropy, decontaminate, grid, html_text, language, mixing, near_duplicates, ngram, quality, shared, topk, toxicity, url_rules
 from tallyrill.llm.shingles import shingle_sets
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
@@ -110,13 +110,15 @@ def test_url_rules_against_brute_force(spark):
 
 
 @pytest.mark.parametrize("scale", [1.0, 1e18])
-def test_top_k_against_brute_force(spark, scale):
+def test_top_k_against_brute_force(spark, scale, monkeypatch):
+    monkeypatch.setattr(grid, "ANCHORS", 100)
+    monkeypatch.setattr(grid, "CANDIDATES", 2000)
     rng = np.random.default_rng(2)
     x = np.round(rng.standard_normal((300, 24)), 2) * scale
     rows = [(i, [float(v) for v in r]) for i, r in enumerate(x)]
     rows += [(50, rows[50][1]), (50, rows[7][1]), (900, None), (950, [1.0, None]), (1000, [float("nan")] * 24), (None, rows[3][1]), (1050, []), (1100, [1.0, 2.0]), (1150, rows[9][1])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(5)
-    got = topk.top_k(df, F.col("vec_id") % 50 == 0, block=4, sample=20).collect()
+    got = topk.top_k(df, F.col("vec_id") % 50 == 0).collect()
     good = [(i, [int(np.floor(256 * c)) for c in v]) for i, v in rows if i is not None and v and all(c is not None and np.isfinite(c) for c in v)]
     clip = lambda s: max(-(2**63), min(2**63 - 1, s))
     want = []

@@ -50,3 +50,14 @@ def test_repeated_queries_and_clashing_columns(spark):
             best = sorted((-int(q @ v), j) for b, (j, v) in enumerate(ints) if b != a)[:3]
             want += [(i, r, j, -s) for r, (s, j) in enumerate(best, 1)]
     assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_levels_that_do_not_pay_are_left_out(monkeypatch):
+    monkeypatch.setattr(topk, "PROBED", 1000)
+    rng = np.random.default_rng(1)
+    x = np.floor(256 * rng.standard_normal((6000, 64)))
+    s = topk.Searcher(x[:20], np.full(20, -np.inf), 6)
+    for i in range(0, len(x), 500):
+        s.add(np.arange(i, i + 500), x[i : i + 500])
+    assert not s._pays(1) and s.seen[1][0] < s.pairs / 2  # bounds of one segment drop next to nothing here
+    assert [[b[1] for b in best] for best in s.best] == [np.lexsort((np.arange(len(x)), -(q @ x.T)))[:6].tolist() for q in x[:20]]
