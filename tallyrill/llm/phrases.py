@@ -46,7 +46,7 @@ from tallyrill.llm.shared import discard, mapped, pick, utf8, written
 from tallyrill.llm.shingles import LONG, PIECE, Spans, mixed
 
 #: Distinct keys that a task holds before it sends them, places a shard of keys, and keys of a perfect hash.
-HELD, PLACES, KEYS = 1 << 20, 1 << 22, 1 << 21
+HELD, PLACES, KEYS = 1 << 20, 1 << 20, 1 << 21
 #: Counters of a row of the tree, and rows that one of its groups adds up.
 CHUNK, FAN = 1 << 13, 32
 BREAK = b"\n"
@@ -55,7 +55,7 @@ FOLD = bytes(c | 0x20 if 0x41 <= c <= 0x5A else 0x0A if c in b".,;:!?" or 0x0A <
 FLAT = bytes(0x20 if c == 0x0A else c for c in range(256))
 NONE = np.uint32(0xFFFFFFFF)
 
-ENCODED = "names array<string>, totals array<long>, keys binary, owner binary, words binary, codes binary"
+ENCODED = "slice long, names array<string>, totals array<long>, keys binary, owner binary, words binary, codes binary"
 SLICE, COUNTS, WORD = 0, 1, 2
 CODED = f"kind int, number long, part int, p binary, z binary, new binary, name string, word string, {ENCODED}"
 
@@ -126,38 +126,48 @@ def _grouped(texts: list[bytes | None]) -> Iterator[tuple[list[int], bytes, list
         yield flush()
 
 
+def _planes(x: np.ndarray) -> bytes:
+    """Numbers byte by byte, as the higher bytes of most are 0 and compress."""
+    return np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
+def _ids(raw: bytes | None) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw or b"", np.uint8).reshape(4, -1).T).view("<u4").ravel()
+
+
 def _slice(texts: list[int], raw: bytes, starts: list[int], langs: list[str]) -> tuple:
-    """A row of ``ENCODED``: distinct words with their bytes, and the places as numbers of words from 1, with 0 for breaks."""
+    """A row of ``ENCODED`` but its number: distinct words, frequent ones first, with their bytes, and the places as numbers of words
+    from 1, with 0 for breaks."""
     found = Tokens(raw)
     names = sorted({langs[i] for i in texts})
     of_text = np.array([names.index(langs[i]) for i in texts])
     owner = of_text[np.searchsorted(starts, found.start, "right") - 1] if len(found.start) else np.zeros(0, np.int64)
     hashes = mixed(found.hashes + np.array([_language(n) for n in names], np.uint64)[owner])
-    keys, first, word = np.unique(hashes, return_index=True, return_inverse=True)
+    keys, first, word, often = np.unique(hashes, return_index=True, return_inverse=True, return_counts=True)
+    order = np.lexsort((keys, -np.log2(often).astype(int)))
+    keys, first, word = keys[order], first[order], np.argsort(order)[word]
     codes = np.zeros(len(word) + int(found.breaks.sum()), np.uint32)
     codes[np.arange(len(word)) + np.cumsum(found.breaks)] = word + 1
     words = BREAK.join(raw[s:e] for s, e in zip(found.start[first].tolist(), found.end[first].tolist(), strict=True))
-    return names, np.bincount(owner, minlength=len(names)).tolist(), packed_keys(keys), owner[first].astype("<u4").tobytes(), words, codes.astype("<u4").tobytes()
+    return names, np.bincount(owner, minlength=len(names)).tolist(), packed_keys(keys), _planes(owner[first]), words, _planes(codes)
 
 
 def encoded(rows: DataFrame) -> DataFrame:
     """Slices of ``lang, text`` as numbers of words."""
 
     def run(batches):
+        number = TaskContext.get().partitionId() << 32
         for batch in batches:
             langs = batch.column(0).to_pylist()
             for group in _grouped(utf8(batch.column(1))):
-                row = _slice(*group, langs)
-                kinds = (pa.list_(pa.string()), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array([c], k) for c, k in zip(row, kinds, strict=True)], names=["names", "totals", "keys", "owner", "words", "codes"])
+                row = (number, *_slice(*group, langs))
+                kinds = (pa.int64(), pa.list_(pa.string()), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array([c], k) for c, k in zip(row, kinds, strict=True)], names=["slice", "names", "totals", "keys", "owner", "words", "codes"])
+                number += 1
 
     return mapped(rows.select("lang", "text"), run, ENCODED)
 
 
-def _ids(raw: bytes | None) -> np.ndarray:
-    return np.frombuffer(raw or b"", "<u4")
-
-
 def _keys_and_counts(row: dict, level: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys of the places of a slice, and how often they occur."""
     if level == 1:
@@ -174,9 +184,10 @@ def _pairs(row: dict) -> tuple[np.ndarray, np.ndarray]:
     return at, p[at].astype(np.uint64) << np.uint64(32) | z[at + 1]
 
 
-def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    known, at = np.unique(np.concatenate(keys), return_inverse=True)
-    return known, np.bincount(at, np.concatenate(counts), len(known)).astype(np.int64)
+def _summed(keys: list[np.ndarray], counts: list[np.ndarray], homes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys, their sums, and a slice that has each."""
+    known, first, at = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
+    return known, np.bincount(at, np.concatenate(counts), len(known)).astype(np.int64), np.concatenate(homes)[first]
 
 
 def _shard_of(keys: np.ndarray, shards: int) -> np.ndarray:
@@ -184,62 +195,68 @@ def _shard_of(keys: np.ndarray, shards: int) -> np.ndarray:
 
 
 def candidates(slices: DataFrame, level: int, places: int, least: int) -> DataFrame:
-    """``n, keys``: blocks of those that occur ``least`` times or more."""
+    """``n, keys, homes``: blocks of those that occur ``least`` times or more; of words also the number of a slice that has each."""
     shards = max(1, -(-places // PLACES))
-    columns = ["keys", "codes"] if level == 1 else ["p", "z"]
+    columns = ["slice", "keys", "codes"] if level == 1 else ["p", "z"]
 
-    def blocks(keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+    def blocks(keys: np.ndarray, counts: np.ndarray, homes: np.ndarray) -> pa.RecordBatch:
         to = _shard_of(keys, shards)
         order = np.argsort(to, kind="stable")
         cuts = np.flatnonzero(np.diff(to[order], prepend=-1)).tolist()
-        rows = [(int(to[order[a]]), packed_keys(keys[order[a:b]]), packed_counts(counts[order[a:b]])) for a, b in zip(cuts, [*cuts[1:], len(order)], strict=True)]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["shard", "keys", "counts"])
+        parts = [order[a:b] for a, b in zip(cuts, [*cuts[1:], len(order)], strict=True)]
+        rows = [(int(to[p[0]]), packed_keys(keys[p]), packed_counts(counts[p]), homes[p].tobytes() if level == 1 else None) for p in parts]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["shard", "keys", "counts", "homes"])
 
     def send(batches):
-        keys, counts, held = [], [], 0
+        held, size = ([], [], []), 0
         for batch in batches:
             for row in batch.to_pylist():
                 k, c = _keys_and_counts(row, level)
-                keys.append(k)
-                counts.append(c)
-                held += len(k)
-                if held > HELD:
-                    k, c = _summed(keys, counts)
-                    if 2 * len(k) > HELD:
-                        yield blocks(k, c)
-                        keys, counts, held = [], [], 0
+                for into, x in zip(held, (k, c, np.full(len(k), row.get("slice", 0))), strict=True):
+                    into.append(x)
+                size += len(k)
+                if size > HELD:
+                    found = _summed(*held)
+                    if 2 * len(found[0]) > HELD:
+                        yield blocks(*found)
+                        held, size = ([], [], []), 0
                     else:
-                        keys, counts, held = [k], [c], len(k)
-        if held:
-            yield blocks(*_summed(keys, counts))
+                        held, size = tuple([x] for x in found), len(found[0])
+        if size:
+            yield blocks(*_summed(*held))
 
     def reach(table: pa.Table) -> pa.Table:
         keys = [keys_of(k) for k in table["keys"].to_pylist()]
         counts = [counts_of(c, len(k)) for c, k in zip(table["counts"].to_pylist(), keys, strict=True)]
-        known, total = _summed(keys, counts)
-        often = known[total >= least]
-        return pa.table({"n": pa.array([len(often)], pa.int64()), "keys": pa.array([packed_keys(often)], pa.binary())})
+        homes = [np.frombuffer(h, "<i8") if h is not None else np.zeros(len(k), np.int64) for h, k in zip(table["homes"].to_pylist(), keys, strict=True)]
+        known, total, home = _summed(keys, counts, homes)
+        often = total >= least
+        return pa.table({"n": pa.array([int(often.sum())], pa.int64()), "keys": pa.array([packed_keys(known[often])], pa.binary()), "homes": pa.array([home[often].tobytes()], pa.binary())})
 
-    sent = mapped(slices.select(*columns), send, "shard int, keys binary, counts binary")
-    return sent.groupBy("shard").applyInArrow(reach, "n long, keys binary")
+    sent = mapped(slices.select(*columns), send, "shard int, keys binary, counts binary, homes binary")
+    return sent.groupBy("shard").applyInArrow(reach, "n long, keys binary, homes binary")
 
 
 def hashed(keys: DataFrame, shards: int) -> DataFrame:
     """``shard, n, hash``: a perfect hash of each shard of the blocks of keys."""
 
     def build(table: pa.Table) -> pa.Table:
-        made = PerfectHash(np.concatenate([keys_of(k) for k in table["keys"].to_pylist()]))
-        return pa.table({"shard": table["shard"].slice(0, 1), "n": pa.array([len(made.keys)], pa.int64()), "hash": pa.array([pickle.dumps(made)], pa.binary())})
+        keys = np.concatenate([keys_of(k) for k in table["keys"].to_pylist()])
+        made = PerfectHash(keys)
+        homes = np.empty(len(keys), np.int64)
+        homes[made.slots(keys)] = np.concatenate([np.frombuffer(h, "<i8") for h in table["homes"].to_pylist()])
+        return pa.table({"shard": table["shard"].slice(0, 1), "n": pa.array([len(keys)], pa.int64()), "hash": pa.array([pickle.dumps((made, homes))], pa.binary())})
 
     def dealt(batches):
         for batch in batches:
-            for raw in batch.column(0).to_pylist():
-                keys = keys_of(raw)
+            for raw, homes in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                keys, home = keys_of(raw), np.frombuffer(homes, "<i8")
                 to = _shard_of(keys, shards)
                 known = np.unique(to).tolist()
-                yield pa.RecordBatch.from_arrays([pa.array(known, pa.int32()), pa.array([packed_keys(keys[to == i]) for i in known], pa.binary())], names=["shard", "keys"])
+                columns = (pa.array(known, pa.int32()), *(pa.array([f(x[to == i]) for i in known], pa.binary()) for f, x in ((packed_keys, keys), (np.ndarray.tobytes, home))))
+                yield pa.RecordBatch.from_arrays([*columns], names=["shard", "keys", "homes"])
 
-    return mapped(keys.select("keys"), dealt, "shard int, keys binary").groupBy("shard").applyInArrow(build, "shard int, n long, hash binary")
+    return mapped(keys.select("keys", "homes"), dealt, "shard int, keys binary, homes binary").groupBy("shard").applyInArrow(build, "shard int, n long, hash binary")
 
 
 def tree_sum(counts: DataFrame) -> DataFrame:
@@ -257,17 +274,17 @@ def tree_sum(counts: DataFrame) -> DataFrame:
 def _coded(slices: DataFrame, level: int, shared, offset: int, last: bool, longest: bool) -> DataFrame:
     """Places as slots from ``offset`` on of one shard's perfect hash (unless they are of the ``longest`` phrases), the counts
     of the slots, and at level 1 the words."""
-    columns = ["names", "totals", "owner", "words", "keys", "codes", "new"] if level == 1 else ["p", "z", "new"]
+    columns = ["slice", "names", "totals", "owner", "words", "keys", "codes", "new"] if level == 1 else ["p", "z", "new"]
 
     def out(**columns) -> pa.RecordBatch:
         kinds = dict.fromkeys(("p", "z", "new", "keys", "owner", "words", "codes"), pa.binary()) | {"name": pa.string(), "word": pa.string(), "names": pa.list_(pa.string()), "totals": pa.list_(pa.int64())}
-        kinds = {n: kinds.get(n) or (pa.int64() if n == "number" else pa.int32()) for n in (c.split()[0] for c in CODED.split(", "))}
+        kinds = {n: kinds.get(n) or (pa.int64() if n in ("number", "slice") else pa.int32()) for n in (c.split()[0] for c in CODED.split(", "))}
         n = len(next(iter(columns.values())))
         return pa.RecordBatch.from_arrays([pa.array(columns.get(c, [None] * n), k) for c, k in kinds.items()], names=list(kinds))
 
     def run(batches):
-        table: PerfectHash = shared.value
-        counts, told = np.zeros(len(table.keys), np.int64), np.zeros(len(table.keys), bool)
+        table, homes = shared.value
+        counts = np.zeros(len(table.keys), np.int64)
         for batch in batches:
             for row in batch.to_pylist():
                 if level == 1:
@@ -275,8 +292,7 @@ def _coded(slices: DataFrame, level: int, shared, offset: int, last: bool, longe
                     slots = table.slots(keys_of(row["keys"]))
                     known = slots >= 0
                     counts[slots[known]] += np.bincount(codes, minlength=len(slots) + 1)[1:][known]
-                    fresh = np.flatnonzero(known)[~told[slots[known]]].tolist()
-                    told[slots[known]] = True
+                    fresh = np.flatnonzero(known)[homes[slots[known]] == row["slice"]].tolist()  # a word is told once
                     if fresh:
                         words, owner = row["words"].split(BREAK), _ids(row["owner"])
                         yield out(kind=[WORD] * len(fresh), number=(slots[fresh] + offset).tolist(), name=[row["names"][owner[i]] for i in fresh], word=[words[i].decode("utf-8", "replace") for i in fresh])
@@ -294,7 +310,7 @@ def _coded(slices: DataFrame, level: int, shared, offset: int, last: bool, longe
                 if longest:
                     continue
                 if not last:
-                    yield out(kind=[SLICE], **{c: [row[c]] for c in columns if c != "new"}, new=[new.tobytes()])
+                    yield out(kind=[SLICE], **{c: [row[c]] for c in columns if c != "new"}, new=[_planes(new)])
                     continue
                 z = new if level == 1 else np.concatenate([_ids(row["z"] or row["p"])[1:], [NONE]]).astype(np.uint32)
                 here = np.concatenate([[False], new != NONE, [False]])
@@ -304,7 +320,7 @@ def _coded(slices: DataFrame, level: int, shared, offset: int, last: bool, longe
                 if long.any():
                     p, z = new[keep], z[keep]
                     p[ends] = NONE
-                    yield out(kind=[SLICE], p=[p.tobytes()], z=[None if level == 1 else z.tobytes()], new=[None])
+                    yield out(kind=[SLICE], p=[_planes(p)], z=[None if level == 1 else _planes(z)], new=[None])
         base = TaskContext.get().partitionId()
         parts = [i for i in range(0, len(counts), CHUNK) if counts[i : i + CHUNK].any()]
         if parts:
@@ -317,7 +333,7 @@ def _slots(hashes: DataFrame, sums: DataFrame, offset: int) -> DataFrame:
     """``id, key, a`` of every slot of one shard."""
 
     def run(one: pa.Table, parts: pa.Table) -> pa.Table:
-        keys = pickle.loads(one["hash"][0].as_py()).keys
+        keys = pickle.loads(one["hash"][0].as_py())[0].keys
         counts = np.zeros(len(keys), np.int64)
         for part, data in zip(parts["part"].to_pylist(), parts["data"].to_pylist(), strict=True):
             counts[part * CHUNK : (part + 1) * CHUNK] = np.frombuffer(data, "<i8")
@@ -353,8 +369,7 @@ def counted(slices: DataFrame, level: int, places: int, least: int, longest: boo
         now = coded.where(F.col("kind") == SLICE)
         shared.unpersist()
     discard(keys, hashes)
-    first = reduce(DataFrame.union, words).groupBy("id").agg(F.first("lang").alias("lang"), F.first("word").alias("word")) if level == 1 else None
-    return reduce(DataFrame.union, found), first, made
+    return reduce(DataFrame.union, found), reduce(DataFrame.union, words) if level == 1 else None, made
 
 
 def _phrases(slots: DataFrame, below: DataFrame) -> DataFrame:
