@@ -17,6 +17,7 @@ from tallyrill.operators import audit, domains, entity, image_diff, page_rules,
 from tallyrill.plans import report
 from tallyrill.scratch import shared_dir
 from tallyrill.sources import fetch, images, xlsx
+from tallyrill.streaming import audits, first_rows
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -603,6 +604,15 @@ def static_rules(spark, sf_dir):
     return found.withColumn("node", F.when(F.col("rule") == "link-name", "a").otherwise(F.col("node")))
 
 
+@query("""WITH f AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS place FROM events)
+  SELECT event_id, ts, user_id, event_type, value, props FROM f WHERE place = 1 AND ts < (SELECT max(ts) FROM events) - INTERVAL 1 HOUR""")
+def first_rows_stream(spark, sf_dir):
+    """Each user's first event from a stream of all events: those that the watermark, an hour behind, has passed."""
+    stream = audits.read_folder(spark, f"{sf_dir}/events.parque?", table(spark, sf_dir, "events").schema)  # a pattern, as a stream's path is no single file
+    with first_rows.rocks(spark):
+        return first_rows.drained(first_rows.first_rows(stream, ["user_id"], "ts", ["event_id"]), f"{shared_dir(spark)}/first-rows-{uuid.uuid4().hex}")
+
+
 PROFILED = ["l_orderkey", "l_partkey", "l_suppkey", "l_quantity", "l_comment"]
 
 
