@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyrill.functions import address, html, text, urls
-from tallyrill.operators import audit, domains, entity, image_diff, page_rules, profiles, ranges, redirects, severity, tabular, variants, web
+from tallyrill.operators import audit, domains, entity, file_slices, image_diff, page_rules, profiles, ranges, redirects, severity, tabular, variants, web
 from tallyrill.plans import report
 from tallyrill.scratch import shared_dir
 from tallyrill.sources import fetch, images, xlsx
@@ -613,6 +613,12 @@ def first_rows_stream(spark, sf_dir):
         return first_rows.drained(first_rows.first_rows(stream, ["user_id"], "ts", ["event_id"]), f"{shared_dir(spark)}/first-rows-{uuid.uuid4().hex}")
 
 
+@query("SELECT o_orderkey, o_orderstatus, ordinal FROM (SELECT *, row_number() OVER () AS ordinal FROM orders) WHERE ordinal BETWEEN 101 AND 1350")
+def slice_files(spark, sf_dir):
+    """Rows 101 to 1350 as the files have them."""
+    return file_slices.slice_files(spark, f"{sf_dir}/orders.parquet", 101, 1350).select("o_orderkey", "o_orderstatus", F.col("_ordinal").alias("ordinal"))
+
+
 PROFILED = ["l_orderkey", "l_partkey", "l_suppkey", "l_quantity", "l_comment"]
 
 
