@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyrill.functions import address, html, text, urls
+from tallyrill.functions import address, html, layout, text, urls
 from tallyrill.operators import audit, domains, entity, file_slices, image_diff, page_rules, profiles, ranges, redirects, severity, tabular, variants, web
 from tallyrill.plans import report
 from tallyrill.scratch import shared_dir
@@ -619,6 +619,15 @@ def slice_files(spark, sf_dir):
     return file_slices.slice_files(spark, f"{sf_dir}/orders.parquet", 101, 1350).select("o_orderkey", "o_orderstatus", F.col("_ordinal").alias("ordinal"))
 
 
+@query(r"""WITH a AS (SELECT page_id, regexp_replace(regexp_extract(coalesce(html, ''), '<body>(.*)$', 1, 's'), '<!--.*?-->', '', 'gs') AS h FROM pages),
+  b AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(h, '<br>', chr(3), 'g'), '</?p>|</article>', chr(2), 'g'), '</?(?:nav|ul|li|div|article|h1|footer|body|html)\b[^>]*>', chr(1), 'g'), '<[^>]*>', '', 'g') AS h FROM a),
+  c AS (SELECT page_id, regexp_replace(replace(replace(replace(replace(replace(replace(h, '&copy;', '©'), '&middot;', '·'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&'), '[ \t\n\r\f]+', ' ', 'g') AS h FROM b),
+  d AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(h, '[\x01 ]*\x02[\x01\x02 ]*', chr(10) || chr(10), 'g'), ' *\x01[\x01 ]*', chr(10), 'g'), ' *\x03 *', chr(10), 'g') AS t FROM c)
+  SELECT page_id, trim(t, ' ' || chr(10)) AS text FROM d""")
+def page_layout_text(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", layout.laid_out("html").alias("text"))
+
+
 PROFILED = ["l_orderkey", "l_partkey", "l_suppkey", "l_quantity", "l_comment"]
 
 
