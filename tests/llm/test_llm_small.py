@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tallyrill import scratch
 from tallyrill.llm import components, cross_entropy, decontaminate, grid, html_text, language, mixing, near_duplicates, ngram, quality, shared, topk, toxicity, url_rules
 from tallyrill.llm.shingles import shingle_sets
 
@@ -36,7 +37,7 @@ def test_written_goes_where_the_session_says(spark, tmp_path, monkeypatch):
         sparkContext = spark.sparkContext
 
     assert shared.shared_dir(Named) == f"file://{tmp_path}"
-    monkeypatch.setattr(shared, "shared_dir", lambda s: f"file://{tmp_path}")
+    monkeypatch.setattr(scratch, "shared_dir", lambda s: f"file://{tmp_path}")
     assert shared.written(spark.range(3), "t").count() == 3
     assert any(tmp_path.rglob("*.parquet"))
     shared.clear(spark)
