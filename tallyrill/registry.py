@@ -274,6 +274,14 @@ def fuzzy_candidates(spark, sf_dir):
     return entity.fuzzy_candidates(table(spark, sf_dir, "part"), "p_name", "p_brand", "p_partkey")
 
 
+@query(f"""WITH {NAMES}, t AS (SELECT *, list_transform(range(1, length(n) + 1), lambda i: substr(n, i, 1) || CAST(length(substr(n, 1, i)) - length(replace(substr(n, 1, i), substr(n, i, 1), '')) AS VARCHAR)) AS tokens FROM n WHERE n <> '')
+  SELECT a.block, a.n AS first, b.n AS second FROM t AS a JOIN t AS b ON a.block = b.block AND a.n <> b.n AND a.lo < b.hi
+  WHERE 2 * len(list_intersect(a.tokens, b.tokens)) >= 0.85::DOUBLE * (len(a.tokens) + len(b.tokens))""")
+def possible_pairs(spark, sf_dir):
+    """Pairs of names whose letters allow the similarity, which meet by a rare letter and not all with all."""
+    return entity.possible_pairs(table(spark, sf_dir, "part"), "p_name", "p_brand", "p_partkey")
+
+
 @query()
 def fuzzy_pairs(spark, sf_dir):
     return entity.fuzzy_pairs(table(spark, sf_dir, "part"), "p_name", "p_brand", "p_partkey", 0.85)
