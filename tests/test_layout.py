@@ -33,3 +33,22 @@ def test_layout(page, want):
 def test_as_a_column(spark):
     df = spark.createDataFrame([(1, "<p>a</p>b"), (2, None), (3, "")], "id long, html string")
     assert [r[0] for r in df.orderBy("id").select(laid_out("html")).collect()] == ["a\n\nb", "", ""]
+
+
+def test_references_that_end(spark):
+    cases = {"<p>a &amp;&amp</p>b": "a &&amp\n\nb", "&lt;&ltx &notit; &#65;&#65 &#x42; &": "<&ltx &notit; A&#65 B &", "<p title='&amp'>x&copy;</p>": "x©"}
+    assert {page: laid_out_text(page, closed=True) for page in cases} == cases
+    assert laid_out_text("&amp</p>") == "&"
+
+
+def test_layout_query_on_a_title_cut_within_a_reference(spark, tmp_path):
+    import duckdb
+
+    import __spark_entry__ as entry
+
+    pages = ["<html><head><title>t</title></head><body><h1>a &amp;&amp;&amp</h1><article><p>b &amp c</p></article></body></html>", "<html><body><p>x &lt y &copy; z</p></body></html>", None]
+    spark.createDataFrame(list(enumerate(pages)), "page_id long, html string").coalesce(1).write.parquet(str(tmp_path / "pages.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    want = sorted(con.execute(entry.oracle_sql()["page_layout_text"]).fetchall())
+    assert sorted(map(tuple, entry.queries()["page_layout_text"](spark, str(tmp_path)).collect())) == want
