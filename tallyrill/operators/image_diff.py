@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallyrill.operators.web import _mapped
 from tallyrill.sources.images import decode_png, encode_png
@@ -63,9 +64,14 @@ def image_diff(pairs: DataFrame, id_col: str, first: str, second: str, threshold
 
 
 def channel_diff(pairs: DataFrame, id_col: str, first: str, second: str, tolerance: float) -> DataFrame:
-    """The same figures for arrays of channel values: elements apart by more than the tolerance, over the shorter array."""
+    """The same figures for arrays of channel values: elements apart by more than the tolerance, over the shorter array.
+
+    Arrays of floats are held against the tolerance as a float, so a difference that is the tolerance in their own precision is none.
+    """
+    kinds = {pairs.schema[c].dataType.elementType for c in (first, second)}
+    most = F.lit(tolerance).cast("float" if kinds == {T.FloatType()} else "double")
     n = F.least(F.size(first), F.size(second))
-    apart = F.filter(F.sequence(F.lit(0), n - 1), lambda i: F.abs(F.get(first, i) - F.get(second, i)) > tolerance)
+    apart = F.filter(F.sequence(F.lit(0), n - 1), lambda i: F.abs(F.get(first, i) - F.get(second, i)) > most)
     counts = pairs.select(id_col, n.cast("long").alias("total_pixels"), F.when(n > 0, F.size(apart)).otherwise(0).cast("long").alias("different_pixels"))
     share = percent(F.col("different_pixels"), F.col("total_pixels"))
     return counts.withColumn("percent", share).withColumn("band", band(F.col("percent")))
