@@ -14,7 +14,7 @@ stands out, as its copy still counts.
 boundary that counts as a word before the first.  What ``c(v)`` holds beyond its bigrams is the text's end.
 
 *Scale.*  Nothing but five sums comes to the driver: the counts grow with the corpus.  Documents are packed into
-slices of some megabytes, rows of a written table.  Each slice sends its distinct words and bigrams,
+slices of some megabytes, rows of a written table with a row group for every one or two, so that a task never holds more of them.  Each slice sends its distinct words and bigrams,
 packed by shard of their hashes; a shard adds up what all slices sent and answers every slice with the totals alone, in the order of its request; then slices meet their
 answers and are scored.  Rows are blocks, not n-grams, so a frequent word costs as many numbers as there
 are slices.  Slices and shards grow with the square root of the text (from ``SLICE`` and ``SHARD`` to ``GROWN`` times that), so the blocks, a
@@ -206,7 +206,7 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         known = rows.where("doc_id is not null").join(chosen.hint("merge"), F.col("doc_id") == F.col("_id"), "left")
         flagged = known.select("doc_id", F.coalesce("flag", none).alias("flag"), "text").union(rows.where("doc_id is null").select("doc_id", none, "text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    slices = written(_slices(flagged, size), "slices")
+    slices = written(_slices(flagged, size), "slices", int(SLICE * growth(size)))
     asked = _requests(slices, max(1, -(-size // int((shard_bytes or SHARD) * growth(size)))))
     answers = written(asked.groupBy("shard").applyInArrow(_answers, ANSWER), "answers")
     by = {r["kind"]: r for r in answers.where("slice = -1").groupBy("kind").agg(F.sum("types").alias("types"), F.sum("total").alias("total"), F.sum("flagged").alias("flagged")).collect()}
