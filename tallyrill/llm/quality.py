@@ -1,8 +1,8 @@
 """Quality by perplexity under a Kneser-Ney model of trusted text.
 
 The model (see ``ngram``: interpolated, modified, characters, order 5, counts joined in shards)
-is fitted on at most ``max_trusted`` trusted documents, the first by hash of one half of the
-ids.  Every document of the corpus is then read once more and gets its perplexity per character.
+is fitted on all trusted documents of one half of the ids; their ids are broadcast where they are at most ``TRUSTED``, else
+joined by sorting, and a model beyond one shard is looked up a shard at a time.  Every document of the corpus is then read once more and gets its perplexity per character.
 All trusted documents of the other half, which the model has not seen, set the thresholds: in each
 language the ``quantile`` of their mean losses.  A language with fewer than ``least`` of
 them gets the threshold of all languages together.  Thresholds are a table, joined by language.
@@ -13,7 +13,7 @@ that a short clean sentence is not rejected for one odd name.  ``perplexity`` is
 
 Defined cases: null or empty texts have no perplexity (null) and are rejected; a null
 language is a language of its own; without trusted text or trusted quantiles (empty
-tables) nothing with a character of text is rejected; repeated rows are judged alike.
+tables) nothing with a character of text is rejected; repeated rows are judged alike, and counted each.
 """
 
 from __future__ import annotations
@@ -22,8 +22,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyrill.llm import ngram
-from tallyrill.llm.samples import labelled
-from tallyrill.llm.shared import pick, written
+from tallyrill.llm.shared import discard, pick, written
+
+#: Most ids of trusted documents that are broadcast.
+TRUSTED = 2_000_000
 
 
 class Judge:
@@ -34,14 +36,18 @@ class Judge:
     documents may be given to ``scored`` and ``kept``; those are scored then.
     """
 
-    def __init__(self, docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", label_col: str = "quality", trusted: int = 1, max_trusted: int = 6000, quantile: float = 0.9995, least: int = 50, evidence: int = 100, carry: bool = False) -> None:
+    def __init__(self, docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", label_col: str = "quality", trusted: int = 1, quantile: float = 0.9995, least: int = 50, evidence: int = 100, carry: bool = False) -> None:
         self.id_col, self.text_col, self.lang_col, self.evidence = id_col, text_col, lang_col, evidence
         self.docs, self.carry = docs, carry
         fold = F.pmod(F.xxhash64(F.lit("fold"), "_id"), F.lit(2))
         known = pick(labels, {"_id": id_col, "_label": label_col}).where((F.col("_label") == trusted) & F.col("_id").isNotNull())
-        sample = written(labelled(docs, known.where(fold == 0), "_label", {trusted: max_trusted}, "_id", text_col, docs_id_col=id_col), "trusted")
-        self.letters = ngram.alphabet(sample)
-        self.model = ngram.model(ngram.count_ngrams(sample, self.letters), bits=self.letters.bits)
+        fitted = known.where(fold == 0).select("_id").distinct()
+        fitted = F.broadcast(fitted) if fitted.count() <= TRUSTED else fitted.hint("merge")
+        texts = pick(docs, {"_d": id_col, "text": text_col})
+        trusted_texts = written(texts.join(fitted, F.col("_d") == F.col("_id"), "left_semi").select("text"), "trusted")
+        self.letters = ngram.alphabet(trusted_texts)
+        self.model = ngram.model(ngram.count_ngrams(trusted_texts, self.letters), bits=self.letters.bits)
+        discard(trusted_texts)
         self.losses = written(self._losses(docs, carry), "losses")
         others = known.where(fold == 1).select("_id").distinct()
         believed = self.losses.join(others, F.col("_d") == F.col("_id"), "left_semi").where("n_tokens > 0")
