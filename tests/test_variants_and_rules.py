@@ -45,3 +45,11 @@ def test_rules(spark, page, want):
     got = page_rules.findings(df).collect()
     assert sorted((r["rule"], r["node"]) for r in got) == sorted(want)
     assert all(r["impact"] == page_rules.RULES[r["rule"]] for r in got)
+
+
+def test_pages_are_dealt_by_their_size(spark, monkeypatch):
+    """What a task sorts is bounded by bytes of pages, not by a share of the table."""
+    monkeypatch.setattr(page_rules, "PART", 1000)
+    df = spark.createDataFrame([(i, HEAD + "<img>" + "x" * 400 + "</main>") for i in range(100)], "page_id long, html string")
+    got = page_rules.findings(df)
+    assert got.rdd.getNumPartitions() >= 40 and {tuple(r) for r in got.collect()} == {(i, "image-alt", "critical", "img[1]") for i in range(100)}
