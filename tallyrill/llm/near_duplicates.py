@@ -24,10 +24,14 @@ compared: first each class with the partner that shares most keys; then the othe
 are still apart; last, in keys whose classes are still apart, the pairs of distinct
 components, in blocks of at most ``CHUNK`` classes.  In that last part each class first brings its
 nearest few of other components, so that components grow as in a minimum spanning tree, and only
-then all that are still apart.  Components need no more links than that.  Before shingle sets
+then all that are still apart; where all pairs are few (``_few``) they are verified at once.  Components need
+no more links than that.  Before shingle sets
 are sent anywhere, a bound on the one-bit parity sketches (whose Hamming distance is a lower
 bound, too) removes nearly all pairs that do not link; exact verification intersects the sets.
 
+Joins are by sorting (``_merge``): none brings a table through the driver, whose memory each small join
+would otherwise take for a while.
+
 Class ids, like shingles, are 64-bit hashes; that two of ``N`` sets collide has the odds
 ``N**2 / 2**65``.
 
@@ -49,6 +53,8 @@ from tallyrill.llm.shared import discard, mapped, pick, utf8, written
 from tallyrill.llm.shingles import identity, mixed, shingle_sets
 
 SKETCH_BITS, FILTER_BITS, CHUNK = 2048, 1 << 24, 1024
+#: Most comparisons a member for which all pairs that are left are listed at once.
+LISTED = 32
 
 
 def difference(n: int, m: int, percent: int) -> int:
@@ -190,10 +196,15 @@ def _candidate_sets(rows: DataFrame, wanted: DataFrame, width: int) -> DataFrame
     return written(found.dropDuplicates(["c"]), "sets")
 
 
+def _merge(table: DataFrame) -> DataFrame:
+    """``table`` as a side of a join by sorting, not by a broadcast."""
+    return table.hint("merge")
+
+
 def _possible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Those of the pairs whose sizes and parity sketches allow a link; no shingle set is read."""
     named = lambda c: sets.select(F.col("c").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}"))
-    joined = pairs.select("u", "v").join(named("u"), "u").join(named("v"), "v")
+    joined = pairs.select("u", "v").join(_merge(named("u")), "u").join(_merge(named("v")), "v")
     joined = joined.where(F.least("nu", "nv") * 100 >= F.greatest("nu", "nv") * percent)
     apart = F.aggregate(F.zip_with("su", "sv", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda t, x: t + x)
     return joined.where(apart * (100 + percent) <= (F.col("nu") + F.col("nv")) * (100 - percent)).select("u", "v")
@@ -205,18 +216,18 @@ def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     A class in many pairs is dealt over up to 256 parts, so that no task gets all its pairs.
     """
     salted = pairs.select("u", "v", F.pmod(F.xxhash64("v"), F.lit(256)).alias("_s"))
-    mine = salted.join(sets.select(F.col("c").alias("v"), F.col("n").alias("nv"), F.col("hashes").alias("hv")), "v")
+    mine = salted.join(_merge(sets.select(F.col("c").alias("v"), F.col("n").alias("nv"), F.col("hashes").alias("hv"))), "v")
     combos = salted.select("u", "_s").distinct()
-    theirs = combos.join(sets.select(F.col("c").alias("u"), F.col("n").alias("nu"), F.col("hashes").alias("hu")), "u")
+    theirs = combos.join(_merge(sets.select(F.col("c").alias("u"), F.col("n").alias("nu"), F.col("hashes").alias("hu"))), "u")
     both = F.size(F.array_intersect("hu", "hv"))
-    joined = mine.join(theirs, ["u", "_s"]).where(F.least("nu", "nv") * 100 >= F.greatest("nu", "nv") * percent)
+    joined = mine.join(_merge(theirs), ["u", "_s"]).where(F.least("nu", "nv") * 100 >= F.greatest("nu", "nv") * percent)
     return joined.where(both * 100 >= percent * (F.col("nu") + F.col("nv") - both)).select("u", "v")
 
 
 def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     """Those of the pairs whose classes have different roots."""
     named = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"_{c}"))
-    joined = pairs.join(named("u"), "u", "left").join(named("v"), "v", "left")
+    joined = pairs.join(_merge(named("u")), "u", "left").join(_merge(named("v")), "v", "left")
     return joined.where(F.coalesce("_u", "u") != F.coalesce("_v", "v")).drop("_u", "_v")
 
 
@@ -261,27 +272,34 @@ def _near(members: DataFrame, percent: int, most: int | None) -> DataFrame:
 
 def _mixed_keys(stars: DataFrame, apart: DataFrame) -> DataFrame:
     """``key, c``: the classes of the keys that hold a pair of ``apart``, but for each key's smallest, which all were compared with."""
-    keys = stars.join(apart.select(F.col("u").alias("a"), F.col("v").alias("x")), ["a", "x"], "left_semi").select("key").distinct()
-    return stars.join(keys, "key", "left_semi").select("key", F.col("x").alias("c"))
+    keys = stars.join(_merge(apart.select(F.col("u").alias("a"), F.col("v").alias("x"))), ["a", "x"], "left_semi").select("key").distinct()
+    return stars.join(_merge(keys), "key", "left_semi").select("key", F.col("x").alias("c"))
 
 
 def _rest(members: DataFrame, roots: DataFrame, sets: DataFrame, percent: int, most: int | None) -> DataFrame:
     """Pairs within the keys of ``members`` that are left to verify."""
-    placed = members.join(roots.select(F.col("node").alias("c"), "root"), "c", "left").withColumn("root", F.coalesce("root", "c"))
+    placed = members.join(_merge(roots.select(F.col("node").alias("c"), "root")), "c", "left").withColumn("root", F.coalesce("root", "c"))
     # keys with the same members are one group, and only groups of several components matter
     hashed = F.xxhash64("c").cast("decimal(38,0)")
     groups = placed.groupBy("key").agg(F.count("*").alias("m"), F.sum(hashed).alias("sum"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
     groups = groups.groupBy("m", "sum").agg(F.min("key").alias("key"))
-    held = placed.join(groups.select("key", "m"), "key")
+    held = placed.join(_merge(groups.select("key", "m")), "key")
     chunks = F.ceil(F.col("m") / CHUNK).cast("int")
     part = F.pmod(F.xxhash64("c"), chunks).cast("int")
     dealt = held.select("key", "c", "root", part.alias("part"), F.explode(F.sequence(F.lit(0), chunks - 1)).alias("other"))
     dealt = dealt.select("key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "c", "root")
     sketch = F.unhex(F.array_join(F.transform("sketch", lambda x: F.lpad(F.hex(x), 16, "0")), ""))
-    full = dealt.join(sets.select("c", "n", sketch.alias("sketch")), "c")
+    full = dealt.join(_merge(sets.select("c", "n", sketch.alias("sketch"))), "c")
     return _near(full.select("key", "i", "j", "part", "c", "root", "n", "sketch"), percent, most)
 
 
+def _few(members: DataFrame) -> tuple[bool, int]:
+    """Whether all pairs within the keys are at most ``LISTED`` for each member, and the number of members."""
+    m = F.col("count")
+    n, pairs = members.groupBy("key").count().agg(F.sum(m), F.sum((m * (m - 1)).cast("decimal(38,0)"))).first()
+    return (pairs or 0) <= 2 * LISTED * (n or 0), n or 0
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The written table of those of the pairs that link: first by sketch, then by their sets."""
     possible = written(_possible(pairs, sets, percent), "possible")
@@ -298,28 +316,31 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
     stars = written(_stars(_keys(rows, width, percent)), "stars")
     pairs = written(stars.groupBy("a", "x").agg(F.count("*").alias("shared")).select(F.col("a").alias("u"), F.col("x").alias("v"), "shared"), "pairs")
     involved = pairs.select(F.col("u").alias("c")).union(pairs.select(F.col("v").alias("c"))).distinct()
-    wanted = sized.where("c is not null").groupBy("c").agg(F.min("h").alias("h")).join(involved, "c", "left_semi")
+    wanted = sized.where("c is not null").groupBy("c").agg(F.min("h").alias("h")).join(_merge(involved), "c", "left_semi")
     sets = _candidate_sets(rows, wanted, width)
 
     likely = pairs.groupBy("v").agg(F.max(F.struct("shared", "u")).alias("_b")).select(F.col("_b.u").alias("u"), "v")
     links = _verified(likely, sets, percent)
     roots = components(links)
-    others = _apart(pairs.join(likely, ["u", "v"], "left_anti").select("u", "v"), roots)
+    others = _apart(pairs.join(_merge(likely), ["u", "v"], "left_anti").select("u", "v"), roots)
     more = _verified(others, sets, percent)
     if not more.isEmpty():
         roots = components(_as_edges(roots).union(more))
     apart = written(_apart(pairs.select("u", "v"), roots), "apart")
     if not apart.isEmpty():
-        members, tested = written(_mixed_keys(stars, apart), "members"), [pairs.select("u", "v")]
+        members, tested = written(_mixed_keys(stars, apart), "members"), pairs.select("u", "v")
         ahead: list[int | None] = [1, 4, None]  # nearest first, so that components grow before the rest is listed
+        few, most = _few(members)
+        left = written(_rest(members, roots, sets, percent, None).join(_merge(tested), ["u", "v"], "left_anti"), "left") if few else None
+        if left is not None and left.count() <= most:
+            ahead = []
+            more = written(_links(left, sets, percent), "links")
+            if not more.isEmpty():
+                roots = components(_as_edges(roots).union(more))
         while ahead:
-            most = ahead.pop(0)
-            left = _rest(members, roots, sets, percent, most)
-            for t in tested:
-                left = left.join(t, ["u", "v"], "left_anti")
-            left = written(left, "left")
+            left = written(_rest(members, roots, sets, percent, ahead.pop(0)).join(_merge(tested), ["u", "v"], "left_anti"), "left")
             more = written(_links(left, sets, percent), "links")
-            tested.append(left)
+            tested = tested.union(left)
             if more.isEmpty():
                 ahead = ahead[-1:]
             else:
@@ -328,10 +349,10 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
     discard(stars, pairs, sets, links, apart)
 
     by_class = sized.where("c is not null").groupBy("c").agg(F.min("doc_id").alias("doc_id"))
-    named = by_class.join(roots.select(F.col("node").alias("c"), "root"), "c", "left").withColumn("root", F.coalesce("root", "c"))
+    named = by_class.join(_merge(roots.select(F.col("node").alias("c"), "root")), "c", "left").withColumn("root", F.coalesce("root", "c"))
     named = written(named, "classes")
     ids = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    found = written(named.join(ids, "root").select("c", "component_id", "root"), "components")
+    found = written(named.join(_merge(ids), "root").select("c", "component_id", "root"), "components")
     discard(named)
     return sized, found
 
@@ -343,7 +364,7 @@ def _as_edges(roots: DataFrame) -> DataFrame:
 def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, percent: int = 85) -> DataFrame:
     """``doc_id, n_shingles, component_id``: the smallest id reachable by links, for every row."""
     sized, by_class = classes(docs, id_col, text_col, width, percent)
-    joined = sized.join(by_class.select("c", "component_id"), "c", "left")
+    joined = sized.join(_merge(by_class.select("c", "component_id")), "c", "left")
     return joined.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
@@ -354,10 +375,10 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     names = docs.columns
     sized, by_class = classes(docs, id_col, text_col, width, percent)
-    joined = sized.where("c is not null").join(by_class.select("c", "root"), "c")
+    joined = sized.where("c is not null").join(_merge(by_class.select("c", "root")), "c")
     first = joined.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "h")).alias("_f")).select(F.col("_f.h").alias("_h"))
     plain = pick(docs, {"_id": id_col, "_text": text_col} | {f"_c{i}": c for i, c in enumerate(names)}).withColumn("_h", F.xxhash64("_id", "_text"))
     blank = F.coalesce(~F.col("_text").rlike(r"[^\x20\x09-\x0D]"), F.lit(True))
-    kept = plain.where(~blank).join(first, "_h", "left_semi")
+    kept = plain.where(~blank).join(_merge(first), "_h", "left_semi")
     one = kept.withColumn("_r", F.row_number().over(Window.partitionBy("_h").orderBy(F.lit(0)))).where("_r = 1").drop("_r")
     return plain.where(blank).unionByName(one).select(*(F.col(f"_c{i}").alias(c) for i, c in enumerate(names)))
